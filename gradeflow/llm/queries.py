@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fold, read
 from .exact_dedup import exact_dedup
+from .near_dup import near_duplicates
 from .packing import pack
+from .quality_cnn import KEEP_FROM, score, train
 from .secret_scan import scan, span_string
 
 
+def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, read(spark, sf_dir, "labels"), held_out=2))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
+
+
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), threshold=0.8, n=5)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(read(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -29,6 +41,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_cnn": op1_quality_cnn,
+    "op3_near_dup": op3_near_dup,
     "op4_secret_scan": op4_secret_scan,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
