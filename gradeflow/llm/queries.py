@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read
+from .common import fold, read, written
 from .exact_dedup import exact_dedup
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_cnn import KEEP_FROM, score, train
+from .quality_rules import apply_rules, learn, statistics
 from .secret_scan import scan, span_string
 
 
@@ -32,6 +33,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"), count("lexed"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = written(statistics(read(spark, sf_dir, "documents")))
+    rules = learn(stats, read(spark, sf_dir, "labels"))
+    return apply_rules(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), size=2048)
 
@@ -44,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_cnn": op1_quality_cnn,
     "op3_near_dup": op3_near_dup,
     "op4_secret_scan": op4_secret_scan,
+    "op6_quality_rules": op6_quality_rules,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
