@@ -289,7 +289,8 @@ def verified(members: DataFrame, texts: DataFrame, threshold: float, tolerance:
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(linked)), ids.take(pa.array(label[linked])), pa.array(links[linked].astype(np.int64))], names=["uid", "root", "links"])
 
     own = first_in_task(texts)
-    held = own.join(members, own["uid"] == members["vertex"]).select("label", "uid", "text").dropDuplicates(["uid"])
+    # shuffled at any size: members are no bounded side, and a plan that changes with them hides its growth
+    held = own.join(members.hint("merge"), own["uid"] == members["vertex"]).select("label", "uid", "text").dropDuplicates(["uid"])
     return _deal(held.mapInArrow(sign, "label binary, uid binary, signature binary, grams binary"), "label", sizes).mapInArrow(run, "uid binary, root binary, links long")
 
 
