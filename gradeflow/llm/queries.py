@@ -14,6 +14,7 @@ from .packing import pack
 from .quality_cnn import KEEP_FROM, score, train
 from .quality_rules import apply_rules, learn, statistics
 from .secret_scan import scan, span_string
+from .suffix_tree_lm import score_documents
 
 
 def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 7) == 2
+    scored = score_documents(read(spark, sf_dir, "documents"), is_training=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), size=2048)
 
@@ -52,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dup": op3_near_dup,
     "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op8_suffix_tree_lm": op8_suffix_tree_lm,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
