@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, read, written
+from . import license_scan
 from .exact_dedup import exact_dedup
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_cnn import KEEP_FROM, score, train
 from .quality_rules import apply_rules, learn, statistics
+from .sentencepiece_fst import encode
 from .secret_scan import scan, span_string
 from .suffix_tree_lm import score_documents
+from .url_filter import filter_urls, host_of, path_of
 
 
 def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,12 @@ def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    places = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"])), ",")
+    return found.select("doc_id", F.size("found").cast("long").alias("n_found"), license_scan.names(F.col("found")).alias("licenses"), places.alias("places"))
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), threshold=0.8, n=5)
 
@@ -34,12 +43,51 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"), count("lexed"))
 
 
+def _day(value: Column, modulus: int) -> Column:
+    """A number below modulus that follows from a string."""
+    return F.conv(F.substring(F.md5(value.cast("binary")), 1, 7), 16, 10).cast("long") % modulus
+
+
+def url_entries(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts, paths and URLs of pages; dates follow from the keys.
+
+    Domains of unwanted trades are listed, most of them taken off after some weeks and some listed again; one section in five
+    of a host and one URL in ten are listed from some day on.
+    """
+    named = pages.where("url IS NOT NULL").select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
+    day = lambda key, modulus, more=0: F.date_add(F.lit("2024-01-01").cast("date"), (_day(key, modulus) + more).cast("int"))
+    domain = F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1)
+    bad = named.select(domain.alias("key")).where(F.col("key").rlike("casino|pills|bets|ads")).distinct()
+    section = named.select(F.concat("host", F.lit("/"), F.regexp_extract("path", "^/([^/]*)", 1)).alias("key")).distinct().where(_day(F.col("key"), 5) == 0)
+    single = named.select(F.col("url").alias("key")).distinct().where(_day(F.col("key"), 10) == 0)
+    entry = lambda df, kind, at, action, reason: df.select(F.lit(kind).alias("kind"), "key", at.alias("at"), F.lit(action).alias("action"), F.lit(reason).alias("reason"))
+    key = F.col("key")
+    return (
+        entry(bad, "domain", day(key, 30), "add", "trade")
+        .union(entry(bad.where(_day(key, 3) > 0), "domain", day(key, 30, 20), "remove", "appeal"))
+        .union(entry(bad.where(_day(key, 3) > 1), "domain", day(key, 30, 40), "add", "relisted"))
+        .union(entry(section, "prefix", day(key, 60), "add", "section"))
+        .union(entry(single, "url", day(key, 90), "add", "report"))
+    )
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 90).cast("int")))
+    out = filter_urls(captures, url_entries(pages))
+    return out.select("page_id", "url", F.col("fetched_at").cast("string").alias("fetched_at"), "blocked", "kind", "key", F.col("listed_from").cast("string").alias("listed_from"), "reason")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(statistics(read(spark, sf_dir, "documents")))
     rules = learn(stats, read(spark, sf_dir, "labels"))
     return apply_rules(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(read(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 7) == 2
     scored = score_documents(read(spark, sf_dir, "documents"), is_training=~held_out)
@@ -56,15 +104,46 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_cnn": op1_quality_cnn,
+    "op2_license_scan": op2_license_scan,
     "op3_near_dup": op3_near_dup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_url_filter": op5_url_filter,
     "op6_quality_rules": op6_quality_rules,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_suffix_tree_lm": op8_suffix_tree_lm,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_HOST = r"regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)"
+_PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1)"
+_DAY = lambda m, more=0: f"DATE '2024-01-01' + CAST(('0x' || substr(md5(key), 1, 7))::BIGINT % {m} + {more} AS INTEGER)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": f"""
+        WITH named AS (SELECT *, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM (SELECT page_id, url, {_HOST} AS host, {_PATH} AS p FROM pages) WHERE host <> ''),
+        bad AS (SELECT DISTINCT regexp_extract(host, '([^.]+\\.[^.]+\\.[^.]+)$', 1) AS key FROM named WHERE regexp_matches(regexp_extract(host, '([^.]+\\.[^.]+\\.[^.]+)$', 1), 'casino|pills|bets|ads')),
+        section AS (SELECT DISTINCT host || '/' || regexp_extract(path, '^/([^/]*)', 1) AS key FROM named),
+        hashed AS (SELECT key, ('0x' || substr(md5(key), 1, 7))::BIGINT AS h FROM (SELECT key FROM bad UNION SELECT key FROM section UNION SELECT url FROM named)),
+        entries AS (
+            SELECT 'domain' AS kind, key, {_DAY(30)} AS since, true AS listed, 'trade' AS reason FROM bad
+            UNION ALL SELECT 'domain', key, {_DAY(30, 20)}, false, NULL FROM bad JOIN hashed USING (key) WHERE h % 3 > 0
+            UNION ALL SELECT 'domain', key, {_DAY(30, 40)}, true, 'relisted' FROM bad JOIN hashed USING (key) WHERE h % 3 > 1
+            UNION ALL SELECT 'prefix', key, {_DAY(60)}, true, 'section' FROM section JOIN hashed USING (key) WHERE h % 5 = 0
+            UNION ALL SELECT 'url', key, {_DAY(90)}, true, 'report' FROM (SELECT DISTINCT url AS key FROM named) JOIN hashed USING (key) WHERE h % 10 = 0),
+        spans AS (SELECT *, lead(since) OVER (PARTITION BY kind, key ORDER BY since) AS until FROM entries),
+        labels AS (SELECT *, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM named),
+        keys AS (
+            SELECT page_id, url, 1 AS rank, 'domain' AS kind, array_to_string(l[i:], '.') AS key FROM labels, unnest(range(1, len(l) + 1)) AS t(i)
+            UNION ALL SELECT page_id, url, 2, 'prefix', host || '/' || array_to_string(s[1:i], '/') FROM labels, unnest(range(0, len(s) + 1)) AS t(i)
+            UNION ALL SELECT page_id, url, 3, 'url', url FROM named),
+        hits AS (
+            SELECT k.page_id, kind, key, since, reason, row_number() OVER (PARTITION BY k.page_id ORDER BY rank DESC, length(key) DESC) AS r
+            FROM keys k JOIN spans USING (kind, key)
+            WHERE listed AND since <= DATE '2024-01-01' + CAST(k.page_id % 90 AS INTEGER) AND (until IS NULL OR until > DATE '2024-01-01' + CAST(k.page_id % 90 AS INTEGER)))
+        SELECT p.page_id, p.url, CAST(DATE '2024-01-01' + CAST(p.page_id % 90 AS INTEGER) AS VARCHAR) AS fetched_at, h.page_id IS NOT NULL AS blocked,
+               h.kind, h.key, CAST(CAST(h.since AS DATE) AS VARCHAR) AS listed_from, h.reason
+        FROM pages p LEFT JOIN hits h ON h.page_id = p.page_id AND h.r = 1""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
