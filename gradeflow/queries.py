@@ -1,0 +1,459 @@
+"""The registered queries of the reference operators, each beside its SQL.
+
+Tables have no taxonomy, so ``part`` serves as one, and ``region``, ``nation`` and ``supplier`` as one with inner rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import grades as G
+from .functions import text as T
+from .operators import changes, chunking, grids, lexical, lines, taxonomy, tree, vectors
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return query
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# A taxonomy over part: three levels, a feature, a grade that may be joined, the words of the name as elements.
+GRADE = """CASE WHEN p_size % 4 = 0 THEN concat('第', p_size % 5 + 1, '级')
+                WHEN p_size % 4 = 1 THEN concat('第', p_size % 5 + 1, '级/第', p_size % 3 + 1, '级')
+                WHEN p_size % 7 = 0 THEN '核心数据/第2级'
+                WHEN p_size % 11 = 0 THEN '重要数据'
+                ELSE concat('L', p_size % 4, '/L', p_size % 3) END"""
+TAX = f"""tax AS (SELECT p_partkey AS row_no, [p_type, p_brand, p_name] AS path, concat(p_type, '、', p_brand) AS feature, {GRADE} AS grade,
+               '' AS condition, string_split(p_name, ' ') AS elements, p_type, p_brand, p_name FROM part)"""
+
+
+def part_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.lit("part").alias("spec_uid"), F.col("p_partkey").alias("row_no"), F.array("p_type", "p_brand", "p_name").alias("path"), F.concat("p_type", F.lit("、"), "p_brand").alias("feature"),
+        F.expr(GRADE).alias("grade"), F.lit("").alias("condition"), F.split("p_name", " ").alias("elements"),
+    )
+
+
+PLACES = """places AS (
+    SELECT r_regionkey AS row_no, [r_name] AS path FROM region
+    UNION ALL SELECT 100 + n_nationkey, [r_name, n_name] FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT 1000 + s_suppkey, [r_name, n_name, s_name] FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def place_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    inner = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    leaf = supplier.join(F.broadcast(inner), F.col("s_nationkey") == F.col("n_nationkey"))
+    own = lambda df, no, *path: df.select(no.cast("long").alias("row_no"), F.array(*path).alias("path"))
+    rows = own(region, F.col("r_regionkey"), "r_name").union(own(inner, F.col("n_nationkey") + 100, "r_name", "n_name")).union(own(leaf, F.col("s_suppkey") + 1000, "r_name", "n_name", "s_name"))
+    return rows.select("row_no", "path", F.concat(F.lit("第"), (F.col("row_no") % 4 + 1).cast("string"), F.lit("级")).alias("grade"), F.lit("").alias("feature"))
+
+
+# ---- retrieval ----
+
+WORDS = "list_filter(regexp_extract_all(lower(text), '[一-鿿]+|[a-z0-9]+'), lambda w: length(w) > 1)"
+BM25 = f"""
+    words AS (SELECT doc_id, {WORDS} AS w FROM documents),
+    posted AS (SELECT doc_id, len(w) AS dl, token, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS token FROM words) GROUP BY ALL),
+    stats AS (SELECT count(*) AS n, avg(len(w)) AS a FROM words),
+    df AS (SELECT token, count(*) AS df FROM posted GROUP BY token),
+    raw AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, stats),
+    idf AS (SELECT token, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+    asked AS (SELECT item_id, token, count(*) AS q FROM (SELECT item_id, unnest({WORDS}) AS token FROM benchmark) GROUP BY ALL),
+    scored AS (SELECT item_id, doc_id, round(sum(q * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))), 6) AS score
+               FROM posted JOIN idf USING (token) JOIN asked USING (token), stats GROUP BY ALL),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk FROM scored WHERE score > 0) WHERE rk <= 15)"""
+
+
+def bm25(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical.bm25_topk(lexical.postings(docs), lexical.document_lengths(docs), items, k, "item_id").withColumnRenamed("query_id", "item_id")
+
+
+@register("r03_bm25_topk", f"WITH {BM25} SELECT item_id, doc_id, score, rk FROM best")
+def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25(spark, sf_dir)
+
+
+@register(
+    "r04_bm25_minmax",
+    f"""WITH {BM25}, span AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM best WINDOW w AS (PARTITION BY item_id))
+        SELECT item_id, doc_id, CASE WHEN hi = lo THEN 1.0 ELSE round((score - lo) / (hi - lo), 6) END AS norm_score FROM span""",
+)
+def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.min_max(bm25(spark, sf_dir), "item_id").select("item_id", "doc_id", "norm_score")
+
+
+_DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
+
+
+@register(
+    "r05_ip_topk_filtered",
+    f"""SELECT q_id, vec_id, ip, rk FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY ip DESC, vec_id) AS rk FROM (
+            SELECT q.vec_id AS q_id, v.vec_id, round({_DOT.format("q.embedding", "v.embedding")}, 6) AS ip
+            FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND v.label <> 1)) WHERE rk <= 5""",
+)
+def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec = table(spark, sf_dir, "embeddings")
+    asked = vec.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vector"))
+    return vectors.ip_topk(vec, asked, 5, F.col("label") != 1)
+
+
+@register(
+    "r06_cosine_pairs",
+    f"""SELECT a.vec_id AS a_id, b.vec_id AS b_id, round({_DOT.format("a.embedding", "b.embedding")} / (sqrt({_DOT.format("a.embedding", "a.embedding")}) * sqrt({_DOT.format("b.embedding", "b.embedding")})), 6) AS cos
+        FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.label = b.label AND a.vec_id <> b.vec_id""",
+)
+def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec = table(spark, sf_dir, "embeddings")
+    a = vec.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("av"), "label")
+    b = vec.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("bv"), "label")
+    return a.join(b, "label").where("a_id <> b_id").select("a_id", "b_id", F.round(vectors.cosine(F.col("av"), F.col("bv")), 6).alias("cos"))
+
+
+# ---- names and matches ----
+
+_PAIRS = "".join(f" WHEN left(t, 1) = '{a}' AND strpos(t, '{b}') BETWEEN 1 AND length(t) - 1 THEN substr(t, strpos(t, '{b}') + 1)" for a, b in T.BRACKETS.items())
+CLEAN = f"""CASE WHEN strpos(t, ' ') > 0 THEN substr(t, strpos(t, ' ') + 1) {_PAIRS}
+                 WHEN strpos(t, '、') BETWEEN 1 AND length(t) - 1 THEN substr(t, strpos(t, '、') + 1)
+                 WHEN regexp_matches(t, '^[^一-鿿]+[一-鿿]') THEN regexp_extract(t, '^[^一-鿿]+([一-鿿].*)$', 1) ELSE t END"""
+
+
+@register(
+    "t01_clean_name",
+    f"""SELECT t AS raw_name, {CLEAN} AS clean_name, n FROM (SELECT t, count(*) AS n FROM (
+            SELECT o_orderpriority AS t FROM orders UNION ALL SELECT concat('A', p_size, '-1 ', p_type) FROM part UNION ALL SELECT concat('(', p_size, ')', p_brand) FROM part
+            UNION ALL SELECT concat('第', p_size, '、', p_brand) FROM part UNION ALL SELECT concat('B', p_size, '客户', p_type) FROM part UNION ALL SELECT concat('[', p_brand, ']') FROM part) GROUP BY t)""",
+)
+def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    lit = F.lit
+    coded = part.select(
+        F.explode(F.array(F.concat(lit("A"), "p_size", lit("-1 "), "p_type"), F.concat(lit("("), "p_size", lit(")"), "p_brand"), F.concat(lit("第"), "p_size", lit("、"), "p_brand"), F.concat(lit("B"), "p_size", lit("客户"), "p_type"), F.concat(lit("["), "p_brand", lit("]")))).alias("raw_name")
+    )
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("raw_name")).union(coded)
+    return names.groupBy("raw_name").agg(F.count("*").alias("n")).select("raw_name", T.clean_name(F.col("raw_name")).alias("clean_name"), "n")
+
+
+@register(
+    "t02_category_names",
+    f"""WITH cells AS (SELECT p_partkey, 0 AS level, p_type AS t FROM part UNION ALL SELECT p_partkey, 1, concat('B ', p_brand) FROM part UNION ALL SELECT p_partkey, 2, p_name FROM part),
+        named AS (SELECT p_partkey, level, 0 AS form, t AS name FROM cells UNION ALL SELECT p_partkey, level, 1, {CLEAN} FROM cells)
+        SELECT name, min(p_partkey) AS first_row FROM named WHERE name <> '' GROUP BY name""",
+)
+def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tax = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_no"), F.array("p_type", F.concat(F.lit("B "), "p_brand"), "p_name").alias("path"))
+    return taxonomy.category_names(tax).select("name", F.col("ord.row_no").alias("first_row"))
+
+
+_NAMES = "SELECT DISTINCT concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1)) AS name FROM part UNION SELECT DISTINCT concat(p_name, 's') FROM part UNION SELECT DISTINCT p_type FROM part"
+_LCS = """subs AS (SELECT DISTINCT name AS text, substr(name, i, l) AS s FROM asked, unnest(range(1, length(name) + 1)) AS a(i), unnest(range(1, length(name) + 1)) AS b(l) WHERE i + l - 1 <= length(name)),
+        lcs AS (SELECT text, n.name, max(length(s)) AS l FROM subs JOIN names n ON contains(n.name, s) GROUP BY ALL)"""
+
+
+@register(
+    "t05_best_match",
+    f"""WITH asked AS (SELECT DISTINCT p_name AS name FROM part), names AS ({_NAMES}), {_LCS},
+        cleaned AS (SELECT a.name AS text, n.name, {CLEAN.replace("(t", "(a.name").replace(" t END", " a.name END").replace("left(a.name", "left(a.name")} AS ca, {CLEAN.replace("(t", "(n.name").replace(" t END", " n.name END")} AS cn FROM asked a, names n),
+        scored AS (SELECT c.text, c.name, CASE WHEN c.text = c.name THEN 1.0 WHEN ca = cn THEN 0.95 ELSE round(coalesce(l, 0) / greatest(length(c.text), length(c.name)), 6) END AS score FROM cleaned c LEFT JOIN lcs ON lcs.text = c.text AND lcs.name = c.name)
+        SELECT text, name, score FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, name) AS rk FROM scored WHERE score >= 0.5) WHERE rk = 1""",
+)
+def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    words = F.split("p_name", " ")
+    names = part.select(F.explode(F.array(F.concat(words[1], F.lit(" "), words[0]), F.concat("p_name", F.lit("s")), F.col("p_type"))).alias("name")).distinct().withColumn("ord", F.col("name"))
+    return taxonomy.best_match(part.select(F.col("p_name").alias("text")), names, least=0.5)
+
+
+@register(
+    "t08_category_lookup",
+    """WITH asked AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part UNION SELECT DISTINCT right(p_type, 4) FROM part),
+       cells AS (SELECT p_partkey AS row_no, unnest([p_type, p_brand, p_name]) AS cell FROM part),
+       hit AS (SELECT name, row_no, name = cell AS exact FROM asked JOIN cells ON ends_with(cell, name))
+       SELECT name, row_no, exact FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY exact DESC, row_no) AS rk FROM hit) WHERE rk = 1""",
+)
+def t08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    asked = part.select(F.explode(F.array("p_brand", F.split("p_name", " ")[1], F.expr("right(p_type, 4)"))).alias("name"))
+    return taxonomy.lookup_rows(asked, part_taxonomy(spark, sf_dir))
+
+
+@register("t09_category_text", f"WITH {TAX} SELECT row_no, md5(concat_ws(', ', p_type, p_brand, p_name, feature, grade, array_to_string(elements, '、'))) AS text_md5 FROM tax")
+def t09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.category_text(part_taxonomy(spark, sf_dir)).select("row_no", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+# ---- changes ----
+
+CHANGES = f"""{TAX}, n AS (SELECT count(*) AS n FROM part),
+    ops AS (SELECT event_id AS item_no, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'update' WHEN 'error' THEN 'delete' END AS action,
+                   CASE WHEN user_id % 3 = 0 THEN concat(p_type, '|', p_brand, '|', p_name, '|new', user_id) ELSE concat(p_type, '|', p_brand, '|', p_name) END AS key,
+                   concat('f', event_id) AS feature, CASE WHEN event_id % 2 = 0 THEN concat('L', event_id % 5) ELSE '' END AS grade
+            FROM events JOIN n ON true JOIN part ON p_partkey = user_id % n.n WHERE event_type IN ('signup', 'view', 'error')),
+    held AS (SELECT concat(p_type, '|', p_brand, '|', p_name) AS key, arg_min(feature, row_no) AS feature, arg_min(grade, row_no) AS grade FROM tax GROUP BY 1),
+    flow AS (SELECT ops.*, held.key IS NOT NULL AS existed, held.feature AS f0, held.grade AS g0,
+                    coalesce(last_value(CASE action WHEN 'create' THEN true WHEN 'delete' THEN false END IGNORE NULLS) OVER (PARTITION BY ops.key ORDER BY item_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), held.key IS NOT NULL) AS was
+             FROM ops LEFT JOIN held ON held.key = ops.key),
+    done AS (SELECT *, CASE WHEN action = 'create' THEN NOT was ELSE was END AS ok FROM flow)"""
+
+
+def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category changes from events: sign-ups create, views update, errors delete; a third are below a category."""
+    events, part = table(spark, sf_dir, "events"), table(spark, sf_dir, "part")
+    action = F.create_map(*map(F.lit, ("signup", "create", "view", "update", "error", "delete")))
+    count = F.broadcast(part.agg(F.count("*").alias("n")))
+    wanted = events.where(F.col("event_type").isin("signup", "view", "error")).crossJoin(count).join(part, F.col("p_partkey") == F.col("user_id") % F.col("n"))
+    path = F.array("p_type", "p_brand", "p_name")
+    return wanted.select(
+        F.col("event_id").alias("item_no"), action[F.col("event_type")].alias("action"), F.when(F.col("user_id") % 3 == 0, F.array_append(path, F.concat(F.lit("new"), "user_id"))).otherwise(path).alias("path"),
+        F.concat(F.lit("f"), "event_id").alias("feature"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("L"), (F.col("event_id") % 5).cast("string"))).otherwise("").alias("grade"),
+    )
+
+
+@register(
+    "t10_change_batch",
+    f"""WITH {CHANGES} SELECT key AS path, coalesce(arg_max(feature, item_no) FILTER (ok AND action <> 'delete'), any_value(f0)) AS feature,
+            coalesce(arg_max(grade, item_no) FILTER (ok AND (action = 'create' OR action = 'update' AND grade <> '')), any_value(g0)) AS grade
+        FROM done GROUP BY key HAVING coalesce(arg_max(action = 'create', item_no) FILTER (action <> 'update'), bool_or(existed))""",
+)
+def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = changes.replay_changes(part_taxonomy(spark, sf_dir), event_changes(spark, sf_dir))
+    return after.where("present").select(F.array_join("path", "|").alias("path"), "feature", "grade")
+
+
+@register("t13_change_outcome", f"WITH {CHANGES} SELECT action, ok, count(*) AS n FROM done GROUP BY ALL")
+def t13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.outcomes(changes.replay_changes(part_taxonomy(spark, sf_dir), event_changes(spark, sf_dir))).groupBy("action", "ok").agg(F.count("*").alias("n"))
+
+
+@register(
+    "t15_element_ops",
+    f"""WITH {TAX}, adds AS (SELECT event_id, concat('Brand#', user_id % 25 + 1) AS name, concat('e', user_id % 7) AS e FROM events WHERE event_type = 'purchase'),
+        first AS (SELECT name, e, min(event_id) AS since FROM adds GROUP BY ALL), lists AS (SELECT name, list(e ORDER BY since) AS es FROM first GROUP BY name)
+        SELECT row_no, replace(array_to_string(list_concat(elements, coalesce(es, [])), ' '), 'widget', 'gadget') AS elements FROM tax LEFT JOIN lists ON name = p_brand""",
+)
+def t15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    adds = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("item_no"), F.lit("add").alias("action"), F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("name"), F.array(F.concat(F.lit("e"), (F.col("user_id") % 7).cast("string"))).alias("elements"))
+    after, _ = changes.rename_element(changes.apply_element_changes(part_taxonomy(spark, sf_dir), adds), "widget", "gadget")
+    return after.select("row_no", F.array_join("elements", " ").alias("elements"))
+
+
+# ---- prefixes, leaves, grades, trees ----
+
+
+@register(
+    "t21_prefix_prune",
+    f"""WITH {PLACES}, valid AS (SELECT path FROM places WHERE row_no >= 1000 AND row_no % 2 = 0), ok AS (SELECT DISTINCT array_to_string(path[1:i], '|') AS p FROM valid, unnest(range(1, len(path) + 1)) AS t(i))
+        SELECT array_to_string(path, '|') AS path, p IS NOT NULL AS kept FROM places LEFT JOIN ok ON p = array_to_string(path, '|')""",
+)
+def t21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = place_taxonomy(spark, sf_dir)
+    pruned = taxonomy.prefix_prune(rows, rows.where("row_no >= 1000 AND row_no % 2 = 0"))
+    return pruned.select(F.array_join("path", "|").alias("path"), "kept")
+
+
+@register(
+    "t22_non_leaf_prune",
+    f"""WITH {PLACES}, inner_paths AS (SELECT DISTINCT array_to_string(path[1:i], '->') AS p FROM places, unnest(range(1, len(path))) AS t(i))
+        SELECT array_to_string(path, '->') AS path, p IS NULL AS is_leaf FROM places LEFT JOIN inner_paths ON p = array_to_string(path, '->')""",
+)
+def t22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.with_leaf(place_taxonomy(spark, sf_dir)).select(taxonomy.path_text(F.col("path")).alias("path"), "is_leaf")
+
+
+_NUMBERS = "list_max(list_transform(regexp_extract_all({0}, '\\d+'), lambda n: n::BIGINT))"
+
+
+@register(
+    "t26_lowest_grade",
+    f"""WITH {TAX}, g AS (SELECT DISTINCT grade FROM tax), p AS (SELECT grade, unnest(string_split(grade, '/')) AS x, generate_subscripts(string_split(grade, '/'), 1) AS i FROM g),
+        best AS (SELECT grade, x, row_number() OVER (PARTITION BY grade ORDER BY CASE x WHEN '核心数据' THEN 1 WHEN '重要数据' THEN 2 ELSE 3 END, coalesce({_NUMBERS.format("x")}, 0) DESC, i) AS rk FROM p)
+        SELECT grade AS grade_text, CASE WHEN contains(grade, '/') THEN x ELSE grade END AS lowest FROM best WHERE rk = 1""",
+)
+def t26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_taxonomy(spark, sf_dir).select(F.col("grade").alias("grade_text")).distinct().withColumn("lowest", G.lowest_grade(F.col("grade_text")))
+
+
+@register(
+    "t25_grade_choice",
+    f"""WITH {TAX}, g AS (SELECT DISTINCT grade, list_transform(regexp_extract_all(grade, '第(\\d+)级', 1), lambda n: n::INT) AS n FROM tax)
+        SELECT grade AS grade_text, CASE WHEN contains(grade, '/') AND len(n) > 0 THEN concat('第', list_max(n), '级') ELSE grade END AS highest,
+               CASE WHEN contains(grade, '/') AND len(n) > 0 THEN concat('第', list_min(n), '级') ELSE grade END AS smallest FROM g""",
+)
+def t25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = F.col("grade_text")
+    return part_taxonomy(spark, sf_dir).select(F.col("grade").alias("grade_text")).distinct().select(g, G.choose_grade(g).alias("highest"), G.choose_grade(g, highest=False).alias("smallest"))
+
+
+@register(
+    "t28_grade_priority",
+    f"""WITH {TAX}, p AS (SELECT DISTINCT unnest(string_split(grade, '/')) AS x FROM tax),
+        g AS (SELECT DISTINCT CASE WHEN contains(x, '核心数据') THEN '核心数据' WHEN contains(x, '重要数据') THEN '重要数据' ELSE x END AS grade FROM p)
+        SELECT grade, row_number() OVER (ORDER BY CASE grade WHEN '核心数据' THEN 1 WHEN '重要数据' THEN 2 ELSE 3 END, coalesce({_NUMBERS.format("grade")}, 0) DESC, grade) AS priority FROM g""",
+)
+def t28(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.grade_priorities(taxonomy.distinct_grades(part_taxonomy(spark, sf_dir)))
+
+
+@register(
+    "t30_duplicate_elements",
+    f"""WITH {TAX}, m AS (SELECT unnest(elements) AS element, p_name AS category, row_no FROM tax), c AS (SELECT element, category, min(row_no) AS row_no FROM m GROUP BY ALL)
+        SELECT element, count(*) AS n_categories, arg_min(category, row_no) AS chosen FROM c GROUP BY element HAVING count(*) > 1""",
+)
+def t30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.duplicate_elements(part_taxonomy(spark, sf_dir))
+
+
+@register(
+    "t31_tree_edges",
+    f"""WITH {PLACES}, nodes AS (SELECT path[1:i] AS p, CASE WHEN i = len(path) THEN row_no END AS own FROM places, unnest(range(1, len(path) + 1)) AS t(i)),
+        g AS (SELECT p, min(own) AS own FROM nodes GROUP BY p), c AS (SELECT p[1:len(p) - 1] AS up, count(*) AS n FROM g WHERE len(p) > 1 GROUP BY 1)
+        SELECT array_to_string(g.p, '|') AS node, CASE WHEN len(g.p) > 1 THEN array_to_string(g.p[1:len(g.p) - 1], '|') END AS parent, len(g.p) AS depth, concat('第', own % 4 + 1, '级') AS grade, coalesce(n, 0) AS n_children
+        FROM g LEFT JOIN c ON c.up = g.p""",
+)
+def t31(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = lambda c: F.replace(F.col(c), F.lit(taxonomy.SEPARATOR), F.lit("|")).alias(c)
+    return tree.tree_edges(place_taxonomy(spark, sf_dir)).select(shown("node"), shown("parent"), "depth", "grade", "n_children")
+
+
+@register(
+    "t32_scene_type",
+    f"""WITH {TAX}, s AS (SELECT DISTINCT p_name AS category, CASE WHEN contains(grade, '核心数据') THEN 3 WHEN contains(grade, '重要数据') THEN 2 ELSE 1 END AS s FROM tax),
+        l AS (SELECT category, array_to_string(list(s ORDER BY s), ',') AS scenes FROM s GROUP BY category), m AS (SELECT DISTINCT unnest(elements) AS element, p_name AS category FROM tax)
+        SELECT element, category, scenes FROM m JOIN l USING (category)""",
+)
+def t32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tax = part_taxonomy(spark, sf_dir)
+    mapped = taxonomy.element_mappings(tax).select("element", "category").distinct()
+    return tree.element_scenes(mapped, tax).select("element", "category", F.array_join(F.transform("scenes", lambda x: x.cast("string")), ",").alias("scenes"))
+
+
+# ---- documents ----
+
+LINES = "SELECT doc_id, unnest(string_split({0}, chr(10))) AS line, generate_subscripts(string_split({0}, chr(10)), 1) AS i FROM documents"
+
+
+@register(
+    "d02_toc_removal",
+    f"""WITH raw AS ({LINES.format("concat(lang, ' ....', doc_id % 9, chr(10), source, '.. 2', chr(10), text, chr(10), 'lone...7')")}),
+        kept AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM raw WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+        flag AS (SELECT *, regexp_matches(regexp_replace(line, '\\s+', '', 'g'), '[.．…]{{2,}}[0-9]+$') AS f FROM kept),
+        near AS (SELECT *, coalesce(lag(f) OVER w, false) OR coalesce(lead(f) OVER w, false) AS n FROM flag WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, md5(line) AS line_md5 FROM near WHERE NOT (f AND n)""",
+)
+def d02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.concat("lang", F.lit(" ...."), (F.col("doc_id") % 9).cast("string"), F.lit("\n"), "source", F.lit(".. 2\n"), "text", F.lit("\nlone...7"))
+    return lines.remove_toc(lines.to_lines(docs.select("doc_id", text.alias("text")))).select("doc_id", "pos", F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
+CELLS = """cells AS (SELECT l_orderkey AS table_id, l_linenumber::INT AS "row", c AS col, CASE c WHEN 0 THEN l_returnflag WHEN 1 THEN l_linestatus ELSE concat('q', l_partkey) END AS text
+                     FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL), unnest(range(0, 3)) AS t(c))"""
+
+
+def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid for each order: a row for each line number, three columns."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("a"), F.min("l_linestatus").alias("b"), F.concat(F.lit("q"), F.min("l_partkey").cast("string")).alias("c"))
+    return items.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row"), F.posexplode(F.array("a", "b", "c")).alias("col", "text"))
+
+
+@register(
+    "d10_merged_fill",
+    f"""WITH {CELLS}, ranges AS (SELECT o_orderkey AS table_id, 1 AS r0, 1 + o_custkey % 3 AS r1, o_custkey % 3 AS c0, greatest(o_custkey % 3, 1) AS c1, o_orderstatus AS text FROM orders WHERE o_custkey % 2 = 0),
+        inside AS (SELECT table_id, r AS "row", c AS col, text FROM ranges, unnest(range(r0, r1 + 1)) AS a(r), unnest(range(c0, c1 + 1)) AS b(c))
+        SELECT coalesce(cells.table_id, inside.table_id) AS table_id, coalesce(cells."row", inside."row") AS "row", coalesce(cells.col, inside.col) AS col, coalesce(inside.text, cells.text) AS text
+        FROM cells FULL JOIN inside ON cells.table_id = inside.table_id AND cells."row" = inside."row" AND cells.col = inside.col""",
+)
+def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = (F.col("o_custkey") % 3).cast("int")
+    ranges = table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("table_id"), F.lit(1).alias("r0"), (1 + third).alias("r1"), third.alias("c0"), F.greatest(third, F.lit(1)).alias("c1"), F.col("o_orderstatus").alias("text"))
+    return grids.fill_merged(order_cells(spark, sf_dir), ranges)
+
+
+@register(
+    "d13_grid_records",
+    f"""WITH {CELLS}, h AS (SELECT table_id, min("row") AS h FROM cells GROUP BY ALL),
+        named AS (SELECT c.table_id, c."row", c.col, c.text, n.text AS name FROM cells c JOIN h USING (table_id) JOIN cells n ON n.table_id = c.table_id AND n."row" = h AND n.col = c.col WHERE c."row" > h),
+        last AS (SELECT *, row_number() OVER (PARTITION BY table_id, "row", name ORDER BY col DESC) AS rk FROM named)
+        SELECT table_id, "row", md5(concat('{{', string_agg(concat('"', name, '":"', text, '"'), ',' ORDER BY col), '}}')) AS json_md5 FROM last WHERE rk = 1 GROUP BY ALL""",
+)
+def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = order_cells(spark, sf_dir)
+    headers = cells.groupBy("table_id").agg(F.min("row").alias("header_row"))
+    return grids.to_records(cells, headers).select("table_id", "row", F.md5(F.to_json(grids.without_spaces(F.col("record"))).cast("binary")).alias("json_md5"))
+
+
+OUTLINED = "concat('# ', source, chr(10), chr(10), text, chr(10), '## ', lang, chr(10), '### ', doc_id, chr(10), 'last')"
+
+
+@register(
+    "d18_outline",
+    f"""WITH l AS ({LINES.format(OUTLINED)}), s AS (SELECT *, starts_with(trim(line), '#') AS h FROM l),
+        f AS (SELECT *, first_value(CASE WHEN NOT h AND trim(line) <> '' THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s),
+        items AS (SELECT doc_id, i * 2 AS o, line AS item FROM f WHERE h UNION ALL SELECT doc_id, i * 2 + 1, nxt FROM f WHERE h AND nxt IS NOT NULL),
+        run AS (SELECT *, coalesce(sum(length(item)) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM items),
+        cut AS (SELECT doc_id, o, substr(item, 1, (900 - b)::BIGINT) AS item FROM run WHERE b < 900)
+        SELECT doc_id, md5(string_agg(item, chr(10) ORDER BY o)) AS outline_md5, (sum(length(item)) + count(*) - 1)::BIGINT AS n_chars FROM cut GROUP BY doc_id""",
+)
+def d18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("# "), "source", F.lit("\n\n"), "text", F.lit("\n## "), "lang", F.lit("\n### "), F.col("doc_id").cast("string"), F.lit("\nlast"))
+    out = lines.outline(lines.to_lines(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))))
+    return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("outline_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@register(
+    "d20_annotations",
+    """SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat(source, ' (', lang, ') ', replace(text, chr(10), ' '), ' [', doc_id, '] <x> — tail: y'), '\\(.*?\\)', '', 'g'), '\\[.*?\\]', '', 'g'), '<.*?>', '', 'g'), '—.*$', '', 'g'), '\\s+', ' ', 'g'))) AS clean_md5
+       FROM (SELECT doc_id, source, lang, regexp_replace(regexp_replace(text, '[\\[\\]{}<>:—()【】《》（）：]', '', 'g'), '\\s+', ' ', 'g') AS text FROM documents)""",
+)
+def d20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = F.regexp_replace(F.regexp_replace("text", r"[\[\]{}<>:—()【】《》（）：]", ""), r"\s+", " ")
+    text = F.concat("source", F.lit(" ("), "lang", F.lit(") "), bare, F.lit(" ["), F.col("doc_id").cast("string"), F.lit("] <x> — tail: y"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.remove_annotations(text).cast("binary")).alias("clean_md5"))
+
+
+@register(
+    "c01_narrative_chunks",
+    """WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS title FROM documents WHERE NOT regexp_matches(text, '(^|\\n)(#{1,6}\\s|\\s*```)'))
+       SELECT doc_id, i AS chunk_no, md5(concat(title, ':', substr(t, i * 500 + 1, 500))) AS chunk_md5 FROM t, unnest(range(0, (length(t) + 499) // 500)) AS c(i) WHERE t <> ''""",
+)
+def c01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(^|\n)(#{1,6}\s|\s*```)"))
+    return chunking.narrative_chunks(lines.to_lines(docs)).select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+@register(
+    "c02_data_chunks",
+    """SELECT doc_id, concat(source, ',', lang, ',', '{"id":', doc_id, ',"n":', n_chars, '}') AS chunk FROM documents UNION ALL SELECT doc_id, concat(source, ',', lang, ',', unnest([source, lang])) FROM documents""",
+)
+def c02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("n_chars").alias("n"))), F.lit("\n"), F.to_json(F.array("source", "lang")))
+    return chunking.data_chunks(lines.to_lines(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))).select("doc_id", "chunk")
+
+
+# ---- embeddings ----
+
+
+@register(
+    "v01_hash_embed",
+    """WITH t AS (SELECT DISTINCT text FROM documents WHERE text <> ''), g AS (SELECT md5(text) AS text_md5, md5(substr(text, i, 3)) AS h FROM t, unnest(range(1, greatest(1, length(text) - 2) + 1)) AS u(i))
+       SELECT text_md5, CAST(('0x' || substr(h, 1, 7))::BIGINT % 64 AS INT) AS dim, sum(CASE WHEN substr(h, 8, 1) < '8' THEN 1 ELSE -1 END)::BIGINT AS weight FROM g GROUP BY ALL HAVING sum(CASE WHEN substr(h, 8, 1) < '8' THEN 1 ELSE -1 END) <> 0""",
+)
+def v01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.hash_embed(table(spark, sf_dir, "documents"))
