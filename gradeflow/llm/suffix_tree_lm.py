@@ -17,6 +17,7 @@ from a broadcast; all others are joined by word.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -128,7 +129,8 @@ def contexts(grams: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SH
         both = rows.join(parents, ["parent", "next"]).join(sums(levels[length - 1]).select(F.col("context").alias("parent"), F.col("total").alias("parent_total")), "parent")
         gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("parent_n") / F.col("parent_total"))))
         stay = both.groupBy("context", "total", "kinds").agg(gain.alias("gain")).where(F.col("gain") >= F.col("kinds") * float(np.log(max(2, total)) / 2))
-        out = out.union(own.join(stay.select("context"), "context", "left_semi").select(F.lit(length), "context", "next", "n"))
+        # each level is a plan of its own, so the driver never holds one over all of them
+        out = out.union(written(own.join(stay.select("context"), "context", "left_semi").select(F.lit(length).alias("length"), "context", "next", "n")))
     return out
 
 
@@ -205,7 +207,7 @@ def document_scores(tree: Tree, docs: list[list[bytes]], depth: int = DEPTH) ->
     return np.add.reduceat(each, np.stack([begins, ends], 1).ravel())[::2]
 
 
-def _head(counts: DataFrame, most: int) -> dict[bytes, int]:
+def _head(counts: DataFrame, most: int) -> DataFrame:
     """The words above the least count that at most ``most`` words reach."""
     # counts are binned by powers of 2^(1/8): at most 504 bins reach the driver
     bins = counts.groupBy(F.floor(8 * F.log2("n")).alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("bin")).collect()
@@ -215,9 +217,20 @@ def _head(counts: DataFrame, most: int) -> dict[bytes, int]:
         if held > most:
             break
         least = b["n"]
-    if least is None:
-        return {}
-    return {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= least).toLocalIterator()}
+    return counts.where(F.lit(False) if least is None else F.col("n") >= least)
+
+
+_models: dict[str, tuple[Tree, dict[bytes, float]]] = {}
+
+
+def _model(key: str, tables: tuple[pa.Table, pa.Table], depth: int) -> tuple[Tree, dict[bytes, float]]:
+    """The automaton, and the gains of frequent words, built once in a worker from their tables."""
+    if key not in _models:
+        kept, head = tables
+        _models.clear()
+        tree = build_tree(*(kept[c].to_numpy() for c in ("length", "context", "next", "n")), depth)
+        _models[key] = tree, dict(zip(head["word"].to_pylist(), np.log10(head["n"].to_numpy() + 1.0).tolist()))
+    return _models[key]
 
 
 def score_documents(docs: DataFrame, is_training: Column | None = None, depth: int = DEPTH, least_share: float = LEAST_SHARE, head_words: int = HEAD_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -234,12 +247,12 @@ def score_documents(docs: DataFrame, is_training: Column | None = None, depth: i
     counts = written(parts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
     grams = written(parts.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    kept = contexts(grams, depth, least_share).toArrow()
-    shared = spark.sparkContext.broadcast((build_tree(*(kept[c].to_numpy() for c in ("length", "context", "next", "n")), depth), _head(counts, head_words)))
+    # two bounded tables go through the driver as they are; workers build the model from them
+    shared = spark.sparkContext.broadcast((contexts(grams, depth, least_share).toArrow(), _head(counts, head_words).toArrow()))
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, head = shared.value
-        gains = {w: float(np.log10(n + 1)) for w, n in head.items()}
+        tree, gains = _model(key, shared.value, depth)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for first, group in _grouped(batch, 1):
@@ -264,6 +277,7 @@ def score_documents(docs: DataFrame, is_training: Column | None = None, depth: i
                 row += len(group)
 
     scored = written(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, gain double, score double, rare array<binary>"))
+    shared.destroy()
     rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + 1)).alias("rare_gain"))
     return scored.drop("rare").join(rare, "row", "left").select(
         "doc_id",
