@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-_ORDER = Window.partitionBy("doc_id").orderBy("pos")
+
+def _order() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("pos")
 
 
 def to_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -20,7 +22,7 @@ def from_lines(lines: DataFrame) -> DataFrame:
 
 
 def renumbered(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("pos", F.row_number().over(_ORDER) - 1)
+    return lines.withColumn("pos", F.row_number().over(_order()) - 1)
 
 
 def drop_blank(lines: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def is_toc_like(line: Column) -> Column:
 def mark_toc(lines: DataFrame) -> DataFrame:
     """lines with is_toc: like an entry of a table of contents, next to another such line."""
     flagged = lines.withColumn("_toc", is_toc_like(F.col("line")))
-    near = F.coalesce(F.lag("_toc").over(_ORDER), F.lit(False)) | F.coalesce(F.lead("_toc").over(_ORDER), F.lit(False))
+    near = F.coalesce(F.lag("_toc").over(_order()), F.lit(False)) | F.coalesce(F.lead("_toc").over(_order()), F.lit(False))
     return flagged.withColumn("is_toc", F.col("_toc") & near).drop("_toc")
 
 
@@ -52,7 +54,7 @@ def outline(lines: DataFrame, budget: int = 900) -> DataFrame:
     """(doc_id, text): each line that begins with # and the next line that is neither blank nor a heading, in order, up to a
     budget of characters; the item that crosses it is cut. Joining line ends are not counted."""
     flagged = lines.withColumn("_s", strip(F.col("line"))).withColumn("_h", F.col("_s").startswith("#"))
-    ahead = _ORDER.rowsBetween(1, Window.unboundedFollowing)
+    ahead = _order().rowsBetween(1, Window.unboundedFollowing)
     follow = F.first(F.when(~F.col("_h") & (F.col("_s") != ""), F.col("_s")), ignorenulls=True).over(ahead)
     heads = flagged.withColumn("_f", follow).where("_h")
     items = heads.select("doc_id", "pos", F.posexplode(F.array("line", "_f")).alias("k", "item")).where("item IS NOT NULL")

@@ -5,14 +5,18 @@ Tables have no taxonomy, so ``part`` serves as one, and ``region``, ``nation`` a
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import grades as G
 from .functions import text as T
-from .operators import changes, chunking, grids, lexical, lines, taxonomy, tree, vectors
+from .operators import changes, chunking, grids, kb, lexical, lines, matching, recognition, scoring, taxonomy, tree, vectors
+from .plans import interpret
+from .sources import tables
+from .streaming import triggers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -457,3 +461,291 @@ def c02(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def v01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.hash_embed(table(spark, sf_dir, "documents"))
+
+
+# ---- matching and recognition ----
+
+
+@register(
+    "r09_hybrid_match",
+    f"""WITH {BM25}, q AS (SELECT vec_id, embedding FROM embeddings), span AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM best WINDOW w AS (PARTITION BY item_id)),
+        n AS (SELECT item_id, doc_id, CASE WHEN hi = lo THEN 1.0 ELSE round((score - lo) / (hi - lo), 6) END AS b FROM span),
+        e AS (SELECT n.item_id, n.doc_id, b, round({_DOT.format("x.embedding", "y.embedding")} / (sqrt({_DOT.format("x.embedding", "x.embedding")}) * sqrt({_DOT.format("y.embedding", "y.embedding")})), 6) AS e
+              FROM n LEFT JOIN q x ON x.vec_id = n.item_id LEFT JOIN q y ON y.vec_id = n.doc_id),
+        s AS (SELECT item_id, doc_id, round(e + 2 * b, 6) AS sim FROM e WHERE e IS NOT NULL)
+        SELECT item_id, doc_id, sim, rk FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) AS rk FROM s) WHERE rk <= 5""",
+)
+def r09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec = table(spark, sf_dir, "embeddings")
+    bm = lexical.min_max(bm25(spark, sf_dir), "item_id").select("item_id", "doc_id", F.col("norm_score").alias("bm25"))
+    x, y = vec.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("xv")), vec.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("yv"))
+    emb = bm.select("item_id", "doc_id").join(x, "item_id").join(y, "doc_id").select("item_id", "doc_id", F.round(vectors.cosine(F.col("xv"), F.col("yv")), 6).alias("embedding"))
+    scored = matching.hybrid(emb, bm, ["item_id", "doc_id"], 1.0, 2.0)
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("sim"), "doc_id"))
+    return scored.withColumn("rk", rank).where("rk <= 5").select("item_id", "doc_id", "sim", "rk")
+
+
+@register(
+    "r13_candidate_dedup",
+    f"""WITH {BM25}, own AS (SELECT item_id, 'bm25' AS source, doc_id, score FROM best UNION ALL SELECT item_id, 'vector', doc_id, round(1.0 / rk, 6) FROM best WHERE doc_id % 2 = 0),
+        texts AS (SELECT own.*, d.text FROM own JOIN documents d USING (doc_id)),
+        once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, source, text ORDER BY score DESC, doc_id) AS d FROM texts) WHERE d = 1),
+        kept AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS rk FROM once)
+        SELECT item_id, source, doc_id, rk, row_number() OVER (PARTITION BY item_id ORDER BY source, rk) AS number FROM kept WHERE rk <= 5""",
+)
+def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bm25(spark, sf_dir).withColumnRenamed("item_id", "request_id")
+    both = found.select("request_id", F.lit("bm25").alias("source"), F.col("doc_id").alias("id"), "score").union(found.where("doc_id % 2 = 0").select("request_id", F.lit("vector"), "doc_id", F.round(1.0 / F.col("rk"), 6)))
+    texts = both.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    out = recognition.number_candidates(recognition.merge_candidates(texts))
+    return out.select(F.col("request_id").alias("item_id"), "source", F.col("id").alias("doc_id"), "rk", "number")
+
+
+# A request for each conversation: its first turn names the table, every turn is a field. Candidates are taxonomy rows.
+REQUESTS = """first AS (SELECT conv_id, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id),
+    cand AS (SELECT conv_id AS request_id, s.source, p.p_partkey AS row_no, CASE s.source WHEN 'bm25' THEN (conv_id * 7 + p_partkey * 3) % 101 ELSE (conv_id * 5 + p_partkey * 11) % 97 END AS score
+             FROM first JOIN part p ON p.p_partkey % 37 = conv_id % 37, (VALUES ('bm25'), ('vector')) s(source)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id, source ORDER BY score DESC, row_no) AS rk FROM cand),
+    fused AS (SELECT request_id, row_no, round(sum(1.0::DOUBLE / (60 + rk)), 6) AS score FROM ranked WHERE rk <= 5 GROUP BY ALL),
+    chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, row_no) AS k FROM fused) WHERE k = 1)"""
+
+
+def conversation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id")).distinct()
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_no"))
+    pairs = first.withColumn("b", F.col("request_id") % 37).join(part.withColumn("b", F.col("row_no") % 37), "b")
+    score = lambda a, b, m: ((F.col("request_id") * a + F.col("row_no") * b) % m).cast("double")
+    each = lambda source, s: pairs.select("request_id", F.lit(source).alias("source"), "row_no", F.col("row_no").alias("id"), F.col("row_no").alias("text"), s.alias("score"))
+    return recognition.number_candidates(recognition.merge_candidates(each("bm25", score(7, 3, 101)).union(each("vector", score(5, 11, 97)))))
+
+
+@register(
+    "r19_table_recognition",
+    f"""WITH {TAX}, {REQUESTS}, n AS (SELECT row_no, p_name, grade, list_transform(regexp_extract_all(grade, '第(\\d+)级', 1), lambda n: n::INT) AS n FROM tax)
+        SELECT request_id, row_no, p_name AS category, CASE WHEN contains(grade, '/') AND len(n) > 0 THEN concat('第', list_max(n), '级') ELSE grade END AS grade FROM chosen JOIN n USING (row_no)""",
+)
+def r19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = recognition.choose(conversation_candidates(spark, sf_dir))
+    return recognition.resolve(chosen, part_taxonomy(spark, sf_dir)).select("request_id", "row_no", "category", "grade")
+
+
+@register(
+    "r20_field_mapping",
+    f"""WITH {TAX}, {REQUESTS}, fields AS (SELECT DISTINCT conv_id AS request_id, turn AS field_no, CASE turn % 4 WHEN 0 THEN 'red bolt' WHEN 1 THEN 'anvil' WHEN 2 THEN 'widgets' ELSE 'old ring' END AS text FROM conversations),
+        els AS (SELECT request_id, unnest(elements) AS name, generate_subscripts(elements, 1) AS i FROM chosen JOIN tax USING (row_no)),
+        asked AS (SELECT DISTINCT text AS name FROM fields), names AS (SELECT DISTINCT name FROM els), {_LCS},
+        cleaned AS (SELECT a.name AS text, n.name, {CLEAN.replace("(t", "(a.name").replace(" t END", " a.name END")} AS ca, {CLEAN.replace("(t", "(n.name").replace(" t END", " n.name END")} AS cn FROM asked a, names n),
+        pair AS (SELECT c.text, c.name, CASE WHEN c.text = c.name THEN 1.0 WHEN ca = cn THEN 0.95 ELSE round(coalesce(l, 0) / greatest(length(c.text), length(c.name)), 6) END AS score FROM cleaned c LEFT JOIN lcs ON lcs.text = c.text AND lcs.name = c.name),
+        hit AS (SELECT f.request_id, field_no, e.name AS element, score, row_number() OVER (PARTITION BY f.request_id, field_no ORDER BY score DESC, i) AS k FROM fields f JOIN els e USING (request_id) JOIN pair ON pair.text = f.text AND pair.name = e.name WHERE score >= 0.3)
+        SELECT request_id, field_no, element, score FROM hit WHERE k = 1""",
+)
+def r20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = recognition.resolve(recognition.choose(conversation_candidates(spark, sf_dir)), part_taxonomy(spark, sf_dir))
+    kinds = F.array(*map(F.lit, ("red bolt", "anvil", "widgets", "old ring")))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), "turn", F.get(kinds, (F.col("turn") % 4).cast("int")).alias("text")).distinct()
+    elements = resolved.select("request_id", F.posexplode("elements").alias("element_no", "name"))
+    scored = recognition.scored_names_of(turns.join(elements, "request_id")).where("score >= 0.3")
+    rank = F.row_number().over(Window.partitionBy("request_id", "turn").orderBy(F.desc("score"), "element_no"))
+    return scored.withColumn("k", rank).where("k = 1").select("request_id", F.col("turn").alias("field_no"), F.col("name").alias("element"), "score")
+
+
+# ---- workbook interpretation ----
+
+
+@register(
+    "i02_numbering",
+    """WITH f AS (SELECT p_type, min(p_partkey) AS k FROM part GROUP BY p_type), g AS (SELECT p_type, p_brand, min(p_partkey) AS k FROM part GROUP BY ALL),
+       a AS (SELECT p_type, row_number() OVER (ORDER BY k) AS n FROM f), b AS (SELECT p_type, p_brand, row_number() OVER (PARTITION BY p_type ORDER BY k) AS n FROM g)
+       SELECT p_type, p_brand, chr((64 + a.n)::INT) AS code1, concat(chr((64 + a.n)::INT), b.n) AS code2, concat(chr((64 + a.n)::INT), b.n, '-1') AS first_code3 FROM a JOIN b USING (p_type)""",
+)
+def i02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_no"), F.array("p_type", "p_brand", "p_name").alias("cells"))
+    codes = lambda i: F.get("codes", F.lit(i))
+    numbered = interpret.number_levels(rows, 3).select(F.get("cells", F.lit(0)).alias("p_type"), F.get("cells", F.lit(1)).alias("p_brand"), codes(0).alias("code1"), codes(1).alias("code2"), codes(2).alias("c3"))
+    return numbered.groupBy("p_type", "p_brand", "code1", "code2").agg(F.min("c3").alias("first_code3"))
+
+
+@register(
+    "i08_scope_expansion",
+    """SELECT p_partkey AS row_no, unnest([p_name, p_brand, concat(p_type, '类')]) AS item, p_type AS category FROM part""",
+)
+def i08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = F.concat_ws("、", "p_name", F.concat(F.lit(" "), "p_brand", F.lit(" ")), F.concat("p_type", F.lit("类等")))
+    return interpret.expand_scope(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_no"), F.col("p_type").alias("category"), scope.alias("scope")))
+
+
+CODED = """cells AS (SELECT p_partkey AS row_no, 0 AS col, concat(chr((65 + p_size % 5)::INT), ' ', p_type) AS text FROM part
+    UNION ALL SELECT p_partkey, 1, concat(chr((65 + p_size % 5)::INT), p_size % 3 + 1, ' ', p_brand, ' long name') FROM part
+    UNION ALL SELECT p_partkey, 2, concat(chr((65 + p_size % 5)::INT), p_size % 3 + 1, '-', p_size % 7, p_name) FROM part),
+    q AS (SELECT row_no, string_agg(trim(concat(code, ' ', left(trim(rest), 9))), '；' ORDER BY col) AS query_text, arg_max(code, col) AS last_code
+          FROM (SELECT row_no, col, regexp_extract(text, '^(?:[A-Z]\\s+)?([A-Z]\\d+(?:-\\d+)*)', 1) AS code, regexp_replace(text, '^(?:[A-Z]\\s+)?([A-Z]\\d+(?:-\\d+)*)', '') AS rest FROM cells) WHERE code <> '' GROUP BY row_no)"""
+
+
+def coded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letter, n, k = F.char(F.lit(65) + F.col("p_size") % 5), (F.col("p_size") % 3 + 1).cast("string"), (F.col("p_size") % 7).cast("string")
+    cells = F.array(F.concat(letter, F.lit(" "), "p_type"), F.concat(letter, n, F.lit(" "), "p_brand", F.lit(" long name")), F.concat(letter, n, F.lit("-"), k, "p_name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_no"), F.posexplode(cells).alias("col", "text"))
+
+
+@register("i10_code_extract", f"WITH {CODED} SELECT row_no, query_text, last_code FROM q")
+def i10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpret.code_queries(coded_cells(spark, sf_dir))
+
+
+@register(
+    "i13_grade_resolve",
+    f"""WITH {CODED}, cand AS (SELECT q.row_no, i AS pos, CASE i WHEN 0 THEN concat(chr((65 + q.row_no % 6)::INT), (q.row_no + i) % 3 + 1, '-', q.row_no % 4, ' x (c', i, ')') WHEN 1 THEN concat(chr((65 + q.row_no % 4)::INT), ' W', i) ELSE concat('Z ', left(last_code, 1), i) END AS text, concat('L', i + q.row_no % 3) AS grade FROM q, unnest(range(0, 3)) AS t(i)),
+        t AS (SELECT cand.*, CASE WHEN regexp_extract(text, '^(?:[A-Z]\\s+)?([A-Z]\\d*(?:-\\d+)*)', 1) = last_code OR starts_with(text, concat(last_code, ' ')) THEN 1 WHEN left(text, 1) = left(last_code, 1) THEN 2
+              WHEN upper(substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 2, 1)) = left(last_code, 1) THEN 3 END AS tier FROM cand JOIN q USING (row_no)),
+        b AS (SELECT *, min(tier) OVER (PARTITION BY row_no) AS best FROM t)
+        SELECT row_no, coalesce(string_agg(grade, '/' ORDER BY pos) FILTER (tier = best), '') AS grade, coalesce(string_agg(nullif(regexp_extract(text, '\\(([^)]*)\\)', 1), ''), '/' ORDER BY pos) FILTER (tier = best), '') AS condition, min(best) AS tier FROM b GROUP BY row_no""",
+)
+def i13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = interpret.code_queries(coded_cells(spark, sf_dir))
+    r = F.col("row_no")
+    text = lambda x: lambda i: F.char((F.lit(65) + r % x).cast("int"))
+    first = F.concat(text(6)(0), (r % 3 + 1).cast("string"), F.lit("-"), (r % 4).cast("string"), F.lit(" x (c0)"))
+    candidates = rows.select("row_no", F.posexplode(F.array(first, F.concat(text(4)(1), F.lit(" W1")), F.concat(F.lit("Z "), F.substring("last_code", 1, 1), F.lit("2")))).alias("pos", "text")).withColumn("grade", F.concat(F.lit("L"), (F.col("pos") + r % 3).cast("string")))
+    return interpret.resolve_grades(rows.select("row_no", "last_code"), candidates).select("row_no", "grade", "condition", "tier")
+
+
+@register(
+    "i15_feature_elements",
+    """SELECT p_partkey AS row_no, array_to_string(list_distinct_ordered, '|') AS elements FROM (SELECT p_partkey, CASE WHEN p_name = p_brand THEN [p_name, p_type] ELSE [p_name, p_brand, p_type] END AS list_distinct_ordered FROM part)""",
+)
+def i15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feature = F.concat(F.lit("客户资料包括："), "p_name", F.lit("、"), "p_brand", F.lit("，"), "p_type", F.lit("等"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_no"), F.array_join(interpret.feature_elements(feature), "|").alias("elements"))
+
+
+# ---- knowledge base ----
+
+
+@register(
+    "v03_record_expansion",
+    f"""WITH {TAX}, v AS (SELECT row_no, list_concat([p_type, p_brand, p_name, feature], elements) AS v FROM tax)
+        SELECT row_no, 'value' AS kind, md5(unnest(v)) AS text_md5 FROM v UNION ALL SELECT row_no, 'joined', md5(array_to_string(v, '、')) FROM v""",
+)
+def v03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kb.expand_records(part_taxonomy(spark, sf_dir)).where("kind <> 'line'")
+    return out.select("row_no", "kind", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@register(
+    "v07_numbered_records",
+    f"""WITH {TAX}, v AS (SELECT DISTINCT unnest(list_concat([p_type, p_brand, p_name, feature], elements)) AS t FROM tax)
+        SELECT md5(concat_ws(chr(30), t, t, t)) AS content_md5, 200000000 + row_number() OVER (ORDER BY md5(concat_ws(chr(30), t, t, t))) AS id FROM v""",
+)
+def v07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = kb.expand_records(part_taxonomy(spark, sf_dir)).where("kind = 'value'")
+    records = texts.select(F.lit("part").alias("spec_uid"), F.lit("general_knowledge").alias("kind"), "text", F.col("text").alias("vectorizing_text"), F.array("text").alias("items"))
+    return kb.numbered(records).select("content_md5", "id")
+
+
+@register(
+    "v10_standard_elements",
+    f"WITH {TAX}, e AS (SELECT row_no, p_type, p_brand, unnest(elements) AS e, generate_subscripts(elements, 1) AS i FROM tax) SELECT row_number() OVER (ORDER BY row_no, i) AS id, concat_ws('|', p_type, p_brand, e) AS items, row_no AS source_line FROM e",
+)
+def v10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kb.standard_elements(part_taxonomy(spark, sf_dir)).select("id", "items", "source_line")
+
+
+@register(
+    "x02_document_class",
+    """WITH r AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+       s AS (SELECT doc_id, len(l) AS n, len(list_filter(l, lambda x: regexp_matches(trim(x), '^[\\[{].*[\\]}],?$') OR len(regexp_split_to_array(x, '[|\\t;]')) >= 3)) AS k, length(text) / greatest(1, len(regexp_split_to_array(text, '[.!?。！？]'))) AS m FROM r)
+       SELECT doc_id, CASE WHEN k / greatest(1, n) >= 0.5 OR (m < 12 AND n >= 5) THEN '2' ELSE '1' END AS doc_class FROM s""",
+)
+def x02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", scoring.document_class(F.col("text")).alias("doc_class"))
+
+
+# ---- sinks and streams ----
+
+
+@register(
+    "s13_collection_statistics",
+    "SELECT lang AS spec_uid, CASE WHEN n_chars > 2000 THEN 'classification' ELSE 'general_knowledge' END AS kind, count(*) AS row_count FROM documents GROUP BY ALL",
+)
+def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("spec_uid"), F.when(F.col("n_chars") > 2000, "classification").otherwise("general_knowledge").alias("kind"))
+    return tables.collection_statistics(docs)
+
+
+@register("s11_keyword_scan", "SELECT doc_id FROM documents WHERE contains(text, 'token')")
+def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.keyword_scan(table(spark, sf_dir, "documents"), "token").select("doc_id")
+
+
+@register(
+    "s17_message_batches",
+    f"""WITH {TAX}, m AS (SELECT row_no, unnest(elements) AS element, p_name AS category, generate_subscripts(elements, 1) AS i FROM tax), k AS (SELECT *, row_no * 100 + i AS o FROM m),
+        b AS (SELECT *, (row_number() OVER (ORDER BY o) - 1) // 10 AS batch_no FROM k)
+        SELECT batch_no, count(*) AS n, md5(concat('[', string_agg(concat('{{"DataElement":"', element, '","DataClassification":"', category, '"}}'), ',' ORDER BY o), ']')) AS payload_md5 FROM b GROUP BY batch_no""",
+)
+def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tax = part_taxonomy(spark, sf_dir)
+    mapped = tax.select(F.posexplode("elements").alias("i", "DataElement"), taxonomy.deepest(F.col("path")).alias("DataClassification"), "row_no").select("DataElement", "DataClassification", (F.col("row_no") * 100 + F.col("i") + 1).alias("o"))
+    return tables.batched(mapped, "o").select("batch_no", "n", F.md5(F.col("payload").cast("binary")).alias("payload_md5"))
+
+
+@register("s18_size_report", "SELECT 'documents' AS kind, round(sum(strlen(text)) / 1024, 2) AS kb FROM documents UNION ALL SELECT 'pages', round(sum(strlen(html)) / 1024, 2) FROM pages")
+def s18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = lambda name, c: table(spark, sf_dir, name).agg(F.lit(name).alias("kind"), F.round(F.sum(F.octet_length(c)) / 1024, 2).alias("kb"))
+    return size("documents", "text").union(size("pages", "html"))
+
+
+def event_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").where("event_type IN ('signup', 'purchase')")
+    return events.select(F.col("user_id").cast("string").alias("spec_uid"), F.when(F.col("event_type") == "signup", "classification").otherwise("data_element").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("n"))
+
+
+# Between two firings the kinds seen are few, so the state is carried by a recursive walk over each user's calls.
+@register(
+    "st1_trigger",
+    """WITH RECURSIVE c AS (SELECT user_id, event_type = 'signup' AS cls, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('signup', 'purchase')),
+       w AS (SELECT user_id, 0::BIGINT AS i, false AS c, false AS d, NULL::TIMESTAMP AS last, NULL::TIMESTAMP AS late, NULL::TIMESTAMP AS fired FROM (SELECT DISTINCT user_id FROM c)
+             UNION ALL SELECT user_id, i, cc AND NOT (cc AND dd), dd AND NOT (cc AND dd), ts, late, CASE WHEN cc AND dd THEN ts END FROM (
+                 SELECT c.user_id, c.i, c.ts, (w.c AND NOT x) OR c.cls AS cc, (w.d AND NOT x) OR NOT c.cls AS dd, CASE WHEN x THEN w.last + INTERVAL 120 SECOND END AS late
+                 FROM (SELECT w.*, coalesce(w.c AND NOT w.d AND n.ts > w.last + INTERVAL 120 SECOND, false) AS x FROM w JOIN c n ON n.user_id = w.user_id AND n.i = w.i + 1) w JOIN c ON c.user_id = w.user_id AND c.i = w.i + 1)),
+       e AS (SELECT max(ts) AS e FROM c), l AS (SELECT user_id, arg_max(last, i) AS last, arg_max(c AND NOT d, i) AS open FROM w GROUP BY user_id)
+       SELECT user_id::VARCHAR AS spec_uid, strftime(late, '%Y-%m-%d %H:%M:%S') AS fired_at, 'timeout' AS reason FROM w WHERE late IS NOT NULL
+       UNION ALL SELECT user_id::VARCHAR, strftime(fired, '%Y-%m-%d %H:%M:%S'), 'both' FROM w WHERE fired IS NOT NULL
+       UNION ALL SELECT user_id::VARCHAR, strftime(last + INTERVAL 120 SECOND, '%Y-%m-%d %H:%M:%S'), 'timeout' FROM l, e WHERE open AND e > last + INTERVAL 120 SECOND""",
+)
+def st1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.trigger_batch(event_calls(spark, sf_dir)).select("spec_uid", F.date_format("fired_at", "yyyy-MM-dd HH:mm:ss").alias("fired_at"), "reason")
+
+
+STATE = "CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 ELSE 9 END"
+
+
+@register("st2_task_status", f"SELECT user_id, arg_max({STATE}, (ts, event_id)) AS last_state FROM events WHERE event_type <> 'click' GROUP BY user_id")
+def st2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.expr(STATE).alias("state"), "ts", F.col("event_id").alias("n"))
+    latest, _ = triggers.task_status(messages)
+    return latest.select(F.col("task_id").alias("user_id"), F.col("state").alias("last_state"))
+
+
+@register("st3_latest_requests", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def st3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.latest_requests(table(spark, sf_dir, "events").withColumn("n", F.col("event_id")), "user_id").select("user_id", "event_id")
+
+
+@register(
+    "st4_health_rounds",
+    """WITH c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS r, user_id, bool_and(event_type <> 'error') AS ok FROM events GROUP BY ALL), h AS (SELECT r, bool_or(ok) AS healthy FROM c GROUP BY r)
+       SELECT strftime(r, '%Y-%m-%d %H:%M:%S') AS round_start, healthy, healthy AND NOT coalesce(lag(healthy) OVER (ORDER BY r), false) AS recovered FROM h""",
+)
+def st4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = table(spark, sf_dir, "events").select(F.col("user_id").alias("check_id"), F.col("event_type").alias("service"), (F.col("event_type") != "error").alias("ok"), "ts")
+    return triggers.health_rounds(checks, 60).select(F.date_format("round_start", "yyyy-MM-dd HH:mm:ss").alias("round_start"), "healthy", "recovered")
+
+
+@register(
+    "st6_orphan_tasks",
+    "WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS t, max(ts) AS ts FROM events GROUP BY user_id) SELECT user_id, t AS last_line FROM l WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 30 MINUTE AND NOT contains(t, 'purchase')",
+)
+def st6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("line"), "ts", F.col("event_id").alias("n"))
+    return triggers.orphan_tasks(log, dt.datetime(2024, 1, 15), "purchase").select(F.col("task_id").alias("user_id"), "last_line")
