@@ -1,24 +1,4 @@
-import sys
-from pathlib import Path
-
 import pytest
-from pyspark.sql import SparkSession
-
-sys.path.insert(0, str(Path(__file__).parents[2]))
-SF = "/root/testdata/sf0.001"
-
-
-@pytest.fixture(scope="session")
-def spark():
-    return (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "4g")
-        .getOrCreate()
-    )
-
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
