@@ -74,17 +74,33 @@ def check(rows, docs, reference, size=2048):
     return pad / max(1, sum(r.length for r in rows))
 
 
-def test_round_trip(docs_of, reference, monkeypatch):
+def test_round_trip(docs_of, reference):
     texts = ["", None, "a.", "word " * 9000, "x" * 20_000, "One two. Three\nfour! " * 700, "same", "same"]
     docs = docs_of(texts, extra=True)
     assert check(pack(docs).collect(), dict(enumerate(texts)), reference) < 0.01
-    monkeypatch.setattr(packing, "BLOCK_TOKENS", 10_000)
     got = pack(docs.coalesce(1), with_ids=True).collect()
     check(got, dict(enumerate(texts)), reference)
     assert all(len(r.ids) == r.length for r in got)
     assert pack(docs_of([])).collect() == []
 
 
+def test_blocks_of_a_long_stream(monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 10_000)
+    rng = np.random.default_rng(0)
+    ends = np.zeros(100, bool)
+    ends[:4] = True
+    packer = packing.Packer(2048, ends, 7 << 36)
+    stream = {i: rng.integers(0, 100, int(n)).astype(np.uint32) for i, n in enumerate([*rng.integers(1, 3000, 200), 60_000, 1, 1])}
+    pieces = [p for i, ids in stream.items() for p in packer.add(i, ids)] + list(packer.flush())
+    filled = {}
+    for doc_id, start, length, crc, total, sequence, offset, own in pieces:
+        assert crc == zlib.crc32(own.astype("<u4").tobytes()) and length == len(own) and total == len(stream[doc_id])
+        assert (own == stream[doc_id][start : start + length]).all() and offset == filled.get(sequence, 0)
+        filled[sequence] = offset + length
+    assert sum(filled.values()) == sum(map(len, stream.values())) and max(filled.values()) <= 2048
+    assert padding(np.array(list(filled.values())), 2048).sum() < 0.01 * sum(filled.values())
+
+
 def test_repeated_and_null_ids(docs_of):
     got = pack(docs_of([(None, "a"), (3, "b"), (3, "b")])).collect()
     assert len(got) == 3 and all(r.start == 0 for r in got)
