@@ -1,7 +1,7 @@
 """Order-preserving packing of token streams into fixed windows by dynamic programming.
 
 The documents of a partition form one stream in input order. Cuts may fall at ends of documents, at ends of sentences and,
-where neither comes for a while, at every 64th token. The best cuts minimise, over all windows of at most ``size`` tokens,
+where neither comes for a while, at every 16th token. The best cuts minimise, over all windows of at most ``size`` tokens,
 padding plus the penalty of the cut at the window's end plus a fixed price of a window:
 
     best[j] = penalty[j] + price + min over i of best[i] + pad(position[j] - position[i])
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 END = 1
-SENTENCE_PENALTY, INNER_PENALTY, WINDOW_PRICE, INNER_EVERY = 4, 24, 16, 64
+SENTENCE_PENALTY, INNER_PENALTY, WINDOW_PRICE, INNER_EVERY = 2, 8, 16, 16
 BLOCK_TOKENS = 1 << 18
 _SPACES = re.compile(r"\s\s")
 _encoders: dict[str, tuple[Callable[[str], list[int]], np.ndarray]] = {}
@@ -169,6 +169,8 @@ class Packer:
             windows = [*windows[:-1], *_tail(start, windows[-1], self.size)]
         else:
             windows = [w for w in windows if w <= bounds[-1] - 4 * self.size]
+            if not windows:
+                return
         yield from self._pieces(ids, bounds, np.array(windows))
         done = windows[-1]
         first = int(np.searchsorted(bounds, done, side="right"))
