@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Queries that may be broadcast to an expression join, and those of one block of the matrix product.
 FEW_QUERIES, BLOCK = 64, 512
 
@@ -79,21 +81,35 @@ def pairs_above(vectors: DataFrame, least: float, vec_id: str = "vec_id", vector
     return both.select("a_id", "b_id", F.round(cosine(F.col("a_v"), F.col("b_v")), 6).alias("cos")).where(F.col("cos") >= least)
 
 
-def hash_terms(text: Column, dims: int = 64, n: int = 3) -> Column:
-    """(dim, sign) of each character n-gram: seven leading hex digits of its md5 modulo dims, an eighth for the sign."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: F.substr(text, i, F.lit(n)))
+def _grams(text: Column, n: int) -> Column:
+    """Character n-grams; a shorter text is its own. Characters are split once and met by index: a substring counts from the
+    text's start, and a slice copies the array."""
+    whole = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(c) - n)), lambda i: F.concat_ws("", *[F.get(c, i + k) for k in range(n)]))
+    return F.when(F.length(text) > 0, let(F.split(text, ""), whole)).otherwise(F.array().cast("array<string>"))
 
-    def term(g: Column) -> Column:
-        h = F.md5(g.cast("binary"))
-        return F.struct((F.conv(F.substring(h, 1, 7), 16, 10).cast("long") % dims).cast("int").alias("dim"), F.when(F.substring(h, 8, 1).isin(*"01234567"), 1).otherwise(-1).alias("sign"))
 
-    return F.transform(F.when(F.length(text) > 0, grams).otherwise(F.array().cast("array<string>")), term)
+def hash_term(gram: Column, dims: int = 64) -> Column:
+    """(dim, sign) of an n-gram: seven leading hex digits of its md5 modulo dims, an eighth for the sign."""
+    h = F.md5(gram.cast("binary"))
+    return F.struct((F.conv(F.substring(h, 1, 7), 16, 10).cast("long") % dims).cast("int").alias("dim"), F.when(F.substring(h, 8, 1).isin(*"01234567"), 1).otherwise(-1).alias("sign"))
+
+
+def hash_terms(text: Column, dims: int = 64, n: int = 3) -> Column:
+    """(dim, sign) of each character n-gram."""
+    return F.transform(_grams(text, n), lambda g: hash_term(g, dims))
 
 
 def hash_embed(texts: DataFrame, text: str = "text", dims: int = 64, n: int = 3) -> DataFrame:
-    """(text_md5, dim, weight) of each distinct text: signed counts of its n-grams by dimension; zero ones are left out."""
+    """(text_md5, dim, weight) of each distinct text: signed counts of its n-grams by dimension; zero ones are left out.
+
+    N-grams are counted within texts first, and each distinct one is hashed once.
+    """
     distinct = texts.select(F.col(text).alias("t")).where("t IS NOT NULL").distinct()
-    return distinct.select(F.md5(F.col("t").cast("binary")).alias("text_md5"), F.explode(hash_terms(F.col("t"), dims, n)).alias("x")).groupBy("text_md5", F.col("x.dim").alias("dim")).agg(F.sum("x.sign").alias("weight")).where("weight <> 0")
+    # the digest before the explosion, or it would be taken again for each n-gram
+    keyed = distinct.select(F.md5(F.col("t").cast("binary")).alias("text_md5"), _grams(F.col("t"), n).alias("grams"))
+    counted = keyed.select("text_md5", F.explode("grams").alias("gram")).groupBy("text_md5", "gram").agg(F.count("*").alias("c"))
+    hashed = counted.select("gram").distinct().withColumn("x", hash_term(F.col("gram"), dims))
+    return counted.join(hashed, "gram").groupBy("text_md5", F.col("x.dim").alias("dim")).agg(F.sum(F.col("c") * F.col("x.sign")).alias("weight")).where("weight <> 0")
 
 
 def hash_vector(text: Column, dims: int = 64, n: int = 3) -> Column:

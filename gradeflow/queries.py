@@ -456,8 +456,10 @@ def c02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "v01_hash_embed",
-    """WITH t AS (SELECT DISTINCT text FROM documents WHERE text <> ''), g AS (SELECT md5(text) AS text_md5, md5(substr(text, i, 3)) AS h FROM t, unnest(range(1, greatest(1, length(text) - 2) + 1)) AS u(i))
-       SELECT text_md5, CAST(('0x' || substr(h, 1, 7))::BIGINT % 64 AS INT) AS dim, sum(CASE WHEN substr(h, 8, 1) < '8' THEN 1 ELSE -1 END)::BIGINT AS weight FROM g GROUP BY ALL HAVING sum(CASE WHEN substr(h, 8, 1) < '8' THEN 1 ELSE -1 END) <> 0""",
+    """WITH t AS (SELECT DISTINCT text FROM documents WHERE text <> ''), l AS (SELECT md5(text) AS text_md5, string_split(text, '') AS c FROM t), g AS (SELECT text_md5, concat(c[i], c[i + 1], c[i + 2]) AS gram, count(*) AS c FROM l, unnest(range(1, greatest(1, len(c) - 2) + 1)) AS u(i) GROUP BY ALL),
+       h AS (SELECT gram, md5(gram) AS h FROM (SELECT DISTINCT gram FROM g)),
+       s AS (SELECT gram, CAST(('0x' || substr(h, 1, 7))::BIGINT % 64 AS INT) AS dim, CASE WHEN substr(h, 8, 1) < '8' THEN 1 ELSE -1 END AS sign FROM h)
+       SELECT text_md5, dim, sum(c * sign)::BIGINT AS weight FROM g JOIN s USING (gram) GROUP BY ALL HAVING sum(c * sign) <> 0""",
 )
 def v01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.hash_embed(table(spark, sf_dir, "documents"))

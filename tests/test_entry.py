@@ -29,7 +29,7 @@ def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries()) and set(QUERIES) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - {"v01_hash_embed"}))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, oracle, name):
     got, want = contract.queries()[name](spark, SF).toPandas(), oracle.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
