@@ -15,7 +15,8 @@ from .common import written
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each vertex links its larger (or, small star, its other) neighbours to the least vertex around it."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("m"))
+    # as a table of its own: Spark splits a hot vertex only in a join whose two sides are both shuffled for it
+    least = written(both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("m")))
     near = both.join(least, both["a"] == least["c"])
     if large:
         out = near.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
