@@ -58,15 +58,12 @@ def remove_annotations(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters and digits with two characters or more, and the bigrams of CJK runs."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(f"({CJK}+|[a-z0-9]+)"), F.lit(1))
-    pieces = F.transform(
-        runs,
-        lambda r: F.when(
-            r.rlike(f"^{CJK}") & (F.length(r) > 2),
-            F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - 1)), lambda i: F.substr(r, i, F.lit(2))),
-        ).otherwise(F.array(r)),
-    )
-    return F.filter(F.flatten(pieces), lambda w: F.length(w) > 1)
+    bigrams = lambda r: F.when(
+        r.rlike(f"^{CJK}") & (F.length(r) > 2), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - 1)), lambda i: F.substr(r, i, F.lit(2)))
+    ).otherwise(F.array(r))
+    mixed = F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"({CJK}{{2,}}|[a-z0-9]{{2,}})"), F.lit(1)), bigrams))
+    # most texts have no CJK run, and their words need no second look
+    return F.when(text.rlike(CJK), mixed).otherwise(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{2,})"), F.lit(1)))
 
 
 def clean_items(items: Column) -> Column:

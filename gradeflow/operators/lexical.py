@@ -23,10 +23,10 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", items:
     return listed.select("doc_id", "dl", F.explode("words").alias("token")).groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
 
 
-def document_lengths(docs: DataFrame, text: str = "text", items: str | None = None) -> DataFrame:
-    """One row (n_docs, avgdl)."""
-    words = F.col(items) if items else tokens(F.col(text))
-    return docs.select(F.size(words).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+def corpus_figures(docs: DataFrame, posted: DataFrame) -> DataFrame:
+    """One row (n_docs, avgdl) of the documents behind postings; those without tokens count as documents of length 0."""
+    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    return docs.agg(F.count("*").alias("n_docs")).crossJoin(total).select("n_docs", F.when(F.col("n_docs") > 0, F.col("total") / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
 
 
 def idf(posted: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -87,7 +87,8 @@ BM25 = f"""
 
 def bm25(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return lexical.bm25_topk(lexical.postings(docs), lexical.document_lengths(docs), items, k, "item_id").withColumnRenamed("query_id", "item_id")
+    posted = lexical.postings(docs)
+    return lexical.bm25_topk(posted, lexical.corpus_figures(docs, posted), items, k, "item_id").withColumnRenamed("query_id", "item_id")
 
 
 @register("r03_bm25_topk", f"WITH {BM25} SELECT item_id, doc_id, score, rk FROM best")

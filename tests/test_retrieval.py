@@ -26,10 +26,11 @@ def test_bm25_against_definition(spark):
         s = sum(idf[w] * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(ws) / avg)) for w in ("alpha", "beta", "beta") if tf[w])
         if s > 0:
             want[i] = round(s, 6)
-    got = lexical.bm25_topk(lexical.postings(docs), lexical.document_lengths(docs), queries, k=5).collect()
+    posted = lexical.postings(docs)
+    got = lexical.bm25_topk(posted, lexical.corpus_figures(docs, posted), queries, k=5).collect()
     top = sorted(want, key=lambda i: (-want[i], i))[:5]
     assert [r.doc_id for r in sorted(got, key=lambda r: r.rk)] == top and all(abs(r.score - want[r.doc_id]) < 2e-6 for r in got)
-    three = {r.doc_id for r in lexical.bm25_topk(lexical.postings(docs), lexical.document_lengths(docs), queries, k=3).collect()}
+    three = {r.doc_id for r in lexical.bm25_topk(posted, lexical.corpus_figures(docs, posted), queries, k=3).collect()}
     assert three <= {r.doc_id for r in got}
 
 
