@@ -1,15 +1,16 @@
 """Language-model scoring by a probabilistic suffix tree over bytes, beside a unigram base score over words.
 
 A document is the byte stream of its lower-cased words joined by spaces, then an end symbol. Spark counts every context of
-up to DEPTH bytes with its next byte over the whole training part. A context stays in the tree if it makes up LEAST_SHARE
-of all positions and its next-byte distribution diverges from that of its suffix: n times the Kullback-Leibler divergence is
-at least d * ln(N) / 2, for n occurrences with d different next bytes among N positions. LEAST_SHARE bounds the tree at any
-corpus size (by DEPTH / LEAST_SHARE contexts; some 20 000 on prose, 12 MB), so it may be broadcast; the counts behind it grow
-with the corpus and stay distributed.
+up to DEPTH bytes with its next byte over the whole training part. A context stays in the tree if it occurs twice or more and
+its next-byte distribution diverges from that of its suffix: n times the Kullback-Leibler divergence is at least
+d * ln(N) / 2, for n occurrences with d different next bytes among N positions. No share of the corpus is asked for, so the
+tree grows with the corpus and stays a Spark table.
 
-A state's distribution is smoothed by its suffix's (Witten-Bell), the root's by adding one. Scoring walks the automaton of
-longest suffix states: a state depends on the last DEPTH bytes alone, so a batch is cut into segments that overlap by
-DEPTH bytes and all segments take their steps together in numpy.
+A state's distribution is smoothed by its suffix's (Witten-Bell), the root's by adding one. The contexts above a count that
+at most HEAD_CONTEXTS contexts reach are broadcast. Scoring walks their automaton of longest suffix states: a state depends
+on the last DEPTH bytes alone, so a batch is cut into segments that overlap by DEPTH bytes and all segments take their steps
+together in numpy. A suffix occurs at least as often as its context, so rarer contexts only refine what the head gives:
+positions where a filter of fixed size says that there may be one are joined by their bytes with the rest of the tree.
 
 Word counts of the base score are grouped by Spark. Words above a count that at most HEAD_WORDS words reach are looked up
 from a broadcast; all others are joined by word.
@@ -25,17 +26,19 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, text_of, written
 
 DEPTH = 6
-LEAST_SHARE = 5e-6
+HEAD_CONTEXTS = 20_000
 HEAD_WORDS = 100_000
+#: The filter of rarer contexts has 2 to this power bits, 8 MB.
+FILTER_BITS = 26
 END = 10
 _END_WORD = b"\n"
-_STREAM = 1 << 22
+_STREAM = 1 << 21
 _SEGMENT = 256
 
 
@@ -52,6 +55,19 @@ def stream_of(docs: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray,
     return np.frombuffer(b"".join(parts), np.uint8), ends - [len(p) for p in parts] + depth, ends
 
 
+def _grams(stream: np.ndarray, begins: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last depth + 1 bytes at each position that is predicted, as a number, and which positions behind the first pad are."""
+    code = np.zeros(len(stream) - depth, np.uint64)
+    for k in range(depth + 1):
+        code <<= np.uint64(8)
+        code |= stream[k : len(stream) - depth + k]
+    edge = np.zeros(len(code) + 1, np.int8)
+    np.add.at(edge, begins - depth, 1)
+    np.add.at(edge, ends - depth, -1)
+    predicted = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    return code[predicted], predicted
+
+
 def _grouped(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[list[bytes]]]]:
     """(first row, word lists) of consecutive rows with about _STREAM bytes."""
     first, size, held = 0, 0, []
@@ -86,17 +102,10 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
         for _, docs in _grouped(batch, 0):
             for d in docs:
                 words.update(d)
-            stream, begins, ends = stream_of(docs, depth)
-            code = np.zeros(len(stream) - depth, np.uint64)
-            for k in range(depth + 1):
-                code = (code << np.uint64(8)) | stream[k : len(stream) - depth + k]
-            edge = np.zeros(len(code) + 1, np.int8)
-            np.add.at(edge, begins - depth, 1)
-            np.add.at(edge, ends - depth, -1)
-            grams.append(np.unique(code[np.cumsum(edge[:-1]) > 0], return_counts=True))
+            grams.append(np.unique(_grams(*stream_of(docs, depth), depth)[0], return_counts=True))
             if len(grams) > 8:
                 grams[:] = [merged()]
-            if len(words) > 500_000 or sum(len(c) for c, _ in grams) > 8_000_000:
+            if len(words) > 500_000 or sum(len(c) for c, _ in grams) > 4_000_000:
                 yield from rows()
                 words.clear()
                 grams.clear()
@@ -110,27 +119,27 @@ class Tree(NamedTuple):
     start: int  # the state before a document
 
 
-def contexts(grams: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(length, context, next, n) of the retained contexts and of the root; grams are (gram, n) of depth + 1 bytes, summed."""
+def contexts(grams: DataFrame, depth: int = DEPTH, least_share: float = 0.0) -> DataFrame:
+    """(length, context, next, n, total) of the retained contexts and of the root; grams are (gram, n) of depth + 1 bytes, summed."""
     total = grams.agg(F.sum("n")).first()[0] or 0
-    level = written(grams.select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("next"), "n"))
+    of_context = Window.partitionBy("context")
+    whole = lambda df: written(df.withColumn("total", F.sum("n").over(of_context)).withColumn("kinds", F.count("*").over(of_context)))
+    level = whole(grams.select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("next"), "n"))
     levels = [level]
     for length in range(depth - 1, -1, -1):
-        level = written(level.groupBy(F.col("context").bitwiseAND((1 << 8 * length) - 1).alias("context"), "next").agg(F.sum("n").alias("n")))
+        level = whole(level.groupBy(F.col("context").bitwiseAND((1 << 8 * length) - 1).alias("context"), "next").agg(F.sum("n").alias("n")))
         levels.append(level)
     levels.reverse()
-    out = levels[0].select(F.lit(0).alias("length"), "context", "next", "n")
+    out = levels[0].select(F.lit(0).alias("length"), "context", "next", "n", "total")
     for length in range(1, depth + 1):
-        sums = lambda df: df.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        own = levels[length]
-        often = sums(own).where(F.col("total") >= max(2, least_share * total))
-        rows = own.join(often, "context").withColumn("parent", F.col("context").bitwiseAND((1 << 8 * (length - 1)) - 1))
-        parents = levels[length - 1].withColumnRenamed("n", "parent_n").withColumnRenamed("context", "parent")
-        both = rows.join(parents, ["parent", "next"]).join(sums(levels[length - 1]).select(F.col("context").alias("parent"), F.col("total").alias("parent_total")), "parent")
+        rows = levels[length].where(F.col("total") >= max(2, least_share * total)).withColumn("parent", F.col("context").bitwiseAND((1 << 8 * (length - 1)) - 1))
+        parents = levels[length - 1].select(F.col("context").alias("parent"), "next", F.col("n").alias("parent_n"), F.col("total").alias("parent_total"))
+        # shuffled at any size: both sides grow with the corpus
+        both = rows.join(parents.hint("merge"), ["parent", "next"])
         gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("parent_n") / F.col("parent_total"))))
-        stay = both.groupBy("context", "total", "kinds").agg(gain.alias("gain")).where(F.col("gain") >= F.col("kinds") * float(np.log(max(2, total)) / 2))
+        stay = both.groupBy("context", "total", "kinds").agg(gain.alias("gain"), F.collect_list(F.struct("next", "n")).alias("following")).where(F.col("gain") >= F.col("kinds") * float(np.log(max(2, total)) / 2))
         # each level is a plan of its own, so the driver never holds one over all of them
-        out = out.union(written(own.join(stay.select("context"), "context", "left_semi").select(F.lit(length).alias("length"), "context", "next", "n")))
+        out = out.union(written(stay.select(F.lit(length).alias("length"), "context", F.inline("following"), "total").select("length", "context", "next", "n", "total")))
     return out
 
 
@@ -207,17 +216,73 @@ def document_scores(tree: Tree, docs: list[list[bytes]], depth: int = DEPTH) ->
     return np.add.reduceat(each, np.stack([begins, ends], 1).ravel())[::2]
 
 
-def _head(counts: DataFrame, most: int) -> DataFrame:
-    """The words above the least count that at most ``most`` words reach."""
+def _slots(length: np.ndarray | int, context: np.ndarray) -> np.ndarray:
+    """The bit of the filter that stands for a context."""
+    with np.errstate(over="ignore"):
+        key = (context.astype(np.uint64) | (np.asarray(length).astype(np.uint64) << np.uint64(56))) * np.uint64(0x9E3779B97F4A7C15)
+    return (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(rare: DataFrame) -> np.ndarray:
+    """A bit for each slot that a context of ``rare`` has; empty if there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = _slots(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(slots >> 6), pa.array(np.int64(1) << (slots & 63))], names=["word", "bits"])
+
+    words = rare.select("length", "context").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    if not words.num_rows:
+        return np.zeros(0, np.uint8)
+    out = np.zeros(1 << FILTER_BITS - 6, "<i8")
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _may_be(bits: np.ndarray, length: int, grams: np.ndarray) -> np.ndarray:
+    """Whether the last ``length`` bytes before the end of each gram may be a rarer context."""
+    slots = _slots(length, (grams >> np.uint64(8)) & np.uint64((1 << 8 * length) - 1))
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
+
+
+def rarer_grams(bits: np.ndarray, docs: list[list[bytes]], depth: int = DEPTH) -> pa.Array:
+    """For each document the grams of its positions that may have a rarer context."""
+    if not len(bits):
+        return pa.array([[]] * len(docs), pa.list_(pa.int64()))
+    stream, begins, ends = stream_of(docs, depth)
+    grams, predicted = _grams(stream, begins, ends, depth)
+    hit = np.zeros(len(grams), bool)
+    for length in range(1, depth + 1):
+        hit |= _may_be(bits, length, grams)
+    at = np.flatnonzero(predicted)[hit] + depth
+    offsets = np.concatenate([[0], np.searchsorted(at, ends)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams[hit].astype(np.int64)))
+
+
+def gram_scores(tree: Tree, grams: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """log10 of the probability that the tree gives the last byte of each gram after the bytes before it."""
+    symbol = lambda k: tree.symbols[((grams >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)]
+    state = np.zeros(len(grams), np.int64)
+    for k in range(depth, 0, -1):
+        state = tree.following[state, symbol(k)]
+    return tree.log10[state, symbol(0)].astype(np.float64)
+
+
+def _least(counts: DataFrame, most: int) -> int | None:
+    """The least n that at most ``most`` rows reach, by bins; None if there is none."""
     # counts are binned by powers of 2^(1/8): at most 504 bins reach the driver
-    bins = counts.groupBy(F.floor(8 * F.log2("n")).alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("bin")).collect()
+    bins = counts.groupBy(F.floor(8 * F.log2("n")).alias("bin")).agg(F.count("*").alias("rows"), F.min("n").alias("n")).orderBy(F.desc("bin")).collect()
     least, held = None, 0
     for b in bins:
-        held += b["words"]
+        held += b["rows"]
         if held > most:
             break
         least = b["n"]
-    return counts.where(F.lit(False) if least is None else F.col("n") >= least)
+    return least
+
+
+def _reach(column: str, least: int | None) -> Column:
+    return F.lit(False) if least is None else F.col(column) >= least
 
 
 _models: dict[str, tuple[Tree, dict[bytes, float]]] = {}
@@ -233,7 +298,7 @@ def _model(key: str, tables: tuple[pa.Table, pa.Table], depth: int) -> tuple[Tre
     return _models[key]
 
 
-def score_documents(docs: DataFrame, is_training: Column | None = None, depth: int = DEPTH, least_share: float = LEAST_SHARE, head_words: int = HEAD_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score_documents(docs: DataFrame, is_training: Column | None = None, depth: int = DEPTH, head_contexts: int = HEAD_CONTEXTS, head_words: int = HEAD_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     The model learns from the rows where ``is_training`` (an expression over doc_id; by default all rows with an id). A
@@ -247,8 +312,12 @@ def score_documents(docs: DataFrame, is_training: Column | None = None, depth: i
     counts = written(parts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
     grams = written(parts.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # two bounded tables go through the driver as they are; workers build the model from them
-    shared = spark.sparkContext.broadcast((contexts(grams, depth, least_share).toArrow(), _head(counts, head_words).toArrow()))
+    kept = contexts(grams, depth)
+    often = (F.col("length") == 0) | _reach("total", _least(kept.groupBy("length", "context").agg(F.max("total").alias("n")), head_contexts))
+    rarer = written(kept.where(~often).groupBy("length", "context").agg(F.max("total").alias("total"), F.count("*").alias("kinds"), F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("following")))
+    # bounded tables go through the driver as they are; workers build the model from them
+    head = kept.where(often).select("length", "context", "next", "n").toArrow(), counts.where(_reach("n", _least(counts, head_words))).toArrow()
+    shared, bits = spark.sparkContext.broadcast(head), spark.sparkContext.broadcast(_filter(rarer))
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,19 +340,37 @@ def score_documents(docs: DataFrame, is_training: Column | None = None, depth: i
                         pa.array(gain, pa.float64()),
                         pa.array(document_scores(tree, group, depth)),
                         pa.array(rare, pa.list_(pa.binary())),
+                        rarer_grams(bits.value, group, depth),
                     ],
-                    names=["row", "doc_id", "n_tokens", "known", "gain", "score", "rare"],
+                    names=["row", "doc_id", "n_tokens", "known", "gain", "score", "rare", "grams"],
                 )
                 row += len(group)
 
-    scored = written(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, gain double, score double, rare array<binary>"))
+    def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, _ = _model(key, shared.value, depth)
+        for batch in batches:
+            grams = batch.column(0).to_numpy().astype(np.uint64)
+            scores = gram_scores(tree, grams, depth)
+            for length in range(1, depth + 1):
+                hit = _may_be(bits.value, length, grams)
+                own = (grams[hit] >> np.uint64(8)) & np.uint64((1 << 8 * length) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[hit].astype(np.int64)), pa.array(scores[hit]), pa.array(np.full(len(own), length, np.int32)), pa.array(own.astype(np.int64))], names=["gram", "head", "length", "context"])
+
+    scored = written(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, gain double, score double, rare array<binary>, grams array<long>"))
+    places = scored.select("row", F.explode("grams").alias("gram"))
+    met = places.select("gram").distinct().mapInArrow(by_length, "gram long, head double, length int, context long").join(rarer.hint("merge"), ["length", "context"])
+    step = F.struct("length", F.coalesce(F.try_element_at("following", F.col("gram").bitwiseAND(255).cast("int")), F.lit(0)).alias("n"), "total", "kinds")
+    chance = F.aggregate("steps", F.pow(F.lit(10.0), "head"), lambda p, s: (s["n"] + s["kinds"] * p) / (s["total"] + s["kinds"]))
+    gains = written(met.groupBy("gram").agg(F.first("head").alias("head"), F.array_sort(F.collect_list(step)).alias("steps")).select("gram", (F.log10(chance) - F.col("head")).alias("more")))
     shared.destroy()
+    bits.destroy()
+    deep = places.join(gains.hint("merge"), "gram").groupBy("row").agg(F.sum("more").alias("more"))
     rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + 1)).alias("rare_gain"))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    return scored.drop("rare", "grams").join(rare, "row", "left").join(deep, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("gain") + F.coalesce("rare_gain", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(tokens + kinds + 1))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )

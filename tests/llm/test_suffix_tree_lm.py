@@ -103,3 +103,27 @@ def test_empty(docs_of):
     (r,) = score_documents(docs_of([(None, "ab")])).collect()
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and abs(r.score + 3 * math.log10(256)) < 1e-4
     assert stream_of([words_of(b"a")])[0].tobytes() == b"\n\n\n\n\n\na\n"
+
+
+def test_rare_contexts_stay_in_a_large_corpus(spark):
+    # "qu" comes 30 times among ten million positions and is always before "x", which is rare elsewhere
+    def gram(text):
+        return int.from_bytes(text, "big")
+
+    rows = [(gram(b"aaaa"), 5_000_000), (gram(b"aaab"), 4_999_000), (gram(b"aaax"), 900), (gram(b"zqux"), 30)]
+    kept = {(r.length, r.context) for r in contexts(spark.createDataFrame(rows, "gram long, n long"), 3).collect()}
+    assert (1, ord("u")) in kept
+
+
+@pytest.mark.parametrize("head", [0, 4, 10**6])
+def test_scores_do_not_depend_on_the_head(docs_of, head):
+    rng = random.Random(3)
+    vocabulary = ["the", "then", "other", "quiz", "queue", "zebra", "été"]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 50)))) for i in range(80)] + [(90, "quite unseen wörds then"), (91, None)]
+    learned = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    docs = {i: words_of((t or "").encode()) for i, t in rows}
+    kept = brute_model([d for i, d in docs.items() if learned(i)], 6, 0)
+    assert len(kept) > 30
+    got = {r.doc_id: r.score for r in score_documents(docs_of(rows), fold(F.col("doc_id"), 7) != 2, head_contexts=head).collect()}
+    want = {i: brute_score(kept, d, 6) for i, d in docs.items()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-2 for i in want)
