@@ -2,7 +2,8 @@
 
 The lexer reads ``name = value``, ``name: value`` and ``name => value`` with quoted, bare and concatenated values, keeps the
 constants it has seen, resolves names and ``${name}`` in later values, and scores each resulting literal by the target's name
-and by how much the literal looks like a credential. Literals that score 0.5 or more and that no base span touches are added.
+and by how much the literal looks like a credential. Literals that score 0.5 or more are added, but for those wholly inside a base
+value; one that a base value covers in part is kept beside it.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 characters
 
-_TARGET = re.compile(r"""(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_.\-]{0,127})["'\]]?[ \t]*(?:=>|:=|(?<![=!<>])=(?!=)|:(?![/:]))[ \t]*""")
-_TERM = re.compile(r""""((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`\n]{0,4096})`|([^\s,;"'`|&<>(){}\[\]]{1,4096})""")
+_TARGET = re.compile(r"""(?<![A-Za-z0-9_.\-])(?:[0-9][A-Za-z0-9_]*+|[.\-])*+([A-Za-z_][A-Za-z0-9_.\-]*+)["'\]]?[ \t]*(?:=>|:=|(?<![=!<>])=(?!=)|:(?![/:]))[ \t]*""")
+_TERM = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([^\s,;"'`|&<>(){}\[\]]++)""")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*(?=[\"'`A-Za-z_$])")
 _INSERT = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_.]*)\}|%\(([A-Za-z_][A-Za-z0-9_.]*)\)s")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|todo|changeme|change_me|example.*|sample.*|dummy.*|your.*|my.*|test|<.*|insert.*|redacted|\[secret\])$")
+_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|todo|changeme|change_me|(?:example|sample|dummy|your|my|insert)(?:[-_ ]?(?:your|my|the|a|here|api|access|secret|private|auth|key|token|pass|password|passwd|credentials?|value|string))*|test|<[^<>]*>|redacted|\[secret\])$")
 
 #: What a part of a name says about its literal.
 NAME_WEIGHTS = {
@@ -92,12 +93,13 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
                 part, where = known[term[4].lstrip("$")]
             else:
                 part, where = term[4], [term.span(4)]
-            for x in _INSERT.finditer(part):
+            # bare terms hold no braces, so nothing is put into them
+            for x in _INSERT.finditer(part) if quoted else ():
                 if (name := x[1] or x[2]) in known:
                     where = [*where, *known[name][1]]
                 else:
                     whole = False
-            value += _INSERT.sub(lambda x: known.get(x[1] or x[2], ("",))[0], part)
+            value += _INSERT.sub(lambda x: known.get(x[1] or x[2], ("",))[0], part) if quoted else part
             spans += where
             at = term.end()
             if not (more := _JOIN.match(text, at)):
@@ -109,20 +111,25 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
 
 
 def lexed_spans(text: str, base: list[Span]) -> list[Span]:
-    """Literals of secret-sounding names that no base span touches."""
+    """Literals of secret-sounding names, but for those inside a base value."""
     if "=" not in text and ":" not in text:
         return []
     best: dict[tuple[int, int], Span] = {}
+    last = (0, 0)
     for name, value, spans in pairs(text):
-        if (by_name := name_score(name)) and (score := by_name * literal_score(value)) >= LEAST_SCORE:
+        # the rest of a run that is a finding already, as in token=token=..., adds nothing
+        if len(spans) == 1 and last[0] < spans[0][0] and spans[0][1] == last[1]:
+            continue
+        if (by_name := name_score(name)) >= LEAST_SCORE and (score := by_name * literal_score(value)) >= LEAST_SCORE:
+            last = spans[-1] if len(spans) == 1 else last
             for a, b in spans:
                 if a < b and ((a, b) not in best or best[a, b].score < score):
                     best[a, b] = Span("lexed", a, b, a, b, name, score)
     out: list[Span] = []
-    starts = sorted([(s.start, s.end) for s in base])
+    values = [(s.value_start, s.value_end) for s in base]
     for span in sorted(best.values(), key=lambda s: (s.start, -s.end)):
         clear = not out or span.start >= out[-1].end
-        if clear and not any(a < span.end and span.start < b for a, b in starts):
+        if clear and not any(a <= span.start and span.end <= b for a, b in values):
             out.append(span)
     return out
 

@@ -64,3 +64,22 @@ def test_scan_and_redact(docs_of):
     assert rows[0].text is None and rows[0].n_chars is None and rows[1].text == ""
     assert all(not spans_of(r.text or "") and r.n_chars == (None if r.text is None else len(r.text)) for r in rows.values())
     assert scan(docs_of([])).collect() == [] and redact(docs_of([])).collect() == []
+
+
+def test_literals_that_base_has_in_part():
+    text = 'password = "hunter2!Super$ecret99"'
+    assert [(s.kind, text[s.value_start : s.value_end]) for s in spans_of(text)] == [("assign", "hunter2"), ("lexed", "hunter2!Super$ecret99")]
+    assert masked(text) == 'password = "[SECRET]"'
+    assert masked("signing_key = 'Zq!0123456789abcdef01234567!w9'") == "signing_key = '[SECRET]'"
+    assert added('token = "abcdef123456"') == []
+
+
+def test_long_literals_and_names_and_real_values():
+    long = "Zq81!mVx" * 1000
+    assert added(f'signing_secret_key = "{long}"') == [long] and added(f"export DB_PWD={long} x") == [long]
+    assert added(f"{'a_' * 100}passphrase = 'Xk29-fj3!kd93Lq'") == ["Xk29-fj3!kd93Lq"]
+    assert added("--db-passphrase=Xk29!fj3kd93Lq") == ["Xk29!fj3kd93Lq"]
+    for real in ("myZ81!mVx0Lw", "yourX9!kd93Lq", "sample!93kLq0vTy", "insert8!Kq2vv91x"):
+        assert added(f"db_pwd = '{real}'") == [real]
+    for placeholder in ("your_password_here", "my-secret-token", "insert_api_key_here", "example", "<the password>"):
+        assert added(f"db_pwd = '{placeholder}'") == [], placeholder
