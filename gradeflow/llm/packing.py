@@ -33,7 +33,7 @@ END = 1
 SENTENCE_PENALTY, INNER_PENALTY, WINDOW_PRICE, INNER_EVERY = 2, 8, 16, 16
 BLOCK_TOKENS = 1 << 18
 _SPACES = re.compile(r"\s\s")
-_encoders: dict[str, tuple[Callable[[str], list[int]], np.ndarray]] = {}
+_encoders: dict[tuple[str, bool], tuple[Callable[[str], list[int]], np.ndarray]] = {}
 
 
 def _path(vocabulary: str) -> str:
@@ -44,15 +44,18 @@ def _path(vocabulary: str) -> str:
     return public_tokenizers.path(vocabulary)
 
 
-def encoder(vocabulary: str = "byte_bpe_50k") -> tuple[Callable[[str], list[int]], np.ndarray]:
+def encoder(vocabulary: str = "byte_bpe_50k", added_tokens: bool = False) -> tuple[Callable[[str], list[int]], np.ndarray]:
     """A function from text to ids, and for each id whether it ends a sentence.
 
     vocabulary: the path, or the name in public_tokenizers, of a byte-level BPE without its ending; both its .tiktoken and
     its .json file are read. The rank form of the vocabulary gives the same ids as the json form and is several times
     faster; where two white-space characters never meet, its pattern needs no look-ahead, which is faster still. The json form
-    takes over for texts that the rank form refuses.
+    takes over for texts that the rank form refuses. added_tokens: strings of the json file's added tokens get their own ids,
+    as by its default setting; such texts are read by the json form. Without it they are ordinary text.
     """
-    if vocabulary not in _encoders:
+    if (vocabulary, added_tokens) not in _encoders:
+        import json
+
         import public_tokenizers
         import tiktoken
 
@@ -61,22 +64,32 @@ def encoder(vocabulary: str = "byte_bpe_50k") -> tuple[Callable[[str], list[int]
         full = tiktoken.Encoding("full", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", ""), mergeable_ranks=ranks, special_tokens={})
 
+        with open(_path(f"{vocabulary}.json"), encoding="utf-8") as file:
+            added = [t["content"] for t in json.load(file).get("added_tokens", [])] if added_tokens else []
+        slow: list = []
+
+        def by_json(text: str) -> list[int]:
+            from tokenizers import Tokenizer
+
+            if not slow:
+                slow.append(Tokenizer.from_file(_path(f"{vocabulary}.json")))
+                slow[0].encode_special_tokens = not added_tokens
+            return slow[0].encode(text, add_special_tokens=False).ids
+
         def encode(text: str) -> list[int]:
+            if any(t in text for t in added):
+                return by_json(text)
             try:
                 return (full if _SPACES.search(text) else plain).encode_ordinary(text)
             except BaseException as e:  # the library's panics are no Exception
                 if isinstance(e, KeyboardInterrupt | SystemExit):
                     raise
-                from tokenizers import Tokenizer
-
-                slow = Tokenizer.from_file(_path(f"{vocabulary}.json"))
-                slow.encode_special_tokens = True
-                return slow.encode(text, add_special_tokens=False).ids
+                return by_json(text)
 
         ends = np.zeros(max(ranks.values()) + 1, bool)
         ends[[i for b, i in ranks.items() if b.endswith((b".", b"!", b"?", b"\n"))]] = True
-        _encoders[vocabulary] = encode, ends
-    return _encoders[vocabulary]
+        _encoders[vocabulary, added_tokens] = encode, ends
+    return _encoders[vocabulary, added_tokens]
 
 
 def padding(lengths: np.ndarray, size: int) -> np.ndarray:
@@ -203,14 +216,14 @@ def pack(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe_50k", te
 
     doc_id; start, length: the piece within the document's ids, which end with id 1; ids_crc32 of the piece's ids as
     little-endian 32-bit integers; doc_tokens; sequence_id, offset: its place; padding: what its sequence needs to reach
-    ``size``, 0 at a power of two; ids, if asked for. A null or empty text is one piece holding the id 1. Documents with equal
+    ``size``, 0 at a power of two; ids, if asked for. Ids are those of the json form, its added tokens included. A null or empty text is one piece holding the id 1. Documents with equal
     or null ids are packed each for itself. Sequences never span Spark partitions. An empty table gives no rows. Other
     columns are ignored.
     """
     schema = _PIECE + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, ends = encoder(vocabulary)
+        encode, ends = encoder(vocabulary, added_tokens=True)
         packer = Packer(size, ends, TaskContext.get().partitionId() << 36)
         held: list[tuple] = []
 

@@ -110,3 +110,14 @@ def test_table(spark, reference):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert check(pack(docs).collect(), texts, reference) < 0.01
+
+
+def test_added_tokens_as_the_json_tokenizer_has_them(docs_of):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda x: default.encode(x, add_special_tokens=False).ids
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "One.  <|endoftext|> <|endoftext|>\n\nTwo", "plain  text."]
+    assert 50256 in ids(texts[0])
+    check(pack(docs_of(texts)).collect(), dict(enumerate(texts)), ids)
