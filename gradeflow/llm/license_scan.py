@@ -2,7 +2,9 @@
 
 Blocks of a text that mention licensing are compressed alone and with each licence template as a raw zstandard dictionary.
 The template that saves most describes the block best; the leaders are then confirmed by aligning words: a template wins if
-all its telling words (names and numbers) are in the block and few words differ. The differences are reported.
+all its telling words (names and numbers) are in the block and few words differ. The differences are reported. What is left
+before and behind a winner is read again, so a block may hold several. Where a line alone says nothing, runs of adjacent lines
+(or sentences of long lines) around it are blocks, as notices are wrapped.
 """
 
 from __future__ import annotations
@@ -43,7 +45,6 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
 )
-LEADERS = 4
 LEAST_SAVING = 0.2
 LEAST_AGREEMENT = 0.8
 #: Longest piece of a line that is one block; longer lines are read by sentences.
@@ -53,7 +54,11 @@ _HINT = re.compile(r"licen[sc]|spdx|copyright|all rights reserved|hereby granted
 _HINT_WORDS = ("licen", "spdx", "copyright", "rights reserved", "hereby granted", "public domain", "cc by", "cc-by", "cc0", "cc 0")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z(])")
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
-_SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+\-]+)")
+_ID = r"\(*[ \t]*[A-Za-z0-9.+\-]+(?:[ \t]*\))*"
+_SPDX = re.compile(rf"SPDX-License-Identifier:\s*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)")
+_SPDX_PART = re.compile(r"(WITH[ \t]+)?([A-Za-z0-9.+\-]+)")
+_CLOSING = re.compile(r"[.,;:!?)\"']*")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _COMMON = frozenset("a all and any are be by except for form free in is it license licensed no not of or part released software source subject terms that the this to under use version with work you".split())
 
 
@@ -81,56 +86,122 @@ class _Template:
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         self.templates = [_Template(*t) for t in templates]
+        self.most = max((len(t.words) for t in self.templates), default=0)
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-        self.known: dict[str, Found | None] = {}
+        self.known: dict[str, list[Found]] = {}
 
-    def block(self, text: str) -> Found | None:
-        """The licence of a block, offsets 0 and its length, or None."""
+    def block(self, text: str) -> list[Found]:
+        """The licences of a block by place. A single one has offsets 0 and the block's length, others those of their words."""
         if text not in self.known:
             if len(self.known) >= 10_000:
                 self.known.clear()
-            self.known[text] = self._block(text)
+            tags = [f for m in _SPDX.finditer(text) for f in self._tag(m)]
+            found = tags or self._notices(text)
+            self.known[text] = [found[0]._replace(start=0, end=len(text))] if len(found) == 1 and not tags else found
         return self.known[text]
 
-    def _block(self, text: str) -> Found | None:
-        if tag := _SPDX.search(text):
-            return Found(tag[1], tag.start(), tag.end(), 1.0, 1.0, "", "")
+    def _tag(self, tag: re.Match[str]) -> list[Found]:
+        """A licence for each identifier of the tag's expression; the first one's span begins with the tag."""
+        ids = [m for m in _SPDX_PART.finditer(tag[1]) if not m[1] and m[2] not in ("AND", "OR", "WITH")]
+        at = tag.start(1)
+        return [Found(m[2], at + m.start(2) if k else tag.start(), at + m.end(2), 1.0, 1.0, "", "") for k, m in enumerate(ids)]
+
+    def _notices(self, text: str) -> list[Found]:
+        """Confirmed templates in a text, and in what is before and behind them; offsets are those of the words."""
+        if not (best := self._best(text)):
+            return []
+        left, right = text[: best.start], text[best.end :]
+        before = self._notices(left) if _HINT.search(left) else []
+        behind = self._notices(right) if _HINT.search(right) else []
+        return [*before, best, *(f._replace(start=f.start + best.end, end=f.end + best.end) for f in behind)]
+
+    def _best(self, text: str) -> Found | None:
+        low = text.lower()
+        if len(low) != len(text):
+            low = text.translate(_LOWER)
+        at = [m.span() for m in _WORD.finditer(low)]
+        own, best = [low[a:b] for a, b in at], None
+        met = set(own)
+        fitting = [t for t in self.templates if t.telling <= met]
+        if not fitting:
+            return None
         raw = text.lower().encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
-        ranked = sorted(((alone - len(t.coder.compress(raw))) / alone, -k) for k, t in enumerate(self.templates))[::-1]
-        own, best = words(text), None
-        for saving, k in ranked[:LEADERS]:
-            t = self.templates[-k]
-            if saving < LEAST_SAVING or not t.telling <= set(own):
-                continue
-            match = difflib.SequenceMatcher(None, t.words, own, autojunk=False)
+        ranked = sorted(((alone - len(t.coder.compress(raw))) / alone, -k) for k, t in enumerate(fitting))[::-1]
+        for saving, k in ranked:
+            t = fitting[-k]
+            # the words around the longest agreement, so that stray words of other text do not count as part of the notice
+            core = difflib.SequenceMatcher(None, t.words, own, autojunk=False).find_longest_match()
+            low_end, high_end = core.b - core.a * 5 // 4 - 2, core.b + core.size + (len(t.words) - core.a - core.size) * 5 // 4 + 2
+            shift = max(0, low_end)
+            near = own[shift:high_end]
+            match = difflib.SequenceMatcher(None, t.words, near, autojunk=False)
             blocks = [b for b in match.get_matching_blocks() if b.size]
             same = sum(b.size for b in blocks)
             first, last = blocks[0].b, blocks[-1].b + blocks[-1].size
             agreement = 2 * same / (len(t.words) + last - first)
             missing = [w for op, a, b, _, _ in match.get_opcodes() if op in ("delete", "replace") for w in t.words[a:b]]
-            added = [w for op, _, _, a, b in match.get_opcodes() if op in ("insert", "replace") for w in own[max(a, first) : min(b, last)]]
+            added = [w for op, _, _, a, b in match.get_opcodes() if op in ("insert", "replace") for w in near[max(a, first) : min(b, last)]]
+            first, last = first + shift, last + shift
+            # the saving is that of the words themselves where other text stands beside them
+            if saving < LEAST_SAVING:
+                part = text[at[first][0] : at[last - 1][1]].lower().encode("utf-8", "surrogatepass")
+                size = len(self.plain.compress(part))
+                saving = (size - len(t.coder.compress(part))) / size
             # a wording that only this licence's neighbour has, such as another version, is no confirmation
-            if agreement >= LEAST_AGREEMENT and not any(w[0].isdigit() for w in added) and (best is None or (agreement, saving) > (best.agreement, best.saving)):
-                best = Found(t.name, 0, len(text), saving, agreement, " ".join(missing), " ".join(added))
-        return best
+            if saving >= LEAST_SAVING and agreement >= LEAST_AGREEMENT and t.telling <= set(own[first:last]) and not any(w[0].isdigit() for w in added) and (best is None or (agreement, saving) > (best.agreement, best.saving)):
+                best = Found(t.name, at[first][0], at[last - 1][1], saving, agreement, " ".join(missing), " ".join(added))
+        return best and best._replace(end=best.end + len(_CLOSING.match(text, best.end)[0]))
+
+    def _wrapped(self, text: str, run: list[tuple[int, int]]) -> list[Found]:
+        """Licences that only several adjacent pieces give together, as (start, end) of the text."""
+        out: list[Found] = []
+        counts = [len(words(text[a:b])) for a, b in run]
+        done = 0
+        for i, (a, b) in enumerate(run):
+            if a < done or not _HINT.search(text, a, b):
+                continue
+            # enough pieces on both sides for the longest template, with words that differ
+            first, last, more = i, i, int(self.most * 1.5)
+            while first and run[first - 1][0] >= done and sum(counts[first:i]) < more:
+                first -= 1
+            while last + 1 < len(run) and sum(counts[i + 1 : last + 1]) < more:
+                last += 1
+            if last > first:
+                begin, end = run[first][0], run[last][1]
+                for f in self._notices(text[begin:end]):
+                    out.append(f._replace(start=f.start + begin, end=f.end + begin))
+                    done = max(done, f.end + begin)
+        return out
 
     def scan(self, text: str) -> list[Found]:
-        """Licences by place; start and end are code points of the block, or of the SPDX tag."""
+        """Licences by place; start and end are code points of the block, of the words, or of the SPDX tag."""
         low = text.lower()
         if not any(h in low for h in _HINT_WORDS):
             return []
         out, at = [], 0
+        run: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(run) > 1:
+                out.extend(self._wrapped(text, run))
+            run.clear()
+
         for line in text.split("\n"):
-            if _HINT.search(line):
-                begin = 0
-                for piece in _SENTENCE.split(line) if len(line) > LINE else [line]:
-                    begin = line.index(piece, begin)
-                    if _HINT.search(piece) and (found := self.block(piece)):
-                        out.append(found._replace(start=at + begin + found.start, end=at + begin + found.end))
-                    begin += len(piece)
+            begin = 0
+            for piece in _SENTENCE.split(line) if len(line) > LINE else [line]:
+                begin = line.index(piece, begin)
+                found = self.block(piece) if _HINT.search(piece) else []
+                out += [f._replace(start=at + begin + f.start, end=at + begin + f.end) for f in found]
+                # a notice never reaches over a blank line or over a piece that is found by itself
+                if found or not _WORD.search(piece.lower()):
+                    close()
+                if not found and _WORD.search(piece.lower()):
+                    run.append((at + begin, at + begin + len(piece)))
+                begin += len(piece)
             at += len(line) + 1
-        return out
+        close()
+        return sorted(out, key=lambda f: f.start)
 
 
 _FOUND = pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("saving", pa.float64()), ("agreement", pa.float64()), ("missing", pa.string()), ("added", pa.string())])
@@ -139,7 +210,7 @@ _FOUND = pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, found) of every row: structs of license, start, end, saving, agreement, missing and added words.
 
-    The whole text is read, line by line. A null or empty text, and one without a licence, has an empty list. Each row is
+    The whole text is read, by lines and by runs of adjacent lines. A null or empty text, and one without a licence, has an empty list. Each row is
     handled for itself. Other columns are ignored.
     """
 

@@ -44,3 +44,19 @@ def test_table_against_brute_force(spark):
     want = {r.doc_id: sorted(notices[x] for x in r.text.split("\n") if x in notices) for r in docs.collect()}
     assert sum(map(len, want.values())) > 10
     assert {r.doc_id: sorted(f.license for f in r.found) for r in scan(docs).collect()} == want
+
+
+def test_wrapped_notices(scanner):
+    mit = "/* Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction. */"
+    text = f"Some prose.\n\n{mit}\n\nint main;"
+    (f,) = scanner.scan(text)
+    assert f.license == "MIT" and text[f.start : f.end].startswith("Permission is") and text[f.start : f.end].endswith("without restriction.")
+    mpl = "prose of one line\n# This Source Code Form is subject to the terms of the Mozilla\n# Public License, version 2.0.\nprose of another"
+    assert [f.license for f in scanner.scan(mpl)] == ["MPL-2.0"]
+
+
+def test_several_in_a_line(scanner):
+    text = "Released under the MIT License. Licensed under CC BY 4.0."
+    assert [(f.license, text[f.start : f.end]) for f in scanner.scan(text)] == [("MIT", "Released under the MIT License."), ("CC-BY-4.0", "Licensed under CC BY 4.0.")]
+    assert [f.license for f in scanner.scan("// SPDX-License-Identifier: MIT OR Apache-2.0")] == ["MIT", "Apache-2.0"]
+    assert [f.license for f in scanner.scan("SPDX-License-Identifier: (GPL-2.0 WITH Classpath-exception-2.0) AND ISC SPDX-License-Identifier: MIT")] == ["GPL-2.0", "ISC", "MIT"]
