@@ -1,16 +1,17 @@
 """Language-model scoring by a probabilistic suffix tree over bytes, beside a unigram base score over words.
 
 A document is the byte stream of its lower-cased words joined by spaces, then an end symbol. Spark counts every context of
-up to DEPTH bytes with its next byte over the whole training part. A context stays in the tree if it occurs twice or more and
-its next-byte distribution diverges from that of its suffix: n times the Kullback-Leibler divergence is at least
-d * ln(N) / 2, for n occurrences with d different next bytes among N positions. No share of the corpus is asked for, so the
-tree grows with the corpus and stays a Spark table.
+up to DEPTH bytes with its next byte over the whole training part; tasks combine equal n-grams before they are shuffled. A
+context stays in the tree if it occurs twice or more and its next-byte distribution diverges from that of its suffix: n times
+the Kullback-Leibler divergence is at least d * ln(N) / 2, for n occurrences with d different next bytes among N positions. No
+share of the corpus is asked for, so the tree grows with the corpus and stays a Spark table.
 
 A state's distribution is smoothed by its suffix's (Witten-Bell), the root's by adding one. The contexts above a count that
-at most HEAD_CONTEXTS contexts reach are broadcast. Scoring walks their automaton of longest suffix states: a state depends
-on the last DEPTH bytes alone, so a batch is cut into segments that overlap by DEPTH bytes and all segments take their steps
-together in numpy. A suffix occurs at least as often as its context, so rarer contexts only refine what the head gives:
-positions where a filter of fixed size says that there may be one are joined by their bytes with the rest of the tree.
+at most HEAD_CONTEXTS contexts reach are broadcast. Scoring walks their automaton: its states are the beginnings of
+contexts, each knows the longest context that ends there. A state depends on the last DEPTH bytes alone, so a batch is cut
+into segments that overlap by DEPTH bytes and all segments take their steps together in numpy. A suffix occurs at least as
+often as its context, so rarer contexts only refine what the head gives: positions where a filter of fixed size says that
+there may be one are joined by their bytes with the rest of the tree.
 
 Word counts of the base score are grouped by Spark. Words above a count that at most HEAD_WORDS words reach are looked up
 from a broadcast; all others are joined by word.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import fold, text_of, written
 
 DEPTH = 6
-HEAD_CONTEXTS = 20_000
+HEAD_CONTEXTS = 100_000
 HEAD_WORDS = 100_000
 #: The filter of rarer contexts has 2 to this power bits, 8 MB.
 FILTER_BITS = 26
@@ -40,6 +41,8 @@ END = 10
 _END_WORD = b"\n"
 _STREAM = 1 << 21
 _SEGMENT = 256
+#: What a counting task holds before it emits: different n-grams, different words; and the rows of a batch that it emits.
+HELD_GRAMS, HELD_WORDS, _ROWS = 2_000_000, 200_000, 32_768
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -82,44 +85,63 @@ def _grouped(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[lis
         yield first, held
 
 
-def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    words: Counter[bytes] = Counter()
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, with the sums of their counts."""
+    order = np.argsort(codes)
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(n, first)
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        codes, inverse = np.unique(np.concatenate([c for c, _ in grams]), return_inverse=True)
-        return codes, np.bincount(inverse, weights=np.concatenate([n for _, n in grams])).astype(np.int64)
 
-    def rows() -> Iterator[pa.RecordBatch]:
-        names = ["word", "gram", "n"]
-        if words:
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=names)
-        if grams:
-            codes, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(codes.astype(np.int64)), pa.array(n)], names=names)
+def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """(word, null, n) and (null, gram, n): counts that a task combines as far as its memory is bounded."""
+    words: Counter[bytes] = Counter()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    names = ["word", "gram", "n"]
+
+    def word_rows() -> Iterator[pa.RecordBatch]:
+        keys, n = pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())
+        words.clear()
+        for at in range(0, len(keys), _ROWS):
+            part = keys.slice(at, _ROWS)
+            yield pa.RecordBatch.from_arrays([part, pa.nulls(len(part), pa.int64()), n.slice(at, _ROWS)], names=names)
+
+    def gram_rows() -> Iterator[pa.RecordBatch]:
+        codes, n = held.pop()
+        for at in range(0, len(codes), _ROWS):
+            part = codes[at : at + _ROWS].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(n[at : at + _ROWS])], names=names)
+
+    def merge() -> None:
+        if held:
+            held[:] = [_summed(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held]))]
 
     for batch in batches:
         for _, docs in _grouped(batch, 0):
             for d in docs:
                 words.update(d)
-            grams.append(np.unique(_grams(*stream_of(docs, depth), depth)[0], return_counts=True))
-            if len(grams) > 8:
-                grams[:] = [merged()]
-            if len(words) > 500_000 or sum(len(c) for c, _ in grams) > 4_000_000:
-                yield from rows()
-                words.clear()
-                grams.clear()
-    yield from rows()
+            codes, n = np.unique(_grams(*stream_of(docs, depth), depth)[0], return_counts=True)
+            held.append((codes, n.astype(np.int64)))
+            if sum(len(c) for c, _ in held[1:]) > HELD_GRAMS // 2:
+                merge()
+                if len(held[0][0]) > HELD_GRAMS:
+                    yield from gram_rows()
+            if len(words) > HELD_WORDS:
+                yield from word_rows()
+    merge()
+    if held:
+        yield from gram_rows()
+    yield from word_rows()
 
 
 class Tree(NamedTuple):
     symbols: np.ndarray  # 256: the class of each byte, the last class for bytes that training never met
     following: np.ndarray  # states x classes: the state after a symbol
-    log10: np.ndarray  # states x classes
-    start: int  # the state before a document
+    longest: np.ndarray  # states: the row of log10 of the longest context that ends here
+    log10: np.ndarray  # contexts x classes
 
 
-def contexts(grams: DataFrame, depth: int = DEPTH, least_share: float = 0.0) -> DataFrame:
+def contexts(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(length, context, next, n, total) of the retained contexts and of the root; grams are (gram, n) of depth + 1 bytes, summed."""
     total = grams.agg(F.sum("n")).first()[0] or 0
     of_context = Window.partitionBy("context")
@@ -132,7 +154,7 @@ def contexts(grams: DataFrame, depth: int = DEPTH, least_share: float = 0.0) ->
     levels.reverse()
     out = levels[0].select(F.lit(0).alias("length"), "context", "next", "n", "total")
     for length in range(1, depth + 1):
-        rows = levels[length].where(F.col("total") >= max(2, least_share * total)).withColumn("parent", F.col("context").bitwiseAND((1 << 8 * (length - 1)) - 1))
+        rows = levels[length].where(F.col("total") >= 2).withColumn("parent", F.col("context").bitwiseAND((1 << 8 * (length - 1)) - 1))
         parents = levels[length - 1].select(F.col("context").alias("parent"), "next", F.col("n").alias("parent_n"), F.col("total").alias("parent_total"))
         # shuffled at any size: both sides grow with the corpus
         both = rows.join(parents.hint("merge"), ["parent", "next"])
@@ -144,51 +166,45 @@ def contexts(grams: DataFrame, depth: int = DEPTH, least_share: float = 0.0) ->
 
 
 def build_tree(length: np.ndarray, context: np.ndarray, following: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> Tree:
-    """The automaton of the retained contexts, closed under prefixes and suffixes so that each step has one next state."""
-    counts: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for size, c, x, k in zip(length.tolist(), context.tolist(), following.tolist(), n.tolist()):
-        counts.setdefault((size, c), []).append((x, k))
-    seen = sorted({x for rows in counts.values() for x, _ in rows} | {END})
+    """The automaton of the retained contexts; rows of the root have length 0."""
+    seen = np.union1d(following[n > 0], [END])
     symbols = np.full(256, len(seen), np.int64)
     symbols[seen] = np.arange(len(seen))
-    states = {(0, 0)}
-    for size, c in counts:
-        for begin in range(size + 1):
-            for end in range(begin, size + 1):
-                part = end - begin
-                states.add((part, (c >> 8 * (size - end)) & ((1 << 8 * part) - 1)))
-    order = sorted(states)
-    number = {s: i for i, s in enumerate(order)}
     width = len(seen) + 1
-    step = np.zeros((len(order), width), np.int32)
-    chance = np.zeros((len(order), width))
-    root = dict(counts.get((0, 0), []))
-    total = sum(root.values())
-    chance[0] = [(root.get(x, 0) + 1) / (total + 256) for x in seen] + [1 / (total + 256)]
-    suffix = lambda s: number[s[0] - 1, s[1] & ((1 << 8 * (s[0] - 1)) - 1)]
-    for i, s in enumerate(order):
-        if s[0]:
-            parent = suffix(s)
-            chance[i] = chance[parent]
-            if own := counts.get(s):
-                met = sum(k for _, k in own)
-                chance[i] *= len(own)
-                for x, k in own:
-                    chance[i, symbols[x]] += k
-                chance[i] /= met + len(own)
-    by_length: dict[int, list[tuple[int, int]]] = {}
-    for s in order:
-        by_length.setdefault(s[0], []).append(s)
+    context = context.astype(np.uint64)
+    # states: all beginnings of contexts, by length; at: the number of the first one of each length
+    begins = [np.unique(np.concatenate([context[length == k] >> np.uint64(8 * (k - size)) for k in range(size, depth + 1)])) for size in range(depth + 1)]
+    begins[0] = np.zeros(1, np.uint64)
+    at = np.cumsum([0, *map(len, begins)])
+    own = [np.unique(context[length == size]) for size in range(depth + 1)]
+    own[0] = begins[0]
+    row = np.cumsum([0, *map(len, own)])
+    step = np.zeros((at[-1], width), np.int32)
+    fail, longest = np.zeros(at[-1], np.int64), np.zeros(at[-1], np.int32)
+    chance = np.zeros((row[-1], width))
     for size in range(depth + 1):
-        for s in by_length.get(size, []):
-            if size:
-                step[number[s]] = step[suffix(s)]
-        for s in by_length.get(size + 1, []):
-            step[number[size, s[1] >> 8], symbols[s[1] & 255]] = number[s]
-    state = 0
-    for _ in range(depth):
-        state = int(step[state, symbols[END]])
-    return Tree(symbols, step, np.log10(chance).astype(np.float32), state)
+        states = np.arange(at[size], at[size + 1])
+        rows = length == size
+        place = np.searchsorted(own[size], context[rows])
+        counts = np.zeros((len(own[size]), width))
+        np.add.at(counts, (place, symbols[following[rows]]), n[rows])
+        if size:
+            parent = at[size - 1] + np.searchsorted(begins[size - 1], begins[size] >> np.uint64(8))
+            last = symbols[(begins[size] & np.uint64(255)).astype(np.int64)]
+            if size > 1:
+                fail[states] = step[fail[parent], last]
+            step[parent, last] = states
+            longest[states] = longest[fail[states]]
+            held = at[size] + np.searchsorted(begins[size], own[size])
+            kinds = (counts > 0).sum(1, keepdims=True)
+            chance[row[size] : row[size + 1]] = (counts + kinds * chance[longest[fail[held]]]) / (counts.sum(1, keepdims=True) + kinds)
+            longest[held] = np.arange(row[size], row[size + 1])
+        else:
+            chance[0] = (counts[0] + 1) / (counts.sum() + 256)
+        # until a longer state is met, a symbol leads where it leads from the longest suffix
+        if size > 0:
+            step[states] = step[fail[states]]
+    return Tree(symbols, step, longest, np.log10(chance).astype(np.float32))
 
 
 def score_stream(tree: Tree, stream: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -200,13 +216,12 @@ def score_stream(tree: Tree, stream: np.ndarray, depth: int = DEPTH) -> np.ndarr
     padded[depth : depth + len(classes)] = classes
     table = np.lib.stride_tricks.as_strided(padded, (_SEGMENT + depth, rows), (padded.strides[0], padded.strides[0] * _SEGMENT))
     out = np.empty((_SEGMENT, rows), np.float32)
-    step, chance = tree.following.ravel(), tree.log10.ravel()
+    step, chance, longest = tree.following.ravel(), tree.log10.ravel(), tree.longest * np.int32(width)
     state = np.zeros(rows, np.int32)
     for t in range(_SEGMENT + depth):
-        at = state * width + table[t]
         if t >= depth:
-            out[t - depth] = chance[at]
-        state = step[at]
+            out[t - depth] = chance[longest[state] + table[t]]
+        state = step[state * np.int32(width) + table[t]]
     return out.T.ravel()[: len(classes)]
 
 
@@ -265,7 +280,7 @@ def gram_scores(tree: Tree, grams: np.ndarray, depth: int = DEPTH) -> np.ndarray
     state = np.zeros(len(grams), np.int64)
     for k in range(depth, 0, -1):
         state = tree.following[state, symbol(k)]
-    return tree.log10[state, symbol(0)].astype(np.float64)
+    return tree.log10[tree.longest[state], symbol(0)].astype(np.float64)
 
 
 def _least(counts: DataFrame, most: int) -> int | None:
@@ -308,9 +323,8 @@ def score_documents(docs: DataFrame, is_training: Column | None = None, depth: i
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
     learned = rows.where(F.col("doc_id").isNotNull() if is_training is None else is_training).select("text")
-    parts = written(learned.mapInArrow(lambda b: _count(b, depth), "word binary, gram long, n long"))
-    counts = written(parts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
-    grams = written(parts.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
+    counted = written(learned.mapInArrow(lambda b: _count(b, depth), "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n")))
+    counts, grams = counted.where("word IS NOT NULL").select("word", "n"), counted.where("gram IS NOT NULL").select("gram", "n")
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     kept = contexts(grams, depth)
     often = (F.col("length") == 0) | _reach("total", _least(kept.groupBy("length", "context").agg(F.max("total").alias("n")), head_contexts))

@@ -63,12 +63,12 @@ def test_tree_against_definition(spark):
     syllables = ["the", "an", "ti", "on", "er", "ou"]
     docs = [words_of(" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 60))).encode()) for _ in range(60)]
     texts = [b" ".join(d[:-1]) for d in docs]
-    depth, share = 3, 1e-3
+    depth, share = 3, 0
     import pyarrow as pa
 
     parts = pa.Table.from_batches(_count(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])]), depth)).to_pandas()
     grams = parts[parts.gram.notna()][["gram", "n"]].astype("int64")
-    rows = contexts(spark.createDataFrame(grams), depth, share).toPandas()
+    rows = contexts(spark.createDataFrame(grams), depth).toPandas()
     kept = brute_model(docs, depth, share)
     got = {}
     for r in rows.itertuples():
