@@ -19,9 +19,11 @@ def text_of(column: str = "text") -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set, as in tests."""
+    """The shared folder that the cluster names; a local one where none is set and all runs on this machine, as in tests."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="gradeflow-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -47,3 +49,12 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of those with equal keys, the first by its columns as JSON; only keys that repeat are shuffled with their rows."""
+    twice = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    order = F.struct(F.to_json(F.struct(*rows.columns)).alias("j"), F.struct(*rows.columns).alias("r"))
+    repeated = rows.join(twice, same, "left_semi").groupBy(*keys).agg(F.min(order).alias("_m")).select("_m.r.*")
+    return rows.join(twice, same, "left_anti").unionByName(repeated)

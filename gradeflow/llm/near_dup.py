@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest_of, shuffle_partitions, text_of, written
+from .common import digest_of, one_of_each, shuffle_partitions, text_of, written
 from .components import components
 
 BANDS, ROWS = 25, 4
@@ -294,6 +294,21 @@ def verified(members: DataFrame, texts: DataFrame, threshold: float, tolerance:
     return _deal(held.mapInArrow(sign, "label binary, uid binary, signature binary, grams binary"), "label", sizes).mapInArrow(run, "uid binary, root binary, links long")
 
 
+def _links(texts: DataFrame, threshold: float, tolerance: float, n: int) -> DataFrame:
+    signed = written(signatures(texts, n).dropDuplicates(["uid"]))
+    members = written(components(candidates(signed, threshold, tolerance)))
+    return written(verified(members, texts, threshold, tolerance, n))
+
+
+def class_of_texts(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = TOLERANCE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(uid, class) of every different text: class is the least uid of the texts that links connect."""
+    texts = docs.select(_uid(text).alias("uid"), text_of(text).alias("text"))
+    found = _links(texts, threshold, tolerance, n)
+    classes = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")))
+    own = docs.select(_uid(text).alias("uid")).distinct()
+    return written(own.join(classes, F.col("uid") == F.col("vertex"), "left").select("uid", F.coalesce("label", "uid").alias("class")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = TOLERANCE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, class_id, n_links, n_copies of every row.
 
@@ -304,9 +319,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
     no other. An empty table gives no rows. Other columns are ignored.
     """
     texts = docs.select(_uid(text).alias("uid"), text_of(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    signed = written(signatures(texts, n).dropDuplicates(["uid"]))
-    members = written(components(candidates(signed, threshold, tolerance)))
-    found = written(verified(members, texts, threshold, tolerance, n))
+    found = _links(texts, threshold, tolerance, n)
     classes = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy(F.col("uid").alias("linked")).agg(F.sum("links").alias("n_links"))
 
@@ -321,7 +334,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
     return rows.join(known.join(least, "class").select("uid", "class_id", "n_links", "n_copies"), "uid").select("doc_id", "class_id", "n_links", "n_copies")
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs with one document, that with the least doc_id, of each class of near copies."""
-    keep = near_duplicates(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+def keep_one(docs: DataFrame, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each class of near copies: that with the least doc_id (null only if the class has no other id).
+
+    If rows of a class share this id, that with the least digest of its text stays; of rows that repeat both, one.
+    """
+    classes, rows = class_of_texts(docs, threshold, text=text, doc_id=doc_id), docs.withColumn("_uid", _uid(text))
+    ids = rows.select(F.col("_uid").alias("uid"), F.col(doc_id).cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "uid")).alias("m")
+    keep = ids.join(classes, "uid").groupBy("class").agg(first).select(F.col("m.id").alias("_keep"), F.col("m.uid").alias("_u"))
+    held = rows.join(keep, (F.col("_uid") == F.col("_u")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    return one_of_each(held, ["_uid"]).drop("_uid")

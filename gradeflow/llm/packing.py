@@ -1,16 +1,17 @@
 """Order-preserving packing of token streams into fixed windows by dynamic programming.
 
-The documents of a partition form one stream in input order. Cuts may fall at ends of documents, at ends of sentences and,
-where neither comes for a while, at every 16th token. The best cuts minimise, over all windows of at most ``size`` tokens,
-padding plus the penalty of the cut at the window's end plus a fixed price of a window:
+The documents of a partition form one stream in input order. Cuts fall at ends of documents and of sentences; a sentence that is
+longer than a window may also be cut within, at every 16th token. The best cuts minimise, over all windows of at most ``size``
+tokens, padding plus the penalty of the cut at the window's end plus a fixed price of a window:
 
     best[j] = penalty[j] + price + min over i of best[i] + pad(position[j] - position[i])
 
 pad(L) is size - L, or 0 if L is a power of two. The first form is a minimum of best[i] + position[i] over a sliding range,
 kept in a monotone queue, so a candidate costs amortised constant time; lengths of a power of two are a second, exact lookup.
 
-Each Spark partition packs its own stream and nothing is shuffled. A stream is handled in blocks of bounded size: the last
-windows of a block are left open and decided with the next one.
+Each Spark partition packs its own stream and nothing is shuffled. A stream is read block by block: a cut is made final when the
+best ways to all places where a later window may begin go through it, so the cuts are those of the whole stream at once. The last
+window of a stream, if it would need much padding, is split at powers of two.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,13 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 END = 1
-SENTENCE_PENALTY, INNER_PENALTY, WINDOW_PRICE, INNER_EVERY = 2, 8, 16, 16
+SENTENCE_PENALTY, INNER_PENALTY, WINDOW_PRICE, INNER_EVERY = 2, 8, 64, 16
+#: Longer texts are encoded piece by piece; this bounds a list of ids and changes none.
+PIECE = 1 << 20
 BLOCK_TOKENS = 1 << 18
 _SPACES = re.compile(r"\s\s")
+#: A single space between two other characters begins a token, so encoding may start anew there.
+_BREAK = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[tuple[str, bool], tuple[Callable[[str], list[int]], np.ndarray]] = {}
 
 
@@ -96,59 +103,98 @@ def padding(lengths: np.ndarray, size: int) -> np.ndarray:
     return np.where(lengths & (lengths - 1) == 0, 0, size - lengths)
 
 
-def candidates(bounds: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def encoded(encode: Callable[[str], list[int]], text: str, piece: int = PIECE) -> np.ndarray:
+    """The ids of a text and END."""
+    parts, at = [], 0
+    while len(text) - at > piece and (more := _BREAK.search(text, at + piece)):
+        parts.append(np.array(encode(text[at : more.start()]), np.uint32))
+        at = more.start()
+    return np.concatenate([*parts, np.array([*encode(text[at:]), END], np.uint32)])
+
+
+def candidates(bounds: np.ndarray, sentence_ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a cut may fall, and its penalty. bounds: the documents' ends; sentence_ends: other good places."""
-    total = int(bounds[-1])
     natural = np.union1d(bounds, sentence_ends)
-    at = np.union1d(natural, np.arange(INNER_EVERY, total, INNER_EVERY))
+    before = np.concatenate([[0], natural[:-1]])
+    inner = [np.arange(a + INNER_EVERY, b, INNER_EVERY) for a, b in zip(before, natural) if b - a > size]
+    at = np.union1d(natural, np.concatenate(inner)) if inner else natural
     penalty = np.full(len(at), INNER_PENALTY)
     penalty[np.searchsorted(at, sentence_ends)] = SENTENCE_PENALTY
     penalty[np.searchsorted(at, bounds)] = 0
-    # places inside a sentence count only where the last natural place is far
-    last = np.concatenate([[0], natural])[np.searchsorted(natural, at, side="right")]
-    keep = (penalty < INNER_PENALTY) | (at - last >= INNER_EVERY)
-    return at[keep], penalty[keep]
+    return at, penalty
+
+
+class Cuts:
+    """The best cuts of a stream whose places come in order; gaps between places are at most size."""
+
+    def __init__(self, size: int):
+        self.size, self.powers = size, [1 << k for k in range(size.bit_length())]
+        self.where, self.best, self.parent = [0], [0], [0]
+        self.keys = [0]  # best[i] + where[i]
+        self.number = {0: 0}
+        self.queue: deque[int] = deque([0])
+
+    def extend(self, at: list[int], penalty: list[int]) -> None:
+        size, powers, where, best, keys, number, queue = self.size, self.powers, self.where, self.best, self.keys, self.number, self.queue
+        for here, price in zip(at, penalty):
+            while where[queue[0]] < here - size:
+                queue.popleft()
+            i = queue[0]
+            cost = keys[i] + size - here
+            for k in powers:
+                if (x := number.get(here - k)) is not None and best[x] < cost:
+                    cost, i = best[x], x
+            cost += price + WINDOW_PRICE
+            j = number[here] = len(where)
+            where.append(here)
+            best.append(cost)
+            self.parent.append(i)
+            keys.append(cost + here)
+            while queue and keys[queue[-1]] >= cost + here:
+                queue.pop()
+            queue.append(j)
+
+    def path(self, j: int) -> list[int]:
+        """Positions of the best cuts up to place j."""
+        out = []
+        while j:
+            out.append(self.where[j])
+            j = self.parent[j]
+        return out[::-1]
+
+    def settled(self) -> list[int]:
+        """The cuts that no later place can change; what is kept then begins at the last of them, as position 0."""
+        live = [-j for j in range(bisect_right(self.where, self.where[-1] - self.size), len(self.where))]
+        heapify(live)
+        while len(live) > 1:
+            j = -heappop(live)
+            if -self.parent[j] not in live:
+                heappush(live, -self.parent[j])
+        first = -live[0]
+        out = self.path(first)
+        if first:
+            begin, base = self.where[first], self.best[first]
+            self.queue = deque(i - first for i in self.queue if i >= first)
+            self.where = [x - begin for x in self.where[first:]]
+            self.best = [x - base for x in self.best[first:]]
+            self.keys = [a + b for a, b in zip(self.best, self.where)]
+            self.parent = [max(0, x - first) for x in self.parent[first:]]
+            self.number = {x: i for i, x in enumerate(self.where)}
+        return out
 
 
 def cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     """Positions of the best cuts; at is ascending, its gaps are at most size, and its last position is always cut."""
-    position = np.concatenate([[0], at])
-    exact: dict[int, list[int]] = {}
-    k = size >> 1
-    while k >= max(1, size >> 3):
-        i = np.searchsorted(position, position - k)
-        for j in np.flatnonzero((position[i] == position - k) & (position >= k)).tolist():
-            exact.setdefault(j, []).append(int(i[j]))
-        k >>= 1
-    where, prices = position.tolist(), [0, *penalty.tolist()]
-    best, parent = [0] * len(where), [0] * len(where)
-    queue: deque[int] = deque([0])
-    keys = [0] * len(where)  # best[i] + position[i]
-    for j in range(1, len(where)):
-        here = where[j]
-        while where[queue[0]] < here - size:
-            queue.popleft()
-        i = queue[0]
-        cost = keys[i] + size - here
-        for x in exact.get(j, ()):
-            if best[x] < cost:
-                cost, i = best[x], x
-        cost += prices[j] + WINDOW_PRICE
-        best[j], parent[j] = cost, i
-        key = keys[j] = cost + here
-        while queue and keys[queue[-1]] >= key:
-            queue.pop()
-        queue.append(j)
-    out, j = [], len(where) - 1
-    while j:
-        out.append(where[j])
-        j = parent[j]
-    return out[::-1]
+    out = Cuts(size)
+    out.extend(at.tolist(), penalty.tolist())
+    return out.path(len(out.where) - 1)
 
 
 def _tail(start: int, end: int, size: int) -> list[int]:
-    """Cuts of a last window that would need padding: at powers of two, largest first."""
+    """Cuts of a last window: at powers of two, largest first, where that costs less than its padding."""
     out, length = [], end - start
+    if int(padding(np.array([length]), size)[0]) <= (length.bit_count() - 1) * (INNER_PENALTY + WINDOW_PRICE):
+        return [end]
     while length:
         step = min(size, 1 << (length.bit_length() - 1))
         start, length = start + step, length - step
@@ -162,37 +208,48 @@ class Packer:
     def __init__(self, size: int, ends: np.ndarray, first_sequence: int):
         self.size, self.ends, self.sequence = size, ends, first_sequence
         self.docs: list[tuple[int | None, np.ndarray, int, int]] = []  # id, ids not yet placed, ids before them, all ids
-        self.pending = 0
+        self.cuts = Cuts(size)
+        self.seen = 0  # documents whose places the cuts know
+        self.fresh = 0  # ids of the others
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[tuple]:
         self.docs.append((doc_id, ids, 0, len(ids)))
-        self.pending += len(ids)
-        if self.pending >= BLOCK_TOKENS:
-            yield from self.flush(last=False)
+        self.fresh += len(ids)
+        if self.fresh >= BLOCK_TOKENS:
+            self._read()
+            yield from self._place(self.cuts.settled())
+
+    def _read(self) -> None:
+        new = [d[1] for d in self.docs[self.seen :]]
+        self.seen, self.fresh = len(self.docs), 0
+        if new:
+            ids, bounds = np.concatenate(new), np.cumsum([len(x) for x in new])
+            closing = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+            at, penalty = candidates(bounds, closing[closing < bounds[-1]], self.size)
+            self.cuts.extend((at + self.cuts.where[-1]).tolist(), penalty.tolist())
+
+    def flush(self) -> Iterator[tuple]:
+        self._read()
+        windows = self.cuts.path(len(self.cuts.where) - 1)
+        if windows:
+            start = windows[-2] if len(windows) > 1 else 0
+            yield from self._place([*windows[:-1], *_tail(start, windows[-1], self.size)])
 
-    def flush(self, last: bool = True) -> Iterator[tuple]:
-        if not self.docs:
+    def _place(self, windows: list[int]) -> Iterator[tuple]:
+        """The pieces before the last of the windows' ends; what is behind it stays."""
+        if not windows:
             return
-        ids = np.concatenate([d[1] for d in self.docs])
-        bounds = np.cumsum([len(d[1]) for d in self.docs])
-        closing = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
-        windows = cuts(*candidates(bounds, closing[closing < bounds[-1]]), self.size)
-        if last:
-            start = windows[-2] if len(windows) > 1 else 0
-            windows = [*windows[:-1], *_tail(start, windows[-1], self.size)]
-        else:
-            windows = [w for w in windows if w <= bounds[-1] - 4 * self.size]
-            if not windows:
-                return
-        yield from self._pieces(ids, bounds, np.array(windows))
+        lengths = np.cumsum([len(d[1]) for d in self.docs])
         done = windows[-1]
-        first = int(np.searchsorted(bounds, done, side="right"))
+        used = int(np.searchsorted(lengths, done)) + 1
+        yield from self._pieces(np.concatenate([d[1] for d in self.docs[:used]]), lengths[:used], np.array(windows))
+        first = int(np.searchsorted(lengths, done, side="right"))
         rest = self.docs[first:]
         if rest:
             doc_id, own, before, total = rest[0]
-            gone = len(own) - int(bounds[first] - done)
+            gone = len(own) - int(lengths[first] - done)
             rest[0] = (doc_id, own[gone:], before + gone, total)
-        self.docs, self.pending = rest, int(bounds[-1] - done)
+        self.docs, self.seen = rest, len(rest) - (len(self.docs) - self.seen)
 
     def _pieces(self, ids: np.ndarray, bounds: np.ndarray, windows: np.ndarray) -> Iterator[tuple]:
         begins = np.concatenate([[0], bounds[:-1]])
@@ -216,9 +273,9 @@ def pack(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe_50k", te
 
     doc_id; start, length: the piece within the document's ids, which end with id 1; ids_crc32 of the piece's ids as
     little-endian 32-bit integers; doc_tokens; sequence_id, offset: its place; padding: what its sequence needs to reach
-    ``size``, 0 at a power of two; ids, if asked for. Ids are those of the json form, its added tokens included. A null or empty text is one piece holding the id 1. Documents with equal
-    or null ids are packed each for itself. Sequences never span Spark partitions. An empty table gives no rows. Other
-    columns are ignored.
+    ``size``, 0 at a power of two; ids, if asked for. Ids are those of the json form, its added tokens included. A null or
+    empty text is one piece holding the id 1. Documents with equal or null ids are packed each for itself. Sequences never
+    span Spark partitions. An empty table gives no rows. Other columns are ignored.
     """
     schema = _PIECE + (", ids array<int>" if with_ids else "")
 
@@ -246,9 +303,7 @@ def pack(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe_50k", te
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(t.as_py())
-                ids.append(END)
-                for piece in packer.add(i, np.array(ids, np.uint32)):
+                for piece in packer.add(i, encoded(encode, t.as_py())):
                     held.append(piece if with_ids else piece[:7])
                 if len(held) > 4096:
                     yield from rows(last=False)

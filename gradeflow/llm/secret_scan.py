@@ -4,6 +4,9 @@ The lexer reads ``name = value``, ``name: value`` and ``name => value`` with quo
 constants it has seen, resolves names and ``${name}`` in later values, and scores each resulting literal by the target's name
 and by how much the literal looks like a credential. Literals that score 0.5 or more are added, but for those wholly inside a base
 value; one that a base value covers in part is kept beside it.
+
+A value put together from others is a node with links to them; it holds how often each character comes, not the characters, so
+constants that double from line to line take no more room than others. A score goes down the links to the literals at the end.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .common import text_of
 KINDS = ("assign", "access", "hex", "lexed")
 LEAST_SCORE = 0.5
 MASK = "[SECRET]"
+#: A value put together from others keeps its characters up to this length, which a placeholder does not exceed.
+KEPT = 4096
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -33,6 +38,7 @@ _TARGET = re.compile(r"""(?<![A-Za-z0-9_.\-])(?:[0-9][A-Za-z0-9_]*+|[.\-])*+([A-
 _TERM = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([^\s,;"'`|&<>(){}\[\]]++)""")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*(?=[\"'`A-Za-z_$])")
 _INSERT = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_.]*)\}|%\(([A-Za-z_][A-Za-z0-9_.]*)\)s")
+_SPACE = re.compile(r"\s")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|todo|changeme|change_me|(?:example|sample|dummy|your|my|insert)(?:[-_ ]?(?:your|my|the|a|here|api|access|secret|private|auth|key|token|pass|password|passwd|credentials?|value|string))*|test|<[^<>]*>|redacted|\[secret\])$")
 
@@ -61,13 +67,49 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How much a literal looks like a credential, 0 to 1."""
-    if len(value) < 6 or any(c.isspace() for c in value) or _PLACEHOLDER.match(value):
+    return 0.0 if _SPACE.search(value) or _PLACEHOLDER.match(value) else _mixed(Counter(value))
+
+
+def _mixed(counts: dict[str, float]) -> float:
+    """The score of a value by its length and the entropy of its characters."""
+    n = sum(counts.values())
+    if n < 6:
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c)
     return 0.5 * min(1.0, n / 12) + 0.5 * min(1.0, entropy / 3.0)
 
 
+class Value:
+    """A literal at its place, or what others give together; best is the highest score of a target that holds it."""
+
+    __slots__ = ("text", "span", "parts", "best", "name", "_counts")
+
+    def __init__(self, text: str | None, span: tuple[int, int] | None, parts: list[Value]):
+        self.text, self.span, self.parts, self.best, self.name = text, span, parts, 0.0, ""
+        self._counts: dict[str, float] | None = None
+        if text is None:
+            self._counts = {}
+            for part in parts:
+                for c, n in part.counts.items():
+                    self._counts[c] = self._counts.get(c, 0) + n
+            # a value that doubles line by line soon outgrows any number; its shares stay
+            if sum(self._counts.values()) > 1e15:
+                self._counts = {c: n * 1e-9 for c, n in self._counts.items()}
+            if (total := sum(self._counts.values())) <= KEPT:
+                self.text = "".join(x.text for x in parts if x.text is not None) if total else ""
+
+    @property
+    def counts(self) -> dict[str, float]:
+        if self._counts is None:
+            self._counts = dict(Counter(self.text))
+        return self._counts
+
+    def score(self) -> float:
+        if self.text is not None:
+            return literal_score(self.text)
+        return 0.0 if any(c.isspace() for c in self.counts) or len(self.counts) == 1 else _mixed(self.counts)
+
+
 def base_spans(text: str) -> list[Span]:
     """Matches of the base patterns, leftmost and non-overlapping in each kind, by start and then by kind."""
     out = []
@@ -80,57 +122,89 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, literal, spans of its parts) of each assignment whose value is known, constants put in for names."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) of each assignment whose value is known, constants put in for names."""
+    known: dict[str, Value] = {}
     for m in _TARGET.finditer(text):
-        at, value, spans, whole = m.end(), "", [], True
+        at, parts, whole = m.end(), [], True
         while term := _TERM.match(text, at):
             quoted = next((g for g in (1, 2, 3) if term[g] is not None), 0)
             if quoted:
-                part, where = term[quoted], [term.span(quoted)]
-            elif term[4].lstrip("$") in known:
-                part, where = known[term[4].lstrip("$")]
+                value, known_all = _quoted(term[quoted], term.span(quoted), known)
+                parts.append(value)
+                whole &= known_all
             else:
-                part, where = term[4], [term.span(4)]
-            # bare terms hold no braces, so nothing is put into them
-            for x in _INSERT.finditer(part) if quoted else ():
-                if (name := x[1] or x[2]) in known:
-                    where = [*where, *known[name][1]]
-                else:
-                    whole = False
-            value += _INSERT.sub(lambda x: known.get(x[1] or x[2], ("",))[0], part) if quoted else part
-            spans += where
+                # bare terms hold no braces, so nothing is put into them
+                parts.append(known.get(term[4].lstrip("$")) or Value(term[4], term.span(4), []))
             at = term.end()
             if not (more := _JOIN.match(text, at)):
                 break
             at = more.end()
-        if spans and whole:
-            known[m[1]] = value, spans
-            yield m[1], value, spans
+        if parts and whole:
+            known[m[1]] = value = parts[0] if len(parts) == 1 else Value(None, None, parts)
+            yield m[1], value
+
+
+def _quoted(text: str, span: tuple[int, int], known: dict[str, Value]) -> tuple[Value, bool]:
+    """A quoted term with the constants that it names put in, and whether all of them are known."""
+    parts: list[Value] = []
+    at, whole = 0, True
+    for x in _INSERT.finditer(text):
+        if x.start() > at:
+            parts.append(Value(text[at : x.start()], None, []))
+        at = x.end()
+        if own := known.get(x[1] or x[2]):
+            parts.append(own)
+        else:
+            whole = False
+    if not at:
+        return Value(text, span, []), True
+    if at < len(text):
+        parts.append(Value(text[at:], None, []))
+    out = Value(None, None, parts)
+    out.span = span
+    return out, whole
 
 
 def lexed_spans(text: str, base: list[Span]) -> list[Span]:
     """Literals of secret-sounding names, but for those inside a base value."""
     if "=" not in text and ":" not in text:
         return []
-    best: dict[tuple[int, int], Span] = {}
+    held: list[Value] = []
     last = (0, 0)
-    for name, value, spans in pairs(text):
+    for name, value in pairs(text):
+        held.append(value)
+        single = value.span if value.span and not value.parts else None
         # the rest of a run that is a finding already, as in token=token=..., adds nothing
-        if len(spans) == 1 and last[0] < spans[0][0] and spans[0][1] == last[1]:
+        if single and last[0] < single[0] and single[1] == last[1]:
             continue
-        if (by_name := name_score(name)) >= LEAST_SCORE and (score := by_name * literal_score(value)) >= LEAST_SCORE:
-            last = spans[-1] if len(spans) == 1 else last
-            for a, b in spans:
-                if a < b and ((a, b) not in best or best[a, b].score < score):
-                    best[a, b] = Span("lexed", a, b, a, b, name, score)
+        if (by_name := name_score(name)) >= LEAST_SCORE and (score := by_name * value.score()) >= LEAST_SCORE:
+            last = single or last
+            if score > value.best:
+                value.best, value.name = score, name
+    # a value is known before those that use it, so one way back hands every score down
+    best: dict[tuple[int, int], Value] = {}
+    for value in reversed(held):
+        stack = [value]
+        while stack:
+            v = stack.pop()
+            if v.best and v.span and v.span[0] < v.span[1] and (v.span not in best or best[v.span].best < v.best):
+                best[v.span] = v
+            for part in v.parts:
+                if part.best < v.best:
+                    part.best, part.name = v.best, v.name
+                    # parts that no target holds, such as a quoted term within a sum, come no later by themselves
+                    stack.append(part)
     out: list[Span] = []
     values = [(s.value_start, s.value_end) for s in base]
-    for span in sorted(best.values(), key=lambda s: (s.start, -s.end)):
-        clear = not out or span.start >= out[-1].end
-        if clear and not any(a <= span.start and span.end <= b for a, b in values):
-            out.append(span)
+    values.sort()
+    at = reach = 0
+    for (a, b), v in sorted(best.items(), key=lambda x: (x[0][0], -x[0][1])):
+        while at < len(values) and values[at][0] <= a:
+            reach = max(reach, values[at][1])
+            at += 1
+        if reach < b and (not out or a >= out[-1].end):
+            out.append(Span("lexed", a, b, a, b, v.name, v.best))
     return out
 
 

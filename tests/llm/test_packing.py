@@ -35,17 +35,18 @@ def test_cuts_are_the_best(seed):
     size = 64
     at = np.cumsum(rng.integers(1, 30, 60))
     penalty = rng.choice([0, 4, INNER_PENALTY], 60)
+    powers = (1, 2, 4, 8, 16, 32, 64)
     best, position = [0] + [10**9] * 60, [0, *at.tolist()]
     for j in range(1, 61):
         for i in range(j):
             length = position[j] - position[i]
             if length <= size:
-                pad = size - length if length not in (8, 16, 32, 64) else 0
+                pad = size - length if length not in powers else 0
                 best[j] = min(best[j], best[i] + pad + int(penalty[j - 1]) + WINDOW_PRICE)
     chosen = cuts(at, penalty, size)
     got, price = 0, dict(zip(at.tolist(), penalty.tolist()))
     for a, b in zip([0, *chosen], chosen):
-        got += (0 if b - a in (8, 16, 32, 64) else size - b + a) + price[b] + WINDOW_PRICE
+        got += (0 if b - a in powers else size - b + a) + price[b] + WINDOW_PRICE
     assert got == best[60] and chosen[-1] == at[-1]
 
 
@@ -101,6 +102,33 @@ def test_blocks_of_a_long_stream(monkeypatch):
     assert padding(np.array(list(filled.values())), 2048).sum() < 0.01 * sum(filled.values())
 
 
+def test_blocks_give_the_cuts_of_the_whole_stream(monkeypatch):
+    rng = np.random.default_rng(4)
+    ends = np.zeros(100, bool)
+    ends[:5] = True
+    stream = [rng.integers(0, 100, int(n)).astype(np.uint32) for n in [*rng.integers(1, 400, 300), 5000, 1, 70]]
+    found = {}
+    for block in (300, 4_000, 10**9):
+        monkeypatch.setattr(packing, "BLOCK_TOKENS", block)
+        packer = packing.Packer(256, ends, 0)
+        found[block] = [p[:7] for i, ids in enumerate(stream) for p in packer.add(i, ids)] + [p[:7] for p in packer.flush()]
+    assert found[300] == found[4_000] == found[10**9]
+
+
+def test_cuts_fall_at_ends_of_sentences():
+    size, bounds, ends = 64, np.array([40, 90, 400]), np.array([10, 20, 60, 100, 300])
+    at, penalty = candidates(bounds, ends, size)
+    assert set(at) - {*range(116, 300, 16), *range(316, 400, 16)} == {*bounds.tolist(), *ends.tolist()}
+    assert all(penalty[np.isin(at, bounds)] == 0) and np.diff([0, *at]).max() <= size
+
+
+def test_long_texts_are_encoded_in_pieces(reference):
+    encode, _ = encoder()
+    text = "It's  a long text, isn't it? 12 34\n\n x " * 50
+    for piece in (1, 7, 100):
+        assert packing.encoded(encode, text, piece).tolist() == [*reference(text), 1]
+
+
 def test_repeated_and_null_ids(docs_of):
     got = pack(docs_of([(None, "a"), (3, "b"), (3, "b")])).collect()
     assert len(got) == 3 and all(r.start == 0 for r in got)
