@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import fold, text_of, written
 
 DEPTH = 6
-HEAD_CONTEXTS = 100_000
+HEAD_CONTEXTS = 50_000
 HEAD_WORDS = 100_000
 #: The filter of rarer contexts has 2 to this power bits, 8 MB.
 FILTER_BITS = 26
@@ -95,6 +95,7 @@ def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """(word, null, n) and (null, gram, n): counts that a task combines as far as its memory is bounded."""
+    _models.clear()  # of an earlier run in this worker
     words: Counter[bytes] = Counter()
     held: list[tuple[np.ndarray, np.ndarray]] = []
     names = ["word", "gram", "n"]
