@@ -4,8 +4,9 @@ Bytes are embedded; 8-byte filters at a stride of 4 run over the text; their act
 chunks of 256 bytes (128 apart) that cover the document; a second layer of learned filters reads each chunk's profile; both
 layers are max-pooled over the document and one logistic unit combines the maxima into a probability.
 
-Training takes a bounded, documented sample of labelled rows (TRAIN_ROWS of each label) to the driver; scoring maps every
-row of the table in Arrow batches with the fitted weights, about 60 KB, in the task's closure, and shuffles nothing.
+Training takes a bounded, documented sample of labelled rows (TRAIN_ROWS of each label, none longer than TRAIN_LONGEST bytes)
+to the driver and reads their whole texts; scoring maps every row of the table, whole texts of any length, in Arrow batches with
+the fitted weights, about 60 KB, in the task's closure, and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from .common import fold, text_of
 
 #: Labelled rows of each label that training may take, chosen by a hash of the id over the whole table.
 TRAIN_ROWS = 1500
-#: Bytes of one training document that an epoch reads, a window that moves from epoch to epoch; scoring always reads all.
-TRAIN_BYTES = 8192
+#: Labelled rows with longer texts, in bytes, are not in the sample; so it is bounded in bytes too.
+TRAIN_LONGEST = 1 << 18
 KEEP_FROM = 0.7
 EMBED, FILTERS, UNITS = 6, 32, 24
 HALF, STRIDE = 128, 4
 STEPS = HALF // STRIDE
 EPOCHS, BATCH = 14, 32
+#: Bytes that a training step holds at once; gradients of a batch are summed over parts of this size.
+_AT_ONCE = 1 << 18
 
 
 class Weights(NamedTuple):
@@ -134,6 +137,19 @@ def gradient(w: Weights, flat: np.ndarray, starts: np.ndarray, target: np.ndarra
     return Weights(d_embed, p.blocks.T @ d_active, p.blocks[1:].T @ ahead, d_active.sum(0), p.chunks.T @ d_units, d_units.sum(0), p.pooled.T @ error, error.sum(keepdims=True))
 
 
+def _batch_gradient(w: Weights, texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> Weights:
+    """The gradient over a batch, part by part."""
+    ends = np.cumsum([max(2 * HALF, len(t)) for t in texts])
+    part = (ends - 1) // _AT_ONCE
+    total: list[np.ndarray] = []
+    for p in np.unique(part):
+        at = np.flatnonzero(part == p)
+        own = gradient(w, *laid_out([texts[i] for i in at]), labels[at], weights[at])
+        own = [g * (len(at) / len(texts)) for g in own]
+        total = [a + b for a, b in zip(total, own)] if total else own
+    return Weights(*total)
+
+
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Weights:
     """Adam on balanced minibatches; the last step moves the bias so that KEEP_FROM is the best border on the sample."""
     rng = np.random.default_rng(seed)
@@ -148,9 +164,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Weights:
         order = rng.permutation(len(texts))
         for first in range(0, len(order), BATCH):
             own = order[first : first + BATCH]
-            cut = [texts[i] for i in own]
-            at = [int(rng.integers(0, max(0, len(x) - TRAIN_BYTES) + 1)) for x in cut]
-            grad = gradient(w, *laid_out([x[a : a + TRAIN_BYTES] for x, a in zip(cut, at)]), labels[own], weights[own])
+            grad = _batch_gradient(w, [texts[i] for i in own], labels[own], weights[own])
             t += 1
             rate = 0.01 * (1 - t / total) + 1e-4
             new = []
@@ -200,17 +214,18 @@ def logits_of(w: Weights, texts: list[bytes], at_once: int = 1 << 19) -> np.ndar
 def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, rows: int = TRAIN_ROWS) -> Weights:
     """Fits on at most ``rows`` rows of each quality label, those with the least hashes of their ids.
 
-    Rows with a null text, id or label, and those of the fold ``held_out`` (of 4; None: no fold) are not learned from. Only
-    the text is an input.
+    Rows with a null text, id or label, and those of the fold ``held_out`` (of 4; None: no fold) are not learned from. An id
+    with both labels has the low one; of repeated ids the texts with the least hashes come first. Only the text is an input.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)").dropDuplicates(["_id"])
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)").groupBy("_id").agg(F.min("quality").alias("quality"))
     if held_out is not None:
         known = known.where(fold(F.col("_id"), 4) != held_out)
     texts, y = [], []
     for label in (0, 1):
         # a hash that has no part in the fold; twice as many ids as rows, in case some have no document
         ids = known.where(F.col("quality") == label).orderBy(F.xxhash64("_id"), "_id").limit(2 * rows).select("_id")
-        found = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).orderBy(F.xxhash64("_id"), "_id").limit(rows).select("text")
+        readable = docs.where(F.octet_length("text") <= TRAIN_LONGEST)
+        found = readable.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text")).limit(rows).select("text")
         own = [r["text"].encode("utf-8", "surrogatepass") for r in found.toLocalIterator()]
         texts += own
         y += [label] * len(own)

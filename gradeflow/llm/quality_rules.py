@@ -2,9 +2,12 @@
 
 The list comes from sequential covering: a rule for low quality grows one threshold at a time by information gain (FOIL) on
 the growing part, is pruned back on the other part, and joins the list if it is precise enough there; covered rows leave and
-the next rule is grown. The rows are seen only as counts per cell of a fixed grid of quantile borders, which Spark
-aggregates; so what reaches the driver is bounded by the grid and not by the rows. The list becomes an ordered ``when``
-chain, and no Python runs on the executors.
+the next rule is grown. There is no limit on rules or on the thresholds of one: growing ends where no threshold gains, the list
+where the next rule isn't good enough.
+
+Labelled rows are counted by cell of a fixed grid of quantile borders, a Spark table. Each growing step is one aggregate over
+the cells that still match: of every feature the counts below each border, 7 x 13 x 2 sums, are all that reach the driver. The
+list becomes an ordered ``when`` chain, and no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -15,17 +18,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_of
+from .common import fold, text_of, written
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: What rules may test; all are shares or means, so that a rule means the same for short and long texts.
 FEATURES = ("word_length", "symbol_share", "repeat_share", "dup_line_share", "distinct_share", "upper_share", "stop_share")
-#: Borders for each feature: cells of the grid are at most (BORDERS + 1) to the power of the features, in practice a few thousand.
+#: Borders for each feature.
 BORDERS = 12
-LEAST_PRECISION = 0.9
-LEAST_COVER = 0.002
+#: The share of low quality among the rows that a rule covers, on both parts; and its lower bound at 95 % on the pruning part,
+#: which a rule reaches with 5 rows or more, whatever the size of the table.
+LEAST_PRECISION, LEAST_BOUND = 0.9, 0.6
 
 
 def _let(value: Column, body) -> Column:
@@ -135,86 +139,95 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-_Cell = tuple[tuple[int, ...], bool, int, int]  # cell, whether of the growing part, low and high quality rows
-
-
-def _counts(cells: list[_Cell], tests: list[tuple[int, bool, int]], grow: bool) -> tuple[int, int]:
-    low = high = 0
-    for cell, part, bad, good in cells:
-        if part == grow and all((cell[f] > k) == above for f, above, k in tests):
-            low, high = low + bad, high + good
-    return low, high
-
-
-def _grow(cells: list[_Cell], borders: list[list[float]]) -> list[tuple[int, bool, int]]:
-    tests: list[tuple[int, bool, int]] = []
-    live = [c for c in cells if c[1]]
+_Test = tuple[int, bool, int]  # feature, above, border
+
+
+def _matches(tests: list[_Test]) -> Column:
+    out = F.lit(True)
+    for f, above, k in tests:
+        out &= (F.col(FEATURES[f]) > k) if above else (F.col(FEATURES[f]) <= k)
+    return out
+
+
+def _best_test(cells: DataFrame, n_borders: list[int]) -> _Test | None:
+    """The threshold of most information gain over cells (a bin for each feature, low, high); of equal ones the first."""
+    bins = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(name).alias("k")) for f, name in enumerate(FEATURES)])).alias("b")
+    sums = cells.select(bins, "low", "high").groupBy("b.f", "b.k").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    counts = {(r["f"], r["k"]): (r["low"], r["high"]) for r in sums.collect()}
+    p0, n0 = (sum(x[i] for (f, _), x in counts.items() if f == 0) for i in (0, 1))
+    if not p0 or not n0:
+        return None
+    best, found = 1e-9, None
+    for f, borders in enumerate(n_borders):
+        p = n = 0
+        for k in range(borders):
+            low, high = counts.get((f, k), (0, 0))
+            p, n = p + low, n + high
+            for above, a, b in ((False, p, n), (True, p0 - p, n0 - n)):
+                if a and (gain := a * (math.log2(a / (a + b)) - math.log2(p0 / (p0 + n0)))) > best:
+                    best, found = gain, (f, above, k)
+    return found
+
+
+def _beginnings(cells: DataFrame, tests: list[_Test]) -> list[tuple[int, int, int, int]]:
+    """For each beginning of a rule: low and high rows that it covers, of the growing part and of the pruning part."""
+    sums = []
+    for i in range(1, len(tests) + 1):
+        for j, part in enumerate((F.col("grow"), ~F.col("grow"))):
+            for k, n in enumerate(("low", "high")):
+                sums.append(F.coalesce(F.sum(F.when(part & _matches(tests[:i]), F.col(n))), F.lit(0)).alias(f"s{i}_{j}_{k}"))
+    r = cells.agg(*sums).first()
+    return [tuple(r[f"s{i}_{j}_{k}"] for j in (0, 1) for k in (0, 1)) for i in range(1, len(tests) + 1)]
+
+
+def least_share(low: int, high: int, z: float = 1.645) -> float:
+    """The lower end of Wilson's interval for the share of low among low + high."""
+    n = low + high
+    if not n:
+        return 0.0
+    p = low / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def cover(cells: DataFrame, borders: list[list[float]], precision: float = LEAST_PRECISION, bound: float = LEAST_BOUND) -> list[Rule]:
+    """Sequential covering of the low-quality rows by rules of at least the given precision.
+
+    cells: the bin of each feature (borders below the value), grow, low and high.
+    """
+    rules: list[Rule] = []
     while True:
-        p0, n0 = sum(c[2] for c in live), sum(c[3] for c in live)
-        if not p0 or not n0 or len(tests) == 4:
-            return tests
-        best, found = 1e-9, None
-        for f, own in enumerate(borders):
-            low, high = [0] * (len(own) + 1), [0] * (len(own) + 1)
-            for cell, _, bad, good in live:
-                low[cell[f]] += bad
-                high[cell[f]] += good
-            p = n = 0
-            for k in range(len(own)):
-                p, n = p + low[k], n + high[k]
-                for above, a, b in ((False, p, n), (True, p0 - p, n0 - n)):
-                    if a and (gain := a * (math.log2(a / (a + b)) - math.log2(p0 / (p0 + n0)))) > best:
-                        best, found = gain, (f, above, k)
-        if not found:
-            return tests
-        tests.append(found)
-        live = [c for c in live if (c[0][found[0]] > found[2]) == found[1]]
-
-
-def _prune(cells: list[_Cell], tests: list[tuple[int, bool, int]]) -> list[tuple[int, bool, int]]:
-    """The prefix of a rule that is worth most on the pruning part."""
-
-    def worth(t: list[tuple[int, bool, int]]) -> float:
-        p, n = _counts(cells, t, grow=False)
-        return (p - n) / (p + n) if p + n else -1.0
-
-    return max((tests[:i] for i in range(1, len(tests) + 1)), key=lambda t: (worth(t), -len(t)))
-
-
-def cover(cells: list[_Cell], borders: list[list[float]], precision: float = LEAST_PRECISION, least: float = LEAST_COVER) -> list[Rule]:
-    """Sequential covering of the low-quality rows by rules of at least the given precision, on both parts."""
-    rules, total = [], sum(c[2] + c[3] for c in cells)
-    while len(rules) < 20:
-        tests = _grow(cells, borders)
+        tests: list[_Test] = []
+        while found := _best_test(cells.where(F.col("grow") & _matches(tests)), [len(b) for b in borders]):
+            tests.append(found)
         if not tests:
-            break
-        tests = _prune(cells, tests)
-        grown, pruned = _counts(cells, tests, True), _counts(cells, tests, False)
-        low, high = grown[0] + pruned[0], grown[1] + pruned[1]
-        if low < precision * (low + high) or pruned[0] < precision * sum(pruned) or low + high < least * total:
-            break
+            return rules
+        counts = _beginnings(cells, tests)
+        worth = [((p - n) / (p + n) if p + n else -1.0, -i) for i, (_, _, p, n) in enumerate(counts)]
+        size = 1 - max(worth)[1]
+        tests, (low, high, p, n) = tests[:size], counts[size - 1]
+        if low + p < precision * (low + high + p + n) or p < precision * (p + n) or least_share(p, n) < bound:
+            return rules
         rules.append(Rule(tuple(Condition(FEATURES[f], above, borders[f][k]) for f, above, k in tests)))
-        cells = [c for c in cells if not all((c[0][f] > k) == above for f, above, k in tests)]
-    return rules
+        cells = cells.where(~_matches(tests))
 
 
 def learn(stats: DataFrame, labels: DataFrame) -> list[Rule]:
     """The decision list from rows of ``stats`` whose quality label is 0 or 1 and which the base rules leave.
 
-    Every labelled row counts. Borders are quantiles of each feature over those rows (of both labels, and of the low ones
-    alone); a third of the rows, by a hash of the id, prunes. Without labels of both kinds the list is empty.
+    Every labelled row counts; an id with both labels has the low one. Borders are quantiles of each feature over those rows
+    (of the high and of the low ones); a third of the rows, by a hash of the id, prunes. Without labels of both kinds the
+    list is empty.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)").dropDuplicates(["_id"])
-    rows = stats.where(~base_failed()).join(known, F.col("doc_id") == F.col("_id")).select("quality", (fold(F.col("_id"), 3) != 0).alias("grow"), *FEATURES)
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)").groupBy("_id").agg(F.min("quality").alias("quality"))
+    rows = written(stats.where(~base_failed()).join(known, F.col("doc_id") == F.col("_id")).select("quality", (fold(F.col("_id"), 3) != 0).alias("grow"), *FEATURES))
     shares = [i / (BORDERS // 2 + 1) for i in range(1, BORDERS // 2 + 1)]
     found = rows.agg(*[F.percentile_approx(F.when(F.col("quality") == q, F.col(f)), shares, 1000).alias(f"{f}_{q}") for f in FEATURES for q in (0, 1)]).first()
     if any(found[f"{f}_{q}"] is None for f in FEATURES for q in (0, 1)):
         return []
     borders = [sorted({*found[f"{f}_0"], *found[f"{f}_1"]}) for f in FEATURES]
-    cell = F.array(*[sum(((F.col(f) > b).cast("int") for b in own), F.lit(0)) for f, own in zip(FEATURES, borders)])
-    counts = rows.groupBy(cell.alias("cell"), "grow").agg(F.sum(1 - F.col("quality")).alias("low"), F.sum("quality").alias("high"))
-    cells = [(tuple(r["cell"]), r["grow"], r["low"], r["high"]) for r in counts.collect()]
-    return cover(sorted(cells), borders)
+    bins = [sum(((F.col(f) > b).cast("int") for b in own), F.lit(0)).alias(f) for f, own in zip(FEATURES, borders)]
+    cells = rows.select("quality", "grow", *bins).groupBy("grow", *FEATURES).agg(F.sum(1 - F.col("quality")).alias("low"), F.sum("quality").alias("high"))
+    return cover(written(cells), borders)
 
 
 def apply_rules(stats: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -74,3 +74,44 @@ def test_edge_rows(spark, docs_of, weights):
     labels = spark.createDataFrame([(2, 1), (3, None), (None, 0), (99, 0)], "doc_id long, quality int")
     w = q.train(docs, labels, held_out=None)
     assert q.logits_of(w, [b"any"])[0] > 0 and q.train(docs_of([]), labels.limit(0)).out_bias[0] > 0
+
+
+def slow_logit(w, text):
+    """The network by its definition: a filter is eight embedded bytes wide, chunks are 256 bytes, 128 apart."""
+    padded = text + bytes(max(2, -(-len(text) // 128)) * 128 - len(text))
+    embedded = [[float(x) for x in w.embed[b]] for b in padded]
+    filters = np.concatenate([w.first.reshape(4, 6, -1), w.second.reshape(4, 6, -1)]).astype(float)
+    active = []
+    for at in range(0, len(padded), 4):
+        total = w.bias.astype(float).copy()
+        for k in range(8):
+            if at + k < len(padded):
+                for e in range(6):
+                    total += embedded[at + k][e] * filters[k, e]
+        active.append(np.maximum(total, 0))
+    halves = [active[i : i + 32] for i in range(0, len(active), 32)]
+    chunks = [np.mean(a + b, axis=0) for a, b in zip(halves, halves[1:])] + [np.mean(halves[-1], axis=0)]
+    units = [np.maximum(c @ w.unit.astype(float) + w.unit_bias, 0) for c in chunks]
+    pooled = [*np.max(active, axis=0), *np.max(units, axis=0)]
+    return sum(a * float(b) for a, b in zip(pooled, w.out)) + float(w.out_bias[0])
+
+
+def test_scores_against_the_definition(docs_of, weights):
+    texts = ["", "x", "The cat sat on the mat. " * 40, "é" * 129, "a" * 256, "b" * 257]
+    got = {r.doc_id: r.score for r in q.score(docs_of(texts), weights).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - 1 / (1 + np.exp(-slow_logit(weights, t.encode())))) < 1e-4, i
+
+
+def test_batches_in_parts(weights, monkeypatch):
+    texts, labels, weight = [b"abc " * n for n in (1, 100, 700, 30, 2)], np.array([1, 0, 1, 0, 0]), np.array([1, 2, 1, 0.5, 1])
+    whole = q.gradient(weights, *q.laid_out(texts), labels, weight)
+    monkeypatch.setattr(q, "_AT_ONCE", 600)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(whole, q._batch_gradient(weights, texts, labels, weight)))
+
+
+def test_repeated_labels_and_ids_train_alike(spark, docs_of):
+    rows = [(i, "good text here. " * 5 if i % 2 else "## $$ ## " * 9) for i in range(40)] + [(1, "another good text"), (1, "another good text")]
+    labels = [(i, i % 2) for i in range(40)] + [(3, 0), (3, 1)]
+    fits = [q.train(docs_of(r), spark.createDataFrame(x, "doc_id long, quality int"), held_out=None) for r, x in ((rows, labels), (rows[::-1], labels[::-1]))]
+    assert all(np.allclose(a, b) for a, b in zip(*fits))

@@ -1,10 +1,11 @@
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from gradeflow.llm.quality_rules import Condition, Rule, apply_rules, cover, learn, statistics
+from gradeflow.llm.quality_rules import FEATURES, Condition, Rule, apply_rules, cover, learn, least_share, statistics
 
 TEXTS = [
     None, "", " \n\t", "one", "a b c d e f g h", "a b c d e f g h a b c d e f g h", "a b c d e f g h i a b c d e f g h", "w " * 500, "x\ny\nx\n \nx\n\t\n", "# * $ %% &|<>", "é　word 😀 x\x0by\x0cz\r\nq",
@@ -43,11 +44,61 @@ def test_table_against_brute_force(spark):
     assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got} == {r.doc_id: brute(r.text) for r in docs.collect()}
 
 
-def test_covering_finds_a_conjunction():
+def cells_of(spark, rows):
+    return spark.createDataFrame([(*cell, grow, low, high) for cell, grow, low, high in rows], ", ".join(f"{f} int" for f in FEATURES) + ", grow boolean, low long, high long")
+
+
+def test_covering_finds_a_conjunction(spark):
     cells = [((a, b, 0, 0, 0, 0, 0), grow, 10 if a > 1 and b <= 0 else 0, 0 if a > 1 and b <= 0 else 10) for a in range(4) for b in range(3) for grow in (True, False)]
-    rules = cover(cells, [[0.1, 0.2, 0.3], [5.0, 6.0], [], [], [], [], []])
+    rules = cover(cells_of(spark, cells), [[0.1, 0.2, 0.3], [5.0, 6.0], [], [], [], [], []])
     assert [set(r.conditions) for r in rules] == [{Condition("word_length", True, 0.2), Condition("symbol_share", False, 5.0)}]
-    assert cover([((0,) * 7, True, 5, 5), ((0,) * 7, False, 5, 5)], [[1.0]] * 7) == []
+    assert cover(cells_of(spark, [((0,) * 7, True, 5, 5), ((0,) * 7, False, 5, 5)]), [[1.0]] * 7) == []
+
+
+def brute_cover(rows, borders):
+    """Sequential covering over single rows (bins, grow, low), by the definition."""
+    rules, test = [], lambda r, t: (r[0][t[0]] > t[2]) == t[1]
+    while True:
+        tests, live = [], [r for r in rows if r[1]]
+        while True:
+            p0 = sum(r[2] for r in live)
+            best, found = 1e-9, None
+            for t in [(f, above, k) for f, b in enumerate(borders) for k in range(len(b)) for above in (False, True)]:
+                own = [r for r in live if test(r, t)]
+                a = sum(r[2] for r in own)
+                if 0 < p0 < len(live) and a and (gain := a * (math.log2(a / len(own)) - math.log2(p0 / len(live)))) > best:
+                    best, found = gain, t
+            if not found:
+                break
+            tests.append(found)
+            live = [r for r in live if test(r, found)]
+        worth, parts = [], []
+        for i in range(1, len(tests) + 1):
+            own = [r for r in rows if all(test(r, t) for t in tests[:i])]
+            prune = [r[2] for r in own if not r[1]]
+            worth.append((2 * sum(prune) - len(prune)) / len(prune) if prune else -1.0)
+            parts.append((own, prune))
+        if not tests:
+            return rules
+        i = worth.index(max(worth))
+        own, prune = parts[i]
+        if sum(r[2] for r in own) < 0.9 * len(own) or sum(prune) < 0.9 * len(prune) or least_share(sum(prune), len(prune) - sum(prune)) < 0.6:
+            return rules
+        rules.append(Rule(tuple(Condition(FEATURES[f], above, borders[f][k]) for f, above, k in tests[: i + 1])))
+        rows = [r for r in rows if not all(test(r, t) for t in tests[: i + 1])]
+
+
+def test_covering_against_brute_force(spark):
+    rng = random.Random(5)
+    borders = [[float(k) for k in range(3)], [0.5, 1.5], [1.0], [], [], [], []]
+    for _ in range(2):
+        rows = []
+        for _ in range(600):
+            bins = (rng.randint(0, 3), rng.randint(0, 2), rng.randint(0, 1), 0, 0, 0, 0)
+            low = rng.random() < (0.98 if bins[0] == 3 or bins[1] == 0 and bins[2] == 1 else 0.05)
+            rows.append((bins, rng.random() < 0.66, int(low)))
+        want = brute_cover(rows, borders)
+        assert want and cover(cells_of(spark, [(b, g, n, 1 - n) for b, g, n in rows]), borders) == want
 
 
 def test_first_rule_decides(docs_of):
