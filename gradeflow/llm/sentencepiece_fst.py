@@ -1,16 +1,18 @@
-"""SentencePiece BPE encoding and decoding as a shortest path in a weighted transducer.
+"""SentencePiece BPE encoding and decoding as a shortest path in a weighted transducer over the tropical semiring.
 
-The transducer is a composition of three parts, compiled once per worker from the model's pieces:
+Compiled once per worker from the model file:
 
-* the normaliser: a leading space, and every space as U+2581;
-* the pieces, as arcs over code points, with byte arcs for code points that no piece has;
-* adjacency: an arc of piece v may follow piece u with weight 0 if merging the characters of u and v by the model's scores
-  ends in exactly u, v, and with infinite weight otherwise.
+* the normaliser: the model's flags (a leading space, runs of spaces kept or joined) and every space as U+2581;
+* the pieces, as arcs over code points, and for a code point that no piece has an arc of its bytes, at weight 1;
+* the order of merges, as weights: an arc of piece v behind an arc of piece u has weight 0, or infinity if merging by the
+  model's scores would join something across their border. That is read off the two pieces' derivations, which are compiled
+  with them: a pair that meets at the border is joined if its score is better than those of the next merges on both sides.
 
-A sequence of pieces is the model's encoding exactly if all its adjacent pairs are, so every prefix of an input has one path
-of finite weight, and the tropical shortest path keeps one state for each position. Adjacency weights are found when a
-composition first needs them. No piece joins a space to what stands before it, so the composition is done word by word
-and kept for words that come again.
+An input is composed with these parts from left to right, and the least sum of weights to each position is kept with its last
+arc. A sequence of pieces is the model's encoding exactly if all its neighbours are, so every beginning of an input has one path
+of finite weight and one state for each position is enough. Weights of scores alone would not do: a merge model's encoding is not
+its best-scoring segmentation. No piece joins a space to what stands before it, so the composition is done word by word and kept
+for words that come again.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ SPACE = "▁"
 #: Entries that a worker keeps of words and of adjacency weights; when full, a table starts anew.
 KEPT_WORDS, KEPT_PAIRS = 700_000, 2_000_000
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_RUNS = re.compile(" {2,}")
+INFINITE = float("inf")
 _loaded: dict[str, Transducer] = {}
 
 
@@ -48,10 +53,68 @@ class _Words(dict):
         return out
 
 
+class Normaliser(NamedTuple):
+    """What the model file says about spaces; models with a character map of their own are refused."""
+
+    leading: bool
+    joined: bool
+
+    @classmethod
+    def of(cls, model: bytes) -> Normaliser:
+        flags = {3: 1, 4: 1}  # the format's defaults
+        for field, value in _fields(model):
+            if field == 3:
+                for number, x in _fields(value):
+                    flags[number] = x
+        if flags.get(2):
+            raise ValueError("the model's normaliser has a character map")
+        return cls(bool(flags[3]), bool(flags[4]))
+
+    def __call__(self, text: str) -> str:
+        if self.joined:
+            text = _RUNS.sub(" ", text.strip(" "))
+        return (SPACE if self.leading and text else "") + text.replace(" ", SPACE)
+
+
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol-buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(message):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            yield key >> 3, message[at : at + size]
+            at += size
+
+
+class Derivation(NamedTuple):
+    """How merging makes a piece of its characters: the score of each merge in turn, and the piece at either end before it
+    and after the last one."""
+
+    scores: list[float]
+    left: list[str]
+    right: list[str]
+
+
 class Transducer:
-    def __init__(self, pieces: list[str], scores: list[float], first_byte: int, special: set[int]):
+    def __init__(self, pieces: list[str], scores: list[float], first_byte: int, special: set[int], normaliser: Normaliser):
         self.pieces = pieces
         self.first_byte = first_byte
+        self.normaliser = normaliser
         inner = {p: i for i, p in enumerate(pieces) if i not in special and not first_byte <= i < first_byte + 256}
         self.score = {p: scores[i] for p, i in inner.items()}
         self.number = inner
@@ -59,17 +122,24 @@ class Transducer:
         if any(SPACE in p[1:] for p in inner if p.strip(SPACE)):
             raise ValueError("a piece joins a space to other characters before it")
         self.text = [p.replace(SPACE, " ") if i not in special else "" for i, p in enumerate(pieces)]
+        self.bytes = frozenset(range(first_byte, first_byte + 256))
         self.size = len(pieces)
-        #: The trie of the pieces: -1 for what only begins a piece.
-        self.arcs = {p[:k]: -1 for p in inner for k in range(1, len(p))} | inner
-        self.pairs: dict[int, bool] = {}
+        #: The trie of the pieces: by code point the piece that ends there, or -1, and what may follow.
+        self.arcs: dict[str, tuple] = {}
+        for p, v in inner.items():
+            node = self.arcs
+            for c in p[:-1]:
+                node = node.setdefault(c, (-1, {}))[1]
+            node[p[-1]] = v, node.get(p[-1], (-1, {}))[1]
+        self.derivations: dict[int, Derivation] = {}
+        self.weights: dict[int, float] = {}
         self.runs: dict[int, tuple[int, ...]] = {}
         self.words = _Words(self)
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """Symbols merged pair by pair: the best score first, and of equal ones the leftmost."""
+    def merges(self, symbols: list[str]) -> Iterator[tuple[float, list[str]]]:
+        """The score of each merge in turn, the best first and of equal ones the leftmost, and the symbols, which change."""
         n = len(symbols)
-        left, right, live = list(range(-1, n - 1)), list(range(1, n + 1)), list(symbols)
+        left, right, live = list(range(-1, n - 1)), list(range(1, n + 1)), symbols
         heap: list[tuple[float, int, int, str]] = []
 
         def offer(i: int, j: int) -> None:
@@ -79,7 +149,7 @@ class Transducer:
         for i in range(n - 1):
             offer(i, i + 1)
         while heap:
-            _, i, j, both = heapq.heappop(heap)
+            score, i, j, both = heapq.heappop(heap)
             if not live[i] or not live[j] or right[i] != j or live[i] + live[j] != both:
                 continue
             live[i], live[j] = both, ""
@@ -88,37 +158,77 @@ class Transducer:
                 left[right[j]] = i
             offer(left[i], i)
             offer(i, right[i])
-        return [x for x in live if x]
+            yield -score, live
+
+    def derivation(self, piece: int) -> Derivation | None:
+        """None if merging the piece's characters does not give the piece."""
+        if piece not in self.derivations:
+            live = list(self.pieces[piece])
+            out = Derivation([], [live[0]], [live[-1]])
+            for score, _ in self.merges(live):
+                out.scores.append(score)
+                out.left.append(live[0])
+                out.right.append(next(x for x in reversed(live) if x))
+            self.derivations[piece] = out if out.left[-1] == self.pieces[piece] else None
+        return self.derivations[piece]
+
+    def weight(self, u: int, v: int) -> float:
+        """Of an arc of piece v behind one of piece u."""
+        key = u * self.size + v
+        if (known := self.weights.get(key)) is not None:
+            return known
+        if len(self.weights) >= KEPT_PAIRS:
+            self.weights.clear()
+        out = self.weights[key] = INFINITE if self._joins(self.derivation(u), self.derivation(v)) else 0.0
+        return out
 
-    def adjacent(self, u: int, v: int) -> bool:
-        a, b = self.pieces[u], self.pieces[v]
-        known = self.merged(list(a + b)) == [a, b]
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
-        self.pairs[u * self.size + v] = known
-        return known
+    def _joins(self, a: Derivation | None, b: Derivation | None) -> bool:
+        if a is None or b is None:
+            return True
+        i = j = 0
+        while True:
+            mine = a.scores[i] if i < len(a.scores) else -INFINITE
+            other = b.scores[j] if j < len(b.scores) else -INFINITE
+            # of equal scores the leftmost merge comes first
+            if (across := self.score.get(a.right[i] + b.left[j])) is not None and across > mine and across >= other:
+                return True
+            if mine == other == -INFINITE:
+                return False
+            if mine >= other:
+                i += 1
+            else:
+                j += 1
 
     def word_ids(self, word: str) -> tuple[int, ...]:
-        """The path of a word without spaces but at its start; last[j] is the arc by which the path reaches position j."""
-        arcs, pairs, size, n = self.arcs, self.pairs, self.size, len(word)
-        last = [-2] * (n + 1)  # -2: none yet, -1: the bytes of one code point, or the start
-        last[0] = -1
+        """The shortest path of a word without spaces but at its start.
+
+        least[j] is the least weight of a path to position j, last[j] its last arc: a piece, or -1 for bytes and at the start.
+        """
+        arcs, weights, size, n, inner = self.arcs, self.weights, self.size, len(word), self.number
+        least, last = [INFINITE] * (n + 1), [-1] * (n + 1)
+        least[0] = 0.0
         for i in range(n):
-            u = last[i]
-            for j in range(i + 1, n + 1):
-                v = arcs.get(word[i:j])
-                if v is None:
+            so_far, u = least[i], last[i]
+            node, j, row = arcs, i, u * size
+            for c in word[i:]:
+                found = node.get(c)
+                if found is None:
                     break
-                if v >= 0 and last[j] == -2:
+                v, node = found
+                j += 1
+                if v >= 0 and so_far < least[j]:
                     # a piece follows bytes and the start freely
-                    if u < 0:
-                        last[j] = v
+                    if u >= 0:
+                        w = weights.get(row + v)
+                        if w is None:
+                            w = self.weight(u, v)
+                        if so_far + w >= least[j]:
+                            continue
+                        least[j], last[j] = so_far + w, v
                     else:
-                        fits = pairs.get(u * size + v)
-                        if fits or fits is None and self.adjacent(u, v):
-                            last[j] = v
-            if last[i + 1] == -2:
-                last[i + 1] = -1
+                        least[j], last[j] = so_far, v
+            if so_far + 1.0 < least[i + 1] and word[i] not in inner:
+                least[i + 1], last[i + 1] = so_far + 1.0, -1
         out: list[int] = []
         j = n
         while j:
@@ -134,7 +244,10 @@ class Transducer:
     def run_ids(self, n: int) -> tuple[int, ...]:
         """The path of n spaces that join nothing else."""
         if n not in self.runs:
-            out = tuple(self.number[p] for p in self.merged([SPACE] * n))
+            live = [SPACE] * n
+            for _ in self.merges(live):
+                pass
+            out = tuple(self.number[p] for p in live if p)
             if n > 1000:
                 return out
             self.runs[n] = out
@@ -153,26 +266,27 @@ class Transducer:
         return self.run_ids(spaces) + own[1:] if own[0] == self.blank else self.run_ids(spaces - 1) + own
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        return list(chain.from_iterable(map(self.words.__getitem__, _WORDS.findall(SPACE + text.replace(" ", SPACE)))))
+        return list(chain.from_iterable(map(self.words.__getitem__, _WORDS.findall(self.normaliser(text)))))
 
     def decode(self, ids: list[int]) -> str:
-        out: list[str] = []
-        held = bytearray()
-        low, high, text = self.first_byte, self.first_byte + 256, self.text
-        for i in ids:
-            if low <= i < high:
-                held.append(i - low)
-                continue
+        """The pieces' text, bytes joined to characters, without the leading space if the normaliser adds one."""
+        if self.bytes.isdisjoint(ids):
+            out = list(map(self.text.__getitem__, ids))
+        else:
+            out, held = [], bytearray()
+            low, high, text = self.first_byte, self.first_byte + 256, self.text
+            for i in ids:
+                if low <= i < high:
+                    held.append(i - low)
+                    continue
+                if held:
+                    out.append(held.decode("utf-8", "replace"))
+                    held.clear()
+                out.append(text[i])
             if held:
                 out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(text[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
         joined = "".join(out)
-        return joined[1:] if joined.startswith(" ") else joined
+        return joined[1:] if self.normaliser.leading and joined.startswith(" ") else joined
 
 
 def transducer(model: str = "piece_bpe_32k.model") -> Transducer:
@@ -188,7 +302,9 @@ def transducer(model: str = "piece_bpe_32k.model") -> Transducer:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.vocab_size()
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
-        _loaded[model] = Transducer([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], next(i for i in range(n) if sp.is_byte(i)), special)
+        with open(path, "rb") as file:
+            normaliser = Normaliser.of(file.read())
+        _loaded[model] = Transducer([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], next(i for i in range(n) if sp.is_byte(i)), special, normaliser)
     return _loaded[model]
 
 

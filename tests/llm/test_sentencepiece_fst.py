@@ -48,3 +48,44 @@ def test_round_trip_and_edge_rows(docs_of):
     want = sorted((str(r.doc_id), r.text or "") for r in docs.collect())
     assert sorted((str(r.doc_id), r.text) for r in decode(out).collect()) == want
     assert encode(docs_of([])).collect() == []
+
+
+def merged(fst, text):
+    """Merging pair by pair as the definition has it: the best score anywhere, the leftmost of equal ones."""
+    live = list(text)
+    while True:
+        found = [(-fst.score[a + b], i) for i, (a, b) in enumerate(zip(live, live[1:])) if a + b in fst.score]
+        if not found:
+            return live
+        _, i = min(found)
+        live[i : i + 2] = [live[i] + live[i + 1]]
+
+
+def test_weights_against_merging():
+    fst = transducer()
+    rng = random.Random(6)
+    common = [v for p, v in fst.number.items() if p.isascii() and len(p) < 7]
+    pairs = [(rng.choice(common), rng.choice(common)) for _ in range(1500)] + [(fst.number[a], fst.number[b]) for a, b in (("in", "g"), ("t", "he"), ("▁", "the"), ("re", "s"))]
+    found = {fst.weight(u, v) for u, v in pairs}
+    assert found == {0.0, float("inf")}
+    for u, v in pairs:
+        whole = merged(fst, fst.pieces[u] + fst.pieces[v]) == [fst.pieces[u], fst.pieces[v]]
+        assert (fst.weight(u, v) == 0.0) is whole, (fst.pieces[u], fst.pieces[v])
+
+
+def test_normaliser_follows_the_model():
+    from gradeflow.llm.sentencepiece_fst import Normaliser
+
+    message = lambda *flags: bytes([26, len(flags) * 2, *(x for f in flags for x in f)])
+    assert Normaliser.of(message((24, 1), (32, 0)))(" a  b") == "▁▁a▁▁b"
+    assert Normaliser.of(message((24, 0), (32, 1)))(" a  b ") == "a▁b"
+    assert Normaliser.of(message((24, 1), (32, 0)))("") == ""
+    with pytest.raises(ValueError):
+        Normaliser.of(bytes([26, 3, 18, 1, 65]))
+
+
+def test_very_long_texts(library):
+    fst = transducer()
+    for t in ("x" * 20_000, "語" * 5_000, "many words and 12 " * 20_000, " " * 30_000):
+        assert fst.encode(t) == library.encode(t)
+        assert fst.decode(fst.encode(t)) == t
