@@ -3,8 +3,9 @@
 A document is the byte stream of its lower-cased words joined by spaces, then an end symbol. Spark counts every context of
 up to DEPTH bytes with its next byte over the whole training part; tasks combine equal n-grams before they are shuffled. A
 context stays in the tree if it occurs twice or more and its next-byte distribution diverges from that of its suffix: n times
-the Kullback-Leibler divergence is at least d * ln(N) / 2, for n occurrences with d different next bytes among N positions. No
-share of the corpus is asked for, so the tree grows with the corpus and stays a Spark table.
+the Kullback-Leibler divergence, which is what the context saves, is at least d * (ln(N) / 2 + ln(A)), the cost of naming its d
+next bytes, of A in use, and their shares, for N positions. No share of the corpus is asked for, so the tree grows with the corpus
+and stays a Spark table.
 
 A state's distribution is smoothed by its suffix's (Witten-Bell), the root's by adding one. The contexts above a count that
 at most HEAD_CONTEXTS contexts reach are broadcast. Scoring walks their automaton: its states are the beginnings of
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import fold, text_of, written
 
 DEPTH = 6
-HEAD_CONTEXTS = 50_000
+HEAD_CONTEXTS = 80_000
 HEAD_WORDS = 100_000
 #: The filter of rarer contexts has 2 to this power bits, 8 MB.
 FILTER_BITS = 26
@@ -144,7 +145,8 @@ class Tree(NamedTuple):
 
 def contexts(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(length, context, next, n, total) of the retained contexts and of the root; grams are (gram, n) of depth + 1 bytes, summed."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
+    total, alphabet = grams.agg(F.sum("n"), F.count_distinct(F.col("gram").bitwiseAND(255))).first()
+    total = total or 0
     of_context = Window.partitionBy("context")
     whole = lambda df: written(df.withColumn("total", F.sum("n").over(of_context)).withColumn("kinds", F.count("*").over(of_context)))
     level = whole(grams.select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("next"), "n"))
@@ -160,7 +162,7 @@ def contexts(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
         # shuffled at any size: both sides grow with the corpus
         both = rows.join(parents.hint("merge"), ["parent", "next"])
         gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("parent_n") / F.col("parent_total"))))
-        stay = both.groupBy("context", "total", "kinds").agg(gain.alias("gain"), F.collect_list(F.struct("next", "n")).alias("following")).where(F.col("gain") >= F.col("kinds") * float(np.log(max(2, total)) / 2))
+        stay = both.groupBy("context", "total", "kinds").agg(gain.alias("gain"), F.collect_list(F.struct("next", "n")).alias("following")).where(F.col("gain") >= F.col("kinds") * float(np.log(max(2, total)) / 2 + np.log(max(1, alphabet))))
         # each level is a plan of its own, so the driver never holds one over all of them
         out = out.union(written(stay.select(F.lit(length).alias("length"), "context", F.inline("following"), "total").select("length", "context", "next", "n", "total")))
     return out

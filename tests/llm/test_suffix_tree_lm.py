@@ -41,7 +41,7 @@ def brute_model(docs, depth, share):
         if c and t >= max(2, share * total):
             pt = sum(p.values())
             gain = sum(k * math.log((k / t) / (p[x] / pt)) for x, k in n.items())
-            if gain >= len(n) * math.log(total) / 2:
+            if gain >= len(n) * (math.log(total) / 2 + math.log(len(counts[b""]))):
                 kept[c] = n
     return kept
 
