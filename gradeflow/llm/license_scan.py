@@ -1,10 +1,11 @@
 """Licence scan by conditional compression.
 
-Blocks of a text that mention licensing are compressed alone and with each licence template as a raw zstandard dictionary.
-The template that saves most describes the block best; the leaders are then confirmed by aligning words: a template wins if
-all its telling words (names and numbers) are in the block and few words differ. The differences are reported. What is left
-before and behind a winner is read again, so a block may hold several. Where a line alone says nothing, runs of adjacent lines
-(or sentences of long lines) around it are blocks, as notices are wrapped.
+Blocks of a text that mention licensing are compressed alone and with each licence template as a raw zstandard dictionary; the
+templates are short notices and whole ones. The template that saves most describes the block best; the leaders are then
+confirmed by aligning words: a template wins if all its telling words are in the block and few words differ. The differences are
+reported; of templates that agree equally the one that saves more wins, then the earlier one. What is left before and behind a
+winner is read again, so a block may hold several. Where a line alone says nothing, runs of lines (or sentences of long lines)
+around it, over blank lines and behind comment marks, are blocks, as notices are wrapped.
 """
 
 from __future__ import annotations
@@ -45,6 +46,68 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
 )
+
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_GNU = (
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version. "
+    "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details."
+)
+#: Whole notices by SPDX id, with the words that a text must have to be one; others may differ.
+NOTICES: tuple[tuple[str, str, str], ...] = (
+    (
+        "MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, '
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "granted charge sublicense merge",
+    ),
+    ("BSD-2-Clause", _BSD + _BSD_END, "redistributions binary forms disclaimer"),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_END, "redistributions binary forms disclaimer neither endorse"),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        "permission fee granted disclaims",
+    ),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License.",
+        "apache 2.0 compliance governing",
+    ),
+    ("GPL-2.0-or-later", _GNU.format("program", "", "2"), "gnu general either 2 later"),
+    ("GPL-3.0-or-later", _GNU.format("program", "", "3"), "gnu general either 3 later"),
+    ("AGPL-3.0-or-later", _GNU.format("program", "Affero ", "3"), "gnu affero general either 3 later"),
+    ("LGPL-2.1-or-later", _GNU.format("library", "Lesser ", "2.1"), "gnu lesser general either 2.1 later"),
+    ("LGPL-3.0-or-later", _GNU.format("library", "Lesser ", "3"), "gnu lesser general either 3 later"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "mozilla 2.0 form mpl"),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+        "misrepresented altered plainly origin",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "unencumbered public domain compile",
+    ),
+)
 LEAST_SAVING = 0.2
 LEAST_AGREEMENT = 0.8
 #: Longest piece of a line that is one block; longer lines are read by sentences.
@@ -77,14 +140,14 @@ def words(text: str) -> list[str]:
 
 
 class _Template:
-    def __init__(self, name: str, text: str):
+    def __init__(self, name: str, text: str, telling: str | None = None):
         self.name, self.words = name, words(text)
-        self.telling = {w for w in self.words if w not in _COMMON}
+        self.telling = {w for w in self.words if w not in _COMMON} if telling is None else set(telling.split())
         self.coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 class Scanner:
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
+    def __init__(self, templates: tuple[tuple[str, ...], ...] = TEMPLATES + NOTICES):
         self.templates = [_Template(*t) for t in templates]
         self.most = max((len(t.words) for t in self.templates), default=0)
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
@@ -193,10 +256,10 @@ class Scanner:
                 begin = line.index(piece, begin)
                 found = self.block(piece) if _HINT.search(piece) else []
                 out += [f._replace(start=at + begin + f.start, end=at + begin + f.end) for f in found]
-                # a notice never reaches over a blank line or over a piece that is found by itself
-                if found or not _WORD.search(piece.lower()):
+                # a notice reaches over blank lines, but not over a piece that is found by itself
+                if found:
                     close()
-                if not found and _WORD.search(piece.lower()):
+                elif _WORD.search(piece.lower()):
                     run.append((at + begin, at + begin + len(piece)))
                 begin += len(piece)
             at += len(line) + 1
@@ -207,7 +270,7 @@ class Scanner:
 _FOUND = pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("saving", pa.float64()), ("agreement", pa.float64()), ("missing", pa.string()), ("added", pa.string())])
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[tuple[str, ...], ...] = TEMPLATES + NOTICES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, found) of every row: structs of license, start, end, saving, agreement, missing and added words.
 
     The whole text is read, by lines and by runs of adjacent lines. A null or empty text, and one without a licence, has an empty list. Each row is

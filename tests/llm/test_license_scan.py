@@ -1,7 +1,9 @@
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
-from gradeflow.llm.license_scan import TEMPLATES, Scanner, names, scan
+from gradeflow.llm.license_scan import NOTICES, TEMPLATES, Scanner, names, scan
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +62,30 @@ def test_several_in_a_line(scanner):
     assert [(f.license, text[f.start : f.end]) for f in scanner.scan(text)] == [("MIT", "Released under the MIT License."), ("CC-BY-4.0", "Licensed under CC BY 4.0.")]
     assert [f.license for f in scanner.scan("// SPDX-License-Identifier: MIT OR Apache-2.0")] == ["MIT", "Apache-2.0"]
     assert [f.license for f in scanner.scan("SPDX-License-Identifier: (GPL-2.0 WITH Classpath-exception-2.0) AND ISC SPDX-License-Identifier: MIT")] == ["GPL-2.0", "ISC", "MIT"]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+@pytest.mark.parametrize("name, text, telling", NOTICES)
+def test_whole_notices_wrapped_behind_comment_marks(scanner, name, text, telling, mark):
+    half = text.find(". ", len(text) // 2) + 1
+    body = [mark + x for part in (text[:half], text[half:]) for x in [*textwrap.wrap(part, 72), ""]]
+    t = "\n".join(["Some prose before the notice.", "Copyright (c) 2020 Someone", "", *body, "int main(void);"])
+    found = scanner.scan(t)
+    assert name in [f.license for f in found]
+    (f,) = [f for f in found if f.license == name]
+    # where a line is a short notice by itself, that is what is found
+    assert f.agreement > 0.95 and t[f.start : f.end].lstrip("#* ").split()[0] == text.split()[0]
+
+
+def test_notice_with_other_words(scanner):
+    text = next(t for n, t, _ in NOTICES if n == "MIT").replace("free of charge", "without any charge")
+    (f,) = scanner.scan(text)
+    assert (f.license, f.added, f.missing) == ("MIT", "without any", "free of")
+
+
+def test_every_pair_of_short_notices_in_a_block(scanner):
+    for n, t in TEMPLATES:
+        for m, u in TEMPLATES:
+            if n != m:
+                found = [f.license for f in scanner.scan(f"{t} {u}")]
+                assert n in found and m in found, (n, m, found)
