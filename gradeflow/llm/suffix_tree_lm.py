@@ -36,11 +36,12 @@ from .common import fold, text_of, written
 DEPTH = 6
 HEAD_CONTEXTS = 80_000
 HEAD_WORDS = 100_000
-#: The filter of rarer contexts has 2 to this power bits, 8 MB.
+#: The filter of rarer contexts has 2 to this power bits, 8 MB; one of 2 to the 24 says what three bytes they end with.
 FILTER_BITS = 26
+_LAST = 24
 END = 10
 _END_WORD = b"\n"
-_STREAM = 1 << 21
+_STREAM = 1 << 20
 _SEGMENT = 256
 #: What a counting task holds before it emits: different n-grams, different words; and the rows of a batch that it emits.
 HELD_GRAMS, HELD_WORDS, _ROWS = 2_000_000, 200_000, 32_768
@@ -86,19 +87,22 @@ def _grouped(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[lis
         yield first, held
 
 
-def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order, with the sums of their counts."""
-    order = np.argsort(codes)
-    codes, n = codes[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[first], np.add.reduceat(n, first)
+def _merged(held: tuple[np.ndarray, np.ndarray] | None, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes with their counts, after those of another sorted list are added."""
+    if held is None:
+        return codes, n
+    at = np.searchsorted(held[0], codes)
+    known = held[0][np.minimum(at, len(held[0]) - 1)] == codes
+    held[1][at[known]] += n[known]
+    new = ~known
+    return np.insert(held[0], at[new], codes[new]), np.insert(held[1], at[new], n[new])
 
 
 def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """(word, null, n) and (null, gram, n): counts that a task combines as far as its memory is bounded."""
     _models.clear()  # of an earlier run in this worker
     words: Counter[bytes] = Counter()
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: tuple[np.ndarray, np.ndarray] | None = None
     names = ["word", "gram", "n"]
 
     def word_rows() -> Iterator[pa.RecordBatch]:
@@ -108,31 +112,24 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
             part = keys.slice(at, _ROWS)
             yield pa.RecordBatch.from_arrays([part, pa.nulls(len(part), pa.int64()), n.slice(at, _ROWS)], names=names)
 
-    def gram_rows() -> Iterator[pa.RecordBatch]:
-        codes, n = held.pop()
+    def gram_rows(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(codes), _ROWS):
             part = codes[at : at + _ROWS].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(n[at : at + _ROWS])], names=names)
 
-    def merge() -> None:
-        if held:
-            held[:] = [_summed(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held]))]
-
     for batch in batches:
         for _, docs in _grouped(batch, 0):
             for d in docs:
                 words.update(d)
             codes, n = np.unique(_grams(*stream_of(docs, depth), depth)[0], return_counts=True)
-            held.append((codes, n.astype(np.int64)))
-            if sum(len(c) for c, _ in held[1:]) > HELD_GRAMS // 2:
-                merge()
-                if len(held[0][0]) > HELD_GRAMS:
-                    yield from gram_rows()
+            held = _merged(held, codes, n.astype(np.int64))
+            if len(held[0]) > HELD_GRAMS:
+                yield from gram_rows(*held)
+                held = None
             if len(words) > HELD_WORDS:
                 yield from word_rows()
-    merge()
-    if held:
-        yield from gram_rows()
+    if held is not None:
+        yield from gram_rows(*held)
     yield from word_rows()
 
 
@@ -241,18 +238,28 @@ def _slots(length: np.ndarray | int, context: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def _endings(length: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The three bytes that each context ends with; all that are possible for a shorter one."""
+    out = [context[length >= 3] & ((1 << _LAST) - 1)]
+    for size in (1, 2):
+        for c in np.unique(context[length == size]).tolist():
+            out.append((np.arange(1 << _LAST - 8 * size) << 8 * size) | c)
+    return np.unique(np.concatenate(out))
+
+
 def _filter(rare: DataFrame) -> np.ndarray:
-    """A bit for each slot that a context of ``rare`` has; empty if there is none."""
+    """A bit for each slot that a context of ``rare`` has, then one for each ending; empty if there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = _slots(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            length, context = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            slots = np.concatenate([_slots(length, context), (1 << FILTER_BITS) + _endings(length, context)])
             yield pa.RecordBatch.from_arrays([pa.array(slots >> 6), pa.array(np.int64(1) << (slots & 63))], names=["word", "bits"])
 
     words = rare.select("length", "context").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     if not words.num_rows:
         return np.zeros(0, np.uint8)
-    out = np.zeros(1 << FILTER_BITS - 6, "<i8")
+    out = np.zeros((1 << FILTER_BITS - 6) + (1 << _LAST - 6), "<i8")
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint8)
 
@@ -269,9 +276,14 @@ def rarer_grams(bits: np.ndarray, docs: list[list[bytes]], depth: int = DEPTH) -
         return pa.array([[]] * len(docs), pa.list_(pa.int64()))
     stream, begins, ends = stream_of(docs, depth)
     grams, predicted = _grams(stream, begins, ends, depth)
-    hit = np.zeros(len(grams), bool)
+    ending = ((grams >> np.uint64(8)) & np.uint64((1 << _LAST) - 1)).astype(np.int64)
+    some = np.flatnonzero((bits[(1 << FILTER_BITS - 3) + (ending >> 3)] >> (ending & 7).astype(np.uint8)) & 1)
+    own = grams[some]
+    found = np.zeros(len(own), bool)
     for length in range(1, depth + 1):
-        hit |= _may_be(bits, length, grams)
+        found |= _may_be(bits, length, own)
+    hit = np.zeros(len(grams), bool)
+    hit[some[found]] = True
     at = np.flatnonzero(predicted)[hit] + depth
     offsets = np.concatenate([[0], np.searchsorted(at, ends)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams[hit].astype(np.int64)))
