@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Closing brackets by their opening ones.
 BRACKETS = {"(": ")", "（": "）", "【": "】", "［": "］", "「": "」", "《": "》", "<": ">", "[": "]"}
-#: What an annotation is, in the order in which they go.
+#: What an annotation is, in the order in which they go: bracketed parts, then tails.
 ANNOTATIONS = (r"\(.*?\)", r"（.*?）", r"\[.*?\]", r"<.*?>", r"\{.*?\}", r"【.*?】", r"《.*?》", r"—.*$", r":.*$", r"：.*$")
 CJK = "[一-鿿]"
 

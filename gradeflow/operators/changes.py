@@ -6,7 +6,7 @@ Parquet has no merge, so a change makes a new version of the table; write it bes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .taxonomy import path_key
@@ -51,17 +51,17 @@ def outcomes(replayed: DataFrame) -> DataFrame:
 
 
 def apply_changes(tax: DataFrame, changes: DataFrame) -> DataFrame:
-    """The taxonomy after a batch; new categories follow the last row in the order of their paths, without elements."""
+    """The taxonomy after a batch; new categories follow the last row, in an order that their paths fix, without elements."""
     after = replay_changes(tax, changes).withColumn("_key", path_key(F.col("path"))).select("_key", "path", "existed", "present", F.col("feature").alias("_feature"), F.col("grade").alias("_grade"))
     known = after.where("existed").drop("path")
     kept = tax.join(known, path_key(F.col("path")) == F.col("_key"), "left").where("_key IS NULL OR present")
     kept = kept.withColumn("feature", F.when(F.col("_key").isNotNull(), F.col("_feature")).otherwise(F.col("feature"))).withColumn("grade", F.when(F.col("_key").isNotNull(), F.col("_grade")).otherwise(F.col("grade"))).select(tax.columns)
-    from pyspark.sql import Window
-
     last = tax.agg(F.coalesce(F.max("row_no"), F.lit(-1)).alias("last"))
-    new = after.where("NOT existed AND present").withColumn("rank", F.row_number().over(Window.orderBy("_key"))).crossJoin(F.broadcast(last))
+    from .kb import ranked
+
+    new = ranked(after.where("NOT existed AND present"), F.md5(F.col("_key").cast("binary")), "_key").withColumnRenamed("_rank", "rank").crossJoin(F.broadcast(last))
     values = {"row_no": F.col("last") + F.col("rank"), "path": F.col("path"), "feature": F.col("_feature"), "grade": F.col("_grade"), "condition": F.lit(""), "elements": F.array().cast("array<string>")}
-    made = new.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in tax.schema])
+    made = new.select(*[values.get(f.name, F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in tax.schema])
     return kept.unionByName(made)
 
 
@@ -92,9 +92,19 @@ def element_change(elements: Column, ops: Column) -> Column:
 
 
 def apply_element_changes(tax: DataFrame, changes: DataFrame) -> DataFrame:
-    """The taxonomy after element changes (item_no, action, name, elements); they hold for rows with a level of that name."""
+    """The taxonomy after element changes (item_no, action, name, elements); they hold for rows with a level of that name.
+
+    Adding again what the same name was given since it was last replaced or cut changes nothing, so such items go before rows
+    meet them: what a row takes is bounded by the different elements of its names, not by the items.
+    """
+    w = Window.partitionBy("name").orderBy("item_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = changes.withColumn("_span", F.sum((F.col("action") != "add").cast("int")).over(w))
+    adds = each.where("action = 'add'").select("name", "_span", "item_no", F.posexplode("elements").alias("_i", "e")).groupBy("name", "_span", "e").agg(F.min(F.struct("item_no", "_i")).alias("at"))
+    first = adds.groupBy("name", F.col("at.item_no").alias("item_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at._i", "e"))), lambda x: x["e"]).alias("elements"))
+    less = changes.where("action <> 'add'").select("name", "item_no", "action", "elements").unionByName(first.withColumn("action", F.lit("add")))
+    folded = less.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("item_no", "action", "elements"))).alias("_each"))
     named = tax.select("row_no", F.explode(F.array_distinct("path")).alias("name"))
-    ops = named.join(changes, "name").groupBy("row_no").agg(F.collect_list(F.struct("item_no", "action", F.col("elements").alias("elements"))).alias("_ops"))
+    ops = named.join(folded, "name").groupBy("row_no").agg(F.flatten(F.collect_list("_each")).alias("_ops"))
     out = tax.join(ops, "row_no", "left")
     return out.withColumn("elements", F.when(F.col("_ops").isNotNull(), element_change(F.col("elements"), F.col("_ops"))).otherwise(F.col("elements"))).select(tax.columns)
 
@@ -115,3 +125,15 @@ def delete_documents(chunks: DataFrame, wanted: DataFrame) -> tuple[DataFrame, D
     key = lambda df: df.withColumn("_key", F.concat_ws("\x1e", "spec_uid", path_key(F.col("path")), "doc_name"))
     a, b = key(chunks), key(wanted)
     return a.join(b.select("_key").distinct(), "_key", "left_anti").drop("_key"), b.join(a.select("_key").distinct(), "_key", "left_anti").drop("_key")
+
+
+def emptied_categories(chunks: DataFrame, left: DataFrame) -> DataFrame:
+    """(spec_uid, path) of categories that had chunks and have none left."""
+    key = lambda df: df.withColumn("_key", F.concat_ws("\x1e", "spec_uid", path_key(F.col("path"))))
+    return key(chunks).select("_key", "spec_uid", "path").distinct().join(key(left).select("_key").distinct(), "_key", "left_anti").drop("_key")
+
+
+def remaining_classes(classes: DataFrame, chunks: DataFrame, left: DataFrame) -> DataFrame:
+    """Class rows (doc_id, ...) without those of documents all of whose chunks are gone."""
+    gone = chunks.select(F.col("doc_name").alias("doc_id")).distinct().join(left.select(F.col("doc_name").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    return classes.join(gone, "doc_id", "left_anti")

@@ -56,6 +56,18 @@ def routed(records: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame
     return named.where("kind IS NOT NULL").drop("doc_class"), named.where("kind IS NULL").groupBy("doc_class").agg(F.count("*").alias("n"))
 
 
+def ranked(rows: DataFrame, digest: Column, *order: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """rows with _rank, counted from 1 within keys in the order of a hex digest.
+
+    Numbering is by hash range: rows are counted per leading hex digits first, so no window holds all rows.
+    """
+    staged = rows.withColumn("_d", digest).withColumn("_b", F.substring("_d", 1, 3))
+    sizes = staged.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_d", *order))
+    return staged.join(before, [*keys, "_b"]).withColumn("_rank", (F.col("_before") + place).cast("long")).drop("_b", "_before", "_d")
+
+
 def numbered(records: DataFrame) -> DataFrame:
     """Records once per content (text and items) in their spec and kind, with an id that counts from the kind's offset in
     the order of content hashes.
@@ -63,12 +75,10 @@ def numbered(records: DataFrame) -> DataFrame:
     Numbering is by hash range: records are counted per leading hex digits first, so no window holds a whole kind.
     """
     content = F.md5(F.concat_ws("\x1e", "vectorizing_text", "text", F.array_join("items", "\x1f")).cast("binary"))
-    once = records.withColumn("content_md5", content).dropDuplicates(["spec_uid", "kind", "content_md5"]).withColumn("_b", F.substring("content_md5", 1, 3))
-    sizes = once.groupBy("spec_uid", "kind", "_b").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("spec_uid", "kind").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    once = records.withColumn("content_md5", content).dropDuplicates(["spec_uid", "kind", "content_md5"])
     offset = F.create_map(*[F.lit(x) for kv in OFFSETS.items() for x in kv])
-    rank = F.row_number().over(Window.partitionBy("spec_uid", "kind", "_b").orderBy("content_md5"))
-    return once.join(before, ["spec_uid", "kind", "_b"]).withColumn("id", (offset[F.col("kind")] + F.col("_before") + rank).cast("long")).drop("_b", "_before")
+    placed = ranked(once, F.col("content_md5"), keys=("spec_uid", "kind"))
+    return placed.withColumn("id", (offset[F.col("kind")] + F.col("_rank")).cast("long")).drop("_rank")
 
 
 def consistency(records: DataFrame, tax: DataFrame) -> DataFrame:
@@ -87,6 +97,10 @@ def standard_elements(tax: DataFrame) -> DataFrame:
     """(id, items, text, source_line): one record per element: classification|subcategory|element."""
     own = tax.select("row_no", F.get("path", F.lit(0)).alias("c"), F.get("path", F.lit(1)).alias("s"), F.posexplode("elements").alias("k", "e")).where("e <> ''")
     parts = F.array(F.coalesce("c", F.lit("")), F.coalesce("s", F.lit("")), F.col("e"))
-    before = own.groupBy("row_no").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # rows are counted by ranges of 4096 row numbers first, so no window holds them all
+    counted = own.groupBy("row_no").agg(F.count("*").alias("_n")).withColumn("_r", F.floor(F.col("row_no") / 4096))
+    ranges = counted.groupBy("_r").agg(F.sum("_n").alias("_m")).withColumn("_base", F.coalesce(F.sum("_m").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_r").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counted.withColumn("_within", within).join(ranges, "_r").select("row_no", (F.col("_base") + F.col("_within")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("row_no").orderBy("k"))
     return own.join(before, "row_no").select((F.col("_before") + rank).alias("id"), F.array_join(parts, "|").alias("items"), F.col("e").alias("text"), F.col("c").alias("classification"), F.col("s").alias("subcategory"), F.col("row_no").alias("source_line"))

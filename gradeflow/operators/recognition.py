@@ -81,6 +81,12 @@ def table_sentence(requests: DataFrame, long: bool = True) -> Column:
     return F.concat_ws(",", *[part(label, c) for label, c in labels if c in requests.columns], short)
 
 
+def file_sentence(name: Column, system: Column, shown: Column) -> Column:
+    """What a file asks for as text: its system and name, labelled, and what its outline or head shows."""
+    part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}:"), c))
+    return F.concat_ws("\n", part("system", system), part("file", name), F.nullif(F.coalesce(shown, F.lit("")), F.lit("")))
+
+
 def prompts(candidates: DataFrame, requests: DataFrame, sentence: Column, instruction: str) -> DataFrame:
     """(request_id, prompt): an instruction, what is asked, and the numbered candidates in order."""
     listed = candidates.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda x: F.concat_ws(". ", x["number"], x["text"])), "\n").alias("_c"))

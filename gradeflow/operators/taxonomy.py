@@ -114,6 +114,16 @@ def match_directories(directories: DataFrame, tax: DataFrame, least: float = 0.5
     return matching_rows(directories, tax, least, name).where("rk = 1").select(F.col("text").alias(name), "row_no", "score")
 
 
+def match_paths(paths: DataFrame, tax: DataFrame, least: float = 0.5, path: str = "category_path") -> DataFrame:
+    """(key, row_no, score): for each distinct path of directories the row that its last one resembles most; a path with a
+    directory that resembles none is left out, with all below it. key is the path's key."""
+    own = paths.select(F.col(path).alias("_path")).where(F.size("_path") > 0).distinct().withColumn("key", path_key(F.col("_path")))
+    levels = own.select("key", F.posexplode("_path").alias("level", "directory"))
+    met = levels.join(match_directories(levels, tax, least), "directory", "left")
+    whole = met.groupBy("key").agg(F.bool_and(F.col("row_no").isNotNull()).alias("_all"), F.max_by(F.struct("row_no", "score"), "level").alias("_m"))
+    return whole.where("_all").select("key", "_m.row_no", "_m.score")
+
+
 def category_text(tax: DataFrame) -> DataFrame:
     """(row_no, text): levels, feature, grade, condition and elements, empty ones left out, joined by comma and space."""
     values = F.concat("path", F.array("feature", "grade", "condition", F.array_join("elements", "、")))

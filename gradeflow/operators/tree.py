@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.grades import lowest_grade, scene_type
 from .taxonomy import path_key, prefixes, used_path
 
-#: Levels that a taxonomy may have.
-DEEPEST = 10
-
 
 def tree_edges(tax: DataFrame) -> DataFrame:
     """(node, parent, depth, name, grade, annotate, n_children): a node for each prefix of a path.
@@ -30,11 +27,12 @@ def tree_edges(tax: DataFrame) -> DataFrame:
 def tree_json(edges: DataFrame) -> DataFrame:
     """(name, json) of each root: DataClassification, DataGrading, Annotate, SubDataClassifications, children by name.
 
-    Built from the leaves up, one grouping per level.
+    Built from the leaves up, one grouping per level, however deep the tree is; no edges give no rows.
     """
     text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
     done = None
-    for depth in range(DEEPEST, 0, -1):
+    deepest_level = edges.agg(F.max("depth")).first()[0] or 1
+    for depth in range(deepest_level, 0, -1):
         own = edges.where(F.col("depth") == depth)
         if done is not None:
             below = done.groupBy(F.col("parent").alias("_of")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "json"))), lambda x: x["json"]), ",").alias("_sub"))

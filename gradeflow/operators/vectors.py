@@ -1,24 +1,24 @@
 """Embeddings and exact vector search.
 
-``ip_topk`` with few queries is an expression over a broadcast of them, whose size is checked; with many it is a blocked
-matrix product: queries travel in blocks, each partition of the corpus keeps its own best k of each query, and a window
-merges them. Hash embeddings are native and the same on any engine.
+A search broadcasts its queries block by block, each block of a fixed number, and every task multiplies chunks of the corpus with
+it: it keeps the best k of each query, or the pairs above a threshold, and a window merges what tasks kept. So no task holds more
+than a block, a chunk and their scores, and no corpus row is shuffled. Hash embeddings are the same on any engine.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 
-#: Queries that may be broadcast to an expression join, and those of one block of the matrix product.
-FEW_QUERIES, BLOCK = 64, 512
+#: Queries that are broadcast at once, and corpus rows that meet them at once.
+BLOCK, CHUNK = 2048, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,54 +31,109 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
 
 
-def ip_topk(vectors: DataFrame, queries: DataFrame, k: int, predicate: Column | None = None, vec_id: str = "vec_id", vector: str = "embedding", query_id: str = "q_id", query_vector: str = "q_vector") -> DataFrame:
+def _blocks(queries: DataFrame) -> Iterator[pa.Table]:
+    """The queries in blocks of about BLOCK rows."""
+    n = queries.count()
+    blocks = max(1, -(-n // BLOCK))
+    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
+    for i in range(blocks):
+        yield dealt.where(F.col("_b") == i).drop("_b").toArrow()
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+
+
+def _groups(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), object)
+
+
+def _over(vectors: DataFrame, queries: DataFrame, kernel: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """kernel(queries, chunk) for every block of queries (q_id, q, g) and chunk of vectors (vec_id, v, g)."""
+    spark, out = vectors.sparkSession, None
+    for block in _blocks(queries):
+        if not block.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for columns in kernel(shared.value, (b.slice(at, CHUNK) for b in batches for at in range(0, b.num_rows, CHUNK))):
+                yield pa.RecordBatch.from_arrays(list(columns), names=[x.split(" ")[0] for x in schema.split(", ")])
+
+        own = vectors.mapInArrow(run, schema)
+        out = own if out is None else out.union(own)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _best(block: pa.Table, chunks: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+    """The k best rows of each query in a task: by score, equal ones by id."""
+    asked, groups = _matrix(block["q"]), _groups(block["g"])
+    held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # query, id, score
+    kind = None
+    for chunk in chunks:
+        kind = chunk.column(0).type
+        if not chunk.num_rows:
+            continue
+        score = np.round(asked @ _matrix(chunk.column(1)).T, 6)
+        fits = groups[:, None] == _groups(chunk.column(2))[None, :]
+        ids = np.array(chunk.column(0).to_pylist())
+        # the least score among a query's best of this chunk; those that equal it stay for the ids to decide
+        score[~fits] = -np.inf
+        size = min(k, score.shape[1])
+        least = np.partition(score, score.shape[1] - size, axis=1)[:, score.shape[1] - size]
+        q, at = np.nonzero((score >= least[:, None]) & fits)
+        found = q, ids[at], score[q, at]
+        both = found if held is None else tuple(np.concatenate(x) for x in zip(held, found))
+        order = np.lexsort((both[1], -both[2], both[0]))
+        first = np.searchsorted(both[0][order], both[0][order])
+        held = tuple(x[order[np.arange(len(order)) - first < k]] for x in both)
+    if held is not None:
+        yield block["q_id"].combine_chunks().take(pa.array(held[0])), pa.array(held[1].tolist(), kind), pa.array(held[2])
+
+
+def ip_topk(vectors: DataFrame, queries: DataFrame, k: int, predicate: Column | None = None, vec_id: str = "vec_id", vector: str = "embedding", query_id: str = "q_id", query_vector: str = "q_vector", by: str | None = None) -> DataFrame:
     """(q_id, vec_id, ip, rk): the k vectors with the largest inner product with each query, rounded to six places, equal
-    ones by id; of those that meet the predicate."""
+    ones by id; of those that meet the predicate. ``by`` names a column that query and vector must have in common; rows of
+    a query for several values of it are ranked for each, and the result has it as ``collection``."""
     kept = vectors if predicate is None else vectors.where(predicate)
-    kept = kept.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"))
-    asked = queries.select(F.col(query_id).alias("q_id"), F.col(query_vector).alias("q"))
-    few = asked.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
-    if few:
-        scored = kept.join(F.broadcast(asked), F.lit(True)).select("q_id", "vec_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("ip"))
-    else:
-        scored = _blocked(kept, asked, k)
+    group = F.col(by) if by else F.lit(0)
+    corpus = kept.where(F.col(vector).isNotNull()).select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"), group.alias("g"))
+    named = queries.where(F.col(query_vector).isNotNull()).select(F.struct(F.col(query_id).alias("id"), group.alias("g")).alias("q_id"), F.col(query_vector).alias("q"), group.alias("g"))
+    kinds = named.schema["q_id"].dataType.simpleString(), corpus.schema["vec_id"].dataType.simpleString()
+    scored = _over(corpus, named, lambda block, chunks: _best(block, chunks, k), f"q_id {kinds[0]}, vec_id {kinds[1]}, ip double")
     best = Window.partitionBy("q_id").orderBy(F.desc("ip"), "vec_id")
-    return scored.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k)
+    ranked = scored.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k)
+    return ranked.select(F.col("q_id.id").alias("q_id"), *([F.col("q_id.g").alias("collection")] if by else []), "vec_id", "ip", "rk")
 
 
-def _blocked(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The best k of each query within each corpus block; corpus and queries are both dealt in blocks, and a task holds one of
-    each, so neither side needs to fit in memory."""
-    spark = vectors.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int")).select("block", F.lit(-1).alias("part"), F.lit(True).alias("is_query"), F.col("q_id").alias("id"), F.col("q").alias("v"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    corpus = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "part", F.lit(False).alias("is_query"), F.col("vec_id").alias("id"), "v")
-    id_type = vectors.schema["vec_id"].dataType.simpleString()
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked, own = pdf[pdf.is_query], pdf[~pdf.is_query].sort_values("id")
-        if asked.empty or own.empty:
-            return pd.DataFrame({"q_id": [], "vec_id": [], "ip": []})
-        score = np.round(np.stack(asked.v).astype(np.float64) @ np.stack(own.v).astype(np.float64).T, 6)
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"q_id": np.repeat(asked.id.to_numpy(), top.shape[1]), "vec_id": own.id.to_numpy()[top].ravel(), "ip": np.take_along_axis(score, top, 1).ravel()})
 
-    return asked.unionByName(corpus).groupBy("block", "part").applyInPandas(best, f"q_id {id_type}, vec_id {id_type}, ip double")
+def _alike(block: pa.Table, chunks: Iterator[pa.RecordBatch], least: float) -> Iterator[tuple]:
+    asked, groups = _unit(_matrix(block["q"])), _groups(block["g"])
+    for chunk in chunks:
+        cos = np.round(np.clip(asked @ _unit(_matrix(chunk.column(1))).T, -1, 1), 6)
+        q, at = np.nonzero((cos >= least) & (groups[:, None] == _groups(chunk.column(2))[None, :]))
+        if len(q):
+            yield block["q_id"].combine_chunks().take(pa.array(q)), chunk.column(0).take(pa.array(at)), pa.array(cos[q, at])
 
 
-def pairs_above(vectors: DataFrame, least: float, vec_id: str = "vec_id", vector: str = "embedding", within: str | None = None) -> DataFrame:
-    """(a_id, b_id, cos) of pairs a < b with a cosine of at least ``least``, rounded to six places.
+def similar(vectors: DataFrame, queries: DataFrame, least: float, vec_id: str = "vec_id", vector: str = "embedding", within: str | None = None) -> DataFrame:
+    """(a_id, b_id, cos): every query a and every vector b, other than by id itself, whose cosine, rounded to six places, is at
+    least ``least``; a zero vector has the cosine 0. ``within`` names a column in which both must be equal."""
+    group = F.col(within) if within else F.lit(0)
+    side = lambda df, i, v: df.where(F.col(vector).isNotNull()).select(F.col(vec_id).alias(i), F.col(vector).alias(v), group.alias("g"))
+    corpus, asked = side(vectors, "vec_id", "v"), side(queries, "q_id", "q")
+    kind = corpus.schema["vec_id"].dataType.simpleString()
+    return _over(corpus, asked, lambda block, chunks: _alike(block, chunks, least), f"a_id {kind}, b_id {kind}, cos double").where("a_id <> b_id")
 
-    ``within`` names a blocking column; without it every vector meets every other, in blocks, which costs the square.
-    """
-    by = [F.col(within).alias("w")] if within else [F.lit(0).alias("w")]
-    side = lambda p: vectors.select(*[c.alias(f"{p}_w") for c in by], F.col(vec_id).alias(f"{p}_id"), F.col(vector).alias(f"{p}_v"))
-    a, b = side("a"), side("b")
-    both = a.join(b, (F.col("a_w") == F.col("b_w")) & (F.col("a_id") < F.col("b_id")))
-    return both.select("a_id", "b_id", F.round(cosine(F.col("a_v"), F.col("b_v")), 6).alias("cos")).where(F.col("cos") >= least)
+
+def pairs_above(vectors: DataFrame, least: float, vec_id: str = "vec_id", vector: str = "embedding", within: str | None = None) -> DataFrame:
+    """(a_id, b_id, cos) of all pairs a < b with a cosine of at least ``least``, as in ``similar``."""
+    return similar(vectors, vectors, least, vec_id, vector, within).where("a_id < b_id")
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -99,17 +154,60 @@ def hash_terms(text: Column, dims: int = 64, n: int = 3) -> Column:
     return F.transform(_grams(text, n), lambda g: hash_term(g, dims))
 
 
+def _term(gram: str, dims: int) -> tuple[int, int]:
+    h = hashlib.md5(gram.encode("utf-8", "surrogatepass")).hexdigest()
+    return int(h[:7], 16) % dims, 1 if h[7] < "8" else -1
+
+
+def _embedded(texts: list[str], dims: int, n: int, terms: dict[str, tuple[int, int]]) -> np.ndarray:
+    """Signed counts (texts x dims) of the n-grams of texts; terms keeps what n-grams are worth."""
+    out = np.zeros((len(texts), dims), np.int64)
+    whole = "".join(texts)
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    sizes = np.array([len(t) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    grams = max(0, len(codes) - n + 1)
+    key = codes[:grams].copy()
+    for i in range(1, n):
+        if i > 2:
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        key = key * 0x110000 + codes[i : i + grams]
+    inside = np.flatnonzero(owner[:grams] == owner[n - 1 : n - 1 + grams])
+    _, first, kind = np.unique(key[inside], return_index=True, return_inverse=True)
+    for at in inside[first].tolist():
+        gram = whole[at : at + n]
+        if gram not in terms:
+            if len(terms) >= 1_000_000:
+                terms.clear()
+            terms[gram] = _term(gram, dims)
+    if len(inside):
+        worth = np.array([terms.get(whole[at : at + n]) or _term(whole[at : at + n], dims) for at in inside[first].tolist()])
+        cell = owner[inside] * dims + worth[kind, 0]
+        out += np.bincount(cell, weights=worth[kind, 1], minlength=out.size).astype(np.int64).reshape(out.shape)
+    for i in np.flatnonzero((sizes > 0) & (sizes < n)).tolist():
+        dim, sign = _term(texts[i], dims)
+        out[i, dim] += sign
+    return out
+
+
 def hash_embed(texts: DataFrame, text: str = "text", dims: int = 64, n: int = 3) -> DataFrame:
     """(text_md5, dim, weight) of each distinct text: signed counts of its n-grams by dimension; zero ones are left out.
 
-    N-grams are counted within texts first, and each distinct one is hashed once.
+    An embedding depends on its text alone, so distinct texts go through one Arrow pass, and nothing is shuffled after it.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                own = batch.column(0).slice(at, 256).to_pylist()
+                weight = _embedded(own, dims, n, terms)
+                row, dim = np.nonzero(weight)
+                digest = np.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in own], object)
+                yield pa.RecordBatch.from_arrays([pa.array(digest[row], pa.string()), pa.array(dim.astype(np.int32)), pa.array(weight[row, dim])], names=["text_md5", "dim", "weight"])
+
     distinct = texts.select(F.col(text).alias("t")).where("t IS NOT NULL").distinct()
-    # the digest before the explosion, or it would be taken again for each n-gram
-    keyed = distinct.select(F.md5(F.col("t").cast("binary")).alias("text_md5"), _grams(F.col("t"), n).alias("grams"))
-    counted = keyed.select("text_md5", F.explode("grams").alias("gram")).groupBy("text_md5", "gram").agg(F.count("*").alias("c"))
-    hashed = counted.select("gram").distinct().withColumn("x", hash_term(F.col("gram"), dims))
-    return counted.join(hashed, "gram").groupBy("text_md5", F.col("x.dim").alias("dim")).agg(F.sum(F.col("c") * F.col("x.sign")).alias("weight")).where("weight <> 0")
+    return distinct.mapInArrow(run, "text_md5 string, dim int, weight long")
 
 
 def hash_vector(text: Column, dims: int = 64, n: int = 3) -> Column:

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from ..operators import kb
 from ..operators.changes import delete_documents
-from ..operators.taxonomy import category_text, deepest, match_directories, prune_non_leaf
+from ..operators.taxonomy import category_text, match_paths, path_key, prune_non_leaf
 from ..operators.vectors import hash_vector
 from ..sources import tables
 
 
 def build_records(chunks: DataFrame, tax: DataFrame, classes: DataFrame, vector: Column | None = None) -> DataFrame:
     """Collection records of chunk lines (spec_uid, category_path, doc_name, chunk_no, line): each line goes to the taxonomy
-    row that its last directory resembles, and stands there under its own text and values; lines of general_knowledge
-    stand for themselves."""
+    row that its last directory resembles, and stands there under its own text and values; lines below a directory that
+    resembles none are left out, lines of general_knowledge stand for themselves."""
     general = F.get("category_path", F.lit(0)) == "general_knowledge"
-    own = chunks.where(~F.coalesce(general, F.lit(False))).withColumn("directory", deepest(F.col("category_path")))
-    matched = match_directories(own, tax).select("directory", "row_no")
+    own = chunks.where(~F.coalesce(general, F.lit(False))).withColumn("key", path_key(F.col("category_path")))
+    matched = match_paths(own, tax).select("key", "row_no")
     texts = category_text(tax).withColumnRenamed("text", "category_text")
-    lines = kb.expand_lines(own.join(matched, "directory").join(texts, "row_no"))
+    lines = kb.expand_lines(own.join(matched, "key").join(texts, "row_no"))
     records = lines.select("spec_uid", F.col("doc_name").alias("doc_id"), F.col("category_text").alias("text"), "vectorizing_text", kb.items_of(F.col("line"), F.col("category_text")).alias("items"))
     typed, _ = kb.routed(records, classes)
     every = typed.drop("doc_id").unionByName(kb.general_records(chunks.where(F.coalesce(general, F.lit(False)))))

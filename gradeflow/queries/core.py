@@ -6,36 +6,18 @@ Tables have no taxonomy, so ``part`` serves as one, and ``region``, ``nation`` a
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import grades as G
-from .functions import text as T
-from .operators import changes, chunking, grids, kb, lexical, lines, matching, recognition, scoring, taxonomy, tree, vectors
-from .plans import interpret
-from .sources import tables
-from .streaming import triggers
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return query
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ..functions import grades as G
+from ..functions import text as T
+from ..operators import changes, chunking, grids, kb, lexical, lines, matching, scoring, taxonomy, tree, vectors
+from ..plans import interpret
+from ..sources import tables
+from ..session import stored
+from ..streaming import triggers
+from .base import register, table
 
 # A taxonomy over part: three levels, a feature, a grade that may be joined, the words of the name as elements.
 GRADE = """CASE WHEN p_size % 4 = 0 THEN concat('第', p_size % 5 + 1, '级')
@@ -87,7 +69,7 @@ BM25 = f"""
 
 def bm25(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    posted = lexical.postings(docs)
+    posted = stored(lexical.postings(docs))
     return lexical.bm25_topk(posted, lexical.corpus_figures(docs, posted), items, k, "item_id").withColumnRenamed("query_id", "item_id")
 
 
@@ -127,9 +109,7 @@ def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = table(spark, sf_dir, "embeddings")
-    a = vec.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("av"), "label")
-    b = vec.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("bv"), "label")
-    return a.join(b, "label").where("a_id <> b_id").select("a_id", "b_id", F.round(vectors.cosine(F.col("av"), F.col("bv")), 6).alias("cos"))
+    return vectors.similar(vec, vec.where("vec_id % 50 = 0"), -1.0, within="label")
 
 
 # ---- names and matches ----
@@ -488,70 +468,6 @@ def r09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rk", rank).where("rk <= 5").select("item_id", "doc_id", "sim", "rk")
 
 
-@register(
-    "r13_candidate_dedup",
-    f"""WITH {BM25}, own AS (SELECT item_id, 'bm25' AS source, doc_id, score FROM best UNION ALL SELECT item_id, 'vector', doc_id, round(1.0 / rk, 6) FROM best WHERE doc_id % 2 = 0),
-        texts AS (SELECT own.*, d.text FROM own JOIN documents d USING (doc_id)),
-        once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, source, text ORDER BY score DESC, doc_id) AS d FROM texts) WHERE d = 1),
-        kept AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS rk FROM once)
-        SELECT item_id, source, doc_id, rk, row_number() OVER (PARTITION BY item_id ORDER BY source, rk) AS number FROM kept WHERE rk <= 5""",
-)
-def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bm25(spark, sf_dir).withColumnRenamed("item_id", "request_id")
-    both = found.select("request_id", F.lit("bm25").alias("source"), F.col("doc_id").alias("id"), "score").union(found.where("doc_id % 2 = 0").select("request_id", F.lit("vector"), "doc_id", F.round(1.0 / F.col("rk"), 6)))
-    texts = both.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    out = recognition.number_candidates(recognition.merge_candidates(texts))
-    return out.select(F.col("request_id").alias("item_id"), "source", F.col("id").alias("doc_id"), "rk", "number")
-
-
-# A request for each conversation: its first turn names the table, every turn is a field. Candidates are taxonomy rows.
-REQUESTS = """first AS (SELECT conv_id, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id),
-    cand AS (SELECT conv_id AS request_id, s.source, p.p_partkey AS row_no, CASE s.source WHEN 'bm25' THEN (conv_id * 7 + p_partkey * 3) % 101 ELSE (conv_id * 5 + p_partkey * 11) % 97 END AS score
-             FROM first JOIN part p ON p.p_partkey % 37 = conv_id % 37, (VALUES ('bm25'), ('vector')) s(source)),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id, source ORDER BY score DESC, row_no) AS rk FROM cand),
-    fused AS (SELECT request_id, row_no, round(sum(1.0::DOUBLE / (60 + rk)), 6) AS score FROM ranked WHERE rk <= 5 GROUP BY ALL),
-    chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, row_no) AS k FROM fused) WHERE k = 1)"""
-
-
-def conversation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id")).distinct()
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_no"))
-    pairs = first.withColumn("b", F.col("request_id") % 37).join(part.withColumn("b", F.col("row_no") % 37), "b")
-    score = lambda a, b, m: ((F.col("request_id") * a + F.col("row_no") * b) % m).cast("double")
-    each = lambda source, s: pairs.select("request_id", F.lit(source).alias("source"), "row_no", F.col("row_no").alias("id"), F.col("row_no").alias("text"), s.alias("score"))
-    return recognition.number_candidates(recognition.merge_candidates(each("bm25", score(7, 3, 101)).union(each("vector", score(5, 11, 97)))))
-
-
-@register(
-    "r19_table_recognition",
-    f"""WITH {TAX}, {REQUESTS}, n AS (SELECT row_no, p_name, grade, list_transform(regexp_extract_all(grade, '第(\\d+)级', 1), lambda n: n::INT) AS n FROM tax)
-        SELECT request_id, row_no, p_name AS category, CASE WHEN contains(grade, '/') AND len(n) > 0 THEN concat('第', list_max(n), '级') ELSE grade END AS grade FROM chosen JOIN n USING (row_no)""",
-)
-def r19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = recognition.choose(conversation_candidates(spark, sf_dir))
-    return recognition.resolve(chosen, part_taxonomy(spark, sf_dir)).select("request_id", "row_no", "category", "grade")
-
-
-@register(
-    "r20_field_mapping",
-    f"""WITH {TAX}, {REQUESTS}, fields AS (SELECT DISTINCT conv_id AS request_id, turn AS field_no, CASE turn % 4 WHEN 0 THEN 'red bolt' WHEN 1 THEN 'anvil' WHEN 2 THEN 'widgets' ELSE 'old ring' END AS text FROM conversations),
-        els AS (SELECT request_id, unnest(elements) AS name, generate_subscripts(elements, 1) AS i FROM chosen JOIN tax USING (row_no)),
-        asked AS (SELECT DISTINCT text AS name FROM fields), names AS (SELECT DISTINCT name FROM els), {_LCS},
-        cleaned AS (SELECT a.name AS text, n.name, {CLEAN.replace("(t", "(a.name").replace(" t END", " a.name END")} AS ca, {CLEAN.replace("(t", "(n.name").replace(" t END", " n.name END")} AS cn FROM asked a, names n),
-        pair AS (SELECT c.text, c.name, CASE WHEN c.text = c.name THEN 1.0 WHEN ca = cn THEN 0.95 ELSE round(coalesce(l, 0) / greatest(length(c.text), length(c.name)), 6) END AS score FROM cleaned c LEFT JOIN lcs ON lcs.text = c.text AND lcs.name = c.name),
-        hit AS (SELECT f.request_id, field_no, e.name AS element, score, row_number() OVER (PARTITION BY f.request_id, field_no ORDER BY score DESC, i) AS k FROM fields f JOIN els e USING (request_id) JOIN pair ON pair.text = f.text AND pair.name = e.name WHERE score >= 0.3)
-        SELECT request_id, field_no, element, score FROM hit WHERE k = 1""",
-)
-def r20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = recognition.resolve(recognition.choose(conversation_candidates(spark, sf_dir)), part_taxonomy(spark, sf_dir))
-    kinds = F.array(*map(F.lit, ("red bolt", "anvil", "widgets", "old ring")))
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), "turn", F.get(kinds, (F.col("turn") % 4).cast("int")).alias("text")).distinct()
-    elements = resolved.select("request_id", F.posexplode("elements").alias("element_no", "name"))
-    scored = recognition.scored_names_of(turns.join(elements, "request_id")).where("score >= 0.3")
-    rank = F.row_number().over(Window.partitionBy("request_id", "turn").orderBy(F.desc("score"), "element_no"))
-    return scored.withColumn("k", rank).where("k = 1").select("request_id", F.col("turn").alias("field_no"), F.col("name").alias("element"), "score")
-
-
 # ---- workbook interpretation ----
 
 
@@ -692,12 +608,6 @@ def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.batched(mapped, "o").select("batch_no", "n", F.md5(F.col("payload").cast("binary")).alias("payload_md5"))
 
 
-@register("s18_size_report", "SELECT 'documents' AS kind, round(sum(strlen(text)) / 1024, 2) AS kb FROM documents UNION ALL SELECT 'pages', round(sum(strlen(html)) / 1024, 2) FROM pages")
-def s18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = lambda name, c: table(spark, sf_dir, name).agg(F.lit(name).alias("kind"), F.round(F.sum(F.octet_length(c)) / 1024, 2).alias("kb"))
-    return size("documents", "text").union(size("pages", "html"))
-
-
 def event_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where("event_type IN ('signup', 'purchase')")
     return events.select(F.col("user_id").cast("string").alias("spec_uid"), F.when(F.col("event_type") == "signup", "classification").otherwise("data_element").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("n"))

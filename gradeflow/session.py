@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -17,8 +19,30 @@ def ship(spark: SparkSession) -> SparkSession:
     if app not in _shipped:
         _shipped.add(app)
         package = Path(__file__).parent
-        base = Path(tempfile.mkdtemp(prefix="gradeflow-ship-")) / "gradeflow"
+        folder = tempfile.mkdtemp(prefix="gradeflow-ship-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = Path(folder) / "gradeflow"
         staged = base.parent / "staged"
         shutil.copytree(package, staged / "gradeflow", ignore=shutil.ignore_patterns("__pycache__"))
         spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", staged))
     return spark
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; without that setting a local one, where all runs on one
+    machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="gradeflow-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: made once, read as often as it is used, and still there if an
+    executor is lost."""
+    path = f"{scratch_dir(df.sparkSession)}/gradeflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

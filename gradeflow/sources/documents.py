@@ -42,10 +42,27 @@ def markdown(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", text)
 
 
-def csv_records(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(record) JSON of each row of CSV files with a header; missing cells are empty."""
-    rows = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.na.fill("").select(F.to_json(F.struct("*")).alias("record"))
+def csv_records(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(record) JSON of each row of CSV files with a header; missing cells are empty.
+
+    Without an encoding each file's is UTF-8 where it is valid, else GBK where the session allows it and it is readable, else
+    Latin-1. Files are told apart first; their names are all that reaches the driver.
+    """
+    if encoding is None:
+        content = F.col("content")
+        kind = F.when(F.is_valid_utf8(content.cast("string")), "UTF-8")
+        if spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "true":
+            kind = kind.when(~F.contains(F.decode(content, "GBK"), F.lit("\ufffd")), "GBK")
+        named = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).groupBy(kind.otherwise("ISO-8859-1").alias("encoding")).agg(F.collect_list("path").alias("paths"))
+        groups = [(r["encoding"], r["paths"]) for r in named.orderBy("encoding").collect()]
+    else:
+        groups = [(encoding, [path])]
+    out = None
+    for name, paths in groups:
+        rows = spark.read.option("header", True).option("encoding", name).option("multiLine", True).option("escape", '"').csv(paths)
+        own = rows.na.fill("").select(F.to_json(F.struct("*")).alias("record"))
+        out = own if out is None else out.union(own)
+    return spark.createDataFrame([], "record string") if out is None else out
 
 
 def outcome(good: DataFrame, rejects: DataFrame) -> DataFrame:

@@ -57,10 +57,13 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunk_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, category_path, doc_name, line) of the lines of Markdown files below a folder; line order is that of the file."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line"))
-    parts = F.split(F.regexp_replace("path", r"^.*?" + folder.strip("/").split("/")[-1] + "/", ""), "/")
-    return lines.where("line <> ''").select("path", F.slice(parts, F.lit(1), F.size(parts) - 1).alias("category_path"), F.element_at(parts, -1).alias("doc_name"), "line")
+    """(path, category_path, doc_name, line_no, line) of the lines with text of Markdown files below a folder; line_no counts
+    a file's lines from 1. A file of chunks is read as a whole."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    last = folder.rstrip("/").split("/")[-1]
+    parts = F.split(F.regexp_replace("path", f"^.*?/\\Q{last}\\E/", ""), "/")
+    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("_i", "_line")).where(F.trim("_line") != "")
+    return lines.select("path", F.slice(parts, F.lit(1), F.size(parts) - 1).alias("category_path"), F.element_at(parts, -1).alias("doc_name"), (F.col("_i") + 1).alias("line_no"), F.trim("_line").alias("line"))
 
 
 def collection_name(spec_uid: Column, kind: str) -> Column:
@@ -79,7 +82,8 @@ def rebuild_collections(records: DataFrame, path: str, spec_uids: list[str]) ->
     new = records.where(F.col("spec_uid").isin(spec_uids))
     whole = new if kept is None else new.unionByName(kept.where(~F.col("spec_uid").isin(spec_uids)).drop("version"), allowMissingColumns=True)
     version = 1 + (latest_version(spark, path) or 0)
-    whole.write.partitionBy("spec_uid", "kind").parquet(f"{path}/data/version={version}")
+    # of two rebuilds at once the later one finds the version's folder there and fails
+    whole.write.mode("errorifexists").partitionBy("spec_uid", "kind").parquet(f"{path}/data/version={version}")
     spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{path}/versions")
 
 
@@ -128,9 +132,20 @@ def clear_classes(stored: DataFrame, doc_ids: DataFrame | None = None) -> DataFr
     return stored.limit(0) if doc_ids is None else stored.join(doc_ids.select("doc_id"), "doc_id", "left_anti")
 
 
+def write_classes(classes: DataFrame, path: str) -> None:
+    """Adds class rows (doc_id, doc_class) to the store; a later row of a document counts."""
+    classes.select("doc_id", "doc_class", F.current_timestamp().alias("written_at")).write.mode("append").parquet(path)
+
+
+def list_classes(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, doc_class) of all documents in the store."""
+    return spark.read.parquet(path).groupBy("doc_id").agg(F.max_by("doc_class", F.struct("written_at", "doc_class")).alias("doc_class"))
+
+
 def write_results(results: DataFrame, path: str) -> None:
-    """Recognition results as JSON by database."""
-    results.withColumn("db", F.coalesce("dbName", F.lit("none"))).write.mode("overwrite").partitionBy("db").json(path)
+    """Recognition results as JSON by database and table; results of other tables stay."""
+    named = results.withColumn("db", F.coalesce("dbName", F.lit("none"))).withColumn("tbl", F.coalesce("tableName", F.lit("none")))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("db", "tbl").json(path)
 
 
 def write_dump(records: DataFrame, path: str) -> None:
