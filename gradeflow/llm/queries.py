@@ -102,6 +102,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+# The columns of three operators that SQL can express, by the same operators.
+
+
+def secret_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(statistics(read(spark, sf_dir, "documents")), []).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def suffix_tree_lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_suffix_tree_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_cnn": op1_quality_cnn,
     "op2_license_scan": op2_license_scan,
@@ -113,8 +128,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree_lm": op8_suffix_tree_lm,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "secret_scan_base": secret_scan_base,
+    "quality_rules_base": quality_rules_base,
+    "suffix_tree_lm_base": suffix_tree_lm_base,
 }
 
+_EITHER = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+_ASSIGN = rf"""({"|".join(map(_EITHER, ("password", "passwd", "secret", "token")))}|{_EITHER("api")}_?{_EITHER("key")})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=\-]+)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
 _HOST = r"regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)"
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1)"
 _DAY = lambda m, more=0: f"DATE '2024-01-01' + CAST(('0x' || substr(md5(key), 1, 7))::BIGINT % {m} + {more} AS INTEGER)"
@@ -144,6 +167,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT p.page_id, p.url, CAST(DATE '2024-01-01' + CAST(p.page_id % 90 AS INTEGER) AS VARCHAR) AS fetched_at, h.page_id IS NOT NULL AS blocked,
                h.kind, h.key, CAST(CAST(h.since AS DATE) AS VARCHAR) AS listed_from, h.reason
         FROM pages p LEFT JOIN hits h ON h.page_id = p.page_id AND h.r = 1""",
+    "secret_scan_base": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (SELECT doc_id, t, 0 AS kind, regexp_extract_all(t, '{_ASSIGN}') AS ms FROM d UNION ALL SELECT doc_id, t, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d UNION ALL SELECT doc_id, t, 2, regexp_extract_all(t, '[0-9a-f]+') FROM d),
+        walk AS (SELECT doc_id, kind, ms, 0 AS i, t AS rest, 0::BIGINT AS gone, NULL::BIGINT AS a, NULL::VARCHAR AS s FROM m WHERE len(ms) > 0
+                 UNION ALL SELECT doc_id, kind, ms, i + 1, substr(rest, strpos(rest, ms[i + 1]) + length(ms[i + 1])), gone + strpos(rest, ms[i + 1]) - 1 + length(ms[i + 1]), gone + strpos(rest, ms[i + 1]) - 1, ms[i + 1] FROM walk WHERE i < len(ms)),
+        spans AS (SELECT doc_id, kind, a, a + length(s) AS b FROM walk WHERE i > 0 AND CASE kind WHEN 0 THEN length(regexp_extract(s, '{_ASSIGN}', 2)) >= 6 WHEN 1 THEN length(s) >= 20 ELSE length(s) >= 24 END),
+        told AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(concat(['assign', 'access', 'hex'][kind + 1], ':', a, ':', b), ',' ORDER BY a, kind) AS s FROM spans GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256 FROM documents LEFT JOIN told USING (doc_id)""",
+    "quality_rules_base": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM d, unnest(range(1, len(w) - 6)) AS r(i)),
+        twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, 8)) AS r(k) GROUP BY doc_id),
+        s AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN covered c USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s""",
+    "suffix_tree_lm_base": rf"""
+        WITH d AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end') AS w FROM documents),
+        k AS (SELECT doc_id, held_out, unnest(w) AS token FROM d), c AS (SELECT token, count(*) AS c FROM k WHERE NOT held_out GROUP BY token), n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+        SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score FROM k LEFT JOIN c USING (token), n GROUP BY doc_id""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

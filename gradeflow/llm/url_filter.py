@@ -37,13 +37,17 @@ def intervals(entries: DataFrame) -> DataFrame:
     return dated.withColumn("listed_to", F.lead("at").over(own)).where("on = 1").select("kind", "key", F.col("at").alias("listed_from"), "listed_to", "reason")
 
 
-def _keys(url: Column, host: Column, path: Column) -> Column:
-    """Structs (kind, key) under which a URL may be listed."""
+def _keys(url: Column, host: Column, path: Column, labels_listed: int, parts_listed: int) -> Column:
+    """Structs (kind, key) under which a URL may be listed: no key has more labels or path segments than a listed one, so a
+    very long path costs no more than the list's longest."""
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key")))
+    longest = F.least(F.size(labels), F.lit(labels_listed))
+    last = lambda n: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".").alias("key"))
+    domains = F.when(longest > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), longest)), last))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")).alias("key")))
-    return F.concat(domains, prefixes, F.array(F.struct(F.lit("url").alias("kind"), url.alias("key"))))
+    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(parts_listed))), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")).alias("key")))
+    whole = F.array(F.struct(F.lit("url").alias("kind"), url.alias("key")))
+    return F.concat(F.coalesce(domains, F.slice(whole, 1, 0)), prefixes, whole)
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, page_id: str = "page_id", url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
@@ -52,10 +56,13 @@ def filter_urls(captures: DataFrame, entries: DataFrame, page_id: str = "page_id
     A prefix key is a host, a slash and whole path segments. A capture without a host or date is never blocked; repeated
     captures have repeated results. Other columns are ignored.
     """
+    # two numbers of the list reach the driver: the most labels of a listed domain and segments of a listed prefix
+    sizes = entries.agg(F.max(F.when(F.col("kind") == "domain", F.size(F.split("key", r"\.")))), F.max(F.when(F.col("kind") == "prefix", F.size(F.filter(F.split("key", "/"), lambda x: x != "")) - 1))).first()
+    listed = (sizes[0] or 0, max(0, sizes[1] or 0))
     rows = captures.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(fetched_at).alias("fetched_at"))
     distinct = rows.where(F.col("url").isNotNull() & F.col("fetched_at").isNotNull()).distinct().drop("page_id").distinct()
     hosted = distinct.withColumn("host", host_of(F.col("url"))).where("host <> ''")
-    looked_up = hosted.select("url", "fetched_at", F.explode(_keys(F.col("url"), F.col("host"), path_of(F.col("url")))).alias("k")).select("url", "fetched_at", "k.kind", "k.key")
+    looked_up = hosted.select("url", "fetched_at", F.explode(_keys(F.col("url"), F.col("host"), path_of(F.col("url")), *listed)).alias("k")).select("url", "fetched_at", "k.kind", "k.key")
     live = looked_up.join(intervals(entries), ["kind", "key"]).where((F.col("fetched_at") >= F.col("listed_from")) & (F.col("listed_to").isNull() | (F.col("fetched_at") < F.col("listed_to"))))
     rank = F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.length("key"))
     best = live.groupBy("url", "fetched_at").agg(F.max_by(F.struct("kind", "key", "listed_from", "reason"), rank).alias("hit"))
