@@ -51,10 +51,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of those with equal keys, the first by its columns as JSON; only keys that repeat are shuffled with their rows."""
-    twice = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    order = F.struct(F.to_json(F.struct(*rows.columns)).alias("j"), F.struct(*rows.columns).alias("r"))
-    repeated = rows.join(twice, same, "left_semi").groupBy(*keys).agg(F.min(order).alias("_m")).select("_m.r.*")
-    return rows.join(twice, same, "left_anti").unionByName(repeated)
+def only_kept(docs: DataFrame, keep: DataFrame, digest: Column, doc_id: str) -> DataFrame:
+    """The rows of docs whose text digest and id are a pair (digest, keep_id) of ``keep``; of rows that repeat both, the least
+    by its columns.
+
+    Rows meet by digest and id together, so the copies of a hot text are dealt over the tasks.
+    """
+    pair = lambda d, i: F.concat(d, F.coalesce(i.cast("string"), F.lit("-")).cast("binary"))
+    wanted = keep.select(pair(F.col("digest"), F.col("keep_id")).alias("_pair"))
+    held = docs.withColumn("_pair", pair(digest, F.col(doc_id).cast("long"))).join(wanted, "_pair", "left_semi")
+    return held.groupBy("_pair").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")

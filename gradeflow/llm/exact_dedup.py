@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest_of, one_of_each, text_of, written
+from .common import digest_of, only_kept, text_of, written
 
 #: Digests that a shard of the index holds on average: 1.6 MB of slots.
 SHARD_DIGESTS = 40_000
@@ -194,9 +194,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", is_
 def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one row of each text: that with the largest doc_id, null below all others.
 
-    Of rows that repeat this id and text one stays, the first by its columns as JSON. A null text is equal to an empty one.
+    Of rows that repeat this id and text one stays, the least by its columns. A null text is equal to an empty one.
     """
-    keep = exact_dedup(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_digest", digest_of(text_of(text)))
-    held = marked.join(keep, (F.col("_digest") == F.col("_sha")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    return one_of_each(held, ["_digest"]).drop("_digest")
+    keep = exact_dedup(docs, text, doc_id).where("kept").select(F.unhex("text_sha256").alias("digest"), "keep_id").distinct()
+    return only_kept(docs, keep, digest_of(text_of(text)), doc_id)

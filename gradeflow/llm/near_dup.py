@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest_of, one_of_each, shuffle_partitions, text_of, written
+from .common import digest_of, only_kept, shuffle_partitions, text_of, written
 from .components import components
 
 BANDS, ROWS = 25, 4
@@ -339,9 +339,8 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, text: str = "text", doc_id
 
     If rows of a class share this id, that with the least digest of its text stays; of rows that repeat both, one.
     """
-    classes, rows = class_of_texts(docs, threshold, text=text, doc_id=doc_id), docs.withColumn("_uid", _uid(text))
-    ids = rows.select(F.col("_uid").alias("uid"), F.col(doc_id).cast("long").alias("id"))
+    classes = class_of_texts(docs, threshold, text=text, doc_id=doc_id)
+    ids = docs.select(_uid(text).alias("uid"), F.col(doc_id).cast("long").alias("id"))
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "uid")).alias("m")
-    keep = ids.join(classes, "uid").groupBy("class").agg(first).select(F.col("m.id").alias("_keep"), F.col("m.uid").alias("_u"))
-    held = rows.join(keep, (F.col("_uid") == F.col("_u")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    return one_of_each(held, ["_uid"]).drop("_uid")
+    keep = ids.join(classes, "uid").groupBy("class").agg(first).select(F.col("m.uid").alias("digest"), F.col("m.id").alias("keep_id"))
+    return only_kept(docs, keep, _uid(text), doc_id)

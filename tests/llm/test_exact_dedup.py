@@ -46,3 +46,25 @@ def test_empty_table_and_filter(docs_of):
     kept = drop_repeats(docs_of(["x", "y", "x", None]))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
+
+
+def brute_rows(rows):
+    """One row of each text: the largest id, null below all others."""
+    best = {}
+    for i, t in rows:
+        key = t or ""
+        if key not in best or (i is not None and (best[key] is None or i > best[key])):
+            best[key] = i
+    return sorted(((i, t) for t, i in best.items()), key=repr)
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "a"), (1, "a"), (2, "b"), (2, "c"), (3, "b")],
+    [(None, "x"), (None, "x"), (5, "x"), (None, "y"), (None, "y"), (7, None), (8, "")],
+    [(1, "same")] * 30 + [(2, "other"), (1, "other")],
+    [(4, "é" * 50_000), (5, "é" * 50_000), (5, "é" * 50_000 + ".")],
+    [],
+])
+def test_rows_are_told_by_id_and_text(docs_of, rows):
+    got = drop_repeats(docs_of(rows, extra=True)).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in got), key=repr) == brute_rows(rows)

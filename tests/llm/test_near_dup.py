@@ -98,3 +98,40 @@ def test_empty_and_keep_one(docs_of):
     assert near_duplicates(docs_of([])).collect() == []
     kept = keep_one(docs_of(["a b c d e f g", "x", "a b c d e f g", None, "", None]))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3]
+
+
+@pytest.mark.parametrize("rows", [
+    [(2, "b c d e f g"), (2, "x y z u v w"), (3, "b c d e f g"), (1, "p q r s t"), (1, "p q r s t")],
+    [(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (None, "only null here now yes"), (None, None), (9, "")],
+    [(7, " ".join(f"w{i}" for i in range(60))), (7, " ".join(f"w{i}" for i in range(1, 60))), (8, " ".join(f"w{i}" for i in range(60)) + " z")],
+    [(3, "word " * 30_000), (4, "word " * 30_000), (5, "Word " * 30_000)],
+])
+def test_one_row_of_each_class_stays(docs_of, rows):
+    import hashlib
+
+    classes = {}
+    for (i, t), (_, c, _, _) in zip(sorted(rows, key=repr), brute_classes(rows)):
+        classes.setdefault(c, []).append((i is None, i or 0, hashlib.sha256((t or "").encode()).digest(), i, t or ""))
+    want = sorted((min(v)[3:] for v in classes.values()), key=repr)
+    got = keep_one(docs_of(rows, extra=True)).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in got), key=repr) == want
+
+
+def brute_classes(rows):
+    """(id, class, -, -) in the order of the rows' sorted reprs; a class is named by its least text."""
+    texts = sorted({t or "" for _, t in rows})
+    name = {t: t for t in texts}
+    for _ in texts:
+        for a in texts:
+            for b in texts:
+                both = len(grams(a) & grams(b))
+                if both and 5 * both >= 4 * len(grams(a) | grams(b)):
+                    name[a] = name[b] = min(name[a], name[b])
+    return [(i, name[t or ""], None, None) for i, t in sorted(rows, key=repr)]
+
+
+def test_very_long_texts(docs_of):
+    long = " ".join(f"t{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "t0 " + long), (4, long.upper())]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(docs_of(rows)).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0)}
