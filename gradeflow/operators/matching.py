@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .lexical import B, EPSILON, K1
-from .vectors import cosine, hash_vector
+from .vectors import cosine, hash_vector, ip_topk
 
 
 def bm25_among(pairs: DataFrame, query: str = "query", candidate: str = "candidate") -> DataFrame:
@@ -65,8 +65,15 @@ def hybrid(embedded: DataFrame, lexical: DataFrame, keys: list[str], embedding_w
 
 
 def nearest_category(names: DataFrame, categories: DataFrame) -> DataFrame:
-    """(name, category, cos): of each name the nearest second-level category (name, row_no) by embedding, the first of equals."""
-    a = names.select("name").distinct().withColumn("v", hash_vector(F.col("name")))
-    b = categories.select(F.col("name").alias("category"), "row_no").withColumn("w", hash_vector(F.col("category")))
-    scored = a.crossJoin(F.broadcast(b) if b.limit(10_001).count() <= 10_000 else b).withColumn("cos", F.round(cosine(F.col("v"), F.col("w")), 6))
-    return scored.withColumn("rk", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("cos"), "row_no"))).where("rk = 1").select("name", "category", "cos")
+    """(name, category, cos): of each name the nearest second-level category (name, row_no) by embedding, the first of equals;
+    the cosine with a name or category without characters is 0."""
+
+    def unit(vector: Column) -> Column:
+        norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+        return F.transform(vector, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm))
+
+    asked = names.select("name").where("name IS NOT NULL").distinct().withColumn("v", unit(hash_vector(F.col("name"))))
+    known = categories.select(F.col("name").alias("category"), "row_no").withColumn("w", unit(hash_vector(F.coalesce("category", F.lit("")))))
+    best = ip_topk(known, asked, 1, vec_id="row_no", vector="w", query_id="name", query_vector="v")
+    own = categories.select(F.col("name").alias("category"), F.col("row_no").alias("vec_id"))
+    return best.join(own, "vec_id").select(F.col("q_id").alias("name"), "category", F.col("ip").alias("cos"))

@@ -58,17 +58,15 @@ def scored_names(queries: DataFrame, names: DataFrame, least: float = 0.0, query
 
     With ``least`` above 0 only pairs that share a character bigram are compared (two names of at least two characters whose
     common substring is longer than one share one; pairs that could reach ``least`` with one character are kept by their
-    first characters); with 0, all pairs are.
+    first characters); with 0, all pairs that share a character, as others score 0, and those of equal clean names.
     """
     q = queries.select(F.col(query).alias("q")).where("q IS NOT NULL").distinct()
     n = names.select(F.col(name).alias("n")).where("n IS NOT NULL").distinct()
-    if least > 0:
-        grams = lambda c: F.array_distinct(F.array_append(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substr(c, i, F.lit(2))), clean_name(c)))
-        short = lambda c: F.when(F.length(c) * least <= 1, F.split(c, "")).otherwise(F.array().cast("array<string>"))
-        key = lambda c: F.explode(F.array_distinct(F.concat(grams(c), F.when(F.length(c) * least <= 1, F.split(c, "")).otherwise(F.array().cast("array<string>")), short(c))))
-        pairs = q.select("q", key(F.col("q")).alias("g")).join(n.select("n", key(F.col("n")).alias("g")), "g").select("q", "n").distinct()
-    else:
-        pairs = q.crossJoin(F.broadcast(n) if n.limit(100_001).count() <= 100_000 else n)
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substr(c, i, F.lit(2)))
+    # one common character is enough where a name is so short
+    single = lambda c: F.when(F.length(c) * least <= 1, F.split(c, "")).otherwise(F.array().cast("array<string>"))
+    key = lambda c: F.explode(F.array_distinct(F.concat(grams(c), single(c), F.array(clean_name(c)))))
+    pairs = q.select("q", key(F.col("q")).alias("g")).join(n.select("n", key(F.col("n")).alias("g")), "g").select("q", "n").distinct()
     tiers = pairs.withColumn("tier", F.when(F.col("q") == F.col("n"), 1.0).when(clean_name(F.col("q")) == clean_name(F.col("n")), 0.95))
     # only pairs that no tier decides reach the Arrow function
     decided = tiers.where("tier IS NOT NULL").select("q", "n", F.col("tier").alias("score"))

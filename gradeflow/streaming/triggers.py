@@ -1,6 +1,6 @@
 """Two-signal trigger, task status, debounced rebuilds, health rounds, orphan tasks.
 
-Batch forms are windows over event tables; stream forms keep state per key behind a watermark.
+Batch forms are windows and folds over event tables; stream forms keep state per key behind a watermark.
 """
 
 from __future__ import annotations
@@ -13,39 +13,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..session import stored
+
 #: Seconds that a lone classification call waits.
 TIMEOUT = 120
 
 
-def trigger_batch(calls: DataFrame, timeout: int = TIMEOUT) -> DataFrame:
+#: Kinds seen since a specification last fired: none, classification, data_element.
+_NONE, _CLASS, _ELEMENT = 0, 1, 2
+#: Minutes of calls that are folded as one.
+SPAN = 60
+
+
+def _folded(ordered: Column, start: int, timeout: int) -> Column:
+    """(seen, out): what a span of calls leaves if it begins with ``start`` seen, and its firings."""
+    state = "struct<seen:int,last:timestamp,out:array<struct<fired_at:timestamp,reason:string>>>"
+    wait = F.expr(f"interval {timeout} seconds")
+    fired = lambda at, reason: F.array(F.struct(at.alias("fired_at"), F.lit(reason).alias("reason")))
+
+    def step(s: Column, x: Column) -> Column:
+        expired = F.coalesce((s["seen"] == _CLASS) & (x["ts"] > s["last"] + wait), F.lit(False))
+        before = F.when(expired, F.lit(_NONE)).otherwise(s["seen"])
+        own = F.when(x["kind"] == "classification", _CLASS).when(x["kind"] == "data_element", _ELEMENT).otherwise(_NONE)
+        both = before + own == _CLASS + _ELEMENT
+        out = F.when(expired, F.concat(s["out"], fired(s["last"] + wait, "timeout"))).otherwise(s["out"])
+        return F.struct(F.when(both, _NONE).when(own == _NONE, before).otherwise(own).alias("seen"), x["ts"].alias("last"), F.when(both, F.concat(out, fired(x["ts"], "both"))).otherwise(out).alias("out")).cast(state)
+
+    zero = F.struct(F.lit(start).alias("seen"), F.lit(None).cast("timestamp").alias("last"), F.array().cast("array<struct<fired_at:timestamp,reason:string>>").alias("out")).cast(state)
+    return F.aggregate(ordered, zero, step, lambda s: F.struct(s["seen"].alias("seen"), s["out"].alias("out")))
+
+
+def trigger_batch(calls: DataFrame, timeout: int = TIMEOUT, span: int = SPAN) -> DataFrame:
     """(spec_uid, fired_at, reason) of calls (spec_uid, kind, ts, n), kind being classification or data_element, n a unique
     number that orders calls of one time.
 
     A spec fires when both kinds have been called since it last fired, at the later call; or when only classification has and
-    ``timeout`` seconds pass after the last call before another comes. Lone data_element calls never fire. The order of
-    calls is a fold over each spec's calls, so it runs as one: state is the kinds seen and the last time.
-    """
-    state = "struct<c:boolean,d:boolean,last:timestamp,out:array<struct<fired_at:timestamp,reason:string>>>"
-    wait = F.expr(f"interval {timeout} seconds")
-    fire = lambda out, at, reason: F.array_append(out, F.struct(at.alias("fired_at"), F.lit(reason).alias("reason")))
+    ``timeout`` seconds pass after the last call before another comes. Lone data_element calls never fire.
 
-    def late(s: Column, now: Column) -> Column:
-        return s["c"] & ~s["d"] & (now > s["last"] + wait)
-
-    def step(s: Column, x: Column) -> Column:
-        expired = late(s, x["ts"])
-        out = F.when(expired, fire(s["out"], s["last"] + wait, "timeout")).otherwise(s["out"])
-        c = (s["c"] & ~expired) | (x["kind"] == "classification")
-        d = (s["d"] & ~expired) | (x["kind"] == "data_element")
-        both = c & d
-        return F.struct((c & ~both).alias("c"), (d & ~both).alias("d"), x["ts"].alias("last"), F.when(both, fire(out, x["ts"], "both")).otherwise(out).alias("out")).cast(state)
-
-    start = F.struct(F.lit(False).alias("c"), F.lit(False).alias("d"), F.lit(None).cast("timestamp").alias("last"), F.array().cast("array<struct<fired_at:timestamp,reason:string>>").alias("out")).cast(state)
-    end = calls.agg(F.max("ts").alias("_end"))
-    folded = calls.groupBy("spec_uid").agg(F.array_sort(F.collect_list(F.struct("ts", "n", "kind"))).alias("_x")).crossJoin(F.broadcast(end))
-    done = folded.withColumn("_s", F.aggregate("_x", start, step))
-    out = F.when(late(F.col("_s"), F.col("_end")), fire(F.col("_s.out"), F.col("_s.last") + wait, "timeout")).otherwise(F.col("_s.out"))
-    return done.select("spec_uid", F.explode(out).alias("f")).select("spec_uid", "f.fired_at", "f.reason")
+    Calls are folded by spans of some minutes in parallel, from each of the three states in which a span may begin; then the
+    few numbers of each span tell in which it did. So a spec with a large share of all calls is many tasks.
+    """
+    opened = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (60 * span)).alias("span")
+    ordered = calls.groupBy("spec_uid", opened).agg(F.array_sort(F.collect_list(F.struct("ts", "n", "kind"))).alias("_x"))
+    spans = stored(ordered.select("spec_uid", "span", F.col("_x")[0]["ts"].alias("first"), F.element_at("_x", -1)["ts"].alias("last"), *[_folded(F.col("_x"), k, timeout).alias(f"f{k}") for k in (_NONE, _CLASS, _ELEMENT)]))
+    end = spans.agg(F.max("last").alias("_end"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
+    numbers = spans.select("spec_uid", "span", "first", "last", *[F.col(f"f{k}.seen").alias(f"s{k}") for k in (0, 1, 2)]).crossJoin(F.broadcast(end)).select("spec_uid", "span", micros("first"), micros("last"), micros("_end"), "s0", "s1", "s2")
+    wait = timeout * 1_000_000
+
+    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen, before, out = _NONE, 0, []
+        rows = pdf.sort_values("span")
+        for name, own, first, last, *leaves in rows[["spec_uid", "span", "first", "last", "s0", "s1", "s2"]].itertuples(index=False):
+            late = None
+            if seen == _CLASS and first > before + wait:
+                seen, late = _NONE, before + wait
+            out.append((name, own, seen, late))
+            seen, before = leaves[seen], last
+        if seen == _CLASS and rows["_end"].iloc[0] > before + wait:
+            out.append((rows["spec_uid"].iloc[0], None, None, before + wait))
+        done = pd.DataFrame(out, columns=["spec_uid", "span", "seen", "late"])
+        return done.astype({"span": "Int64", "seen": "Int64", "late": "Int64"})
+
+    kind = calls.schema["spec_uid"].dataType.simpleString()
+    begun = stored(numbers.groupBy("spec_uid").applyInPandas(stitch, f"spec_uid {kind}, span long, seen long, late long"))
+    own = spans.join(begun.where("span IS NOT NULL"), ["spec_uid", "span"]).select("spec_uid", F.explode(F.get(F.array("f0.out", "f1.out", "f2.out"), F.col("seen").cast("int"))).alias("f")).select("spec_uid", "f.fired_at", "f.reason")
+    return own.union(begun.where("late IS NOT NULL").select("spec_uid", F.timestamp_micros("late").alias("fired_at"), F.lit("timeout").alias("reason")))
 
 
 def trigger_stream(calls: DataFrame, timeout: int = TIMEOUT, lateness: str = "1 hour") -> DataFrame:
