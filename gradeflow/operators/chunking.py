@@ -2,35 +2,33 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, strip
+from .lines import by_document
 
 _HEADING = r"^(#{1,6})(?U:\s)+(.*)$"
 
 
-def _titles(stack_rule: str):
-    """Title paths of a document's headings, in order; the first level-1 heading is the main title."""
+def _titles(stack_rule: str) -> Callable[[list[dict]], list[tuple[int, str]]]:
+    """(pos, path) of a document's headings in order; the first level-1 heading is the main title, or the leading line, which
+    comes as one of level 0."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack: list[tuple[int, str]] = []
-        main, main_at, out = None, None, []
-        for row in pdf.sort_values("pos").itertuples():
-            if row.level == 0:
-                main, main_at = row.title, row.pos
-            elif row.level == 1 and main_at is None:
-                main, main_at = row.title, row.pos
-            else:
-                while stack and (len(stack) >= row.level if stack_rule == "count" else stack[-1][0] >= row.level):
-                    stack.pop()
-                stack.append((row.level, row.title))
-            path = [x for x in [main, *(t for _, t in stack)] if x]
-            out.append((row.doc_id, row.pos, ":".join(path)))
-        return pd.DataFrame(out, columns=["doc_id", "pos", "path"])
+    def told(headings: list[dict]) -> list[tuple[int, str]]:
+        main = next((h for h in headings if h["level"] == 0), None) or next((h for h in headings if h["level"] == 1), None)
+        above: list[dict] = []
+        out = []
+        for h in headings:
+            if h is not main:
+                above = [*(above[: h["level"] - 1] if stack_rule == "count" else (x for x in above if x["level"] < h["level"])), h]
+            known = [main] if main is not None and main["pos"] <= h["pos"] else []
+            out.append((h["pos"], ":".join(x["title"] for x in [*known, *above] if x["title"])))
+        return out
 
-    return run
+    return told
 
 
 def narrative_chunks(lines: DataFrame, size: int = 500, stack_rule: str = "count") -> DataFrame:
@@ -50,9 +48,8 @@ def narrative_chunks(lines: DataFrame, size: int = 500, stack_rule: str = "count
     first = body.where(strip(F.col("line")) != "").groupBy("doc_id").agg(F.min_by(F.struct("pos", "line"), "pos").alias("f"))
     top = heads.where("level = 1").groupBy("doc_id").agg(F.min("pos").alias("_top"))
     lead = first.join(top, "doc_id", "left").where("_top IS NULL OR f.pos < _top").select("doc_id", F.lit(-1).alias("section"), F.col("f.pos").alias("pos"), F.lit(0).alias("level"), strip(F.col("f.line")).alias("title"))
-    kind = lines.schema["doc_id"].dataType.simpleString()
     titles = heads.unionByName(lead.withColumn("section", F.col("section").cast("bigint")))
-    paths = titles.select("doc_id", "pos", "level", "title").groupBy("doc_id").applyInPandas(_titles(stack_rule), f"doc_id {kind}, pos int, path string")
+    paths = by_document(titles, ("pos", "level", "title"), _titles(stack_rule), "pos int, path string")
     by_section = paths.join(heads.select("doc_id", "pos", "section"), ["doc_id", "pos"]).select("doc_id", "section", "path")
     text = body.groupBy("doc_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("t")).select("doc_id", "section", collapse(F.col("t")).alias("t")).where("t <> ''")
     both = text.join(by_section, ["doc_id", "section"], "left").join(lead.select("doc_id", F.col("title").alias("_lead")), "doc_id", "left")

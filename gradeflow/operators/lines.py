@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -21,6 +24,26 @@ def from_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
+def by_document(rows: DataFrame, fields: tuple[str, ...], told: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """(doc_id, ...) of what ``told`` makes of each document's rows, which it gets in the order of the first field.
+
+    For rules that look at all rows before: a document's rows are one list, and documents go through in Arrow batches.
+    """
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rows"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(i, *x) for i, own in zip(range(batch.num_rows), batch.column(1).to_pylist()) for x in told(own)]
+            columns = list(zip(*out)) if out else [()] * (len(names) + 1)
+            ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
+            fitting = {"int": pa.int32(), "string": pa.string(), "long": pa.int64()}
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, fitting[x.split(" ")[1]]) for c, x in zip(columns[1:], schema.split(", "))]], names=["doc_id", *names])
+
+    return listed.mapInArrow(run, f"doc_id {kind}, {schema}")
+
+
 def renumbered(lines: DataFrame) -> DataFrame:
     return lines.withColumn("pos", F.row_number().over(_order()) - 1)
 

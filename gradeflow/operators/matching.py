@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .lexical import B, EPSILON, K1
-from .vectors import cosine, hash_vector, ip_topk
+from .vectors import cosine, hash_vector, ip_topk, vectors_of
 
 
 def bm25_among(pairs: DataFrame, query: str = "query", candidate: str = "candidate") -> DataFrame:
@@ -68,12 +68,13 @@ def nearest_category(names: DataFrame, categories: DataFrame) -> DataFrame:
     """(name, category, cos): of each name the nearest second-level category (name, row_no) by embedding, the first of equals;
     the cosine with a name or category without characters is 0."""
 
-    def unit(vector: Column) -> Column:
-        norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(vector, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm))
+    def unit(rows: DataFrame, text: str) -> DataFrame:
+        whole = vectors_of(rows, text).withColumn("_n", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))
+        scaled = F.transform("vector", lambda x: F.when(F.col("_n") == 0, 0.0).otherwise(x / F.col("_n")))
+        return whole.withColumn("unit", F.coalesce(scaled, F.array_repeat(F.lit(0.0), 64)))
 
-    asked = names.select("name").where("name IS NOT NULL").distinct().withColumn("v", unit(hash_vector(F.col("name"))))
-    known = categories.select(F.col("name").alias("category"), "row_no").withColumn("w", unit(hash_vector(F.coalesce("category", F.lit("")))))
-    best = ip_topk(known, asked, 1, vec_id="row_no", vector="w", query_id="name", query_vector="v")
+    asked = unit(names.select("name").where("name IS NOT NULL").distinct(), "name")
+    known = unit(categories.select(F.col("name").alias("category"), "row_no"), "category")
+    best = ip_topk(known, asked, 1, vec_id="row_no", vector="unit", query_id="name", query_vector="unit")
     own = categories.select(F.col("name").alias("category"), F.col("row_no").alias("vec_id"))
     return best.join(own, "vec_id").select(F.col("q_id").alias("name"), "category", F.col("ip").alias("cos"))

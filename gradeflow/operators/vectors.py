@@ -217,6 +217,16 @@ def hash_vector(text: Column, dims: int = 64, n: int = 3) -> Column:
     return F.aggregate(hash_terms(text, dims, n), zero, add)
 
 
+def vectors_of(rows: DataFrame, text: str, dims: int = 64) -> DataFrame:
+    """rows with ``vector``, the hash embedding of a text; rows whose text has none have null."""
+    named = rows.withColumn("_md5", F.md5(F.col(text).cast("binary")))
+    weights = hash_embed(named.select(F.col(text).alias("text")), dims=dims)
+    # a bounded number of weights for each text
+    by_text = weights.groupBy("text_md5").agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("_w"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("_w", i), F.lit(0)).cast("float"))
+    return named.join(by_text, F.col("_md5") == F.col("text_md5"), "left").withColumn("vector", F.when(F.col("_w").isNotNull(), vector)).drop("_md5", "text_md5", "_w")
+
+
 def embed(df: DataFrame, column: str, embedder: Callable[[list[str]], list[list[float]]], out: str = "vector", longest: int = 3000, cache: DataFrame | None = None) -> DataFrame:
     """Adds the vector that ``embedder`` gives for each text: called with the distinct texts of an Arrow batch, cut to
     ``longest`` characters. ``cache`` (text_md5, vector) spares texts that it holds."""

@@ -24,16 +24,6 @@ def _collection() -> Column:
     return F.concat_ws(":", "spec_uid", "kind").alias("collection")
 
 
-def vectors_of(rows: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
-    """rows with ``vector``, the hash embedding of a text; rows whose text has none have null."""
-    named = rows.withColumn("_md5", F.md5(F.col(text).cast("binary")))
-    weights = vectors.hash_embed(named.select(F.col(text).alias("text")), dims=dims)
-    # a bounded number of weights for each text
-    by_text = weights.groupBy("text_md5").agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("_w"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("_w", i), F.lit(0)).cast("float"))
-    return named.join(by_text, F.col("_md5") == F.col("text_md5"), "left").withColumn("vector", F.when(F.col("_w").isNotNull(), vector)).drop("_md5", "text_md5", "_w")
-
-
 def _asked(requests: DataFrame, places: DataFrame) -> DataFrame:
     return places.select("request_id", _collection()).join(requests, "request_id")
 
@@ -56,7 +46,7 @@ def table_candidates(requests: DataFrame, records: DataFrame, depth: int = recog
     name = F.coalesce(F.nullif(remove_annotations(F.coalesce("tableComment", F.lit(""))), F.lit("")), F.col("tableName"))
     said = requests.select("request_id", "spec_uids", name.alias("name"), recognition.table_sentence(requests, long=False).alias("sentence"))
     known = stored(records.select(_collection(), "spec_uid", "kind", "row_no", "text", F.col("vector").cast("array<float>").alias("vector")))
-    asked = stored(vectors_of(_asked(said, recognition.table_collections(requests, known)), "request_id", "sentence"))
+    asked = stored(vectors.vectors_of(_asked(said, recognition.table_collections(requests, known)), "sentence"))
     posted = stored(lexical.postings(known, "row_no", by="collection"))
     by_word = lexical.bm25_topk(posted, lexical.corpus_figures(known, posted, "collection"), asked, depth, "request_id", "name", by="collection")
     lexicals = by_word.select(F.col("query_id").alias("request_id"), F.lit("bm25").alias("source"), F.col("doc_id").alias("row_no"), "score", "collection")
@@ -84,7 +74,7 @@ def recognise_files(files: DataFrame, records: DataFrame, tax: DataFrame, scorer
     named = files.select("request_id", "spec_uids", "name", system.alias("system")).join(shown.withColumnRenamed("doc_id", "request_id"), "request_id")
     said = named.withColumn("sentence", recognition.file_sentence(F.col("name"), F.col("system"), F.col("text")))
     known = stored(records.select(_collection(), "spec_uid", "kind", "row_no", "text", F.col("vector").cast("array<float>").alias("vector")))
-    asked = stored(vectors_of(_asked(said.drop("text"), recognition.file_collections(files, known)), "request_id", "sentence"))
+    asked = stored(vectors.vectors_of(_asked(said.drop("text"), recognition.file_collections(files, known)), "sentence"))
     found = _with_texts(_by_vector(known, asked, FILE_DEPTH), known)
     candidates = stored(recognition.number_candidates(recognition.merge_candidates(found, FILE_KEPT)))
     prompted = None if scorer is None else recognition.prompts(candidates, said, F.col("sentence"), FILE_TASK)

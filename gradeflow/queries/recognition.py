@@ -27,7 +27,7 @@ def bench_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bench_records(spark: SparkSession, sf_dir: str, kinds: str = "CASE WHEN item_id % 4 = 0 THEN 'general_knowledge' ELSE 'classification' END") -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select(F.lit("bench").alias("spec_uid"), F.expr(kinds).alias("kind"), F.col("item_id").alias("row_no"), "text")
-    return recognise.vectors_of(rows, "row_no", "text")
+    return vectors.vectors_of(rows, "text")
 
 
 def conversation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
