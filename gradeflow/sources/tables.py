@@ -59,7 +59,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 def read_chunk_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, category_path, doc_name, line_no, line) of the lines with text of Markdown files below a folder; line_no counts
     a file's lines from 1. A file of chunks is read as a whole."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     last = folder.rstrip("/").split("/")[-1]
     parts = F.split(F.regexp_replace("path", f"^.*?/\\Q{last}\\E/", ""), "/")
     lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("_i", "_line")).where(F.trim("_line") != "")
