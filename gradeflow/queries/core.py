@@ -490,7 +490,7 @@ def i02(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def i08(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope = F.concat_ws("、", "p_name", F.concat(F.lit(" "), "p_brand", F.lit(" ")), F.concat("p_type", F.lit("类等")))
-    return interpret.expand_scope(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_no"), F.col("p_type").alias("category"), scope.alias("scope")))
+    return interpret.expand_scope(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_no"), F.col("p_type").alias("category"), scope.alias("scope"))).drop("item_no")
 
 
 CODED = """cells AS (SELECT p_partkey AS row_no, 0 AS col, concat(chr((65 + p_size % 5)::INT), ' ', p_type) AS text FROM part

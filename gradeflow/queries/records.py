@@ -12,6 +12,7 @@ from ..sources import tables
 from .base import register, table
 from .core import CLEAN, PLACES, TAX, part_taxonomy, place_taxonomy
 from .documents import scratch
+from .recognition import _embedded
 
 _CLEAN = lambda x: CLEAN.replace("(t", f"({x}").replace(" t END", f" {x} END")
 
@@ -246,14 +247,15 @@ def i18(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "i19_interpretation",
-    f"""WITH {NUMBERED} SELECT n.row_no, concat(c1, ' ', n.p_type, '|', c2, ' ', n.p_brand) AS path, CASE WHEN n.row_no % 2 = 0 THEN concat('L', n.row_no % 4) ELSE '' END AS grade, p_name AS elements FROM numbered n JOIN part ON p_partkey = n.row_no""",
+    f"""WITH {NUMBERED} SELECT n.row_no, concat(c1, ' ', n.p_type, '|', c2, ' ', n.p_brand) AS path, CASE WHEN n.row_no % 2 = 0 THEN concat('L', n.row_no % 4) ELSE '' END AS grade, concat(p_name, '|', n.p_type, 'x|y') AS elements FROM numbered n JOIN part ON p_partkey = n.row_no""",
 )
 def i19(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     sheet1 = part.select(F.col("p_partkey").alias("row_no"), F.array("p_type", "p_brand").alias("cells"), F.concat(F.lit("资料包括："), "p_name").alias("feature"))
     queries = interpret.code_queries(numbered_rows(spark, sf_dir).select("row_no", F.posexplode(interpret.coded_path()).alias("col", "text")))
     candidates = queries.where("row_no % 2 = 0").select("row_no", F.lit(0).alias("pos"), F.concat("last_code", F.lit(" y")).alias("text"), F.concat(F.lit("L"), (F.col("row_no") % 4).cast("string")).alias("grade"))
-    done = interpret.interpret(spark, {"sheet1": sheet1, "candidates": candidates}, scratch(spark, "workbook"))["final"]
+    sheet2 = part.groupBy(F.col("p_type").alias("category")).agg(F.min("p_partkey").alias("row_no")).select("row_no", "category", F.concat("category", F.lit("x、y等")).alias("scope"))
+    done = interpret.interpret(spark, {"sheet1": sheet1, "sheet2": sheet2, "candidates": candidates}, scratch(spark, "workbook"))["final"]
     return done.select("row_no", F.array_join("path", "|").alias("path"), "grade", F.array_join("elements", "|").alias("elements"))
 
 
@@ -331,3 +333,17 @@ def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
     tax, _ = tables.read_taxonomy(spark, folder, "part")
     # part keys count from 0, lines from 1
     return tax.select((F.col("row_no") - 1).alias("row_no"), F.array_join("path", "|").alias("path"), "feature", "grade", F.array_join("elements", "|").alias("elements"))
+
+
+@register(
+    "i19_grade_search",
+    f"""WITH {NUMBERED}, q AS (SELECT row_no, concat(c2, ' ', left(p_brand, 9)) AS query_text FROM numbered), lines AS (SELECT min(row_no) AS id, query_text AS text FROM q GROUP BY query_text),
+        {_embedded("lines", "lv", "id", "text")}, dots AS (SELECT a.id AS asked, b.id, sum(a.w * b.w) AS ip FROM lv a JOIN lv b USING (dim) GROUP BY ALL),
+        every_pair AS (SELECT a.id AS asked, b.id, coalesce(ip, 0) AS ip FROM lines a CROSS JOIN lines b LEFT JOIN dots d ON d.asked = a.id AND d.id = b.id),
+        best AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY ip DESC, id) - 1 AS pos FROM every_pair)
+        SELECT q.row_no, pos, t.text FROM q JOIN lines l ON l.text = q.query_text JOIN best b ON b.asked = l.id AND pos < 4 JOIN lines t ON t.id = b.id""",
+)
+def i19_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = interpret.code_queries(numbered_rows(spark, sf_dir).select("row_no", F.posexplode(interpret.coded_path()).alias("col", "text")).where("col = 1"))
+    lines = queries.groupBy(F.col("query_text").alias("text")).agg(F.min("row_no").alias("id"), F.lit("L1").alias("grade"))
+    return interpret.search_grades(queries, lines).select("row_no", "pos", "text")
