@@ -116,5 +116,9 @@ def test_learns_from_labels(spark, docs_of):
     n = {(r.quality, r.kept): r["count"] for r in got}
     assert n.get((1, True), 0) >= 0.97 * (n.get((1, True), 0) + n.get((1, False), 0))
     assert n.get((0, False), 0) >= 0.8 * (n.get((0, False), 0) + n.get((0, True), 0))
+    # an id with both labels has the low one, in whatever order they come
+    twice = labels.where("doc_id % 9 = 0").withColumn("quality", F.lit(0))
+    low = labels.withColumn("quality", F.when(F.col("doc_id") % 9 == 0, 0).otherwise(F.col("quality")))
+    assert learn(stats, labels.unionByName(twice)) == learn(stats, twice.unionByName(labels)) == learn(stats, low)
     assert learn(stats, labels.where("quality = 1")) == [] and learn(stats.limit(0), labels) == []
     assert apply_rules(statistics(docs_of([])), rules).collect() == []

@@ -127,3 +127,15 @@ def test_scores_do_not_depend_on_the_head(docs_of, head):
     got = {r.doc_id: r.score for r in score_documents(docs_of(rows), fold(F.col("doc_id"), 7) != 2, head_contexts=head).collect()}
     want = {i: brute_score(kept, d, 6) for i, d in docs.items()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-2 for i in want)
+
+
+def test_long_texts_and_repeated_rows(docs_of):
+    rng = random.Random(8)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "été"]) for _ in range(40_000))
+    rows = [(i, "alpha beta gamma " * 5) for i in range(20)] + [(50, long), (51, long), (51, long), (None, long)]
+    got = score_documents(docs_of(rows, extra=True), fold(F.col("doc_id"), 7) != 2).collect()
+    assert len(got) == len(rows) and {r.n_tokens for r in got if r.doc_id in (50, 51)} == {40_001}
+    same = [r.score for r in got if r.n_tokens == 40_001]
+    assert len(same) == 4 and max(same) - min(same) < 1e-3 * abs(same[0])
+    kept = brute_model([words_of((t or "").encode()) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2], 6, 0)
+    assert abs(same[0] - brute_score(kept, words_of(long.encode()), 6)) < 1e-4 * abs(same[0])

@@ -60,3 +60,10 @@ def test_intervals(spark):
 def test_empty_tables(spark, n):
     captures, entries = spark.createDataFrame([(1, URLS[0], D(6), None, None)][:n], CAPTURE), spark.createDataFrame(ENTRIES[: 1 - n], ENTRY)
     assert [r.blocked for r in filter_urls(captures, entries).collect()] == [False] * n
+
+
+def test_very_long_paths_and_hosts(spark):
+    urls = ["http://ok.org/x/" + "p/" * 30_000, "http://" + "a." * 20_000 + "bad.com/", "http://ok.org/" + "q/" * 30_000]
+    captures = spark.createDataFrame([(i, u, D(6), None, None) for i, u in enumerate(urls)], CAPTURE)
+    got = {r.page_id: r.key for r in filter_urls(captures, spark.createDataFrame(ENTRIES, ENTRY)).collect()}
+    assert got == {0: "ok.org/x", 1: "bad.com", 2: None}
