@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.lines import by_document
 from ..session import stored
 
 #: Seconds that a lone classification call waits.
@@ -61,22 +62,20 @@ def trigger_batch(calls: DataFrame, timeout: int = TIMEOUT, span: int = SPAN) ->
     numbers = spans.select("spec_uid", "span", "first", "last", *[F.col(f"f{k}.seen").alias(f"s{k}") for k in (0, 1, 2)]).crossJoin(F.broadcast(end)).select("spec_uid", "span", micros("first"), micros("last"), micros("_end"), "s0", "s1", "s2")
     wait = timeout * 1_000_000
 
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
+    def stitch(rows: list[dict]) -> list[tuple[int | None, int | None, int | None]]:
         seen, before, out = _NONE, 0, []
-        rows = pdf.sort_values("span")
-        for name, own, first, last, *leaves in rows[["spec_uid", "span", "first", "last", "s0", "s1", "s2"]].itertuples(index=False):
+        for r in rows:
             late = None
-            if seen == _CLASS and first > before + wait:
+            if seen == _CLASS and r["first"] > before + wait:
                 seen, late = _NONE, before + wait
-            out.append((name, own, seen, late))
-            seen, before = leaves[seen], last
-        if seen == _CLASS and rows["_end"].iloc[0] > before + wait:
-            out.append((rows["spec_uid"].iloc[0], None, None, before + wait))
-        done = pd.DataFrame(out, columns=["spec_uid", "span", "seen", "late"])
-        return done.astype({"span": "Int64", "seen": "Int64", "late": "Int64"})
-
-    kind = calls.schema["spec_uid"].dataType.simpleString()
-    begun = stored(numbers.groupBy("spec_uid").applyInPandas(stitch, f"spec_uid {kind}, span long, seen long, late long"))
+            out.append((r["span"], seen, late))
+            seen, before = r[f"s{seen}"], r["last"]
+        if seen == _CLASS and rows[-1]["_end"] > before + wait:
+            out.append((None, None, before + wait))
+        return out
+
+    told = by_document(numbers.withColumnRenamed("spec_uid", "doc_id"), ("span", "first", "last", "_end", "s0", "s1", "s2"), stitch, "span long, seen long, late long")
+    begun = stored(told.withColumnRenamed("doc_id", "spec_uid"))
     own = spans.join(begun.where("span IS NOT NULL"), ["spec_uid", "span"]).select("spec_uid", F.explode(F.get(F.array("f0.out", "f1.out", "f2.out"), F.col("seen").cast("int"))).alias("f")).select("spec_uid", "f.fired_at", "f.reason")
     return own.union(begun.where("late IS NOT NULL").select("spec_uid", F.timestamp_micros("late").alias("fired_at"), F.lit("timeout").alias("reason")))
 
