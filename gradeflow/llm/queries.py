@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import fold, read, written
 from . import license_scan
 from .collocations import mine
+from .conversation_trie import rebuilt_trie
 from .exact_dedup import exact_dedup
 from .near_dup import near_duplicates
 from .packing import pack
@@ -107,6 +108,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(read(spark, sf_dir, "documents"), least=10, longest=3, top=2000, absorb=50)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
 # The columns of three operators that SQL can express, by the same operators.
 
 
@@ -134,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_collocations": op11_collocations,
+    "op12_conversation_trie": op12_conversation_trie,
     "secret_scan_base": secret_scan_base,
     "quality_rules_base": quality_rules_base,
     "suffix_tree_lm_base": suffix_tree_lm_base,
@@ -141,8 +147,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _EITHER = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 _ASSIGN = rf"""({"|".join(map(_EITHER, ("password", "passwd", "secret", "token")))}|{_EITHER("api")}_?{_EITHER("key")})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=\-]+)"""
-_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
-    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+_CRC_OF = lambda column: f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+_CRC = _CRC_OF("doc_id")
 
 _HOST = r"regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)"
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1)"
@@ -209,4 +216,16 @@ ORACLE_SQL: dict[str, str] = {
                  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')),
         best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM cuts)
         SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best JOIN n USING (lang) WHERE i = 1) WHERE rank <= 2000""",
+    "op12_conversation_trie": f"""
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, conv_id - conv_id % 5 AS head, {_CRC_OF("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+        r AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.head WHERE pos <= h UNION ALL SELECT c.conv_id, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+        l AS (SELECT conv_id, list(length(role) || ':' || role || text ORDER BY pos) AS s, list(strlen(text) ORDER BY pos) AS b FROM r GROUP BY conv_id),
+        m AS (SELECT conv_id, unnest(range(0, len(s) + 1)) AS depth, s, b FROM (SELECT conv_id, coalesce(s, []) AS s, b FROM c LEFT JOIN l USING (conv_id))),
+        nodes AS (SELECT depth, s[1:depth] AS p, min(conv_id) AS conv_id, count(*) AS n, coalesce(any_value(b[depth]), 0) AS b, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = depth) AS ended FROM m GROUP BY ALL),
+        kids AS (SELECT depth - 1 AS depth, p[1:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        told AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (depth, p)),
+        below AS (SELECT d AS depth, p[1:d] AS p, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n - 1) * b)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM told) GROUP BY ALL)
+        SELECT x.conv_id, x.depth, up.conv_id AS parent_conv_id, x.n AS n_convs, x.n_children, n_leaves, saved_tokens, sha256(coalesce(x.ended, '')) AS ends_sha256
+        FROM told x JOIN below USING (depth, p) LEFT JOIN nodes up ON up.depth = x.depth - 1 AND up.p = x.p[1:x.depth - 1]""",
 }
