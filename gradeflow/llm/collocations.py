@@ -5,7 +5,7 @@ sorted by multikey three-way quicksort, whose equal partitions are the phrase co
    the frequent ones, goes to the tasks. It only saves work: a word that passes by chance is counted and then dropped.
 2. Each position gives the suffix of its next words, up to the longest phrase, within its piece and before the first word that
    is surely rare. Equal suffixes of a block of text become one with a weight.
-3. The suffixes are dealt by ranges of (language, first word, second word, ...). A common leading word or pair is so many ranges
+3. The suffixes are dealt by ranges of language and words in order. A common leading word or pair is so many ranges
    as it needs, and each task sorts its range. Only prefixes of a range's first and last suffix can go on in another range; they
    are passed on as parts, all others are whole, and partitions below the least count are abandoned.
 4. Cuts, containment and ranks are joins and windows over the phrases that remain.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, text_of, written
 
-_BLOCK = 16 << 20  # bytes of text that a task takes at once
-_RANGE = 1_500_000  # suffixes of a range, on average
+_BLOCK = 4 << 20  # bytes of text that a task takes at once
+_RANGE = 750_000  # suffixes of a range, on average
 _FILTER_BITS = 26  # the filter of frequent words has 2^26 bits, 8 MB
 _SALTS = 64  # parts of a language in the first ranking
 
@@ -74,7 +74,7 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list[str], pa.Array, np.nda
         first[begins] = inside[begins]
         starts = np.flatnonzero(first)
         if len(starts):
-            breaks = np.cumsum(kind == 2)[starts]
+            breaks = np.cumsum(kind == 2, dtype=np.int32)[starts]
             row = np.searchsorted(at, starts + lo, side="right") - 1
             lengths = np.add.reduceat(inside, starts, dtype=np.int32)
             words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.py_buffer(text[inside])]).dictionary_encode()
@@ -92,8 +92,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(bits: bytes, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(lang, w1, w2, ..., n): the distinct suffixes of each block that have two words at least; words beyond the end are null."""
-    names = ["lang", *(f"w{k + 1}" for k in range(longest)), "n"]
+    """(lang, suffix, n): the distinct suffixes of each block that have two words at least; a blank follows each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(bits, np.uint8)
@@ -112,8 +111,9 @@ def _suffixes(bits: bytes, longest: int) -> Callable[[Iterator[pa.RecordBatch]],
                     columns.append(np.where(going, code[place], -1))
                     key = np.unique(key, return_inverse=True)[1] * (len(words) + 1) + columns[-1] + 1
                 _, first, n = np.unique(key, return_index=True, return_counts=True)
-                taken = [words.take(pa.array(c[first], mask=c[first] < 0)).cast(pa.string()) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang[at][first])), *taken, pa.array(n.astype(np.int64))], names=names)
+                taken = [words.take(pa.array(c[first], mask=c[first] < 0)) for c in columns]
+                suffix = pc.binary_join_element_wise(*taken, pa.scalar(b"", pa.binary()), pa.scalar(b" ", pa.binary()), null_handling="skip")
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang[at][first])), suffix.cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "suffix", "n"])
 
     return run
 
@@ -151,6 +151,19 @@ def equal_partitions(keys: np.ndarray, weights: np.ndarray, least: int) -> Itera
         sizes, depth = count[held], level[held]
 
 
+def _coded(suffixes: pa.Array, longest: int) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of suffixes, and the codes of each one's words from 1, 0 beyond its end (longest x n)."""
+    data, at = _flat(suffixes)
+    data, at = data[at[0] :], at - at[0]
+    blank = data == 0x20
+    ends = np.flatnonzero(blank)
+    lengths = np.diff(ends, prepend=-1) - 1
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)])), pa.py_buffer(data[~blank])]).dictionary_encode()
+    code = np.append(words.indices.to_numpy(zero_copy_only=False) + 1, 0)
+    first = np.searchsorted(ends, at)
+    return words.dictionary, np.stack([np.where(first[:-1] + k < first[1:], code[np.minimum(first[:-1] + k, len(code) - 1)], 0) for k in range(longest)])
+
+
 def _sorted_range(longest: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(lang, phrase, size, n): the phrases of a range of suffixes that reach ``least``, and parts of those that may go on in
     another range."""
@@ -160,41 +173,37 @@ def _sorted_range(longest: int, least: int) -> Callable[[Iterator[pa.RecordBatch
         if not held:
             return
         table = pa.Table.from_batches(held)
-        n = table.column("n").to_numpy()
-        words, keys = [], []
-        for name in ["lang", *(f"w{k + 1}" for k in range(longest))]:
-            coded = table.column(name).cast(pa.large_binary()).combine_chunks().dictionary_encode()
-            order = pc.sort_indices(coded.dictionary).to_numpy()
-            rank = np.empty(len(order) + 1, np.int32)
-            rank[order], rank[-1] = np.arange(1, len(order) + 1), 0  # 0: no word there
-            code = coded.indices.fill_null(len(order)).to_numpy(zero_copy_only=False)
-            keys.append(rank[code])
-            words.append(coded.dictionary.take(pa.array(order)))
-        del table, held
-        keys = np.stack(keys)
-        prefix, ends = keys[0].astype(np.int64), {}
-        for k in range(1, longest):  # a prefix of k words, as a number that keeps the order
-            prefix = np.unique(prefix * (int(keys[k].max()) + 1) + keys[k], return_inverse=True)[1]
-            if k > 1:
-                ends[k] = prefix
+        n, lang = table.column("n").to_numpy(), table.column("lang").combine_chunks().dictionary_encode()
+        suffix = table.column("suffix").cast(pa.large_binary()).combine_chunks()
+        words, codes = _coded(suffix, longest)
+        keys = np.concatenate([lang.indices.to_numpy(zero_copy_only=False)[None], codes])
+        bounds = pc.min_max(lang.dictionary)
+        edges = []
+        for end in ("min", "max"):  # the range's first and last suffix: what they begin with may go on in another range
+            own = np.flatnonzero(keys[0] == pc.index(lang.dictionary, bounds[end]).as_py())
+            some = suffix.take(pa.array(own))
+            edges.append(own[pc.index(some, pc.min_max(some)[end]).as_py()])
+        del table, held, suffix
+        edges = keys[:, np.unique(edges)].T
 
         def rows(pointers: np.ndarray, size: int, weight: np.ndarray) -> pa.RecordBatch:
-            columns = [words[k].take(pa.array(keys[k][pointers] - 1)) for k in range(size + 1)]
-            phrase = pc.binary_join_element_wise(*columns[1:], pa.scalar(b" ", pa.large_binary()))
-            return pa.RecordBatch.from_arrays([columns[0].cast(pa.string()), phrase.cast(pa.string()), pa.array(np.full(len(pointers), size, np.int32)), pa.array(weight)], names=["lang", "phrase", "size", "n"])
-
-        for size, prefix in ends.items():
-            for edge in {int(prefix.min()), int(prefix.max())}:
-                own = np.flatnonzero(prefix == edge)
-                if keys[size][own[0]]:
+            taken = [words.take(pa.array(keys[k + 1][pointers] - 1)) for k in range(size)]
+            phrase = pc.binary_join_element_wise(*taken, pa.scalar(b" ", pa.large_binary()))
+            return pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(keys[0][pointers])).cast(pa.string()), phrase.cast(pa.string()), pa.array(np.full(len(pointers), size, np.int32)), pa.array(weight)], names=["lang", "phrase", "size", "n"])
+
+        for size in range(2, longest):
+            for edge in np.unique(edges[:, : size + 1], axis=0):
+                own = np.flatnonzero((keys[: size + 1] == edge[:, None]).all(axis=0))
+                if edge[size]:
                     yield rows(own[:1], size, np.array([n[own].sum()]))
         for depth, pointers, weight in equal_partitions(keys, n, least):
             size = depth - 1
             if size < 2:
                 continue
             whole = keys[size][pointers] > 0
-            if size in ends:
-                whole &= ~np.isin(ends[size][pointers], [ends[size].min(), ends[size].max()])
+            if size < longest:
+                for edge in edges:
+                    whole &= (keys[:depth, pointers] != edge[:depth, None]).any(axis=0)
             if whole.any():
                 yield rows(pointers[whole], size, weight[whole])
 
@@ -223,10 +232,9 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = 10, longest: i
     spark = docs.sparkSession
     bits = _filter(words)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("text"))
-    columns = [f"w{k + 1}" for k in range(longest)]
-    suffixes = written(rows.mapInArrow(_suffixes(bits, longest), f"lang string, {', '.join(f'{c} string' for c in columns)}, n long"))
+    suffixes = written(rows.mapInArrow(_suffixes(bits, longest), "lang string, suffix string, n long"))
     ranges = max(shuffle_partitions(spark), suffixes.count() // _RANGE + 1)
-    routed = suffixes.repartitionByRange(ranges, "lang", *columns)
+    routed = suffixes.repartitionByRange(ranges, "lang", "suffix")
     found = routed.mapInArrow(_sorted_range(longest, least), "lang string, phrase string, size int, n long")
     return found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
