@@ -12,6 +12,7 @@ from . import license_scan
 from .collocations import mine
 from .conversation_trie import rebuilt_trie
 from .exact_dedup import exact_dedup
+from .html_extraction import extract
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_cnn import KEEP_FROM, score, train
@@ -112,6 +113,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(read(spark, sf_dir, "conversations"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 # The columns of three operators that SQL can express, by the same operators.
 
 
@@ -140,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_collocations": op11_collocations,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_html_extraction": op13_html_extraction,
     "secret_scan_base": secret_scan_base,
     "quality_rules_base": quality_rules_base,
     "suffix_tree_lm_base": suffix_tree_lm_base,
