@@ -1,8 +1,10 @@
 """Embeddings and exact vector search.
 
-A search broadcasts its queries block by block, each block of a fixed number, and every task multiplies chunks of the corpus with
-it: it keeps the best k of each query, or the pairs above a threshold, and a window merges what tasks kept. So no task holds more
-than a block, a chunk and their scores, and no corpus row is shuffled. Hash embeddings are the same on any engine.
+A search packs queries and corpus into blocks of rows, each block one row of a table, and deals both over a grid: a block of
+queries goes to all slabs of the corpus, a block of the corpus to all parts of the queries, and each cell of the grid is one
+part and one slab. A task holds the part's queries and takes the slab block by block, and keeps the best k of each query or the
+pairs above a threshold; a window merges what the slabs kept. Nothing but the numbers of blocks reaches the driver, and the plan
+is the same for any number of queries. Hash embeddings are the same on any engine.
 """
 
 from __future__ import annotations
@@ -14,11 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 from ..functions.text import let
+from ..session import stored
 
-#: Queries that are broadcast at once, and corpus rows that meet them at once.
-BLOCK, CHUNK = 2048, 1024
+#: Rows of a block; blocks in a part of the queries and in a slab of the corpus, on average.
+BLOCK, PART, SLAB = 1024, 8, 64
+#: Blocks hold rows of one group, and groups are counted in so many buckets.
+BUCKETS = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,65 +37,122 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
 
 
-def _blocks(queries: DataFrame) -> Iterator[pa.Table]:
-    """The queries in blocks of about BLOCK rows."""
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
-    for i in range(blocks):
-        yield dealt.where(F.col("_b") == i).drop("_b").toArrow()
-
-
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
-
-
-def _groups(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.array(column.to_pylist(), object)
-
-
-def _over(vectors: DataFrame, queries: DataFrame, kernel: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
-    """kernel(queries, chunk) for every block of queries (q_id, q, g) and chunk of vectors (vec_id, v, g)."""
-    spark, out = vectors.sparkSession, None
-    for block in _blocks(queries):
-        if not block.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for columns in kernel(shared.value, (b.slice(at, CHUNK) for b in batches for at in range(0, b.num_rows, CHUNK))):
-                yield pa.RecordBatch.from_arrays(list(columns), names=[x.split(" ")[0] for x in schema.split(", ")])
-
-        own = vectors.mapInArrow(run, schema)
-        out = own if out is None else out.union(own)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
-def _best(block: pa.Table, chunks: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
-    """The k best rows of each query in a task: by score, equal ones by id."""
-    asked, groups = _matrix(block["q"]), _groups(block["g"])
-    held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # query, id, score
-    kind = None
-    for chunk in chunks:
-        kind = chunk.column(0).type
-        if not chunk.num_rows:
-            continue
-        score = np.round(asked @ _matrix(chunk.column(1)).T, 6)
-        fits = groups[:, None] == _groups(chunk.column(2))[None, :]
-        ids = np.array(chunk.column(0).to_pylist())
-        # the least score among a query's best of this chunk; those that equal it stay for the ids to decide
-        score[~fits] = -np.inf
-        size = min(k, score.shape[1])
-        least = np.partition(score, score.shape[1] - size, axis=1)[:, score.shape[1] - size]
-        q, at = np.nonzero((score >= least[:, None]) & fits)
-        found = q, ids[at], score[q, at]
-        both = found if held is None else tuple(np.concatenate(x) for x in zip(held, found))
-        order = np.lexsort((both[1], -both[2], both[0]))
-        first = np.searchsorted(both[0][order], both[0][order])
-        held = tuple(x[order[np.arange(len(order)) - first < k]] for x in both)
-    if held is not None:
-        yield block["q_id"].combine_chunks().take(pa.array(held[0])), pa.array(held[1].tolist(), kind), pa.array(held[2])
+def _width(rows: DataFrame) -> type:
+    return np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(bucket, g, ids, v) blocks of rows (id, v, g): vectors of one group as the bytes of a matrix."""
+    kind, width = rows.schema["id"].dataType, _width(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = batch.column(2).dictionary_encode()
+            code = groups.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                name = None if code[own[0]] < 0 else groups.dictionary[int(code[own[0]])].as_py()
+                for at in range(0, len(own), BLOCK):
+                    block = batch.take(pa.array(own[at : at + BLOCK]))
+                    matrix = block.column(1).flatten().to_numpy(zero_copy_only=False).astype(width)
+                    ids = pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), block.column(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), ids, pa.array([matrix.tobytes()], pa.binary())], names=["g", "ids", "v"])
+
+    schema = StructType([StructField("g", StringType()), StructField("ids", ArrayType(kind)), StructField("v", BinaryType())])
+    return rows.select("id", "v", F.col("g").cast("string").alias("g")).mapInArrow(run, schema).withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(BUCKETS)).cast("int"))
+
+
+def _over(vectors: DataFrame, queries: DataFrame, kernel: Callable[[], Kernel], schema: str) -> DataFrame:
+    """A kernel for every cell of the grid of queries (id, v, g) and vectors (id, v, g)."""
+    spark = vectors.sparkSession
+    packed, widths = [stored(_packed(x)) for x in (queries, vectors)], (_width(queries), _width(vectors))
+    sizes = np.zeros((2, BUCKETS), int)
+    for side, blocks in enumerate(packed):
+        for bucket, n in blocks.groupBy("bucket").count().collect():
+            sizes[side, bucket] = n
+    parts = -(-sizes[0] // PART)
+    # a slab more for each task that would be idle, down to one block
+    spare = -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, int(parts.sum())))
+    slabs = np.maximum(-(-sizes[1] // SLAB), np.minimum(sizes[1], spare))
+    number = lambda counts: F.get(F.array(*map(F.lit, counts.tolist())), F.col("bucket"))
+    dealt = lambda counts: F.pmod(F.xxhash64("ids"), number(counts).cast("long")).cast("int")
+    every = lambda counts: F.explode(F.sequence(F.lit(0), number(counts) - 1))
+    met = [x.where((number(parts) > 0) & (number(slabs) > 0)) for x in packed]
+    asked = met[0].select("bucket", dealt(parts).alias("part"), every(slabs).alias("slab"), F.lit(0).alias("side"), "g", "v", F.col("ids").alias("q_ids"), F.lit(None).cast(packed[1].schema["ids"].dataType).alias("ids"))
+    known = met[1].select("bucket", every(parts).alias("part"), dealt(slabs).alias("slab"), F.lit(1).alias("side"), "g", "v", F.lit(None).cast(packed[0].schema["ids"].dataType).alias("q_ids"), "ids")
+    cell = ["bucket", "part", "slab"]
+    grid = asked.union(known).repartition(*cell).sortWithinPartitions(*cell, "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
+        out = lambda columns: pa.RecordBatch.from_arrays(list(columns), names=[x.split(" ")[0] for x in schema.split(", ")])
+        for batch in batches:
+            cells = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+            for i, (*here, side, g) in enumerate(cells):
+                if here != at:
+                    yield from map(out, own.kept() if own else ())
+                    at, own = here, kernel()
+                ids = batch.column(7 if side else 6)[i].values
+                matrix = np.frombuffer(batch.column(5)[i].as_buffer(), widths[side]).astype(np.float64).reshape(len(ids), -1)
+                if side:
+                    yield from map(out, own.meet(g, ids, matrix))
+                else:
+                    own.ask(g, ids, matrix)
+        yield from map(out, own.kept() if own else ())
+
+    return grid.mapInArrow(run, schema)
+
+
+class Kernel:
+    """What a cell does: it is given all its queries, then the corpus block by block."""
+
+    def __init__(self) -> None:
+        self.asked: dict[str | None, list[tuple[pa.Array, np.ndarray]]] = {}
+        self.whole: dict[str | None, tuple[pa.Array, np.ndarray]] = {}
+
+    def ask(self, g: str | None, ids: pa.Array, matrix: np.ndarray) -> None:
+        self.asked.setdefault(g, []).append((ids, matrix))
+
+    def queries(self, g: str | None) -> tuple[pa.Array, np.ndarray] | None:
+        if g not in self.whole and g in self.asked:
+            own = self.asked.pop(g)
+            self.whole[g] = pa.concat_arrays([x for x, _ in own]), np.concatenate([m for _, m in own])
+        return self.whole.get(g)
+
+    def meet(self, g: str | None, ids: pa.Array, matrix: np.ndarray) -> Iterator[tuple]:
+        raise NotImplementedError
+
+    def kept(self) -> Iterator[tuple]:
+        return iter(())
+
+
+class _Best(Kernel):
+    """The k best rows of each query: by score, equal ones by id."""
+
+    def __init__(self, k: int) -> None:
+        super().__init__()
+        self.k, self.held, self.kind = k, {}, None
+
+    def meet(self, g: str | None, ids: pa.Array, matrix: np.ndarray) -> Iterator[tuple]:
+        if (asked := self.queries(g)) is not None:
+            self.kind = ids.type
+            score = np.round(asked[1] @ matrix.T, 6)
+            # the least score among a query's best of this block; those that equal it stay for the ids to decide
+            size = min(self.k, score.shape[1])
+            least = np.partition(score, score.shape[1] - size, axis=1)[:, score.shape[1] - size]
+            q, at = np.nonzero(score >= least[:, None])
+            found = q, np.array(ids.to_pylist())[at], score[q, at]
+            both = found if g not in self.held else tuple(np.concatenate(x) for x in zip(self.held[g], found, strict=True))
+            order = np.lexsort((both[1], -both[2], both[0]))
+            first = np.searchsorted(both[0][order], both[0][order])
+            self.held[g] = tuple(x[order[np.arange(len(order)) - first < self.k]] for x in both)
+        return iter(())
+
+    def kept(self) -> Iterator[tuple]:
+        for g, (q, ids, score) in self.held.items():
+            yield self.whole[g][0].take(pa.array(q)), pa.array([g] * len(q), pa.string()), pa.array(ids.tolist(), self.kind), pa.array(score)
 
 
 def ip_topk(vectors: DataFrame, queries: DataFrame, k: int, predicate: Column | None = None, vec_id: str = "vec_id", vector: str = "embedding", query_id: str = "q_id", query_vector: str = "q_vector", by: str | None = None) -> DataFrame:
@@ -98,13 +161,14 @@ def ip_topk(vectors: DataFrame, queries: DataFrame, k: int, predicate: Column |
     a query for several values of it are ranked for each, and the result has it as ``collection``."""
     kept = vectors if predicate is None else vectors.where(predicate)
     group = F.col(by) if by else F.lit(0)
-    corpus = kept.where(F.col(vector).isNotNull()).select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"), group.alias("g"))
-    named = queries.where(F.col(query_vector).isNotNull()).select(F.struct(F.col(query_id).alias("id"), group.alias("g")).alias("q_id"), F.col(query_vector).alias("q"), group.alias("g"))
-    kinds = named.schema["q_id"].dataType.simpleString(), corpus.schema["vec_id"].dataType.simpleString()
-    scored = _over(corpus, named, lambda block, chunks: _best(block, chunks, k), f"q_id {kinds[0]}, vec_id {kinds[1]}, ip double")
-    best = Window.partitionBy("q_id").orderBy(F.desc("ip"), "vec_id")
+    kept = vectors if predicate is None else vectors.where(predicate)
+    side = lambda df, i, v: df.where(F.col(v).isNotNull()).select(F.col(i).alias("id"), F.col(v).alias("v"), group.alias("g"))
+    corpus, asked = side(kept, vec_id, vector), side(queries, query_id, query_vector)
+    kinds = [x.schema["id"].dataType.simpleString() for x in (asked, corpus)]
+    scored = _over(corpus, asked, lambda: _Best(k), f"q_id {kinds[0]}, g string, vec_id {kinds[1]}, ip double")
+    best = Window.partitionBy("q_id", "g").orderBy(F.desc("ip"), "vec_id")
     ranked = scored.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k)
-    return ranked.select(F.col("q_id.id").alias("q_id"), *([F.col("q_id.g").alias("collection")] if by else []), "vec_id", "ip", "rk")
+    return ranked.select("q_id", *([F.col("g").cast(corpus.schema["g"].dataType).alias("collection")] if by else []), "vec_id", "ip", "rk")
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -112,23 +176,31 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _alike(block: pa.Table, chunks: Iterator[pa.RecordBatch], least: float) -> Iterator[tuple]:
-    asked, groups = _unit(_matrix(block["q"])), _groups(block["g"])
-    for chunk in chunks:
-        cos = np.round(np.clip(asked @ _unit(_matrix(chunk.column(1))).T, -1, 1), 6)
-        q, at = np.nonzero((cos >= least) & (groups[:, None] == _groups(chunk.column(2))[None, :]))
-        if len(q):
-            yield block["q_id"].combine_chunks().take(pa.array(q)), chunk.column(0).take(pa.array(at)), pa.array(cos[q, at])
+class _Alike(Kernel):
+    def __init__(self, least: float) -> None:
+        super().__init__()
+        self.least, self.unit = least, {}
+
+    def meet(self, g: str | None, ids: pa.Array, matrix: np.ndarray) -> Iterator[tuple]:
+        if (asked := self.queries(g)) is not None:
+            if g not in self.unit:
+                self.unit[g] = _unit(asked[1])
+            other = _unit(matrix).T
+            for at in range(0, len(asked[0]), BLOCK):
+                cos = np.round(np.clip(self.unit[g][at : at + BLOCK] @ other, -1, 1), 6)
+                q, v = np.nonzero(cos >= self.least)
+                if len(q):
+                    yield asked[0].take(pa.array(q + at)), ids.take(pa.array(v)), pa.array(cos[q, v])
 
 
 def similar(vectors: DataFrame, queries: DataFrame, least: float, vec_id: str = "vec_id", vector: str = "embedding", within: str | None = None) -> DataFrame:
     """(a_id, b_id, cos): every query a and every vector b, other than by id itself, whose cosine, rounded to six places, is at
     least ``least``; a zero vector has the cosine 0. ``within`` names a column in which both must be equal."""
     group = F.col(within) if within else F.lit(0)
-    side = lambda df, i, v: df.where(F.col(vector).isNotNull()).select(F.col(vec_id).alias(i), F.col(vector).alias(v), group.alias("g"))
-    corpus, asked = side(vectors, "vec_id", "v"), side(queries, "q_id", "q")
-    kind = corpus.schema["vec_id"].dataType.simpleString()
-    return _over(corpus, asked, lambda block, chunks: _alike(block, chunks, least), f"a_id {kind}, b_id {kind}, cos double").where("a_id <> b_id")
+    side = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(vec_id).alias("id"), F.col(vector).alias("v"), group.alias("g"))
+    corpus, asked = side(vectors), side(queries)
+    kind = corpus.schema["id"].dataType.simpleString()
+    return _over(corpus, asked, lambda: _Alike(least), f"a_id {kind}, b_id {kind}, cos double").where("a_id <> b_id")
 
 
 def pairs_above(vectors: DataFrame, least: float, vec_id: str = "vec_id", vector: str = "embedding", within: str | None = None) -> DataFrame:

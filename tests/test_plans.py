@@ -13,10 +13,11 @@ from gradeflow.sources import documents, tables
 from gradeflow.streaming import triggers
 
 
-@pytest.mark.parametrize("block, chunk", [(2048, 1024), (3, 2)])
-def test_blocked_search(spark, monkeypatch, block, chunk):
+@pytest.mark.parametrize("block, part", [(1024, 8), (3, 2), (2, 1)])
+def test_blocked_search(spark, monkeypatch, block, part):
     monkeypatch.setattr(vectors, "BLOCK", block)
-    monkeypatch.setattr(vectors, "CHUNK", chunk)
+    monkeypatch.setattr(vectors, "PART", part)
+    monkeypatch.setattr(vectors, "SLAB", 2)
     rng = np.random.default_rng(1)
     rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist(), i % 2) for i in range(40)] + [(40, None, 0)]
     vec = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
@@ -35,6 +36,18 @@ def test_blocked_search(spark, monkeypatch, block, chunk):
     assert vectors.ip_topk(vec, asked.limit(0), 3).collect() == [] and vectors.ip_topk(vec.limit(0), asked, 3).collect() == []
 
 
+def test_many_queries_stay_off_the_driver(spark):
+    rng = np.random.default_rng(2)
+    vec = spark.createDataFrame([(i, rng.normal(size=8).tolist(), f"g{i % 30}") for i in range(3000)], "vec_id long, embedding array<float>, c string")
+    asked = spark.range(50_000).select(F.col("id").alias("q_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.rand(3).cast("float")).alias("q_vector"), F.concat(F.lit("g"), F.col("id") % 40).alias("c"))
+    asked = spark.createDataFrame(asked.toPandas(), asked.schema)  # random numbers are drawn once
+    few, many = vectors.ip_topk(vec, asked.where("q_id < 1000"), 2, by="c"), vectors.ip_topk(vec, asked, 2, by="c")
+    size = lambda df: df._jdf.queryExecution().toString().count("\n")
+    assert abs(size(few) - size(many)) <= 2
+    assert many.count() == 2 * asked.where("cast(substr(c, 2) as int) < 30").count()
+    assert few.exceptAll(many).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5])
 def test_hash_embedding_against_its_definition(spark, n):
     import hashlib
