@@ -10,24 +10,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
+from .automata import SuffixAutomaton
 from .text import clean_name
 
 
+#: Pairs whose names make one automaton.
+PAIRS = 2048
+
+
 def common_substring(a: str, b: str) -> int:
     """Length of the longest common substring."""
-    if not a or not b:
-        return 0
-    x, y = (np.array(list(map(ord, s))) for s in (a, b))
-    run, best = np.zeros(len(y) + 1, np.int32), 0
-    for c in x:
-        run[1:] = np.where(y == c, run[:-1] + 1, 0)
-        best = max(best, int(run.max()))
-    return best
+    return next((n for _, n in SuffixAutomaton([b]).common(a, 1)), 0)
 
 
 @F.pandas_udf(IntegerType())
 def common_substring_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([common_substring(x or "", y or "") for x, y in zip(a, b)], dtype="int32")
+    """Of pairs of a text and a name: one automaton for the names of some thousand pairs, and one walk for each text."""
+    out = np.zeros(len(a), np.int32)
+    for at in range(0, len(a), PAIRS):
+        rows: dict[str, list[int]] = {}
+        texts, names = a.iloc[at : at + PAIRS].fillna("").tolist(), b.iloc[at : at + PAIRS].fillna("").tolist()
+        for i, text in enumerate(texts):
+            rows.setdefault(text, []).append(i)
+        number = {name: k for k, name in enumerate(dict.fromkeys(names))}
+        automaton = SuffixAutomaton(list(number))
+        for text, own in rows.items():
+            asked = {number[names[i]] for i in own}
+            size = dict(automaton.common(text, sum(1 << k for k in asked)))
+            for i in own:
+                out[at + i] = size.get(number[names[i]], 0)
+    return pd.Series(out)
 
 
 @F.pandas_udf(DoubleType())

@@ -6,12 +6,17 @@ the ranks of the sources; a callable scorer may take its place through prompts.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.automata import SuffixAutomaton
 from ..functions.grades import choose_grade
 from ..functions.parsing import parse_choice
-from ..functions.text import remove_annotations
+from ..functions.text import clean_name, remove_annotations
+from .cells import meet
 from .scoring import Scorer, score_prompts
 from .taxonomy import deepest
 
@@ -111,14 +116,51 @@ def resolve(chosen: DataFrame, tax: DataFrame, highest: bool = True) -> DataFram
 
 def map_fields(requests: DataFrame, resolved: DataFrame, least: float = 0.3) -> DataFrame:
     """(request_id, field_no, element, score): of each field the element of the request's category that its comment, or else
-    its name, resembles most, if that reaches ``least``."""
+    its name, resembles most, if that reaches ``least``; the first of equals.
+
+    A category's elements make one suffix automaton, past which the distinct texts of its fields go.
+    """
     fields = requests.select("request_id", F.posexplode("fields").alias("field_no", "f")).select("request_id", "field_no", F.coalesce(F.nullif(F.col("f.fieldComment"), F.lit("")), F.col("f.fieldName")).alias("text"))
-    elements = resolved.select("request_id", F.posexplode("elements").alias("element_no", "name")).where("name <> ''")
-    pairs = fields.join(elements, "request_id")
-    # names repeat over requests: each distinct pair is scored once
-    scored = scored_names_of(pairs).where(F.col("score") >= least)
-    best = scored.withColumn("_rk", F.row_number().over(Window.partitionBy("request_id", "field_no").orderBy(F.desc("score"), "element_no"))).where("_rk = 1")
-    return best.select("request_id", "field_no", F.col("name").alias("element"), "score")
+    asked = fields.where("text IS NOT NULL").join(resolved.select("request_id", "row_no"), "request_id")
+    texts = asked.select("row_no", "text").distinct().withColumn("clean", clean_name(F.col("text")))
+    rows = resolved.groupBy("row_no").agg(F.first("elements").alias("elements"))
+    elements = rows.select("row_no", F.posexplode("elements").alias("element_no", "name")).where("name <> ''").withColumn("clean", clean_name(F.col("name")))
+    best = meet(elements, texts, "row_no", F.col("text"), _element_names, _most_alike(least), "text string, element string, score double")
+    return asked.join(best, ["row_no", "text"]).select("request_id", "field_no", "element", "score")
+
+
+def _element_names(rows: list[tuple]) -> tuple[list[tuple[str, str]], dict[str, int], dict[str, int], SuffixAutomaton]:
+    """The distinct elements in order, the first by name and by clean name, and their automaton."""
+    once = {name: clean for _, name, clean in sorted(rows, reverse=True)}
+    names = [(name, once[name]) for name in dict.fromkeys(name for _, name, _ in sorted(rows))]
+    by_name = {name: k for k, (name, _) in enumerate(names)}
+    by_clean = {clean: k for k, (_, clean) in reversed(list(enumerate(names)))}
+    return names, by_name, by_clean, SuffixAutomaton([name for name, _ in names])
+
+
+def _rounded(x: float) -> float:
+    """Six places, halves up, as Spark rounds."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+
+def _most_alike(least: float) -> Callable[..., Iterator[tuple[str, str, float]]]:
+    def answer(ready: tuple, row: tuple) -> Iterator[tuple[str, str, float]]:
+        (names, by_name, by_clean, automaton), (text, clean) = ready, row
+        if text in by_name:
+            best = 1.0, -by_name[text]
+        elif clean in by_clean:
+            best = 0.95, -by_clean[clean]
+        else:
+            # a score is no larger than the share of the text that is common; scores are rounded
+            best = 0.0, -len(names)
+            for k, size in automaton.common(text, (1 << len(names)) - 1, least):
+                if size / len(text) < best[0] - 1e-6:
+                    break
+                best = max(best, (_rounded(size / max(len(text), len(names[k][0]))), -k))
+        if best[0] >= least and -best[1] < len(names):
+            yield text, names[-best[1]][0], best[0]
+
+    return answer
 
 
 def scored_names_of(pairs: DataFrame) -> DataFrame:
