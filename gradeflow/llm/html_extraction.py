@@ -5,7 +5,7 @@ are aligned by longest common subsequence, and shared lines are deleted.
    are none (menus, forms, adverts, comments ...).
 2. Only the digests of the blocks go on to be ordered by (host, path): ranges with a number in their order, so a host with a third
    of all pages is many tasks. Neighbours meet by number, and their blocks are aligned.
-3. What is shared goes back to the page, which is parsed once more, and the other blocks are its text.
+3. The pages, parsed once more to the blocks that markup leaves in, meet what they share, and the other blocks are their text.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import shuffle_partitions, written
 
@@ -304,14 +304,28 @@ def _aligned(copies: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's blocks that markup leaves in, with their places, and which of them a neighbour may take away."""
     for batch in batches:
-        texts = []
-        for html, either, twice in zip(*(batch.column(c).to_pylist() for c in ("html", "either", "twice")), strict=True):
+        places, texts, loose, marks = [], [], [], []
+        for html in batch.column("html").to_pylist():
             page = parse(html or "")
             inside, marked = article(page)
-            gone = {i for i in twice or () if page.blocks[i].tag not in _FLOW} if marked else set(either or ())
-            texts.append("\n\n".join(b.text for i, (b, k) in enumerate(zip(page.blocks, inside, strict=True)) if k and i not in gone))
+            own = [i for i, k in enumerate(inside) if k]
+            places.append(own)
+            texts.append([page.blocks[i].text for i in own])
+            loose.append([not marked or page.blocks[i].tag not in _FLOW for i in own])
+            marks.append(marked)
+        kinds = pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.bool_()
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "page_id", "url")), *map(pa.array, (places, texts, loose, marks), kinds)], names=["key", "page_id", "url", "places", "texts", "loose", "marked"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for places, own, loose, gone in zip(*(batch.column(c).to_pylist() for c in ("places", "texts", "loose", "gone")), strict=True):
+            shared = set(gone or ())
+            texts.append("\n\n".join(t for i, t, k in zip(places, own, loose, strict=True) if not (k and i in shared)))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -321,7 +335,7 @@ def shared_lines(pages: DataFrame, copies: float = 0.5) -> DataFrame:
     spark = pages.sparkSession
     order = ["host", "path", "url", "key"]
     lines = written(pages.where("host <> ''").mapInArrow(_lines, "host string, path string, key binary, url string, lines array<long>, sizes array<int>"))
-    ranged = lines.dropDuplicates(["key"]).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = lines.repartitionByRange(shuffle_partitions(spark), *order).dropDuplicates(order).sortWithinPartitions(*order)  # equal rows are in one range
     ranged = written(ranged.select("host", "key", "lines", "sizes", F.monotonically_increasing_id().alias("id")))
     part, place = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
     counts = sorted((r.part, r["count"]) for r in ranged.groupBy(part.alias("part")).count().collect())  # a number for each range
@@ -348,5 +362,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     keyed = rows.select(*_key_columns(), "page_id", "url", "html")
     shared = shared_lines(keyed.select("host", "path", "key", F.coalesce("url", F.lit("")).alias("url"), "html"), copies)
-    schema = StructType([rows.schema["page_id"], StructField("url", StringType()), StructField("text", StringType())])
-    return keyed.select("key", "page_id", "url", "html").join(shared, "key", "left").drop("key").mapInArrow(_texts, schema).withColumn("n_chars", F.length("text").cast("long"))
+    schema = StructType([StructField("key", BinaryType()), rows.schema["page_id"], *StructType.fromDDL("url string, places array<int>, texts array<string>, loose array<boolean>, marked boolean")])
+    blocks = keyed.select("key", "page_id", "url", "html").mapInArrow(_candidates, schema).join(shared, "key", "left")
+    gone = F.when(F.col("marked"), F.col("twice")).otherwise(F.col("either"))
+    out = StructType([rows.schema["page_id"], *StructType.fromDDL("url string, text string")])
+    return blocks.select("page_id", "url", "places", "texts", "loose", gone.alias("gone")).mapInArrow(_texts, out).withColumn("n_chars", F.length("text").cast("long"))
