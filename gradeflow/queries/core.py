@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grades as G
 from ..functions import text as T
-from ..operators import changes, chunking, grids, kb, lexical, lines, matching, scoring, taxonomy, tree, vectors
+from ..operators import changes, chunking, grids, kb, lexical, lines, matching, postings, scoring, taxonomy, tree, vectors
 from ..plans import interpret
 from ..sources import tables
 from ..session import stored
@@ -68,9 +68,8 @@ BM25 = f"""
 
 
 def bm25(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    posted = stored(lexical.postings(docs))
-    return lexical.bm25_topk(posted, lexical.corpus_figures(docs, posted), items, k, "item_id").withColumnRenamed("query_id", "item_id")
+    index = postings.index_of(spark, f"{sf_dir}/documents.parquet")
+    return postings.topk(index, table(spark, sf_dir, "benchmark"), k, "item_id").withColumnRenamed("query_id", "item_id")
 
 
 @register("r03_bm25_topk", f"WITH {BM25} SELECT item_id, doc_id, score, rk FROM best")
