@@ -1,60 +1,112 @@
-"""An index for BM25: postings in blocks by falling share, each with its largest share.
+"""An index for BM25: segments of documents, in each the postings of its tokens by falling share, with the largest one.
 
-Built once for a corpus and read by all searches. A search finds the k best documents of each query without scoring all documents
-that share a token with it: the first blocks of its tokens give a score that k documents reach, and what can't reach it is not
-read. That is, of tokens whose largest scores together stay below it no document is taken (a token that every document has is one
-of them, if the query has a rarer one), and of the others only the blocks in which a document may still reach it. Documents that
-are left are scored in full, so results are those of ``lexical.bm25_topk``.
+Built once for a corpus and read by all searches. A search goes over the segments where they lie: no posting is shuffled, and a
+token that every document has makes no rows for documents and queries, but an addition to a vector of the segment's scores. With
+the largest shares a segment tells what a query could reach in it; a task leaves out those in which no document can come up to the
+k-th best that it has seen. What is left is scored in full, so results are those of ``lexical.bm25_topk``.
 """
 
 from __future__ import annotations
 
 import uuid
-from typing import NamedTuple
+from collections.abc import Iterator
+from typing import Any, NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions.text import tokens
 from ..session import scratch_dir, version_of
-from . import lexical
-from .lexical import B, FEW_TOKENS, K1
+from .cells import meet
+from .lexical import EPSILON, FEW_TOKENS, K1, B
 
-#: Documents of a block; those of a slice, in which a token's documents are put in order.
-BLOCK, SLICE = 128, 100_000
+#: Documents of a segment, and words that end one.
+DOCS, WORDS = 4096, 2_000_000
+#: Queries that meet the segments at once where they are too many to be broadcast.
+QUERIES = 1024
 #: What rounding to six places may add to a score.
 ROUNDING = 1e-6
 
+_RAW = "lengths binary, tokens array<string>, df array<long>, places binary, tf binary, n long, total long"
+_ORDERED = "tokens array<string>, df array<long>, most array<double>, places binary, shares binary"
+
 
 class Index(NamedTuple):
-    tokens: DataFrame  # (token, idf, most): most is the largest share
-    blocks: DataFrame  # (token, slice, block, most, docs): docs are (doc_id, share) by falling share
+    tokens: DataFrame  # (token, idf)
+    segments: DataFrame  # (docs, tokens, df, most, places, shares): of each token df places among docs and their shares
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by token and document of some thousand documents each, from (doc_id, words)."""
+    for batch in batches:
+        words = batch.column(1)
+        sizes = np.diff(words.offsets.to_numpy())
+        held = np.cumsum(sizes)
+        lo = 0
+        while lo < batch.num_rows:
+            most = (held[lo - 1] if lo else 0) + WORDS
+            hi = max(lo + 1, min(lo + DOCS, int(np.searchsorted(held, most, side="right"))))
+            own = words.slice(lo, hi - lo)
+            coded = own.flatten().dictionary_encode()
+            place = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+            key, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * (hi - lo) + place, return_counts=True)
+            df = np.bincount(key // (hi - lo), minlength=len(coded.dictionary))
+            ids = batch.column(0).slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays([ids])),
+                    pa.array([sizes[lo:hi].astype(np.int32).tobytes()], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())),
+                    pa.ListArray.from_arrays(pa.array([0, len(df)], pa.int32()), pa.array(df.astype(np.int64))),
+                    pa.array([(key % (hi - lo)).astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([tf.astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([hi - lo], pa.int64()),
+                    pa.array([int(sizes[lo:hi].sum())], pa.int64()),
+                ],
+                names=["docs", *(x.split(" ")[0] for x in _RAW.split(", "))],
+            )
+            lo = hi
 
 
 def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> Index:
     """Writes the index of documents below a path."""
     spark = docs.sparkSession
-    lexical.postings(docs, doc_id, text).write.parquet(f"{path}/postings")
-    posted = spark.read.parquet(f"{path}/postings")
-    figures = lexical.corpus_figures(docs, posted)
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    shares = posted.crossJoin(F.broadcast(figures)).select("doc_id", "token", (F.col("tf") * (K1 + 1) / norm).alias("share"))
-    df = posted.groupBy("token").agg(F.count("*").alias("df"))
-    # a frequent token is several slices, so that no task puts all its documents in order
-    sliced = shares.join(df.where(F.col("df") > SLICE), "token", "left").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.ceil(F.coalesce("df", F.lit(1)) / SLICE)))
-    rank = F.row_number().over(Window.partitionBy("token", "slice").orderBy(F.desc("share"), "doc_id"))
-    numbered = sliced.withColumn("rank", rank).withColumn("block", F.floor((F.col("rank") - 1) / BLOCK))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "share"))), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["share"].alias("share")))
-    blocks = numbered.groupBy("token", "slice", "block").agg(F.max("share").alias("most"), listed.alias("docs"))
-    blocks.sortWithinPartitions("token").write.parquet(f"{path}/blocks")  # groups of rows with few tokens are left out by their bounds
-    most = spark.read.parquet(f"{path}/blocks").groupBy("token").agg(F.max("most").alias("most"))
-    lexical.idf(posted, figures).join(most, "token").write.parquet(f"{path}/tokens")
+    ids = StructField("docs", ArrayType(docs.schema[doc_id].dataType))
+    listed = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
+    listed.mapInArrow(_segments, StructType([ids, *StructType.fromDDL(_RAW)])).write.parquet(f"{path}/counts")
+    counts = spark.read.parquet(f"{path}/counts")
+    n, total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    mean = total / n if n else 0.0
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lengths, df, places, tf = (np.frombuffer(batch.column(k)[i].as_buffer(), np.int32) if k != 3 else np.asarray(batch.column(k)[i].values) for k in (1, 3, 4, 5))
+                share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[places] / (mean or 1)))
+                order = np.lexsort((places, -share, np.repeat(np.arange(len(df)), df)))
+                share = share[order]
+                most = share[np.cumsum(df) - df] if len(df) else share
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [row.column(0), row.column(2), row.column(3), pa.ListArray.from_arrays(pa.array([0, len(df)], pa.int32()), pa.array(most)), pa.array([places[order].tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary())],
+                    names=["docs", *(x.split(" ")[0] for x in _ORDERED.split(", "))],
+                )
+
+    counts.mapInArrow(ordered, StructType([ids, *StructType.fromDDL(_ORDERED)])).write.parquet(f"{path}/segments")
+    df = counts.select(F.explode(F.arrays_zip("tokens", "df")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.df").alias("df"))
+    raw = df.select("token", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    low = raw.agg(F.avg("raw").alias("mean"))
+    raw.crossJoin(F.broadcast(low)).select("token", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")).write.parquet(f"{path}/tokens")
     return read(spark, path)
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/tokens"), spark.read.parquet(f"{path}/blocks"))
+    return Index(spark.read.parquet(f"{path}/tokens"), spark.read.parquet(f"{path}/segments"))
 
 
 def index_of(spark: SparkSession, source: str, doc_id: str = "doc_id", text: str = "text") -> Index:
@@ -73,37 +125,73 @@ def index_of(spark: SparkSession, source: str, doc_id: str = "doc_id", text: str
         return index
 
 
-def _candidates(index: Index, queries: DataFrame, k: int, query_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(query_id, doc_id) of all pairs that may be among the k best of the query, the weights of the queries' tokens, and the
-    blocks of those tokens."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    weighed = asked.join(index.tokens, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"), "most")
-    bound = F.col("weight") * F.col("most")
-    own = Window.partitionBy("query_id")
-    rising = own.orderBy("upper", "token").rowsBetween(Window.unboundedPreceding, 0)
-    weighed = weighed.withColumn("upper", F.greatest(bound, F.lit(0.0))).withColumn("lower", F.least(bound, F.lit(0.0)))
-    weighed = weighed.withColumn("all_upper", F.sum("upper").over(own)).withColumn("all_lower", F.sum("lower").over(own)).withColumn("up_to", F.sum("upper").over(rising))
-    wanted = weighed.select("token").distinct()
-    few = wanted.limit(FEW_TOKENS + 1).count() <= FEW_TOKENS
-    blocks = index.blocks.join(F.broadcast(wanted) if few else wanted, "token", "left_semi")
-
-    # a score that k documents reach: from the first blocks alone, and the least that the other tokens can make of it
-    met = blocks.where("block = 0").select("token", F.explode("docs").alias("d")).join(weighed, "token")
-    part = met.groupBy("query_id", F.col("d.doc_id").alias("doc_id")).agg((F.sum(F.greatest(F.col("weight"), F.lit(0.0)) * F.col("d.share")) + F.first("all_lower")).alias("part"))
-    kth = part.withColumn("rk", F.row_number().over(own.orderBy(F.desc("part")))).where(F.col("rk") == k).select("query_id", (F.col("part") - ROUNDING).alias("reached"))
-    judged = weighed.join(kth, "query_id", "left").withColumn("reached", F.greatest(F.coalesce("reached", F.lit(0.0)), F.lit(0.0)))
-
-    # a document counts by one of the tokens that could lift it so far, in a block in which it still may
-    leading = judged.where((F.col("weight") > 0) & (F.col("up_to") >= F.col("reached"))).select("query_id", "token", "weight", (F.col("all_upper") - F.col("upper")).alias("others"), "reached")
-    hopeful = blocks.join(leading, "token").where(F.col("weight") * F.col("most") + F.col("others") >= F.col("reached"))
-    return hopeful.select("query_id", F.explode("docs.doc_id").alias("doc_id")).distinct(), weighed, blocks
+class _Searcher:
+    """The queries (id, tokens, weights) of a task, and the k-th best score of each so far."""
+
+    def __init__(self, queries: list[tuple[Any, list[str], list[float]]], k: int) -> None:
+        self.queries, self.k = queries, k
+        self.reached: list[list[float]] = [[] for _ in queries]
+
+    def search(self, docs: list, names: list[str], df: np.ndarray, most: np.ndarray, places: bytes, shares: bytes) -> Iterator[tuple[Any, Any, float]]:
+        """(query, doc, score) of what may be among the k best of all."""
+        ends = np.cumsum(df)
+        place, share = np.frombuffer(places, np.int32), np.frombuffer(shares, np.float64)
+        known = {t: i for i, t in enumerate(names)}
+        for number, (query, own, weights) in enumerate(self.queries):
+            held = [(known[t], w) for t, w in zip(own, weights, strict=True) if t in known]
+            best = self.reached[number]
+            if len(best) == self.k and sum(max(w, 0.0) * most[i] for i, w in held) + ROUNDING < best[-1]:
+                continue
+            score, any_token = np.zeros(len(docs)), np.zeros(len(docs), bool)
+            for i, w in held:
+                at = slice(ends[i] - df[i], ends[i])
+                score[place[at]] += w * share[at]
+                any_token[place[at]] = True
+            score = np.where(any_token, np.round(score, 6), 0.0)
+            at = np.flatnonzero(score > 0)
+            if len(at) > self.k:
+                least = np.partition(score[at], len(at) - self.k)[len(at) - self.k]
+                at = at[score[at] >= least]
+            self.reached[number] = sorted([*best, *score[at].tolist()], reverse=True)[: self.k]
+            yield from ((query, docs[i], float(score[i])) for i in at.tolist())
 
 
 def topk(index: Index, queries: DataFrame, k: int = 15, query_id: str = "query_id", text: str = "text") -> DataFrame:
-    """(query_id, doc_id, score, rk) of the k best documents of each query with a positive score; equal ones by id."""
-    pairs, weighed, blocks = _candidates(index, queries, k, query_id, text)
+    """(query_id, doc_id, score, rk) of the k best documents of each query with a positive score; equal ones by id.
 
-    every = pairs.join(weighed.select("query_id", "token", "weight"), "query_id")
-    shares = blocks.select("token", F.explode("docs").alias("d")).select("token", "d.doc_id", "d.share")
-    scored = every.join(shares, ["token", "doc_id"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("share")), 6).alias("score")).where("score > 0")
-    return scored.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rk") <= k)
+    Queries are broadcast if they have few tokens (their number is checked); more of them are dealt in parts that all segments
+    go past.
+    """
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    weighed = asked.join(index.tokens, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"))
+    packed = weighed.groupBy("query_id").agg(F.collect_list("token").alias("tokens"), F.collect_list("weight").alias("weights"))
+    kinds = queries.schema[query_id].dataType, index.segments.schema["docs"].dataType.elementType
+    few = weighed.limit(FEW_TOKENS + 1).collect()
+    columns = ["docs", *(x.split(" ")[0] for x in _ORDERED.split(", "))]
+    values = lambda row: (row[0], row[1], np.asarray(row[2]), np.asarray(row[3]), row[4], row[5])
+    if len(few) <= FEW_TOKENS:
+        own: dict[Any, tuple[Any, list, list]] = {}
+        for q, token, weight in few:
+            one = own.setdefault(q, (q, [], []))
+            one[1].append(token)
+            one[2].append(weight)
+        shared = queries.sparkSession.sparkContext.broadcast(list(own.values()))
+        schema = StructType([StructField("query_id", kinds[0]), StructField("doc_id", kinds[1]), StructField("score", StructType.fromDDL("s double")[0].dataType)])
+        shape = to_arrow_schema(schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searcher = _Searcher(shared.value, k)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    found = list(searcher.search(*values([batch.column(c)[i].as_py() for c in columns])))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*found, strict=True) if found else ([], [], []), shape, strict=True)], names=shape.names)
+
+        scored = index.segments.select(columns).mapInArrow(run, schema)
+    else:
+        parts = -(-queries.count() // QUERIES)
+        held = packed.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+        streamed = index.segments.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *columns)
+        schema = f"query_id {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}, score double"
+        scored = meet(held, streamed, "part", F.col("docs"), lambda rows: _Searcher(rows, k), lambda searcher, row: searcher.search(*values(row)), schema)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scored.select("query_id", "doc_id", "score").withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k)

@@ -1,15 +1,19 @@
-"""Search over blocks against scoring all documents."""
+"""Search over segments against scoring all documents."""
 
 import random
 
+import numpy as np
 import pytest
 
 from gradeflow.operators import lexical, postings
 
 
-@pytest.fixture(params=[(128, 100_000), (4, 30)], ids=["one block", "many blocks"])
+@pytest.fixture(params=[(4096, 2_000_000, 200_000, 1024), (7, 60, 200_000, 1024), (16, 10**6, 3, 5)], ids=["one segment", "many segments", "many queries"])
 def sizes(request, monkeypatch):
-    for name, value in zip(("BLOCK", "SLICE"), request.param, strict=True):
+    monkeypatch.setattr(postings, "FEW_TOKENS", request.param[2])
+    for name, value in zip(("DOCS", "WORDS", "_", "QUERIES"), request.param, strict=True):
+        if name == "_":
+            continue
         monkeypatch.setattr(postings, name, value)
 
 
@@ -40,13 +44,13 @@ def test_all_idf_low(spark, tmp_path, sizes):
     assert rows(postings.topk(index, asked, 5)) == rows(lexical.bm25_topk(posted, lexical.corpus_figures(docs, posted), asked, 5))
 
 
-def test_frequent_token_reads_few_pairs(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "common words " + ("rare " if i < 40 else "") + f"x{i % 50}") for i in range(2000)], "doc_id long, text string")
-    asked = spark.createDataFrame([(i, f"common rare x{i}") for i in range(30)], "query_id long, text string")
-    index = postings.build(docs, str(tmp_path / "index"))
-    assert postings.topk(index, asked, 3).count() == 90
-    pairs = postings._candidates(index, asked, 3, "query_id", "text")[0]
-    assert pairs.count() < 30 * 100  # of 30 * 2000 that share a token
+def test_hopeless_segments_are_left_out():
+    queries = [("q", ["rare", "common"], [2.0, 0.1])]
+    searcher = postings._Searcher(queries, 2)
+    segment = lambda docs, names, df, places, shares: (docs, names, np.array(df), np.array([shares[sum(df[:i])] for i in range(len(df))]), np.array(places, np.int32).tobytes(), np.array(shares).tobytes())
+    assert list(searcher.search(*segment([1, 2, 3], ["rare", "common"], [2, 3], [1, 0, 2, 1, 0], [2.0, 1.0, 2.0, 1.0, 0.5]))) == [("q", 1, 2.05), ("q", 2, 4.1)]
+    assert list(searcher.search(*segment([4], ["common"], [1], [0], [2.0]))) == []  # 0.2 at most
+    assert list(searcher.search(*segment([5], ["rare"], [1], [0], [1.025]))) == [("q", 5, 2.05)]  # an equal score may count by its id
 
 
 def test_an_index_serves_one_state_of_a_table(spark, tmp_path):
@@ -55,9 +59,9 @@ def test_an_index_serves_one_state_of_a_table(spark, tmp_path):
     docs.write.parquet(source)
     first = postings.index_of(spark, source)
     again = postings.index_of(spark, source)
-    assert first.blocks.inputFiles() == again.blocks.inputFiles()
+    assert first.segments.inputFiles() == again.segments.inputFiles()
     docs.limit(10).write.mode("append").parquet(source)
-    assert postings.index_of(spark, source).blocks.inputFiles() != first.blocks.inputFiles()
+    assert postings.index_of(spark, source).segments.inputFiles() != first.segments.inputFiles()
 
 
 def test_empty_corpus(spark, tmp_path):
