@@ -27,6 +27,8 @@ from .lexical import EPSILON, FEW_TOKENS, K1, B
 
 #: Documents of a segment, and words that end one.
 DOCS, WORDS = 4096, 2_000_000
+#: Of what an index holds; another one has other folders.
+FORMAT = 1
 #: Queries that meet the segments at once where they are too many to be broadcast.
 QUERIES = 1024
 #: What rounding to six places may add to a score.
@@ -115,7 +117,7 @@ def index_of(spark: SparkSession, source: str, doc_id: str = "doc_id", text: str
     An index is made in a folder of its own and named when it is whole, so a build that fails leaves none, and of two at once
     either is right.
     """
-    place = f"{scratch_dir(spark)}/postings-{version_of(spark, source)}-{doc_id}-{text}"
+    place = f"{scratch_dir(spark)}/segments-{FORMAT}-{version_of(spark, source)}-{doc_id}-{text}"
     try:
         return read(spark, spark.read.text(f"{place}/built").agg(F.min("value")).first()[0])
     except AnalysisException:
