@@ -6,10 +6,14 @@ again changes nothing.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsing import parse_elements
+from ..operators.ordinals import with_ordinal
 
 FORM = "header map<string,string>, data map<string,string>"
 
@@ -20,8 +24,8 @@ def read_taxonomy(spark: SparkSession, path: str, spec_uid: str) -> tuple[DataFr
     Columns are told by their header: levels end with 分类, then 对应特征, 等级, 条件, 真实数据; levels count in numeric key order.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_o"), F.monotonically_increasing_id().alias("_i"), F.col("value").alias("raw_json"))
-    order = Window.orderBy("_f", "_o", "_i")
-    parsed = lines.where(F.trim("raw_json") != "").withColumn("row_no", F.row_number().over(order).cast("long")).withColumn("p", F.from_json("raw_json", FORM))
+    numbered = with_ordinal(lines.where(F.trim("raw_json") != ""), ["_f", "_o"], ["_i"], "row_no")
+    parsed = numbered.withColumn("row_no", (F.col("row_no") + 1).cast("long")).withColumn("p", F.from_json("raw_json", FORM))
     good = parsed.where("p.header IS NOT NULL AND p.data IS NOT NULL").withColumn("h", F.array_sort(F.transform(F.map_entries("p.header"), lambda e: F.struct(e["key"].cast("int").alias("k"), e["key"].alias("key"), e["value"].alias("name")))))
     value = lambda e: F.coalesce(F.try_element_at("p.data", e["key"]), F.lit(""))
     role = lambda name: F.coalesce(F.get(F.transform(F.filter("h", lambda e: e["name"] == name), value), F.lit(0)), F.lit(""))
@@ -72,33 +76,82 @@ def collection_name(spec_uid: Column, kind: str) -> Column:
     return F.when(name.rlike("^[A-Za-z_]"), name).otherwise(F.concat(F.lit("_"), name))
 
 
-def rebuild_collections(records: DataFrame, path: str, spec_uids: list[str]) -> None:
-    """Replaces all kinds of the given specifications: kinds without records become empty, so none is stale.
+def rebuild_collections(records: DataFrame, path: str, spec_uids: list[str], attempts: int = 10) -> int:
+    """Replaces all kinds of the given specifications: kinds without records become empty, so none is stale. Returns the version.
 
-    A new version of the table is written beside the old one and the name of the current version is switched last.
+    Only these specifications are written, to a folder of their own. A version is a list of folders, one for each specification,
+    so the others are linked, not copied. It counts when its number's file is made, which only one can do: of two rebuilds at once
+    the later one takes the other's list and tries the next number. What fails before leaves the old version as it is.
     """
-    spark = records.sparkSession
-    kept = current_collections(spark, path)
-    new = records.where(F.col("spec_uid").isin(spec_uids))
-    whole = new if kept is None else new.unionByName(kept.where(~F.col("spec_uid").isin(spec_uids)).drop("version"), allowMissingColumns=True)
-    version = 1 + (latest_version(spark, path) or 0)
-    # of two rebuilds at once the later one finds the version's folder there and fails
-    whole.write.mode("errorifexists").partitionBy("spec_uid", "kind").parquet(f"{path}/data/version={version}")
-    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    spark, build = records.sparkSession, uuid.uuid4().hex
+    folder = f"{path}/data/build={build}"
+    records.where(F.col("spec_uid").isin(spec_uids)).write.mode("errorifexists").partitionBy("spec_uid", "kind").parquet(folder)
+    made = [r.spec_uid for r in spark.read.parquet(folder).select("spec_uid").distinct().collect()] if _listed(spark, folder) else []
+    for _ in range(attempts):
+        version = latest_version(spark, path)
+        held = {s: b for s, b in manifest(spark, path, version).items() if s not in spec_uids} | dict.fromkeys(made, build)
+        number = 1 + int((_listed(spark, f"{path}/versions") or ["0"])[-1])
+        if _created(spark, f"{path}/versions/{number:08d}", json.dumps(held)):
+            return number
+    raise RuntimeError(f"{path} changed {attempts} times meanwhile")
+
+
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    """Hadoop's file system of a path, and the path there."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    files, at = _files(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(at) if not x.getPath().getName().startswith(("_", "."))) if files.exists(at) else []
+
+
+def _created(spark: SparkSession, path: str, text: str) -> bool:
+    """Whether this call made the file; one that is there stays as it is."""
+    files, at = _files(spark, path)
+    try:
+        out = files.create(at, False)
+    except Exception as e:
+        if files.exists(at):
+            return False
+        raise e
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
 
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
-    from pyspark.errors import AnalysisException
+    """The last version whose list is whole; a number whose file nothing more is written to is passed over."""
+    for name in reversed(_listed(spark, f"{path}/versions")):
+        if _manifest(spark, f"{path}/versions/{name}") is not None:
+            return int(name)
+    return None
+
 
+def _manifest(spark: SparkSession, file: str) -> dict[str, str] | None:
+    text = spark.read.text(file, wholetext=True).first()
     try:
-        return spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0]
-    except AnalysisException:
+        return json.loads(text[0]) if text else None
+    except ValueError:
         return None
 
 
-def current_collections(spark: SparkSession, path: str) -> DataFrame | None:
-    version = latest_version(spark, path)
-    return None if version is None else spark.read.parquet(f"{path}/data/version={version}")
+def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict[str, str]:
+    """The build of each specification in a version, the latest one by default."""
+    version = latest_version(spark, path) if version is None else version
+    return {} if version is None else _manifest(spark, f"{path}/versions/{version:08d}") or {}
+
+
+def current_collections(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The records of a version; None before there is one, or if it has no records."""
+    builds = manifest(spark, path, version)
+    if not builds:
+        return None
+    kept = spark.read.option("basePath", f"{path}/data").option("mergeSchema", True).parquet(*(f"{path}/data/build={b}" for b in sorted(set(builds.values()))))
+    pairs = F.create_map(*[F.lit(x) for kv in sorted(builds.items()) for x in kv])
+    return kept.where(F.col("build") == F.try_element_at(pairs, F.col("spec_uid"))).drop("build")
 
 
 def scan_collection(records: DataFrame, predicate: Column | None = None, columns: list[str] | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
