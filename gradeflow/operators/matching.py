@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .lexical import B, EPSILON, K1
-from .vectors import cosine, hash_vector, ip_topk, vectors_of
+from .vectors import cosine, ip_topk, no_vector, vectors_of
 
 
 def bm25_among(pairs: DataFrame, query: str = "query", candidate: str = "candidate") -> DataFrame:
@@ -45,7 +45,8 @@ def match_elements(requests: DataFrame, embedding_weight: float = 1.0, bm25_weig
     results = F.coalesce("maxResults", F.lit(default_results)) if "maxResults" in requests.columns else F.lit(default_results)
     pairs = requests.select("request_id", bare(F.col("elementName")).alias("query"), threshold.alias("t"), results.alias("k"), F.size("elementNames").alias("n"), F.posexplode("elementNames").alias("candidate_no", "name")).withColumn("candidate", bare(F.col("name")))
     # each distinct name is embedded once
-    texts = pairs.select(F.explode(F.array("query", "candidate")).alias("x")).distinct().withColumn("v", hash_vector(F.col("x")))
+    names = pairs.select(F.explode(F.array("query", "candidate")).alias("x")).distinct()
+    texts = vectors_of(names, "x").select("x", F.coalesce("vector", no_vector()).alias("v"))
     left, right = texts.select(F.col("x").alias("query"), F.col("v").alias("qv")), texts.select(F.col("x").alias("candidate"), F.col("v").alias("cv"))
     scored = pairs.join(left, "query").join(right, "candidate").withColumn("e", F.round(cosine(F.col("qv"), F.col("cv")), 6))
     if bm25_weight:

@@ -299,6 +299,11 @@ def vectors_of(rows: DataFrame, text: str, dims: int = 64) -> DataFrame:
     return named.join(by_text, F.col("_md5") == F.col("text_md5"), "left").withColumn("vector", F.when(F.col("_w").isNotNull(), vector)).drop("_md5", "text_md5", "_w")
 
 
+def no_vector(dims: int = 64) -> Column:
+    """The embedding of a text without n-grams."""
+    return F.array_repeat(F.lit(0.0).cast("float"), dims)
+
+
 def embed(df: DataFrame, column: str, embedder: Callable[[list[str]], list[list[float]]], out: str = "vector", longest: int = 3000, cache: DataFrame | None = None) -> DataFrame:
     """Adds the vector that ``embedder`` gives for each text: called with the distinct texts of an Arrow batch, cut to
     ``longest`` characters. ``cache`` (text_md5, vector) spares texts that it holds."""

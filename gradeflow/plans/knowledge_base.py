@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import kb
 from ..operators.changes import delete_documents
 from ..operators.taxonomy import category_text, match_paths, path_key, prune_non_leaf
-from ..operators.vectors import hash_vector
+from ..operators.vectors import no_vector, vectors_of
 from ..sources import tables
 
 
@@ -24,7 +24,10 @@ def build_records(chunks: DataFrame, tax: DataFrame, classes: DataFrame, vector:
     records = lines.select("spec_uid", F.col("doc_name").alias("doc_id"), F.col("category_text").alias("text"), "vectorizing_text", kb.items_of(F.col("line"), F.col("category_text")).alias("items"))
     typed, _ = kb.routed(records, classes)
     every = typed.drop("doc_id").unionByName(kb.general_records(chunks.where(F.coalesce(general, F.lit(False)))))
-    return kb.numbered(every).withColumn("vector", (hash_vector(F.col("vectorizing_text")) if vector is None else vector).cast("array<float>"))
+    numbered = kb.numbered(every)
+    if vector is not None:
+        return numbered.withColumn("vector", vector.cast("array<float>"))
+    return vectors_of(numbered, "vectorizing_text").withColumn("vector", F.coalesce("vector", no_vector()))
 
 
 def rebuild(spark: SparkSession, chunk_path: str, collection_path: str, tax: DataFrame, classes: DataFrame, spec_uids: list[str]) -> DataFrame:

@@ -137,6 +137,7 @@ def test_fuzzy_removal_against_all_ratios(spark):
         docs += [(d, i, x) for i, x in enumerate(lines)]
         tocs += [(d, i, x) for i, x in enumerate(toc)]
     shape = "doc_id int, pos int, line string"
+    docs, tocs, want[40] = [*docs, (40, 0, "no contents")], [*tocs, (41, 0, "no lines")], [0]
     got = {}
     for r in headings.remove_similar(spark.createDataFrame(docs, shape), spark.createDataFrame(tocs, shape)).collect():
         got.setdefault(r.doc_id, []).append(r.pos)
