@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -117,9 +118,10 @@ _HINT = re.compile(r"licen[sc]|spdx|copyright|all rights reserved|hereby granted
 _HINT_WORDS = ("licen", "spdx", "copyright", "rights reserved", "hereby granted", "public domain", "cc by", "cc-by", "cc0", "cc 0")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z(])")
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
-_ID = r"\(*[ \t]*[A-Za-z0-9.+\-]+(?:[ \t]*\))*"
+_NAME = r"[A-Za-z0-9+\-]+(?:\.[A-Za-z0-9+\-]+)*"
+_ID = rf"\(*[ \t]*{_NAME}(?:[ \t]*\))*"
 _SPDX = re.compile(rf"SPDX-License-Identifier:\s*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)")
-_SPDX_PART = re.compile(r"(WITH[ \t]+)?([A-Za-z0-9.+\-]+)")
+_SPDX_PART = re.compile(rf"(WITH[ \t]+)?({_NAME})")
 _CLOSING = re.compile(r"[.,;:!?)\"']*")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _COMMON = frozenset("a all and any are be by except for form free in is it license licensed no not of or part released software source subject terms that the this to under use version with work you".split())
@@ -158,9 +160,17 @@ class Scanner:
         if text not in self.known:
             if len(self.known) >= 10_000:
                 self.known.clear()
-            tags = [f for m in _SPDX.finditer(text) for f in self._tag(m)]
-            found = tags or self._notices(text)
-            self.known[text] = [found[0]._replace(start=0, end=len(text))] if len(found) == 1 and not tags else found
+            marks = list(_SPDX.finditer(text))
+            if marks:
+                # notices may stand before, between and behind tags
+                found, gone = [f for m in marks for f in self._tag(m)], 0
+                for begin, end in [*(m.span() for m in marks), (len(text), len(text))]:
+                    found += [f._replace(start=f.start + gone, end=f.end + gone) for f in self._notices(text[gone:begin])] if _HINT.search(text, gone, begin) else []
+                    gone = end
+                self.known[text] = sorted(found, key=lambda f: f.start)
+            else:
+                found = self._notices(text)
+                self.known[text] = [found[0]._replace(start=0, end=len(text))] if len(found) == 1 else found
         return self.known[text]
 
     def _tag(self, tag: re.Match[str]) -> list[Found]:
@@ -170,18 +180,51 @@ class Scanner:
         return [Found(m[2], at + m.start(2) if k else tag.start(), at + m.end(2), 1.0, 1.0, "", "") for k, m in enumerate(ids)]
 
     def _notices(self, text: str) -> list[Found]:
-        """Confirmed templates in a text, and in what is before and behind them; offsets are those of the words."""
-        if not (best := self._best(text)):
-            return []
-        left, right = text[: best.start], text[best.end :]
-        before = self._notices(left) if _HINT.search(left) else []
-        behind = self._notices(right) if _HINT.search(right) else []
-        return [*before, best, *(f._replace(start=f.start + best.end, end=f.end + best.end) for f in behind)]
+        """Confirmed templates in a text by place; offsets are those of the words.
 
-    def _best(self, text: str) -> Found | None:
+        A text of many words is read by windows that hold three of the longest template that may be in them, so time grows with
+        its length; what a window finds counts up to where a template may reach beyond it.
+        """
+        at = [m.span() for m in _WORD.finditer(self._low(text))]
+        out: list[Found] = []
+        first = 0
+        while first < len(at):
+            most = self.most
+            last = min(len(at), first + 3 * most)
+            if last < len(at):  # of a long text the templates that fit here tell how far to look
+                met = {text[a:b].lower() for a, b in at[first:last]}
+                most = max([len(t.words) for t in self.templates if t.telling <= met], default=0)
+                if not most:
+                    first = max(first + 1, last - self.most * 3 // 2)
+                    continue
+                last = min(len(at), first + max(3 * most, 30))
+            begin, end = at[first][0], at[last - 1][1] if last < len(at) else len(text)
+            sure = len(at) if last == len(at) else last - max(most * 3 // 2, 1)
+            found = sorted((f._replace(start=f.start + begin, end=f.end + begin) for f in self._few(text[begin:end])), key=lambda f: f.start)
+            kept = [f for f in found if sure == len(at) or f.end <= at[sure][0] or f is found[0]]
+            out += kept
+            behind = bisect_left(at, (kept[-1].end,)) if kept else first
+            first = len(at) if last == len(at) else max(behind, sure, first + 1) if len(kept) == len(found) else max(behind, first + 1)
+        return out
+
+    def _few(self, text: str) -> list[Found]:
+        """Templates in a text of a window's length, and in what is before and behind each."""
+        out, left = [], [(0, len(text))]
+        while left:
+            begin, end = left.pop()
+            if best := self._best(text[begin:end]):
+                best = best._replace(start=best.start + begin, end=best.end + begin)
+                out.append(best)
+                left += [(a, b) for a, b in ((begin, best.start), (best.end, end)) if _HINT.search(text, a, b)]
+        return out
+
+    @staticmethod
+    def _low(text: str) -> str:
         low = text.lower()
-        if len(low) != len(text):
-            low = text.translate(_LOWER)
+        return low if len(low) == len(text) else text.translate(_LOWER)
+
+    def _best(self, text: str) -> Found | None:
+        low = self._low(text)
         at = [m.span() for m in _WORD.finditer(low)]
         own, best = [low[a:b] for a, b in at], None
         met = set(own)

@@ -123,7 +123,7 @@ class Transducer:
             raise ValueError("a piece joins a space to other characters before it")
         self.text = [p.replace(SPACE, " ") if i not in special else "" for i, p in enumerate(pieces)]
         self.bytes = frozenset(range(first_byte, first_byte + 256))
-        self.size = len(pieces)
+        self.size, self.deepest = len(pieces), max(map(len, inner))
         #: The trie of the pieces: by code point the piece that ends there, or -1, and what may follow.
         self.arcs: dict[str, tuple] = {}
         for p, v in inner.items():
@@ -204,13 +204,13 @@ class Transducer:
 
         least[j] is the least weight of a path to position j, last[j] its last arc: a piece, or -1 for bytes and at the start.
         """
-        arcs, weights, size, n, inner = self.arcs, self.weights, self.size, len(word), self.number
+        arcs, weights, size, n, inner, deepest = self.arcs, self.weights, self.size, len(word), self.number, self.deepest
         least, last = [INFINITE] * (n + 1), [-1] * (n + 1)
         least[0] = 0.0
         for i in range(n):
             so_far, u = least[i], last[i]
             node, j, row = arcs, i, u * size
-            for c in word[i:]:
+            for c in word[i : i + deepest]:
                 found = node.get(c)
                 if found is None:
                     break

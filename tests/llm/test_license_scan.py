@@ -89,3 +89,25 @@ def test_every_pair_of_short_notices_in_a_block(scanner):
             if n != m:
                 found = [f.license for f in scanner.scan(f"{t} {u}")]
                 assert n in found and m in found, (n, m, found)
+
+
+@pytest.mark.parametrize("n", [1, 50, 1500, 20_000])
+def test_many_notices_in_a_line(scanner, n):
+    line = "Released under the MIT License " * n
+    assert [f.license for f in scanner.scan(line)] == ["MIT"] * n
+    mixed = "Released under the MIT License, or Licensed under the Apache License, Version 2.0; " * (n // 4)
+    assert [f.license for f in scanner.scan(mixed)] == ["MIT", "Apache-2.0"] * (n // 4)
+
+
+def test_notices_far_apart_in_a_line(scanner):
+    filler = " filler words of no use" * 400 + " "
+    line = filler.join(["", *(t for _, t in TEMPLATES), ""])
+    found = scanner.scan(line)
+    assert [f.license for f in found] == [n for n, _ in TEMPLATES]
+    assert all(filler.strip() not in line[f.start : f.end] for f in found[1:-1])
+
+
+def test_tags_and_notices_of_one_line(scanner):
+    one = lambda t: [f.license for f in scanner.scan(t)]
+    assert one("SPDX-License-Identifier: MIT. Parts are licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert one("Licensed under the Apache License, Version 2.0. SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH x-1.0).") == ["Apache-2.0", "MIT", "GPL-2.0-only"]

@@ -33,6 +33,18 @@ def test_equals_the_library(library):
         assert fst.encode(t) == library.encode(t), t
 
 
+@pytest.mark.parametrize("kind", ["letters", "han", "one letter", "spaces"])
+def test_long_texts_without_a_space(library, kind):
+    import time
+
+    rng = random.Random(4)
+    text = {"letters": lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(1_000_000)), "han": lambda: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300_000)), "one letter": lambda: "a" * 300_000, "spaces": lambda: " " * 200_000 + "x"}[kind]()
+    began = time.process_time()
+    ids = transducer().encode(text)
+    assert time.process_time() - began < 15  # 4 s here; with time as the square of the length it was minutes
+    assert ids == library.encode(text)
+
+
 def test_table_equals_the_library(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
