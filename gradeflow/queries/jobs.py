@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import text as T
-from ..operators import changes, grids, headings, kb, lines, recognition, scoring, taxonomy, tree
+from ..operators import changes, grids, headings, lines, recognition, scoring, taxonomy, tree
 from ..plans import interpret, knowledge_base
-from ..sources import tables
+from ..sources import documents, tables
 from ..streaming import debounce, ingest
 from .base import register, table
 from .core import PLACES, TAX, part_taxonomy, place_taxonomy
@@ -174,6 +176,25 @@ def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_chunk_files(spark, folder).select(F.array_join("category_path", "/").alias("category_path"), F.col("line_no").cast("long").alias("line_no"), "line")
 
 
+@F.pandas_udf(BinaryType())
+def _as_gbk(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else x.encode("gbk"))
+
+
+@register(
+    "s03_three_encodings",
+    """SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat(source, '客户资料', lang, '（', doc_id, '）') ELSE concat(source, ' été ', lang, ' ', doc_id, ' é') END) AS text_md5 FROM documents""",
+)
+def s03_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents in UTF-8, GBK and Latin-1, told apart by what is valid."""
+    number = F.col("doc_id").cast("string")
+    gbk = _as_gbk(F.concat("source", F.lit("客户资料"), "lang", F.lit("（"), number, F.lit("）")))
+    latin = F.encode(F.concat("source", F.lit(" été "), "lang", F.lit(" "), number, F.lit(" é")), "ISO-8859-1")
+    content = F.when(F.col("doc_id") % 3 == 0, F.col("text").cast("binary")).when(F.col("doc_id") % 3 == 1, gbk).otherwise(latin)
+    rows = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    return rows.select("doc_id", F.md5(documents.decoded(F.col("content")).cast("binary")).alias("text_md5"))
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of seven documents: general knowledge, and lines of categories."""
     general = F.col("p_partkey") % 2 == 0

@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators.grids import fenced
 from ..operators.lines import titled
@@ -11,17 +21,29 @@ from ..operators.lines import titled
 TEXT, TABLES = ("txt", "md"), ("csv", "json")
 
 
-def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-8 where they are valid, else Latin-1, which always is."""
-    utf8 = content.cast("string")
-    return F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode(content, "ISO-8859-1"))
+#: Encodings in the order in which they are tried; the last one can read any bytes.
+ENCODINGS = ("utf-8", "gbk", "latin-1")
+
+
+def _text(content: bytes) -> str:
+    for encoding in ENCODINGS[:-1]:
+        try:
+            return content.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return content.decode(ENCODINGS[-1])
+
+
+@F.pandas_udf(StringType())
+def _decoded(content: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else _text(x) for x in content], dtype=object)
 
 
-def decoded_legacy(content: Column) -> Column:
-    """The same with GBK in between; needs spark.sql.legacy.javaCharsets. Bytes that GBK can't read turn to U+FFFD there and
-    are read as Latin-1."""
-    utf8, gbk = content.cast("string"), F.decode(content, "GBK")
-    return F.when(F.is_valid_utf8(utf8), utf8).when(~F.contains(gbk, F.lit("�")), gbk).otherwise(F.decode(content, "ISO-8859-1"))
+def decoded(content: Column) -> Column:
+    """Bytes as text: UTF-8 where they are valid, else GBK where they are valid, else Latin-1. Only bytes that are no UTF-8 go
+    through the Arrow function."""
+    utf8 = content.cast("string")
+    return F.when(F.is_valid_utf8(utf8), utf8).otherwise(_decoded(F.when(~F.is_valid_utf8(utf8), content)))
 
 
 def scan(spark: SparkSession, folder: str, glob: str = "*") -> tuple[DataFrame, DataFrame]:
@@ -31,9 +53,7 @@ def scan(spark: SparkSession, folder: str, glob: str = "*") -> tuple[DataFrame,
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     named = files.select(F.col("path").alias("doc_id"), name.alias("name"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), suffix.alias("suffix"), "content")
     ok = F.col("suffix").isin(*TEXT, *TABLES)
-    legacy = spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "true"
-    text = (decoded_legacy if legacy else decoded)(F.col("content"))
-    return named.where(ok).select("doc_id", "name", "stem", "suffix", text.alias("text")), named.where(~ok).select("doc_id", "name", F.concat(F.lit("unsupported suffix: "), "suffix").alias("error"))
+    return named.where(ok).select("doc_id", "name", "stem", "suffix", decoded(F.col("content")).alias("text")), named.where(~ok).select("doc_id", "name", F.concat(F.lit("unsupported suffix: "), "suffix").alias("error"))
 
 
 def markdown(docs: DataFrame) -> DataFrame:
@@ -42,27 +62,34 @@ def markdown(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", text)
 
 
+def _records(text: str) -> Iterator[str]:
+    """JSON of the rows below a header; repeated names get their column's number, empty ones are _c and the number."""
+    rows = (r for r in csv.reader(io.StringIO(text, newline="")) if r)
+    header = next(rows, [])
+    times = Counter(x.lower() for x in header)
+    names = [f"_c{i}" if not x else f"{x}{i}" if times[x.lower()] > 1 else x for i, x in enumerate(header)]
+    for row in rows:
+        yield json.dumps(dict(zip(names, row[: len(names)] + [""] * (len(names) - len(row)), strict=True)), ensure_ascii=False, separators=(",", ":"))
+
+
 def csv_records(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """(record) JSON of each row of CSV files with a header; missing cells are empty.
 
-    Without an encoding each file's is UTF-8 where it is valid, else GBK where the session allows it and it is readable, else
-    Latin-1. Files are told apart first; their names are all that reaches the driver.
+    Without an encoding each file's is found as in ``decoded``, so a file is read as a whole by a task; files of more than 2 GB
+    need one. With an encoding Spark's reader may split files.
     """
-    if encoding is None:
-        content = F.col("content")
-        kind = F.when(F.is_valid_utf8(content.cast("string")), "UTF-8")
-        if spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "true":
-            kind = kind.when(~F.contains(F.decode(content, "GBK"), F.lit("\ufffd")), "GBK")
-        named = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).groupBy(kind.otherwise("ISO-8859-1").alias("encoding")).agg(F.collect_list("path").alias("paths"))
-        groups = [(r["encoding"], r["paths"]) for r in named.orderBy("encoding").collect()]
-    else:
-        groups = [(encoding, [path])]
-    out = None
-    for name, paths in groups:
-        rows = spark.read.option("header", True).option("encoding", name).option("multiLine", True).option("escape", '"').csv(paths)
-        own = rows.na.fill("").select(F.to_json(F.struct("*")).alias("record"))
-        out = own if out is None else out.union(own)
-    return spark.createDataFrame([], "record string") if out is None else out
+    if encoding is not None:
+        rows = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
+        return rows.na.fill("").select(F.to_json(F.struct("*")).alias("record"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                rows = _records(_text(content.as_py()).removeprefix("\ufeff"))
+                while part := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["record"])
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(run, "record string")
 
 
 def outcome(good: DataFrame, rejects: DataFrame) -> DataFrame:

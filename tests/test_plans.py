@@ -104,6 +104,10 @@ def test_files_by_encoding_and_line(spark, tmp_path):
     (tmp_path / "csv" / "a.csv").write_bytes("k,v\n1,été\n".encode())
     (tmp_path / "csv" / "b.csv").write_bytes("k,v\n2,été\n".encode("latin-1"))
     assert {r.record for r in documents.csv_records(spark, str(tmp_path / "csv")).collect()} == {'{"k":"1","v":"été"}', '{"k":"2","v":"été"}'}
+    (tmp_path / "csv" / "c.csv").write_bytes('k,v,k\n3,"客,户\n""资""",x,more\n\n4\n'.encode("gbk"))
+    (tmp_path / "csv" / "d.csv").write_bytes(b"")
+    (tmp_path / "csv" / "e.csv").write_bytes("\ufeffk,v\n5,\n".encode())
+    assert {r.record for r in documents.csv_records(spark, str(tmp_path / "csv")).collect()} == {'{"k":"1","v":"été"}', '{"k":"2","v":"été"}', '{"k0":"3","v":"客,户\\n\\"资\\"","k2":"x"}', '{"k0":"4","v":"","k2":""}', '{"k":"5","v":""}'}
     folder = tmp_path / "c(h)u.n+ks" / "甲" / "乙"
     folder.mkdir(parents=True)
     (folder / "d.md").write_text("one\n\n  three \n")
