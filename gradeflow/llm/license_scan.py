@@ -111,12 +111,11 @@ NOTICES: tuple[tuple[str, str, str], ...] = (
 )
 LEAST_SAVING = 0.2
 LEAST_AGREEMENT = 0.8
-#: Longest piece of a line that is one block; longer lines are read by sentences.
+#: Longest line whose licences are kept for when it comes again.
 LINE = 400
 
 _HINT = re.compile(r"licen[sc]|spdx|copyright|all rights reserved|hereby granted|public domain|\bcc[ -](?:by|0)|\bcc0\b", re.IGNORECASE)
 _HINT_WORDS = ("licen", "spdx", "copyright", "rights reserved", "hereby granted", "public domain", "cc by", "cc-by", "cc0", "cc 0")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z(])")
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 _NAME = r"[A-Za-z0-9+\-]+(?:\.[A-Za-z0-9+\-]+)*"
 _ID = rf"\(*[ \t]*{_NAME}(?:[ \t]*\))*"
@@ -156,23 +155,29 @@ class Scanner:
         self.known: dict[str, list[Found]] = {}
 
     def block(self, text: str) -> list[Found]:
-        """The licences of a block by place. A single one has offsets 0 and the block's length, others those of their words."""
+        """The licences of a block by place, with the offsets of their words; a single one beside which there is no word has 0 and
+        the block's length."""
+        if len(text) > LINE:
+            return self._block(text)
         if text not in self.known:
             if len(self.known) >= 10_000:
                 self.known.clear()
-            marks = list(_SPDX.finditer(text))
-            if marks:
-                # notices may stand before, between and behind tags
-                found, gone = [f for m in marks for f in self._tag(m)], 0
-                for begin, end in [*(m.span() for m in marks), (len(text), len(text))]:
-                    found += [f._replace(start=f.start + gone, end=f.end + gone) for f in self._notices(text[gone:begin])] if _HINT.search(text, gone, begin) else []
-                    gone = end
-                self.known[text] = sorted(found, key=lambda f: f.start)
-            else:
-                found = self._notices(text)
-                self.known[text] = [found[0]._replace(start=0, end=len(text))] if len(found) == 1 else found
+            self.known[text] = self._block(text)
         return self.known[text]
 
+    def _block(self, text: str) -> list[Found]:
+        marks = list(_SPDX.finditer(text))
+        if marks:
+            # notices may stand before, between and behind tags
+            found, gone = [f for m in marks for f in self._tag(m)], 0
+            for begin, end in [*(m.span() for m in marks), (len(text), len(text))]:
+                found += [f._replace(start=f.start + gone, end=f.end + gone) for f in self._notices(text[gone:begin])] if _HINT.search(text, gone, begin) else []
+                gone = end
+            return sorted(found, key=lambda f: f.start)
+        found = self._notices(text)
+        alone = len(found) == 1 and not _WORD.search(self._low(text[: found[0].start] + " " + text[found[0].end :]))
+        return [found[0]._replace(start=0, end=len(text))] if alone else found
+
     def _tag(self, tag: re.Match[str]) -> list[Found]:
         """A licence for each identifier of the tag's expression; the first one's span begins with the tag."""
         ids = [m for m in _SPDX_PART.finditer(tag[1]) if not m[1] and m[2] not in ("AND", "OR", "WITH")]
@@ -294,17 +299,13 @@ class Scanner:
             run.clear()
 
         for line in text.split("\n"):
-            begin = 0
-            for piece in _SENTENCE.split(line) if len(line) > LINE else [line]:
-                begin = line.index(piece, begin)
-                found = self.block(piece) if _HINT.search(piece) else []
-                out += [f._replace(start=at + begin + f.start, end=at + begin + f.end) for f in found]
-                # a notice reaches over blank lines, but not over a piece that is found by itself
-                if found:
-                    close()
-                elif _WORD.search(piece.lower()):
-                    run.append((at + begin, at + begin + len(piece)))
-                begin += len(piece)
+            found = self.block(line) if _HINT.search(line) else []
+            out += [f._replace(start=at + f.start, end=at + f.end) for f in found]
+            # a notice reaches over blank lines, but not over a line that has one by itself
+            if found:
+                close()
+            elif _WORD.search(line.lower()):
+                run.append((at, at + len(line)))
             at += len(line) + 1
         close()
         return sorted(out, key=lambda f: f.start)
