@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -83,3 +85,91 @@ def test_long_literals_and_names_and_real_values():
         assert added(f"db_pwd = '{real}'") == [real]
     for placeholder in ("your_password_here", "my-secret-token", "insert_api_key_here", "example", "<the password>"):
         assert added(f"db_pwd = '{placeholder}'") == [], placeholder
+
+
+LITERAL = "abcDEF123456ghiJKL"
+FORMS = [
+    'const apiSecret: string = "@";',
+    'val dbPwd: String = "@"',
+    'passphrase: str = "@"',
+    'PWD: Final[str] = "@"',
+    'const DB_PWD: &str = "@";',
+    'const DB_PWD: &\'static str = "@";',
+    'pwd: string | null = "@"',
+    "db_pwd = '''@'''",
+    'db_pwd = """@""".strip()',
+    "db_pwd = b'@'",
+    'db_pwd = r"@"',
+    'let pwd = r#"@"#;',
+    'String dbPwd = "@";',
+    'char pwd[] = "@";',
+    'var dbPwd string = "@"',
+    'config["db_pwd"] = "@"',
+    '$db_pwd = \'@\' . "";',
+    "define('DB_PWD', '@');",
+    'os.environ.setdefault("DB_PWD", "@")',
+    'connect(user="x", pwd="@")',
+    'pwd = SecretStr("@")',
+    'pwd = prefix + "@"',
+    'pwd = (  "@")',
+    'https://h/x?pwd=@&user=me',
+    'Server=x;Pwd=@;Db=y',
+    '<dbPassphrase>@</dbPassphrase>',
+    '<add key="DbPwd" value="@"/>',
+    'Authorization: Bearer @',
+    '{"Authorization": "Bearer @"}',
+]
+
+
+def test_forms_of_source_and_configuration():
+    for form in FORMS:
+        text = form.replace("@", LITERAL)
+        assert added(text) == [LITERAL], form
+        assert masked(text) == form.replace("@", "[SECRET]"), form
+
+
+def test_expressions_are_no_literals():
+    for text in (
+        'pwd = os.environ.get("DB_PWD")', 'pwd = getenv("X_SECRET_KEY_NAME")', "pwd = config.database.user.credentials", "secret: string;", "password: String,", "apiSecret: Optional[str] = None",
+        "token = jwt.sign(payload)", "secret = self.settings.secret", "db_pwd = user_password", "pwd = getpass.getpass()", 'pwd = process.env["DB_PASSWORD"]', "auth_token: Dict[str, List[str]] = load()",
+    ):
+        assert added(text) == [] and masked(text) == text, text
+    # what looks like a member expression but for its digits is one of the base pattern's secrets
+    assert masked("token = eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4") == "token = [SECRET]"
+
+
+def test_generated_sources():
+    """Texts put together from forms and fillers, so every literal's place is known."""
+    rng = random.Random(5)
+    forms = [f for f in FORMS if "prefix" not in f]
+    for _ in range(200):
+        text, want = "", []
+        for _ in range(rng.randrange(1, 12)):
+            if rng.random() < 0.4:
+                text += rng.choice(["the quick brown fox.\n", "count = 17\n", "url: 'https://example.org/a'\n", "if (a == b) { run(c); }\n", "name = 'public'\n", "<p>some text</p>\n"])
+                continue
+            form = rng.choice(forms)
+            literal = "Q" + "".join(rng.sample("abcdefghijkmnpqrstuvwyzABCDEFGHJKLMNP23456789", rng.randrange(14, 30))) + "7z"
+            before, after = form.split("@")
+            want.append((len(text) + len(before), len(text) + len(before) + len(literal)))
+            text += before + literal + after + "\n"
+        assert [(s.start, s.end) for s in spans_of(text) if s.kind == "lexed"] == want, text
+
+
+def test_hostile_texts_take_linear_time():
+    for text in ("pwd=" * 1_000_000, "!pwd=" * 200_000, "a=" * 200_000, 'a="' * 200_000, "a='''" * 100_000, "pwd=\"x\"" + '+"x"' * 100_000, "a:b<" * 100_000, "a=(" * 100_000, 'f("a","b",' * 50_000, "<a><pwd>" * 100_000, 'pwd="${' * 50_000):
+        start = time.monotonic()
+        spans_of(text)
+        assert time.monotonic() - start < 5, text[:10]
+    chain = "\n".join(f's_secret{i} = "q{i}Zx" + s_secret{i - 1}' for i in range(1, 5000))
+    start = time.monotonic()
+    assert len(added(chain)) > 4000 and time.monotonic() - start < 5
+
+
+def test_placeholders_by_one_rule_at_every_length():
+    for n in (1, 100, 5000):
+        whole = "your" + "-password" * n
+        assert added(f"db_pwd = '{whole}'") == added(f"head = 'your'\ndb_pwd = head + '{whole[4:]}'") or n == 5000
+        assert added(f"db_pwd = '{'x' * 8 * n}'") == [] == added(f"head = '{'x' * 8}'\ndb_pwd = head + '{'x' * 8 * n}'")
+    assert len(added(f"db_pwd = '{'your' + '-password' * 5000}'")) == 1
+    assert len(added(f"head = 'your'\ndb_pwd = head + '{'-password' * 5000}'")) == 2
