@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,13 +52,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever its case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def _orderable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    return _orderable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, MapType | VariantType)
+
+
 def only_kept(docs: DataFrame, keep: DataFrame, digest: Column, doc_id: str) -> DataFrame:
     """The rows of docs whose text digest and id are a pair (digest, keep_id) of ``keep``; of rows that repeat both, the least
-    by its columns.
+    by its columns, or by the digest of its JSON if one of them has no order (maps).
 
-    Rows meet by digest and id together, so the copies of a hot text are dealt over the tasks.
+    Rows meet by digest and id together, so the copies of a hot text are dealt over the tasks. No column of docs clashes.
     """
     pair = lambda d, i: F.concat(d, F.coalesce(i.cast("string"), F.lit("-")).cast("binary"))
-    wanted = keep.select(pair(F.col("digest"), F.col("keep_id")).alias("_pair"))
-    held = docs.withColumn("_pair", pair(digest, F.col(doc_id).cast("long"))).join(wanted, "_pair", "left_semi")
-    return held.groupBy("_pair").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    wanted = keep.select(pair(F.col("digest"), F.col("keep_id")).alias("pair"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    held = docs.select(pair(digest, F.col(doc_id).cast("long")).alias("pair"), row.alias("row")).join(wanted, "pair", "left_semi")
+    least = F.min("row") if _orderable(held.schema["row"].dataType) else F.min_by("row", F.sha2(F.to_json("row"), 256))
+    return held.groupBy("pair").agg(least.alias("row")).select("row.*")

@@ -217,6 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, rows: in
     Rows with a null text, id or label, and those of the fold ``held_out`` (of 4; None: no fold) are not learned from. An id
     with both labels has the low one; of repeated ids the texts with the least hashes come first. Only the text is an input.
     """
+    # texts meet ids with no other column beside them, so none clashes
+    docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)").groupBy("_id").agg(F.min("quality").alias("quality"))
     if held_out is not None:
         known = known.where(fold(F.col("_id"), 4) != held_out)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: By rank: of the entries in force the one with the highest kind, and then the longest key, is reported.
 KINDS = ("domain", "prefix", "url")
 
@@ -72,6 +74,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, page_id: str = "page_id
 
 
 def keep_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
-    """captures without those that an entry blocked when they were fetched; all columns stay."""
-    blocked = filter_urls(captures.withColumn("page_id", F.lit(None).cast("long")), entries, "page_id", url, fetched_at).where("blocked").select(F.col("url").alias("_url"), F.col("fetched_at").alias("_at")).distinct()
-    return captures.join(blocked, (F.col(url) == F.col("_url")) & (F.col(fetched_at) == F.col("_at")), "left_anti")
+    """captures without those that an entry blocked when they were fetched; all columns stay, whatever their names."""
+    at, when = fresh("at_url", captures), fresh("at_time", captures)
+    rows = captures.select(F.lit(None).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(fetched_at).alias("fetched_at"))
+    blocked = filter_urls(rows, entries).where("blocked").select(F.col("url").alias(at), F.col("fetched_at").alias(when)).distinct()
+    return captures.join(blocked, (F.col(url) == F.col(at)) & (F.col(fetched_at) == F.col(when)), "left_anti")

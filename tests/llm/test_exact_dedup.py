@@ -3,6 +3,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gradeflow.llm.exact_dedup import build_hash, drop_repeats, exact_dedup, slots_of
 
@@ -68,3 +69,13 @@ def brute_rows(rows):
 def test_rows_are_told_by_id_and_text(docs_of, rows):
     got = drop_repeats(docs_of(rows, extra=True)).collect()
     assert sorted(((r.doc_id, r.text or "") for r in got), key=repr) == brute_rows(rows)
+
+
+def test_clashing_names_and_maps(docs_of):
+    docs = docs_of(["x", "y", "x", None])
+    for name in ("_pair", "pair", "_row", "row", "_id", "digest", "keep_id"):
+        docs = docs.withColumn(name, F.lit("own"))
+    docs = docs.withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id")))
+    kept = drop_repeats(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r._pair, r.pair, r.row, r.tags["k"]) for r in kept.collect()) == [(1, "y", "own", "own", "own", 1), (2, "x", "own", "own", "own", 2), (3, None, "own", "own", "own", 3)]

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gradeflow.llm import near_dup
 from gradeflow.llm.components import components
@@ -135,3 +136,13 @@ def test_very_long_texts(docs_of):
     rows = [(1, long), (2, long + " end"), (3, "t0 " + long), (4, long.upper())]
     got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(docs_of(rows)).collect()}
     assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0)}
+
+
+def test_clashing_names_and_maps(docs_of):
+    docs = docs_of(["a b c d e f g", "x", "a b c d e f g"])
+    for name in ("_pair", "pair", "_row", "row", "uid", "digest", "keep_id"):
+        docs = docs.withColumn(name, F.lit("own"))
+    docs = docs.withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id")))
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.text, r._pair, r.row, r.tags["k"] == r.doc_id) for r in kept.collect()) == [("a b c d e f g", "own", "own", True), ("x", "own", "own", True)]

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gradeflow.llm import quality_cnn as q
 
@@ -115,3 +116,10 @@ def test_repeated_labels_and_ids_train_alike(spark, docs_of):
     labels = [(i, i % 2) for i in range(40)] + [(3, 0), (3, 1)]
     fits = [q.train(docs_of(r), spark.createDataFrame(x, "doc_id long, quality int"), held_out=None) for r, x in ((rows, labels), (rows[::-1], labels[::-1]))]
     assert all(np.allclose(a, b) for a, b in zip(*fits))
+
+
+def test_extra_columns_of_documents_do_not_clash(spark, docs_of):
+    docs = docs_of(["good text here. " * 5 if i % 2 else "## $$ ## " * 9 for i in range(20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    more = docs.select("*", *(F.lit(7).alias(c) for c in ("_id", "quality", "label")))
+    assert all(np.allclose(a, b) for a, b in zip(q.train(docs, labels, held_out=None), q.train(more, labels.select("*", F.lit(1).alias("_id")), held_out=None)))

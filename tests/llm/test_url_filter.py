@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradeflow.llm.url_filter import filter_urls, intervals, keep_urls
 
@@ -67,3 +68,11 @@ def test_very_long_paths_and_hosts(spark):
     captures = spark.createDataFrame([(i, u, D(6), None, None) for i, u in enumerate(urls)], CAPTURE)
     got = {r.page_id: r.key for r in filter_urls(captures, spark.createDataFrame(ENTRIES, ENTRY)).collect()}
     assert got == {0: "ok.org/x", 1: "bad.com", 2: None}
+
+
+def test_extra_columns_of_captures_stay(spark):
+    captures = spark.createDataFrame([(1, "http://bad.com", D(6), None, None), (2, "http://fine.com", D(6), None, None)], CAPTURE)
+    for name in ("_url", "_at", "at_url", "AT_TIME", "host", "key", "blocked"):
+        captures = captures.withColumn(name, F.lit("own"))
+    kept = keep_urls(captures, spark.createDataFrame(ENTRIES, ENTRY))
+    assert kept.columns == captures.columns and [(r.page_id, r._url, r.at_url) for r in kept.collect()] == [(2, "own", "own")]
