@@ -1,9 +1,10 @@
 """Licence scan by conditional compression.
 
 Blocks of a text that mention licensing are compressed alone and with each licence template as a raw zstandard dictionary; the
-templates are short notices and whole ones. The template that saves most describes the block best; the leaders are then
-confirmed by aligning words: a template wins if all its telling words are in the block and few words differ. The differences are
-reported; of templates that agree equally the one that saves more wins, then the earlier one. What is left before and behind a
+templates are short notices and whole ones. Every template is compressed against every block; those that save a fair part of
+what they save of themselves are ranked by the bytes they save, and confirmed in that order by aligning words: a template wins
+if few words differ and none of them names a licence, or a version, or tells the template from a neighbour. The differences are
+reported; of templates that save alike the one that agrees best wins, then the earlier one. What is left before and behind a
 winner is read again, so a block may hold several. Where a line alone says nothing, runs of lines (or sentences of long lines)
 around it, over blank lines and behind comment marks, are blocks, as notices are wrapped.
 """
@@ -111,11 +112,17 @@ NOTICES: tuple[tuple[str, str, str], ...] = (
 )
 LEAST_SAVING = 0.2
 LEAST_AGREEMENT = 0.8
+#: Part of what a template saves of itself that it has to save of a block to be confirmed.
+LEAST_SHARE = 0.3
+#: Agreement of two licences' templates from which the words that differ are decisive.
+NEIGHBOURS = 0.7
+#: Words that name a licence.
+NAMED = frozenset("affero apache bsd cc cc0 commons creative gnu isc lesser mit mozilla mpl unencumbered".split())
 #: Longest line whose licences are kept for when it comes again.
 LINE = 400
 
-_HINT = re.compile(r"licen[sc]|spdx|copyright|all rights reserved|hereby granted|public domain|\bcc[ -](?:by|0)|\bcc0\b", re.IGNORECASE)
-_HINT_WORDS = ("licen", "spdx", "copyright", "rights reserved", "hereby granted", "public domain", "cc by", "cc-by", "cc0", "cc 0")
+_HINT = re.compile(r"licen[sc]|spdx|copyright|all rights reserved|hereby granted|permission is granted|redistribution and use|public domain|\bcc[ -](?:by|0)|\bcc0\b", re.IGNORECASE)
+_HINT_WORDS = ("licen", "spdx", "copyright", "rights reserved", "hereby granted", "permission is granted", "redistribution and use", "public domain", "cc by", "cc-by", "cc0", "cc 0")
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 _NAME = r"[A-Za-z0-9+\-]+(?:\.[A-Za-z0-9+\-]+)*"
 _ID = rf"\(*[ \t]*{_NAME}(?:[ \t]*\))*"
@@ -136,24 +143,56 @@ class Found(NamedTuple):
     added: str
 
 
+_INITIALS = re.compile(r"[a-z](?:\.[a-z])+")
+
+
+def _same(word: str) -> str:
+    """The word as it is compared: initials without stops."""
+    return word.replace(".", "") if _INITIALS.fullmatch(word) else word
+
+
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [_same(w) for w in _WORD.findall(text.lower())]
 
 
 class _Template:
     def __init__(self, name: str, text: str, telling: str | None = None):
         self.name, self.words = name, words(text)
         self.telling = {w for w in self.words if w not in _COMMON} if telling is None else set(telling.split())
-        self.coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        content = text.lower().encode()
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=3)
+        self.coder = zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.saves = len(_PLAIN.compress(content)) - len(self.coder.compress(content))
+        #: words that may not be missing: of its telling ones names and versions, later those that a neighbour lacks
+        self.decisive = {w for w in self.telling if w in NAMED or any(c.isdigit() for c in w)}
+
+
+_PLAIN = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
 
 
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, ...], ...] = TEMPLATES + NOTICES):
         self.templates = [_Template(*t) for t in templates]
         self.most = max((len(t.words) for t in self.templates), default=0)
-        self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+        #: words that may not be added: names, and what a neighbour of another licence has more
+        self.foreign: dict[int, set[str]] = {}
+        for i, t in enumerate(self.templates):
+            own = set(t.words)
+            self.foreign[i] = set(NAMED - own)
+            for u in self.templates:
+                if u.name != t.name and 2 * len(own & set(u.words)) >= NEIGHBOURS * (len(own) + len(set(u.words))) and difflib.SequenceMatcher(None, t.words, u.words, autojunk=False).ratio() >= NEIGHBOURS:
+                    t.decisive |= own - set(u.words)
+                    self.foreign[i] |= set(u.words) - own
         self.known: dict[str, list[Found]] = {}
 
+    def _ranked(self, text: str) -> list[tuple[int, int]]:
+        """(bytes saved, template) of the templates that save a fair part, the most first."""
+        raw = text.lower().encode("utf-8", "surrogatepass")
+        alone = len(_PLAIN.compress(raw))
+        saved = [(alone - len(t.coder.compress(raw)), k) for k, t in enumerate(self.templates)]
+        return sorted((x for x in saved if x[0] >= LEAST_SHARE * self.templates[x[1]].saves), key=lambda x: (-x[0], x[1]))
+
     def block(self, text: str) -> list[Found]:
         """The licences of a block by place, with the offsets of their words; a single one beside which there is no word has 0 and
         the block's length."""
@@ -192,13 +231,12 @@ class Scanner:
         """
         at = [m.span() for m in _WORD.finditer(self._low(text))]
         out: list[Found] = []
-        first = 0
+        first = seen = most = 0
         while first < len(at):
-            most = self.most
-            last = min(len(at), first + 3 * most)
-            if last < len(at):  # of a long text the templates that fit here tell how far to look
-                met = {text[a:b].lower() for a, b in at[first:last]}
-                most = max([len(t.words) for t in self.templates if t.telling <= met], default=0)
+            last = min(len(at), first + 3 * self.most)
+            if last < len(at):  # of a long text the templates that save something here tell how far to look
+                if not most or first + max(3 * most, 30) > seen:
+                    most, seen = max([len(self.templates[k].words) for _, k in self._ranked(text[at[first][0] : at[last - 1][1]])], default=0), last
                 if not most:
                     first = max(first + 1, last - self.most * 3 // 2)
                     continue
@@ -231,16 +269,12 @@ class Scanner:
     def _best(self, text: str) -> Found | None:
         low = self._low(text)
         at = [m.span() for m in _WORD.finditer(low)]
-        own, best = [low[a:b] for a, b in at], None
-        met = set(own)
-        fitting = [t for t in self.templates if t.telling <= met]
-        if not fitting:
-            return None
-        raw = text.lower().encode("utf-8", "surrogatepass")
-        alone = len(self.plain.compress(raw))
-        ranked = sorted(((alone - len(t.coder.compress(raw))) / alone, -k) for k, t in enumerate(fitting))[::-1]
-        for saving, k in ranked:
-            t = fitting[-k]
+        own, best, least = [_same(low[a:b]) for a, b in at], None, 0
+        for saved, k in self._ranked(text):
+            # those that save as much as the first confirmed one may agree better
+            if best and saved < least:
+                break
+            t = self.templates[k]
             # the words around the longest agreement, so that stray words of other text do not count as part of the notice
             core = difflib.SequenceMatcher(None, t.words, own, autojunk=False).find_longest_match()
             low_end, high_end = core.b - core.a * 5 // 4 - 2, core.b + core.size + (len(t.words) - core.a - core.size) * 5 // 4 + 2
@@ -248,20 +282,22 @@ class Scanner:
             near = own[shift:high_end]
             match = difflib.SequenceMatcher(None, t.words, near, autojunk=False)
             blocks = [b for b in match.get_matching_blocks() if b.size]
+            if not blocks:
+                continue
             same = sum(b.size for b in blocks)
             first, last = blocks[0].b, blocks[-1].b + blocks[-1].size
             agreement = 2 * same / (len(t.words) + last - first)
             missing = [w for op, a, b, _, _ in match.get_opcodes() if op in ("delete", "replace") for w in t.words[a:b]]
             added = [w for op, _, _, a, b in match.get_opcodes() if op in ("insert", "replace") for w in near[max(a, first) : min(b, last)]]
             first, last = first + shift, last + shift
-            # the saving is that of the words themselves where other text stands beside them
-            if saving < LEAST_SAVING:
-                part = text[at[first][0] : at[last - 1][1]].lower().encode("utf-8", "surrogatepass")
-                size = len(self.plain.compress(part))
-                saving = (size - len(t.coder.compress(part))) / size
             # a wording that only this licence's neighbour has, such as another version, is no confirmation
-            if saving >= LEAST_SAVING and agreement >= LEAST_AGREEMENT and t.telling <= set(own[first:last]) and not any(w[0].isdigit() for w in added) and (best is None or (agreement, saving) > (best.agreement, best.saving)):
-                best = Found(t.name, at[first][0], at[last - 1][1], saving, agreement, " ".join(missing), " ".join(added))
+            if agreement < LEAST_AGREEMENT or t.decisive & set(missing) or self.foreign[k] & set(added) or any(w[0].isdigit() for w in added):
+                continue
+            part = text[at[first][0] : at[last - 1][1]].lower().encode("utf-8", "surrogatepass")
+            size = len(_PLAIN.compress(part))
+            saving = (size - len(t.coder.compress(part))) / size
+            if saving >= LEAST_SAVING and (best is None or (agreement, saving) > (best.agreement, best.saving)):
+                best, least = Found(t.name, at[first][0], at[last - 1][1], saving, agreement, " ".join(missing), " ".join(added)), saved
         return best and best._replace(end=best.end + len(_CLOSING.match(text, best.end)[0]))
 
     def _wrapped(self, text: str, run: list[tuple[int, int]]) -> list[Found]:

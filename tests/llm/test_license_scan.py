@@ -1,6 +1,7 @@
 import textwrap
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from gradeflow.llm.license_scan import NOTICES, TEMPLATES, Scanner, names, scan
@@ -111,3 +112,32 @@ def test_tags_and_notices_of_one_line(scanner):
     one = lambda t: [f.license for f in scanner.scan(t)]
     assert one("SPDX-License-Identifier: MIT. Parts are licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
     assert one("Licensed under the Apache License, Version 2.0. SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH x-1.0).") == ["Apache-2.0", "MIT", "GPL-2.0-only"]
+
+
+def test_other_words_that_are_not_decisive(scanner):
+    one = lambda t: [(f.license, f.missing, f.added) for f in scanner.scan(t)]
+    mit = next(t for n, t, _ in NOTICES if n == "MIT")
+    assert one(mit.replace("free of charge", "free of cost")) == [("MIT", "charge", "cost")]
+    assert one("released under the M.I.T. License") == [("MIT", "", "")]
+    for other in ("Licensed under the Foo License, Version 2.0.", "This Source Code Form is subject to the terms of the Foo Public License, version 2.0.", "Licensed under CC BY-NC.", "Released under the X License"):
+        assert one(other) == [], other
+
+
+def test_ranking_against_every_block_and_template(spark):
+    """Of the templates whose words stand in a line one after another, that found saves the most bytes."""
+    import re
+
+    word = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+    plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += [f"So: {t} And more." for _, t in TEMPLATES] + [f"So: {t} And more." for _, t, _ in NOTICES]
+    held = [(n, " " + " ".join(word.findall(t.lower())) + " ", zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)) for n, t, *_ in TEMPLATES + NOTICES]
+    scanner, met = Scanner(), 0
+    for line in {x for t in texts for x in t.split("\n")}:
+        own, raw = " " + " ".join(word.findall(line.lower())) + " ", line.lower().encode()
+        sizes = [(len(plain.compress(raw)) - len(c.compress(raw)), n) for n, w, c in held if w in own]
+        found = [f.license for f in scanner.scan(line) if f.agreement == 1.0 and "SPDX" not in line]
+        if sizes:
+            met += 1
+            assert {n for s, n in sizes if s == max(sizes)[0]} & set(found), line
+    assert met > 30
