@@ -94,9 +94,13 @@ def element_change(elements: Column, ops: Column) -> Column:
 def apply_element_changes(tax: DataFrame, changes: DataFrame) -> DataFrame:
     """The taxonomy after element changes (item_no, action, name, elements); they hold for rows with a level of that name.
 
-    Adding again what the same name was given since it was last replaced or cut changes nothing, so such items go before rows
-    meet them: what a row takes is bounded by the different elements of its names, not by the items.
+    What precedes a name's last replacement has no effect on any row, and adding again what the same name was given since it was
+    last cut changes nothing, so such items go before rows meet them: what a row takes is bounded by the different elements of its
+    names and the cuts since they were last replaced, not by the items.
     """
+    last = changes.where("action = 'update'").groupBy("name").agg(F.max("item_no").alias("_last"))
+    # of one number, replacements come last
+    changes = changes.join(last, "name", "left").where("_last IS NULL OR item_no > _last OR (item_no = _last AND action = 'update')").drop("_last")
     w = Window.partitionBy("name").orderBy("item_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = changes.withColumn("_span", F.sum((F.col("action") != "add").cast("int")).over(w))
     adds = each.where("action = 'add'").select("name", "_span", "item_no", F.posexplode("elements").alias("_i", "e")).groupBy("name", "_span", "e").agg(F.min(F.struct("item_no", "_i")).alias("at"))

@@ -103,6 +103,14 @@ def test_element_changes(spark):
     assert count.first().replaced == 2 and {r.row_no: r.elements for r in renamed.collect()}[2] == ["手机", "余额"]
 
 
+def test_rows_take_no_changes_before_a_replacement(spark, monkeypatch):
+    ops = [(i, "delete" if i % 2 else "add", "A 客户", [f"e{i}"]) for i in range(100)] + [(100, "update", "A 客户", ["x"]), (101, "add", "A 客户", ["y"]), (3, "add", "A1 身份", ["z"]), (102, "delete", "A1 身份", ["x"])]
+    batch = spark.createDataFrame(ops, "item_no long, action string, name string, elements array<string>")
+    assert {r.row_no: r.elements for r in changes.apply_element_changes(tax(spark), batch).collect()} == {1: ["y"], 2: ["x", "y"], 3: []}
+    monkeypatch.setattr(changes, "element_change", lambda own, ops: F.transform(F.array_sort(ops), lambda o: o["item_no"].cast("string")))
+    assert {r.row_no: r.elements for r in changes.apply_element_changes(tax(spark), batch).collect()} == {1: ["3", "100", "101", "102"], 2: ["100", "101"], 3: []}
+
+
 def test_standard_lines_round_trip(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"header":{"0":"一级分类","1":"对应特征","2":"等级","3":"条件","4":"真实数据"},"data":{"0":"客户","1":"f","2":"第2级","3":"","4":["姓名","电话"]}}\nnot json\n{"header":{"0":"一级分类","1":"真实数据"},"data":{"0":"网络","1":"[]"}}\n')
     own, bad = tables.read_taxonomy(spark, str(tmp_path / "t.jsonl"), "s")
