@@ -123,6 +123,24 @@ def test_html(spark):
     assert grids.html_cells(docs, html="text").count() == 6
 
 
+def test_plain_html_is_read_as_the_parser_does():
+    rng = random.Random(5)
+    parts = ["<table>", "</table>", "<TR>", "</tr>", "<td>", "</td >", '<th rowspan="2">', "<td colspan='3' class=\"a b='c'\">", "<div>", "</div>", "<html>", "</html>", "<b>", "</b>", " x ", "\n", "<table\nborder='1'>", '<td colspan="0">', "<tdx>", ">", '"']
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 18)))
+        assert grids._PLAIN.fullmatch(text)
+        assert list(grids._plain_blocks(text)) == grids._Blocks(text).found and grids._plain_tables(text) == grids._any_tables(text)
+    others = ["<td>&amp;", "<!-- c -->", "<script>x</script>", "<td a=b>", "<br/>", "<td a>", "a < b", "</ td>", '<td a="x>y">', "<?x?>", "<![CDATA[x]]>", "<td"]
+    assert not any(grids._PLAIN.fullmatch(x) for x in others)
+
+
+def test_orders_as_html_keep_their_parts(spark):
+    from gradeflow.queries import documents
+
+    docs = documents.order_html(spark, "/root/testdata/sf0.001")
+    assert docs._jdf.queryExecution().toString().count("Exchange hashpartitioning") == docs._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") > 0
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("héllo".encode())
     (tmp_path / "b.md").write_bytes(b"# B\n\xe9t\xe9")
