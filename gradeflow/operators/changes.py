@@ -1,4 +1,4 @@
-"""Changing a taxonomy: ordered batches of category and element changes, replayed as one fold per category.
+"""Changing a taxonomy: ordered batches of category and element changes, replayed for each category.
 
 A change batch is (item_no, action, path, feature, grade) for categories, or (item_no, action, name, elements) for elements.
 Parquet has no merge, so a change makes a new version of the table; write it beside the old one and switch.
@@ -11,38 +11,31 @@ from pyspark.sql import functions as F
 
 from .taxonomy import path_key
 
-_STATE = "struct<present:boolean,feature:string,grade:string,log:array<struct<item_no:bigint,action:string,ok:boolean>>>"
-
-
-def _replay(start: Column, ops: Column) -> Column:
-    """Create needs an absent category, update and delete a present one; empty new values keep the old ones."""
-
-    def step(s: Column, o: Column) -> Column:
-        create, update, delete = (o["action"] == a for a in ("create", "update", "delete"))
-        ok = F.when(create, ~s["present"]).when(update | delete, s["present"]).otherwise(F.lit(False))
-        value = lambda name: F.when(ok & create, F.coalesce(o[name], F.lit(""))).when(ok & update, F.coalesce(F.nullif(o[name], F.lit("")), s[name])).otherwise(s[name])
-        done = F.struct(o["item_no"].cast("bigint").alias("item_no"), o["action"].alias("action"), ok.alias("ok"))
-        return F.struct(
-            F.when(ok & create, F.lit(True)).when(ok & delete, F.lit(False)).otherwise(s["present"]).alias("present"),
-            value("feature").alias("feature"), value("grade").alias("grade"), F.array_append(s["log"], done).alias("log"),
-        ).cast(_STATE)
-
-    return F.aggregate(F.array_sort(ops), start.cast(_STATE), step)
-
 
 def replay_changes(tax: DataFrame, changes: DataFrame) -> DataFrame:
     """(path, existed, present, feature, grade, log) of every category that a batch names; log has each item's outcome.
 
-    Items on one path apply in the order of item_no; items on different paths don't touch each other, so each path is a fold
-    of its own over its few changes.
+    Create needs an absent category, update and delete a present one; empty new values keep the old ones. Items on one path apply
+    in the order of item_no; items on different paths don't touch each other. Whether a category is there before an item is told
+    by the last create or delete on its path, whether that succeeded or not, so a path is a window, and its end an aggregate.
     """
-    ops = changes.select(path_key(F.col("path")).alias("key"), "path", F.struct("item_no", "action", "feature", "grade").alias("op")).groupBy("key").agg(F.first("path").alias("path"), F.collect_list("op").alias("ops"))
-    held = tax.groupBy(path_key(F.col("path")).alias("key")).agg(F.min_by(F.struct("feature", "grade"), "row_no").alias("now"))
-    both = ops.join(held, "key", "left")
-    empty = F.array().cast("array<struct<item_no:bigint,action:string,ok:boolean>>")
-    start = F.struct(F.col("now").isNotNull().alias("present"), F.col("now.feature").alias("feature"), F.col("now.grade").alias("grade"), empty.alias("log"))
-    folded = both.withColumn("s", _replay(start, F.col("ops")))
-    return folded.select("path", F.col("now").isNotNull().alias("existed"), "s.present", "s.feature", "s.grade", "s.log")
+    held = tax.groupBy(path_key(F.col("path")).alias("_held")).agg(F.min_by(F.struct("feature", "grade"), "row_no").alias("now"))
+    ops = changes.select(path_key(F.col("path")).alias("key"), "path", "item_no", "action", "feature", "grade").join(held, F.col("key") == F.col("_held"), "left").withColumn("existed", F.col("now").isNotNull())
+    order = ["item_no", "action", "feature", "grade"]
+    create, update, delete = (F.col("action") == a for a in ("create", "update", "delete"))
+    before = Window.partitionBy("key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    told = ops.withColumn("_there", F.when(create, F.lit(True)).when(delete, F.lit(False)))
+    was = F.coalesce(F.last("_there", ignorenulls=True).over(before), F.col("existed"))
+    done = told.withColumn("_was", was).withColumn("_ok", F.when(create, ~F.col("_was")).when(update | delete, F.col("_was")).otherwise(F.lit(False))).withColumn("_at", F.struct(*order))
+    new = lambda name: F.when(F.col("_ok") & create, F.coalesce(name, F.lit(""))).when(F.col("_ok") & update, F.nullif(F.col(name), F.lit("")))
+    last = lambda value: F.max_by(value, F.when(value.isNotNull(), F.col("_at")))
+    item = F.struct(F.col("item_no").cast("bigint").alias("item_no"), "action", F.col("_ok").alias("ok"))
+    folded = done.groupBy("key").agg(
+        F.first("path").alias("path"), F.first("existed").alias("existed"), F.first("now").alias("now"), last(F.col("_there")).alias("_there"),
+        last(new("feature")).alias("_feature"), last(new("grade")).alias("_grade"), F.array_sort(F.collect_list(item)).alias("log"),
+    )
+    value = lambda name: F.coalesce(f"_{name}", f"now.{name}").alias(name)
+    return folded.select("path", "existed", F.coalesce("_there", "existed").alias("present"), value("feature"), value("grade"), "log")
 
 
 def outcomes(replayed: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -95,6 +96,24 @@ def test_ordered_changes(spark):
     assert [tuple(r.path) for r in changes.replace_all(tax(spark), spark.createDataFrame(batch[-1:], CHANGE)).collect()] == [("C",)]
 
 
+def test_many_changes_of_one_path(spark):
+    rng = random.Random(4)
+    batch = [(i, rng.choice(["create", "update", "delete", "other"]), ["A 客户", "A1 身份"] if i % 2 else ["N"], rng.choice(["", None, f"f{i}"]), rng.choice(["", f"g{i}"])) for i in range(400)]
+    want, states = {}, {("A 客户", "A1 身份"): [True, "f1", "第2级/第3级"], ("N",): [False, None, None]}
+    for i, action, path, feature, grade in batch:
+        s = states[tuple(path)]
+        want[i] = not s[0] if action == "create" else s[0] if action in ("update", "delete") else False
+        if want[i] and action == "delete":
+            s[0] = False
+        elif want[i]:
+            s[:] = [True, feature or ("" if action == "create" else s[1]), grade or ("" if action == "create" else s[2])]
+    replayed = changes.replay_changes(tax(spark), spark.createDataFrame(batch, CHANGE))
+    assert {r.item_no: r.ok for r in changes.outcomes(replayed).collect()} == want
+    assert {tuple(r.path): [r.present, r.feature, r.grade] for r in replayed.collect()} == states
+    # no array of a path's items is folded, which copied the log for each of them
+    assert "aggregate(" not in replayed._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_element_changes(spark):
     ops = spark.createDataFrame([(1, "add", "A 客户", ["电话", "邮箱"]), (2, "delete", "A1 身份", ["姓名", "无"]), (3, "update", "B 网络", ["p", "p", "q"]), (4, "delete", "B 网络", ["p"])], "item_no long, action string, name string, elements array<string>")
     got = {r.row_no: r.elements for r in changes.apply_element_changes(tax(spark), ops).collect()}
