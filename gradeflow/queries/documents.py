@@ -228,9 +228,10 @@ def s02(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("s03_decoded", "SELECT doc_id, md5(text) AS utf8_md5, true AS latin_same FROM documents")
 def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
     latin = F.regexp_replace("text", "[^\\x00-\\xff]", "?")
-    # a text whose Latin-1 bytes happen to be valid UTF-8 is read as that
-    bytes_ = F.encode(F.concat(latin, F.lit("é")), "ISO-8859-1")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(documents.decoded(F.col("text").cast("binary")).cast("binary")).alias("utf8_md5"), (documents.decoded(bytes_) == F.concat(latin, F.lit("é"))).alias("latin_same"))
+    # bytes that happen to be valid UTF-8 or GBK are read as that; with this end they are neither, whatever precedes it
+    whole = F.concat(latin, F.lit("é é "))
+    read = documents.decoded(F.encode(whole, "ISO-8859-1"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(documents.decoded(F.col("text").cast("binary")).cast("binary")).alias("utf8_md5"), read.eqNullSafe(whole).alias("latin_same"))
 
 
 @register("s05_csv_records", """SELECT md5(concat('{"id":"', p_partkey, '","name":"', p_name, '","kind":"', p_type, '"}')) AS record_md5 FROM part""")

@@ -141,6 +141,14 @@ def test_orders_as_html_keep_their_parts(spark):
     assert docs._jdf.queryExecution().toString().count("Exchange hashpartitioning") == docs._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") > 0
 
 
+def test_latin_texts_that_could_be_gbk(spark, tmp_path):
+    from gradeflow.queries.documents import s03
+
+    texts = [(0, "ñ"), (1, None), (2, ""), (3, "año"), (4, "客户é"), (5, "été"), (6, "Ã©")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.latin_same for r in s03(spark, str(tmp_path)).collect()} == dict.fromkeys(range(7), True)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("héllo".encode())
     (tmp_path / "b.md").write_bytes(b"# B\n\xe9t\xe9")
