@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens
+from ..session import stored
 from .taxonomy import deepest
 
 #: The first id of each kind.
@@ -75,7 +76,7 @@ def numbered(records: DataFrame) -> DataFrame:
     Numbering is by hash range: records are counted per leading hex digits first, so no window holds a whole kind.
     """
     content = F.md5(F.concat_ws("\x1e", "vectorizing_text", "text", F.array_join("items", "\x1f")).cast("binary"))
-    once = records.withColumn("content_md5", content).dropDuplicates(["spec_uid", "kind", "content_md5"])
+    once = stored(records.withColumn("content_md5", content).dropDuplicates(["spec_uid", "kind", "content_md5"]))
     offset = F.create_map(*[F.lit(x) for kv in OFFSETS.items() for x in kv])
     placed = ranked(once, F.col("content_md5"), keys=("spec_uid", "kind"))
     return placed.withColumn("id", (offset[F.col("kind")] + F.col("_rank")).cast("long")).drop("_rank")

@@ -16,11 +16,15 @@ def build_records(chunks: DataFrame, tax: DataFrame, classes: DataFrame, vector:
     """Collection records of chunk lines (spec_uid, category_path, doc_name, chunk_no, line): each line goes to the taxonomy
     row that its last directory resembles, and stands there under its own text and values; lines below a directory that
     resembles none are left out, lines of general_knowledge stand for themselves."""
+    # equal lines of a document give equal records, which count once
+    chunks = chunks.select("spec_uid", "category_path", "doc_name", "line").distinct()
     general = F.get("category_path", F.lit(0)) == "general_knowledge"
     own = chunks.where(~F.coalesce(general, F.lit(False))).withColumn("key", path_key(F.col("category_path")))
     matched = match_paths(own, tax).select("key", "row_no")
-    texts = category_text(tax).withColumnRenamed("text", "category_text")
-    lines = kb.expand_lines(own.join(matched, "key").join(texts, "row_no"))
+    # texts only of rows that a path has; a taxonomy's files are far smaller than its rows, so Spark would broadcast it by their size
+    texts = category_text(tax.hint("merge").join(matched.select("row_no").distinct(), "row_no", "left_semi"))
+    named = matched.join(texts.withColumnRenamed("text", "category_text").hint("merge"), "row_no")
+    lines = kb.expand_lines(own.join(named, "key"))
     records = lines.select("spec_uid", F.col("doc_name").alias("doc_id"), F.col("category_text").alias("text"), "vectorizing_text", kb.items_of(F.col("line"), F.col("category_text")).alias("items"))
     typed, _ = kb.routed(records, classes)
     every = typed.drop("doc_id").unionByName(kb.general_records(chunks.where(F.coalesce(general, F.lit(False)))))
