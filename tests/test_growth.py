@@ -2,9 +2,11 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gradeflow.operators import kb
+from gradeflow.operators import kb, vectors
 from gradeflow.plans import knowledge_base
 
 
@@ -38,3 +40,17 @@ def test_category_texts_are_not_broadcast(spark, tmp_path, monkeypatch):
     classes = spark.createDataFrame([("d", "2")], "doc_id string, doc_class string")
     knowledge_base.build_records(_lines(spark, 3), spark.read.parquet(str(tmp_path / "tax")), classes, F.array(F.lit(0.0)))
     assert not re.search(r"BroadcastHashJoin \[row_no", seen[0]._jdf.queryExecution().sparkPlan().toString())
+
+
+def test_scores_of_a_cell_are_bounded(monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    sizes, partition = [], np.partition
+    monkeypatch.setattr(vectors.np, "partition", lambda a, *more, **named: sizes.append(a.shape) or partition(a, *more, **named))
+    rng, best = np.random.default_rng(3), vectors._Best(3)
+    asked, known = rng.integers(-2, 3, (50, 4)).astype(float), rng.integers(-2, 3, (24, 4)).astype(float)
+    best.ask(None, pa.array(range(50)), asked)
+    for at in range(0, 24, 8):
+        assert not list(best.meet(None, pa.array(range(at, at + 8)), known[at : at + 8]))
+    got = {(q, i, s) for ids, _, own, score in best.kept() for q, i, s in zip(ids.to_pylist(), own.to_pylist(), score.to_pylist(), strict=True)}
+    assert got == {(q, i, s) for q in range(50) for s, i in sorted(((float(asked[q] @ known[i]), i) for i in range(24)), key=lambda x: (-x[0], x[1]))[:3]}
+    assert max(a * b for a, b in sizes) <= 64
