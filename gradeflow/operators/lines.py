@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 
 
+#: Rows of documents that are made Python objects at once.
+ROWS = 8192
+
+
 def _order() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("pos")
 
@@ -34,12 +39,21 @@ def by_document(rows: DataFrame, fields: tuple[str, ...], told: Callable[[list[d
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitting = {"int": pa.int32(), "string": pa.string(), "long": pa.int64()}
         for batch in batches:
-            out = [(i, *x) for i, own in zip(range(batch.num_rows), batch.column(1).to_pylist()) for x in told(own)]
-            columns = list(zip(*out)) if out else [()] * (len(names) + 1)
-            ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
-            fitting = {"int": pa.int32(), "string": pa.string(), "long": pa.int64()}
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, fitting[x.split(" ")[1]]) for c, x in zip(columns[1:], schema.split(", "))]], names=["doc_id", *names])
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                # rows of some documents at a time, as they are far larger in Python
+                before = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + ROWS, side="right")))
+                listed = batch.column(1).slice(lo, hi - lo).flatten()
+                each = [dict(zip(fields, x)) for x in zip(*(c.to_pylist() for c in listed.flatten()))]
+                out = [(i, *x) for i in range(lo, hi) for x in told(each[(int(ends[i - 1]) if i else 0) - before : int(ends[i]) - before])]
+                columns = list(zip(*out)) if out else [()] * (len(names) + 1)
+                ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, fitting[x.split(" ")[1]]) for c, x in zip(columns[1:], schema.split(", "))]], names=["doc_id", *names])
+                lo = hi
 
     return listed.mapInArrow(run, f"doc_id {kind}, {schema}")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gradeflow.operators import kb, vectors
+from gradeflow.operators import kb, lines, vectors
 from gradeflow.plans import knowledge_base
 
 
@@ -54,3 +54,12 @@ def test_scores_of_a_cell_are_bounded(monkeypatch):
     got = {(q, i, s) for ids, _, own, score in best.kept() for q, i, s in zip(ids.to_pylist(), own.to_pylist(), score.to_pylist(), strict=True)}
     assert got == {(q, i, s) for q in range(50) for s, i in sorted(((float(asked[q] @ known[i]), i) for i in range(24)), key=lambda x: (-x[0], x[1]))[:3]}
     assert max(a * b for a, b in sizes) <= 64
+
+
+def test_documents_become_objects_some_at_a_time(spark):
+    rows = spark.range(20_000).select((F.col("id") % 2000).alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("doc_id", (F.col("i") + F.col("doc_id") % 3).alias("pos"))
+    told = lambda own: [(len(own), sum(r["pos"] for r in own), __import__("sys").getallocatedblocks())]
+    few = lines.by_document(rows.where("doc_id < 8"), ("pos",), told, "n long, total long, blocks long").collect()
+    got = lines.by_document(rows, ("pos",), told, "n long, total long, blocks long").collect()
+    assert {(r.doc_id, r.n, r.total) for r in got} == {(d, 100, 450 + 100 * (d % 3)) for d in range(2000)}
+    assert max(r.blocks for r in got) - min(r.blocks for r in few) < 60_000
