@@ -54,7 +54,7 @@ def score_resumably(df: DataFrame, scorer: Scorer, store: str, prompt: str = "pr
     """
     spark = df.sparkSession
     key = F.sha2(F.col(prompt).cast("binary"), 256)
-    asked = stored(df.where(F.col(prompt).isNotNull()).select(key.alias("digest"), F.col(prompt).alias("prompt")).dropDuplicates(["digest"]))
+    left = df.where(F.col(prompt).isNotNull()).select(key.alias("digest"), F.col(prompt).alias("prompt")).dropDuplicates(["digest"])
 
     def kept() -> DataFrame:
         try:
@@ -64,7 +64,8 @@ def score_resumably(df: DataFrame, scorer: Scorer, store: str, prompt: str = "pr
 
     errors = None
     for _ in range(tries):
-        left = stored(asked.join(kept().select("digest"), "digest", "left_anti"))
+        # texts are written once, for what is asked; a further try takes what is left of that
+        left = stored(left.join(kept().select("digest"), "digest", "left_anti"))
         n = left.count()
         if not n:
             break
@@ -72,7 +73,7 @@ def score_resumably(df: DataFrame, scorer: Scorer, store: str, prompt: str = "pr
         part = F.pmod(F.xxhash64("digest"), F.lit(batches))
         failed = []
         for i in range(batches):
-            answered = stored(score_prompts(left.where(part == i), scorer))
+            answered = stored(score_prompts(left.where(part == i), scorer).select("digest", "reply", "error"))
             answered.where("error IS NULL").select("digest", "reply").dropDuplicates(["digest"]).write.mode("append").parquet(store)
             failed.append(answered)
         errors = failed[0]

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gradeflow.operators import kb, lines, vectors
+from gradeflow.operators import kb, lines, scoring, vectors
 from gradeflow.plans import knowledge_base
 
 
@@ -63,3 +63,17 @@ def test_documents_become_objects_some_at_a_time(spark):
     got = lines.by_document(rows, ("pos",), told, "n long, total long, blocks long").collect()
     assert {(r.doc_id, r.n, r.total) for r in got} == {(d, 100, 450 + 100 * (d % 3)) for d in range(2000)}
     assert max(r.blocks for r in got) - min(r.blocks for r in few) < 60_000
+
+
+def test_texts_of_prompts_are_stored_once(spark, tmp_path, monkeypatch):
+    kept, store = [], scoring.stored
+    monkeypatch.setattr(scoring, "stored", lambda df: kept.append(df.columns) or store(df))
+    docs = spark.createDataFrame([(i, None if i == 5 else f"text {i % 4}") for i in range(9)], "doc_id int, text string")
+    path = str(tmp_path / "replies")
+    scoring.score_resumably(docs.where("doc_id < 2"), lambda prompts: [p.upper() for p in prompts], path, "text")
+    kept.clear()
+    got = scoring.score_resumably(docs, lambda prompts: [p.upper() for p in prompts], path, "text").collect()
+    assert {(r.doc_id, r.reply, r.error) for r in got} == {(i, None if i == 5 else f"TEXT {i % 4}", None) for i in range(9)}
+    assert spark.read.parquet(path).count() == 4
+    # what is asked, the replies without texts, and what is left, which is nothing
+    assert kept == [["digest", "prompt"], ["digest", "reply", "error"], ["digest", "prompt"]]
