@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from gradeflow.functions.text import tokens
 from gradeflow.operators import lexical, postings
 
 
@@ -68,3 +71,37 @@ def test_empty_corpus(spark, tmp_path):
     docs, asked = corpus(spark, 3)
     index = postings.build(docs.limit(0), str(tmp_path / "index"))
     assert postings.topk(index, asked, 3).collect() == []
+
+
+def test_tokens_are_those_of_the_expression(spark):
+    texts = ["", "a", "ab c", "AbC-9x y1", "ab", "cd ef", "北", "北京", "北京市x1上海 abc", "京", "海", "Kelvin İstanbul naïve", "㐀㐁 鿿鿾鿿ꀀ", "\U0001f600ok", "䷿一丁", "Straße ÉCOLE x²", "北a1京", "tab\tnew\nline", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", tokens(F.col("text")).alias("w"))
+    want = [sorted(r.w or []) for r in frame.orderBy("doc_id").collect()]
+    for part in (pa.array([t or "" for t in texts]), pa.array(["zz", *(t or "" for t in texts)]).slice(1), pa.array([t or "" for t in texts], pa.large_string())):
+        words, place = postings._tokens(part)
+        got = [[] for _ in texts]
+        for w, i in zip(words.to_pylist(), place.tolist(), strict=True):
+            got[i].append(w)
+        assert [sorted(x) for x in got] == want
+
+
+def test_a_segment_holds_no_word_lists_and_few_bytes_a_posting(spark, tmp_path):
+    docs, _ = corpus(spark)
+    index = postings.build(docs, str(tmp_path / "index"))
+    row = index.segments.agg(F.sum(F.length("places") + F.length("tf")).alias("bytes"), F.sum(F.aggregate("df", F.lit(0).cast("long"), lambda a, x: a + x)).alias("postings")).first()
+    assert row.bytes <= 3 * row.postings
+    assert not (tmp_path / "index" / "counts").exists()
+
+
+def test_texts_are_read_in_pieces(spark, monkeypatch):
+    docs, _ = corpus(spark)
+    read, seen = postings._tokens, []
+    monkeypatch.setattr(postings, "PIECE", 100)
+    monkeypatch.setattr(postings, "_tokens", lambda texts: seen.append(sum(len(t) for t in texts.to_pylist())) or read(texts))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit(""))).toArrow().combine_chunks().to_batches()
+    got = list(postings._segments(iter(rows)))
+    assert len(seen) > 50 and max(seen) < 400
+    assert sum(b["n"][0].as_py() for b in got) == 302
+    monkeypatch.undo()
+    one = list(postings._segments(iter(rows)))
+    assert [b.to_pydict() for b in got] == [b.to_pydict() for b in one]
