@@ -1,7 +1,8 @@
 """Language-model scoring by a probabilistic suffix tree over bytes, beside a unigram base score over words.
 
 A document is the byte stream of its lower-cased words joined by spaces, then an end symbol. Spark counts every context of
-up to DEPTH bytes with its next byte over the whole training part; tasks combine equal n-grams before they are shuffled. A
+up to DEPTH bytes with its next byte over the whole training part; tasks combine equal n-grams before they are shuffled, as
+lists by parts of their hashes. A
 context stays in the tree if it occurs twice or more and its next-byte distribution diverges from that of its suffix: n times
 the Kullback-Leibler divergence, which is what the context saves, is at least d * (ln(N) / 2 + ln(A)), the cost of naming its d
 next bytes, of A in use, and their shares, for N positions. No share of the corpus is asked for, so the tree grows with the corpus
@@ -21,30 +22,36 @@ from a broadcast; all others are joined by word.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, text_of, written
+from .common import fold, shuffle_partitions, text_of, written
 
 DEPTH = 6
 HEAD_CONTEXTS = 80_000
 HEAD_WORDS = 100_000
-#: The filter of rarer contexts has 2 to this power bits, 8 MB; one of 2 to the 24 says what three bytes they end with.
+#: The filter of rarer contexts has 2 to this power bits, 8 MB. Before it, one of 2 to the 21 bytes, by a hash of the last three
+#: bytes, says how long the rarer contexts are that end so.
 FILTER_BITS = 26
 _LAST = 24
+_ENDINGS = 21
 END = 10
 _END_WORD = b"\n"
-_STREAM = 1 << 20
+_STREAM = 1 << 21
 _SEGMENT = 256
-#: What a counting task holds before it emits: different n-grams, different words; and the rows of a batch that it emits.
-HELD_GRAMS, HELD_WORDS, _ROWS = 2_000_000, 200_000, 32_768
+#: What a counting task holds before it emits: different n-grams, different words.
+HELD_GRAMS, HELD_WORDS = 2_000_000, 200_000
+#: Parts into which counts are dealt for each shuffle partition, so that a part is as large for any corpus.
+_DEALT = 16
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -62,10 +69,9 @@ def stream_of(docs: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray,
 
 def _grams(stream: np.ndarray, begins: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The last depth + 1 bytes at each position that is predicted, as a number, and which positions behind the first pad are."""
-    code = np.zeros(len(stream) - depth, np.uint64)
-    for k in range(depth + 1):
-        code <<= np.uint64(8)
-        code |= stream[k : len(stream) - depth + k]
+    # the eight bytes that end at each position, as one number
+    padded = np.concatenate([np.zeros(8, np.uint8), stream])
+    code = np.ndarray(len(stream) - depth, ">u8", padded, depth + 1, (1,)).astype(np.uint64) & np.uint64((1 << 8 * (depth + 1)) - 1)
     edge = np.zeros(len(code) + 1, np.int8)
     np.add.at(edge, begins - depth, 1)
     np.add.at(edge, ends - depth, -1)
@@ -73,6 +79,21 @@ def _grams(stream: np.ndarray, begins: np.ndarray, ends: np.ndarray, depth: int)
     return code[predicted], predicted
 
 
+def _words(stream: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of a stream of documents without the end words, and how many each document has."""
+    cuts = np.flatnonzero((stream == 32) | (stream == END)) + 1
+    firsts = np.concatenate([[0], cuts[:-1]])
+    real = cuts - firsts > 1
+    if not real.any():
+        return pa.array([], pa.binary()), np.zeros(len(ends), np.int64)
+    # two offsets for each word: its first byte and the separator behind it, which every other entry holds
+    bounds = np.stack([firsts[real], cuts[real] - 1], 1).ravel().astype(np.int32)
+    both = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(stream)])
+    number = np.concatenate([[0], np.cumsum(real)])
+    place = np.searchsorted(cuts, np.stack([begins, ends]), side="right")
+    return both.take(pa.array(np.arange(0, len(both), 2))), number[place[1]] - number[place[0]]
+
+
 def _grouped(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[list[bytes]]]]:
     """(first row, word lists) of consecutive rows with about _STREAM bytes."""
     first, size, held = 0, 0, []
@@ -105,17 +126,13 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
     held: tuple[np.ndarray, np.ndarray] | None = None
     names = ["word", "gram", "n"]
 
-    def word_rows() -> Iterator[pa.RecordBatch]:
+    def word_rows() -> pa.RecordBatch:
         keys, n = pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())
         words.clear()
-        for at in range(0, len(keys), _ROWS):
-            part = keys.slice(at, _ROWS)
-            yield pa.RecordBatch.from_arrays([part, pa.nulls(len(part), pa.int64()), n.slice(at, _ROWS)], names=names)
+        return pa.RecordBatch.from_arrays([keys, pa.nulls(len(keys), pa.int64()), n], names=names)
 
-    def gram_rows(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(codes), _ROWS):
-            part = codes[at : at + _ROWS].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(n[at : at + _ROWS])], names=names)
+    def gram_rows(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(codes.astype(np.int64)), pa.array(n)], names=names)
 
     for batch in batches:
         for _, docs in _grouped(batch, 0):
@@ -124,19 +141,47 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
             codes, n = np.unique(_grams(*stream_of(docs, depth), depth)[0], return_counts=True)
             held = _merged(held, codes, n.astype(np.int64))
             if len(held[0]) > HELD_GRAMS:
-                yield from gram_rows(*held)
+                yield gram_rows(*held)
                 held = None
             if len(words) > HELD_WORDS:
-                yield from word_rows()
+                yield word_rows()
     if held is not None:
-        yield from gram_rows(*held)
-    yield from word_rows()
+        yield gram_rows(*held)
+    if words:
+        yield word_rows()
+
+
+def _dealt(counts: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, words, grams, n): the counts as lists, each in the part that its word or n-gram has by its hash."""
+    for batch in counts:
+        words, grams, n = batch.columns
+        if grams.null_count:
+            part = np.fromiter((zlib.crc32(w) for w in words.to_pylist()), np.uint64, len(words)) % np.uint64(parts)
+        else:
+            with np.errstate(over="ignore"):
+                part = (grams.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part.astype(np.uint16), kind="stable")
+        own, ends = np.unique(part[order], return_counts=True)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32))
+        listed = [pa.nulls(len(own), pa.list_(c.type)) if c.null_count else pa.ListArray.from_arrays(offsets, c.take(pa.array(order))) for c in (words, grams, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *listed], names=["part", "words", "grams", "n"])
+
+
+def _summed(part: pa.Table) -> pa.Table:
+    """(word, null, n) and (null, gram, n) of a part, each word and n-gram once."""
+    out = []
+    for kind, name in (("words", "word"), ("grams", "gram")):
+        rows = part.filter(part[kind].is_valid())
+        flat = pa.table({name: rows[kind].combine_chunks().flatten(), "n": rows["n"].combine_chunks().flatten()})
+        total = flat.group_by(name, use_threads=False).aggregate([("n", "sum")])
+        columns = {"word": pa.nulls(len(total), pa.binary()), "gram": pa.nulls(len(total), pa.int64()), "n": total["n_sum"]}
+        out.append(pa.table(columns | {name: total[name]}))
+    return pa.concat_tables(out)
 
 
 class Tree(NamedTuple):
     symbols: np.ndarray  # 256: the class of each byte, the last class for bytes that training never met
-    following: np.ndarray  # states x classes: the state after a symbol
-    longest: np.ndarray  # states: the row of log10 of the longest context that ends here
+    steps: np.ndarray  # states x classes: the state after a symbol, and the log10 that the state gives it
     log10: np.ndarray  # contexts x classes
 
 
@@ -204,7 +249,10 @@ def build_tree(length: np.ndarray, context: np.ndarray, following: np.ndarray, n
         # until a longer state is met, a symbol leads where it leads from the longest suffix
         if size > 0:
             step[states] = step[fail[states]]
-    return Tree(symbols, step, longest, np.log10(chance).astype(np.float32))
+    log10 = np.log10(chance).astype(np.float32)
+    steps = np.empty(step.shape, [("state", np.int32), ("log10", np.float32)])
+    steps["state"], steps["log10"] = step, log10[longest]
+    return Tree(symbols, steps, log10)
 
 
 def score_stream(tree: Tree, stream: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -216,17 +264,26 @@ def score_stream(tree: Tree, stream: np.ndarray, depth: int = DEPTH) -> np.ndarr
     padded[depth : depth + len(classes)] = classes
     table = np.lib.stride_tricks.as_strided(padded, (_SEGMENT + depth, rows), (padded.strides[0], padded.strides[0] * _SEGMENT))
     out = np.empty((_SEGMENT, rows), np.float32)
-    step, chance, longest = tree.following.ravel(), tree.log10.ravel(), tree.longest * np.int32(width)
-    state = np.zeros(rows, np.int32)
+    # the next state and the chance of a symbol lie side by side, so a step is one look-up
+    steps, met = tree.steps.ravel().view(np.int64), np.empty(rows, np.int64)
+    state, chance = met.view(np.int32)[::2], met.view(np.float32)[1::2]
+    met[:] = 0
+    place = np.empty(rows, np.int64)
     for t in range(_SEGMENT + depth):
+        np.multiply(state, width, out=place)
+        place += table[t]
+        np.take(steps, place, out=met, mode="clip")
         if t >= depth:
-            out[t - depth] = chance[longest[state] + table[t]]
-        state = step[state * np.int32(width) + table[t]]
+            out[t - depth] = chance
     return out.T.ravel()[: len(classes)]
 
 
 def document_scores(tree: Tree, docs: list[list[bytes]], depth: int = DEPTH) -> np.ndarray:
-    stream, begins, ends = stream_of(docs, depth)
+    return stream_scores(tree, *stream_of(docs, depth), depth)
+
+
+def stream_scores(tree: Tree, stream: np.ndarray, begins: np.ndarray, ends: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """log10 of the probability of each document of a stream."""
     each = np.concatenate([score_stream(tree, stream, depth).astype(np.float64), [0.0]])
     return np.add.reduceat(each, np.stack([begins, ends], 1).ravel())[::2]
 
@@ -239,16 +296,24 @@ def _slots(length: np.ndarray | int, context: np.ndarray) -> np.ndarray:
 
 
 def _endings(length: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """The three bytes that each context ends with; all that are possible for a shorter one."""
-    out = [context[length >= 3] & ((1 << _LAST) - 1)]
+    """The bits of the filter of endings: those of each context's last three bytes and length; for a shorter one, those of all
+    bytes that may precede it."""
+    long = length >= 3
+    out = [_ending_slots(context[long]) << 3 | length[long]]
     for size in (1, 2):
         for c in np.unique(context[length == size]).tolist():
-            out.append((np.arange(1 << _LAST - 8 * size) << 8 * size) | c)
+            out.append(_ending_slots((np.arange(1 << _LAST - 8 * size) << 8 * size) | c) << 3 | size)
     return np.unique(np.concatenate(out))
 
 
+def _ending_slots(ends: np.ndarray) -> np.ndarray:
+    """The byte of the filter of endings for the last three bytes of each number."""
+    with np.errstate(over="ignore"):
+        return ((ends.astype(np.uint32) & np.uint32((1 << _LAST) - 1)) * np.uint32(0x9E3779B1) >> np.uint32(32 - _ENDINGS)).astype(np.int64)
+
+
 def _filter(rare: DataFrame) -> np.ndarray:
-    """A bit for each slot that a context of ``rare`` has, then one for each ending; empty if there is none."""
+    """A bit for each slot that a context of ``rare`` has, then a byte of lengths for each ending; empty if there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +324,7 @@ def _filter(rare: DataFrame) -> np.ndarray:
     words = rare.select("length", "context").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     if not words.num_rows:
         return np.zeros(0, np.uint8)
-    out = np.zeros((1 << FILTER_BITS - 6) + (1 << _LAST - 6), "<i8")
+    out = np.zeros((1 << FILTER_BITS - 6) + (1 << _ENDINGS - 3), "<i8")
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint8)
 
@@ -270,18 +335,18 @@ def _may_be(bits: np.ndarray, length: int, grams: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
 
 
-def rarer_grams(bits: np.ndarray, docs: list[list[bytes]], depth: int = DEPTH) -> pa.Array:
+def rarer_grams(bits: np.ndarray, stream: np.ndarray, begins: np.ndarray, ends: np.ndarray, depth: int = DEPTH) -> pa.Array:
     """For each document the grams of its positions that may have a rarer context."""
     if not len(bits):
-        return pa.array([[]] * len(docs), pa.list_(pa.int64()))
-    stream, begins, ends = stream_of(docs, depth)
+        return pa.array([[]] * len(ends), pa.list_(pa.int64()))
     grams, predicted = _grams(stream, begins, ends, depth)
-    ending = ((grams >> np.uint64(8)) & np.uint64((1 << _LAST) - 1)).astype(np.int64)
-    some = np.flatnonzero((bits[(1 << FILTER_BITS - 3) + (ending >> 3)] >> (ending & 7).astype(np.uint8)) & 1)
-    own = grams[some]
+    lengths = bits[1 << FILTER_BITS - 3 :][_ending_slots(grams >> np.uint64(8))]
+    some = np.flatnonzero(lengths)
+    lengths, own = lengths[some], grams[some]
     found = np.zeros(len(own), bool)
     for length in range(1, depth + 1):
-        found |= _may_be(bits, length, own)
+        left = np.flatnonzero((lengths >> length & 1 > 0) & ~found)
+        found[left] = _may_be(bits, length, own[left])
     hit = np.zeros(len(grams), bool)
     hit[some[found]] = True
     at = np.flatnonzero(predicted)[hit] + depth
@@ -292,10 +357,28 @@ def rarer_grams(bits: np.ndarray, docs: list[list[bytes]], depth: int = DEPTH) -
 def gram_scores(tree: Tree, grams: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """log10 of the probability that the tree gives the last byte of each gram after the bytes before it."""
     symbol = lambda k: tree.symbols[((grams >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)]
-    state = np.zeros(len(grams), np.int64)
+    state = np.zeros(len(grams), np.int32)
     for k in range(depth, 0, -1):
-        state = tree.following[state, symbol(k)]
-    return tree.log10[tree.longest[state], symbol(0)].astype(np.float64)
+        state = tree.steps["state"][state, symbol(k)]
+    return tree.steps["log10"][state, symbol(0)].astype(np.float64)
+
+
+def word_gains(frequent: pa.Array, gains: np.ndarray, stream: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For each document of a stream how many of its words, the end among them, are frequent, their gains' sum, and the others."""
+    words, sizes = _words(stream, begins, ends)
+    at = pc.index_in(words, value_set=frequent).fill_null(-1).to_numpy()
+    last = np.cumsum(sizes)
+    summed = lambda each: np.where(sizes > 0, np.add.reduceat(np.append(each, 0), np.stack([last - sizes, last], 1).ravel())[::2], 0)
+    known, gain = summed((at >= 0).astype(np.int64)), summed(np.append(gains, 0.0)[at])
+    others, place = words.filter(pa.array(at < 0)), np.cumsum(sizes - known)
+    end = pc.index(frequent, pa.scalar(_END_WORD, pa.binary())).as_py()
+    if end >= 0:
+        known, gain = known + 1, gain + gains[end]
+    else:
+        # the end is one of the others of each document
+        others = pa.concat_arrays([others, pa.array([_END_WORD], pa.binary())]).take(pa.array(np.insert(np.arange(len(others)), place, len(others))))
+        place = place + np.arange(1, len(place) + 1)
+    return known, gain, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], place]).astype(np.int32)), others)
 
 
 def _least(counts: DataFrame, most: int) -> int | None:
@@ -315,16 +398,16 @@ def _reach(column: str, least: int | None) -> Column:
     return F.lit(False) if least is None else F.col(column) >= least
 
 
-_models: dict[str, tuple[Tree, dict[bytes, float]]] = {}
+_models: dict[str, tuple[Tree, pa.Array, np.ndarray]] = {}
 
 
-def _model(key: str, tables: tuple[pa.Table, pa.Table], depth: int) -> tuple[Tree, dict[bytes, float]]:
-    """The automaton, and the gains of frequent words, built once in a worker from their tables."""
+def _model(key: str, tables: tuple[pa.Table, pa.Table], depth: int) -> tuple[Tree, pa.Array, np.ndarray]:
+    """The automaton, and the frequent words with their gains, built once in a worker from their tables."""
     if key not in _models:
         kept, head = tables
         _models.clear()
         tree = build_tree(*(kept[c].to_numpy() for c in ("length", "context", "next", "n")), depth)
-        _models[key] = tree, dict(zip(head["word"].to_pylist(), np.log10(head["n"].to_numpy() + 1.0).tolist()))
+        _models[key] = tree, head["word"].combine_chunks(), np.log10(head["n"].to_numpy() + 1.0)
     return _models[key]
 
 
@@ -338,7 +421,10 @@ def score_documents(docs: DataFrame, is_training: Column | None = None, depth: i
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
     learned = rows.where(F.col("doc_id").isNotNull() if is_training is None else is_training).select("text")
-    counted = written(learned.mapInArrow(lambda b: _count(b, depth), "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n")))
+    parts = min(1 << 16, _DEALT * shuffle_partitions(spark))
+    # equal n-grams meet as lists, not row by row
+    dealt = learned.mapInArrow(lambda b: _dealt(_count(b, depth), parts), "part int, words array<binary>, grams array<long>, n array<long>")
+    counted = written(dealt.groupBy("part").applyInArrow(_summed, "word binary, gram long, n long"))
     counts, grams = counted.where("word IS NOT NULL").select("word", "n"), counted.where("gram IS NOT NULL").select("gram", "n")
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     kept = contexts(grams, depth)
@@ -350,33 +436,29 @@ def score_documents(docs: DataFrame, is_training: Column | None = None, depth: i
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, gains = _model(key, shared.value, depth)
+        tree, frequent, gains = _model(key, shared.value, depth)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for first, group in _grouped(batch, 1):
-                known, gain, rare = [], [], []
-                for words in group:
-                    found = [gains[w] for w in words if w in gains]
-                    known.append(len(found))
-                    gain.append(sum(found))
-                    rare.append([w for w in words if w not in gains])
+                stream = stream_of(group, depth)
+                known, gain, rare = word_gains(frequent, gains, *stream)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(range(row, row + len(group)), pa.int64()),
                         batch.column(0).slice(first, len(group)),
                         pa.array([len(w) for w in group], pa.int64()),
-                        pa.array(known, pa.int64()),
-                        pa.array(gain, pa.float64()),
-                        pa.array(document_scores(tree, group, depth)),
-                        pa.array(rare, pa.list_(pa.binary())),
-                        rarer_grams(bits.value, group, depth),
+                        pa.array(known),
+                        pa.array(gain),
+                        pa.array(stream_scores(tree, *stream, depth)),
+                        rare,
+                        rarer_grams(bits.value, *stream, depth),
                     ],
                     names=["row", "doc_id", "n_tokens", "known", "gain", "score", "rare", "grams"],
                 )
                 row += len(group)
 
     def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, _ = _model(key, shared.value, depth)
+        tree, _, _ = _model(key, shared.value, depth)
         for batch in batches:
             grams = batch.column(0).to_numpy().astype(np.uint64)
             scores = gram_scores(tree, grams, depth)

@@ -139,3 +139,36 @@ def test_long_texts_and_repeated_rows(docs_of):
     assert len(same) == 4 and max(same) - min(same) < 1e-3 * abs(same[0])
     kept = brute_model([words_of((t or "").encode()) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2], 6, 0)
     assert abs(same[0] - brute_score(kept, words_of(long.encode()), 6)) < 1e-4 * abs(same[0])
+
+
+def test_counts_meet_as_lists_by_parts():
+    import pyarrow as pa
+
+    from gradeflow.llm.suffix_tree_lm import _dealt, _summed
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the", "then", "été", f"n{rng.randint(0, 99)}"]) for _ in range(rng.randint(0, 30))).encode() for _ in range(50)]
+    tasks = [list(_count(iter([pa.RecordBatch.from_arrays([pa.array(texts[k::3], pa.binary())], names=["text"])]), 6)) for k in range(3)]
+    want = Counter()
+    for word, gram, n in (r.values() for task in tasks for batch in task for r in batch.to_pylist()):
+        want[word, gram] += n
+    dealt = pa.Table.from_batches([b for task in tasks for b in _dealt(iter(task), 8)])
+    # a task sends a list of words and one of n-grams to a part, however many there are
+    assert dealt.num_rows <= 3 * 2 * 8 < len(want)
+    parts = [_summed(dealt.filter(pa.compute.equal(dealt["part"], k))).to_pylist() for k in range(8)]
+    got = [(r["word"], r["gram"], r["n"]) for part in parts for r in part]
+    assert len(got) == len(want) and all(want[word, gram] == n for word, gram, n in got)
+    assert sum(map(bool, parts)) > 4
+
+
+@pytest.mark.parametrize("frequent", [[], [b"the", b"q"], [b"the", b"\n"]])
+def test_gains_of_words(frequent):
+    import pyarrow as pa
+
+    from gradeflow.llm.suffix_tree_lm import word_gains
+
+    docs = [words_of(t) for t in (b"", b"The the  x", b" ", "été the".encode(), b"q")]
+    known, gain, others = word_gains(pa.array(frequent, pa.binary()), np.arange(1.0, len(frequent) + 1), *stream_of(docs))
+    assert known.tolist() == [sum(w in frequent for w in d) for d in docs]
+    assert gain.tolist() == [sum(frequent.index(w) + 1.0 for w in d if w in frequent) for d in docs]
+    assert others.to_pylist() == [[w for w in d if w not in frequent] for d in docs]
