@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, strip
-from .lines import by_document
 
 _HEADING = r"^(#{1,6})(?U:\s)+(.*)$"
 
 
-def _titles(stack_rule: str) -> Callable[[list[dict]], list[tuple[int, str]]]:
-    """(pos, path) of a document's headings in order; the first level-1 heading is the main title, or the leading line, which
-    comes as one of level 0."""
-
-    def told(headings: list[dict]) -> list[tuple[int, str]]:
-        main = next((h for h in headings if h["level"] == 0), None) or next((h for h in headings if h["level"] == 1), None)
-        above: list[dict] = []
-        out = []
-        for h in headings:
-            if h is not main:
-                above = [*(above[: h["level"] - 1] if stack_rule == "count" else (x for x in above if x["level"] < h["level"])), h]
-            known = [main] if main is not None and main["pos"] <= h["pos"] else []
-            out.append((h["pos"], ":".join(x["title"] for x in [*known, *above] if x["title"])))
-        return out
-
-    return told
+def _depths(level: Column, rows: Column, order: WindowSpec, stack_rule: str) -> Column:
+    """The depth of a heading in the stack of titles: its level, or with "count" at most one more than the depth before it."""
+    # the recurrence min(depth + 1, level) is a running minimum once the number of headings so far is taken off
+    return level if stack_rule == "level" else F.least(rows, rows + F.min(level - rows).over(order))
 
 
 def narrative_chunks(lines: DataFrame, size: int = 500, stack_rule: str = "count") -> DataFrame:
@@ -39,24 +24,35 @@ def narrative_chunks(lines: DataFrame, size: int = 500, stack_rule: str = "count
     text. Fenced lines and their fences go. ``stack_rule`` "count" pops the title stack by its height, so a second heading of
     a level nests under the first; "level" pops by level.
     """
-    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("doc_id")
+    order = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fence = strip(F.col("line")).startswith("```")
     clear = lines.withColumn("_fence", fence).withColumn("_open", F.sum(F.col("_fence").cast("int")).over(order) % 2).where("NOT _fence AND _open = 0")
     flagged = clear.withColumn("_h", F.col("line").rlike(_HEADING)).withColumn("section", F.sum(F.col("_h").cast("int")).over(order))
-    heads = flagged.where("_h").select("doc_id", "section", "pos", F.length(F.regexp_extract("line", _HEADING, 1)).alias("level"), strip(F.regexp_extract("line", _HEADING, 2)).alias("title"))
-    body = flagged.where("NOT _h")
-    first = body.where(strip(F.col("line")) != "").groupBy("doc_id").agg(F.min_by(F.struct("pos", "line"), "pos").alias("f"))
-    top = heads.where("level = 1").groupBy("doc_id").agg(F.min("pos").alias("_top"))
-    lead = first.join(top, "doc_id", "left").where("_top IS NULL OR f.pos < _top").select("doc_id", F.lit(-1).alias("section"), F.col("f.pos").alias("pos"), F.lit(0).alias("level"), strip(F.col("f.line")).alias("title"))
-    titles = heads.unionByName(lead.withColumn("section", F.col("section").cast("bigint")))
-    paths = by_document(titles, ("pos", "level", "title"), _titles(stack_rule), "pos int, path string")
-    by_section = paths.join(heads.select("doc_id", "pos", "section"), ["doc_id", "pos"]).select("doc_id", "section", "path")
-    text = body.groupBy("doc_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("t")).select("doc_id", "section", collapse(F.col("t")).alias("t")).where("t <> ''")
-    both = text.join(by_section, ["doc_id", "section"], "left").join(lead.select("doc_id", F.col("title").alias("_lead")), "doc_id", "left")
+    head = F.struct("pos", F.length(F.regexp_extract("line", _HEADING, 1)).alias("level"), strip(F.regexp_extract("line", _HEADING, 2)).alias("title"))
+    body = F.struct("pos", "line")
+    # all that follows keeps a document's rows together, so they are shuffled once
+    sections = flagged.groupBy("doc_id", "section").agg(
+        F.min(F.when(F.col("_h"), head)).alias("h"),
+        F.min(F.when(~F.col("_h") & (strip(F.col("line")) != ""), body)).alias("f"),
+        collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_h"), body))), lambda x: x["line"]), "\n")).alias("t"),
+    )
+    first, top = F.min("f").over(whole), F.min(F.when(F.col("h.level") == 1, F.col("h"))).over(whole)
+    known = sections.withColumn("_first", first).withColumn("_top", top)
+    lead = F.when(F.col("_first").isNotNull() & (F.col("_top").isNull() | (F.col("_first.pos") < F.col("_top.pos"))), F.struct(F.col("_first.pos").alias("pos"), strip(F.col("_first.line")).alias("title")))
+    # the main title, and the headings that are stacked: all but that
+    main = known.withColumn("_lead", lead).withColumn("_main", F.coalesce("_lead", F.struct("_top.pos", "_top.title")))
+    stacked = main.withColumn("_s", F.when(F.col("_lead").isNotNull() | F.col("_top").isNull() | (F.col("h.pos") != F.col("_top.pos")), F.col("h")))
+    order = whole.orderBy("section").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = stacked.withColumn("_n", F.count("_s").over(order)).withColumn("_d", F.when(F.col("_s").isNotNull(), _depths(F.col("_s.level"), F.col("_n").cast("int"), order, stack_rule)))
+    # the last heading of each depth, unless one above it came since
+    latest = {k: F.last(F.when(F.col("_d") <= k, F.struct(F.col("_d").alias("d"), F.col("_s.title").alias("title"))), ignorenulls=True).over(order) for k in range(1, 7)}
+    placed = counted.withColumns({f"_h{k}": x for k, x in latest.items()})
+    titles = F.array(F.when(F.col("_main.pos") <= F.col("h.pos"), F.col("_main.title")), *[F.when(F.col(f"_h{k}.d") == k, F.col(f"_h{k}.title")) for k in latest])
     # text before any heading stands under the leading line alone
-    path = F.coalesce("path", "_lead")
+    path = F.when(F.col("section") > 0, F.array_join(F.filter(titles, lambda x: x != ""), ":")).otherwise(F.col("_lead.title"))
     prefix = F.when(F.coalesce(path, F.lit("")) == "", F.lit("")).otherwise(F.concat(path, F.lit(":")))
-    return both.select("doc_id", "section", windows(F.col("t"), size).alias("w"), prefix.alias("_p")).select("doc_id", "section", F.posexplode("w").alias("chunk_no", "_w"), "_p").select("doc_id", "section", "chunk_no", F.concat("_p", "_w").alias("chunk"))
+    return placed.where("t <> ''").select("doc_id", "section", windows(F.col("t"), size).alias("w"), prefix.alias("_p")).select("doc_id", "section", F.posexplode("w").alias("chunk_no", "_w"), "_p").select("doc_id", "section", "chunk_no", F.concat("_p", "_w").alias("chunk"))
 
 
 def windows(text: Column, size: int) -> Column:
