@@ -26,20 +26,20 @@ def narrative_chunks(lines: DataFrame, size: int = 500, stack_rule: str = "count
     """
     whole = Window.partitionBy("doc_id")
     order = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fence = strip(F.col("line")).startswith("```")
+    fence = F.col("line").rlike(r"(?U)^\s*```")
     clear = lines.withColumn("_fence", fence).withColumn("_open", F.sum(F.col("_fence").cast("int")).over(order) % 2).where("NOT _fence AND _open = 0")
-    flagged = clear.withColumn("_h", F.col("line").rlike(_HEADING)).withColumn("section", F.sum(F.col("_h").cast("int")).over(order))
+    flagged = clear.withColumn("_h", F.col("line").rlike(_HEADING)).withColumn("section", F.sum(F.col("_h").cast("int")).over(order)).withColumn("_below", F.bool_or(F.col("_h") & ~F.col("line").startswith("##")).over(order))
     head = F.struct("pos", F.length(F.regexp_extract("line", _HEADING, 1)).alias("level"), strip(F.regexp_extract("line", _HEADING, 2)).alias("title"))
     body = F.struct("pos", "line")
-    # all that follows keeps a document's rows together, so they are shuffled once
+    # a line leads only above the first level-1 heading; all that follows keeps a document's rows together, so they are shuffled once
     sections = flagged.groupBy("doc_id", "section").agg(
         F.min(F.when(F.col("_h"), head)).alias("h"),
-        F.min(F.when(~F.col("_h") & (strip(F.col("line")) != ""), body)).alias("f"),
+        F.min(F.when(~F.col("_h") & ~F.col("_below") & F.col("line").rlike(r"(?U)\S"), body)).alias("f"),
         collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_h"), body))), lambda x: x["line"]), "\n")).alias("t"),
     )
     first, top = F.min("f").over(whole), F.min(F.when(F.col("h.level") == 1, F.col("h"))).over(whole)
     known = sections.withColumn("_first", first).withColumn("_top", top)
-    lead = F.when(F.col("_first").isNotNull() & (F.col("_top").isNull() | (F.col("_first.pos") < F.col("_top.pos"))), F.struct(F.col("_first.pos").alias("pos"), strip(F.col("_first.line")).alias("title")))
+    lead = F.when(F.col("_first").isNotNull(), F.struct(F.col("_first.pos").alias("pos"), strip(F.col("_first.line")).alias("title")))
     # the main title, and the headings that are stacked: all but that
     main = known.withColumn("_lead", lead).withColumn("_main", F.coalesce("_lead", F.struct("_top.pos", "_top.title")))
     stacked = main.withColumn("_s", F.when(F.col("_lead").isNotNull() | F.col("_top").isNull() | (F.col("h.pos") != F.col("_top.pos")), F.col("h")))
@@ -57,7 +57,8 @@ def narrative_chunks(lines: DataFrame, size: int = 500, stack_rule: str = "count
 
 def windows(text: Column, size: int) -> Column:
     """A text cut every ``size`` characters."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - 1), F.lit(size)), lambda i: F.substr(text, i + 1, F.lit(size)))
+    # one pass over the text: a substring is sought from the beginning each time
+    return F.when(F.length(text) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).otherwise(F.array(text))
 
 
 def data_chunks(lines: DataFrame) -> DataFrame:

@@ -185,3 +185,18 @@ def test_scorer(spark):
     assert got == {"a": ("A", None), "bad": (None, "ValueError: no"), "c": ("C", None)}
     kinds = spark.createDataFrame([("It is a long and winding sentence about nothing.",), ('{"a":1}\n{"b":2}\nx',)], "t string").select(scoring.document_class(F.col("t")).alias("c"))
     assert [r.c for r in kinds.collect()] == ["1", "2"]
+
+
+def test_narrative_chunks_shuffle_once(spark):
+    lines = spark.createDataFrame([(i, k, line) for i in range(3) for k, line in enumerate(["# T", "foo", "## A", "### B", "x", "## C", "y", "# U", "z"])], "doc_id long, pos int, line string")
+    for rule, last in (("count", ["T:foo", "T:A:B:x", "T:A:C:y", "T:U:z"]), ("level", ["T:foo", "T:A:B:x", "T:C:y", "T:U:z"])):
+        out = chunking.narrative_chunks(lines, stack_rule=rule)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Join" not in plan
+        assert [r.chunk for r in out.where("doc_id = 1").orderBy("section").collect()] == last
+
+
+def test_windows_of_characters(spark):
+    texts = ["", None, "a", "\n\r " * 4, "é😀x" * 5, "abcdefg" * 3]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(chunking.windows(F.col("t"), 7).alias("w")).collect()
+    assert [r.w for r in got] == [[t] if not t else [t[i : i + 7] for i in range(0, len(t), 7)] for t in texts]
